@@ -11,6 +11,7 @@ from ..session import ready
 from .bpe_automaton import bpe_decode, bpe_encode
 from .chat_format import chat_digest, chat_examples
 from .decontaminate import contamination
+from .near_dup import near_duplicates
 from .quality import quality_rules
 from .token_counts import token_counts
 from .url_filters import url_filters
@@ -47,6 +48,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
     encoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -64,7 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op8_bpe_automaton, op9_quality_rules, op10_token_counts)
+    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op5_minhash_near_dedup, op8_bpe_automaton, op9_quality_rules, op10_token_counts)
 }
 
 ORACLE = {
