@@ -13,6 +13,7 @@ from .chat_format import chat_digest, chat_examples
 from .decontaminate import contamination
 from .near_dup import near_duplicates
 from .quality import quality_rules
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .url_filters import url_filters
 
@@ -52,6 +53,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
     encoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -69,7 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op5_minhash_near_dedup, op8_bpe_automaton, op9_quality_rules, op10_token_counts)
+    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op5_minhash_near_dedup, op7_suffix_array_dedup, op8_bpe_automaton, op9_quality_rules, op10_token_counts)
 }
 
 ORACLE = {
