@@ -15,6 +15,7 @@ from .near_dup import near_duplicates
 from .quality import quality_rules
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
+from .toxicity import toxicity
 from .url_filters import url_filters
 
 # Fixed rules of the query: host, path, action.
@@ -49,6 +50,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -75,7 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op5_minhash_near_dedup, op7_suffix_array_dedup, op8_bpe_automaton, op9_quality_rules, op10_token_counts)
+    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op4_toxicity, op5_minhash_near_dedup, op7_suffix_array_dedup, op8_bpe_automaton, op9_quality_rules, op10_token_counts)
 }
 
 ORACLE = {
