@@ -11,6 +11,7 @@ from ..session import ready
 from .bpe_automaton import bpe_decode, bpe_encode
 from .chat_format import chat_digest, chat_examples
 from .decontaminate import contamination
+from .html_text import html_text
 from .near_dup import near_duplicates
 from .quality import quality_rules
 from .suffix_dedup import remove_repeats
@@ -58,6 +59,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
@@ -80,7 +85,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op4_toxicity, op5_minhash_near_dedup, op7_suffix_array_dedup, op8_bpe_automaton, op9_quality_rules, op10_token_counts)
+    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op4_toxicity, op5_minhash_near_dedup, op6_html_extraction, op7_suffix_array_dedup, op8_bpe_automaton, op9_quality_rules, op10_token_counts)
 }
 
 ORACLE = {
