@@ -1 +1 @@
-"""plans of the timeline engine."""
+"""Plans over sources, samples and parameters."""
