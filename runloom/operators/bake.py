@@ -20,9 +20,9 @@ def segments(samples: DataFrame, keys: list[str]) -> DataFrame:
     """
     by = Window.partitionBy(*keys).orderBy("t")
     whole = Window.partitionBy(*keys)
-    rows = samples.select(*keys, "t", "value", F.lead("t").over(by).alias("t1"), F.lead("value").over(by).alias("v1"), (F.max("value").over(whole) - F.min("value").over(whole) <= 1e-6).alias("constant"), F.max("t").over(whole).alias("tz"), F.row_number().over(by).alias("k"))
+    rows = samples.select(*keys, "t", "value", F.lead("t").over(by).alias("t1"), F.lead("value").over(by).alias("v1"), (F.max("value").over(whole) - F.min("value").over(whole) <= 1e-6).alias("constant"), F.max("t").over(whole).alias("tz"), F.row_number().over(by).alias("__k"))
     moving = rows.where("not constant and t1 is not null").select(*keys, F.col("t").alias("start"), F.col("t1").alias("end"), F.col("value").alias("v_start"), F.col("v1").alias("v_end"))
-    still = rows.where("constant and k = 1").select(*keys, F.col("t").alias("start"), F.col("tz").alias("end"), F.col("value").alias("v_start"), F.col("value").alias("v_end"))
+    still = rows.where("constant and __k = 1").select(*keys, F.col("t").alias("start"), F.col("tz").alias("end"), F.col("value").alias("v_start"), F.col("value").alias("v_end"))
     return moving.unionByName(still)
 
 

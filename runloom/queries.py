@@ -438,7 +438,7 @@ def storyboard_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storyboards(spark, sf_dir)
 
 
-@query("""select l_orderkey::varchar as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) + 1.0 as seq, 'Fade' as kind, l_linenumber % 35 as easing, round(l_discount, 4) as v_start, round(l_tax, 4) as v_end from lineitem""")
+@query("""select l_orderkey::varchar as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) + 1.0::double as seq, 'Fade' as kind, l_linenumber % 35 as easing, round(l_discount, 4) as v_start, round(l_tax, 4) as v_end from lineitem""")
 def storyboard_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written storyboards parsed again"""
     parsed = storyboard.checked(storyboard.parse(storyboard.split_lines(storyboards(spark, sf_dir))))
@@ -446,7 +446,7 @@ def storyboard_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc", "seq", "kind", "easing", F.round(F.col("v_start").cast("double"), 4).alias("v_start"), F.round(F.col("v_end").cast("double"), 4).alias("v_end"))
 
 
-@query(f"""with {PIXELS} select vec_id, i // 8 // 4 as "row", i % 8 // 4 as col, min(4) as w, sum(b)::bigint as total from pq group by 1, 2, 3""")
+@query(f"""with {PIXELS} select vec_id, (i // 8 // 4)::int as "row", (i % 8 // 4)::int as col, min(4) as w, sum(b)::bigint as total from pq group by 1, 2, 3""")
 def tile_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 8 by 8 images cut into tiles of 4"""
     px = pixels(spark, sf_dir).withColumn("b", X.quantize(F.col("a"), 32))

@@ -43,7 +43,8 @@ def stream_runs(stream: DataFrame, key: str, time: str, content: str, delay: str
     return rows.groupBy("key").applyInPandasWithState(fold, output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_bursts(stream: DataFrame, time: str, gap: str, delay: str) -> DataFrame:
-    """Bursts of a stream by session windows: start, end and number of moments."""
-    w = F.session_window("time", gap)
-    return stream.select(F.col(time).cast("timestamp").alias("time")).withWatermark("time", delay).groupBy(w).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+def stream_bursts(stream: DataFrame, key: str, time: str, gap: str, delay: str) -> DataFrame:
+    """Bursts of each key by session windows: key, start, end and number of moments."""
+    rows = stream.select(F.col(key).alias("key"), F.col(time).cast("timestamp").alias("time")).withWatermark("time", delay)
+    out = rows.groupBy("key", F.session_window("time", gap).alias("w")).agg(F.count("*").alias("n"))
+    return out.select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
