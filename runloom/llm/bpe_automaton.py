@@ -6,8 +6,7 @@ an arc v, the arc u is led to a copy of that state without v, and an arc w to wh
 token lead to one state, so a state is named by its last token and kept as what differs from the state it was copied
 from: the arcs removed from it, each with the time (merge rank) of the removal.
 
-Encoding walks a word through the table.  Exactly one token ends each prefix of a word such that the arc exists from
-the state before it, so one pass left to right finds the only accepted path.  Decoding emits the labels of the arcs.
+Encoding walks a word through the table along the only accepted path.  Decoding emits the labels of the arcs.
 
 Null and empty texts give no tokens and decode to the empty string.  Special strings in a text are its special tokens,
 as in the library's default.
@@ -33,6 +32,7 @@ MEMORY = 300_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 LATEST = 1 << 60
+ONE = (1,)
 
 
 class Automaton:
@@ -47,10 +47,14 @@ class Automaton:
         self.removed: dict[str, dict[str, int]] = {}
         #: token -> (right part, left part, time made); base symbols have none
         self.made: dict[str, tuple[str, str, int]] = {}
-        self.longest = 1
+        lengths: dict[str, set[int]] = {}
         for time, m in enumerate(model["merges"]):
             self.gadget(*(m if isinstance(m, list) else m.split(" ")), time)
         self.arcs: dict[tuple[str, str], bool] = {}
+        # numbers of symbols of the tokens that begin with two given ones, longest first
+        for t in self.made:
+            lengths.setdefault(t[:2], {1}).add(len(t) - (len(WORD_END) if t.endswith(WORD_END) else 0))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
 
     def gadget(self, u: str, v: str, time: int) -> None:
         """Merge (u, v): no v after u from now on; the joined token leads where v led."""
@@ -58,7 +62,6 @@ class Automaton:
             return  # no path reads u, v any more
         self.removed.setdefault(u, {})[v] = time
         self.made.setdefault(u + v, (v, u, time))
-        self.longest = max(self.longest, len(u + v))
 
     def allowed(self, s: str, t: str, now: int = LATEST) -> bool:
         """Whether the state after token s has an arc t before time ``now``.
@@ -95,26 +98,34 @@ class Automaton:
         return got
 
     def path(self, symbols: list[str]) -> list[str]:
-        """The tokens of one word, given its base symbols."""
+        """The tokens of one word, given its base symbols.
+
+        A walk along arcs, longest token first.  One path at most leads to a place, so a place without a way on is dead for
+        good, and the walk goes back a token.
+        """
         n = len(symbols)
         text = "".join(symbols)
-        ends = [0]
-        for s in symbols:
-            ends.append(ends[-1] + len(s))
-        best: list[str] = [""] * (n + 1)
-        origin = [0] * (n + 1)
-        vocab, made, step, longest = self.vocab, self.made, self.step, self.longest
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                t = text[ends[j] : ends[i]]
-                if (t in made if i - j > 1 else t in vocab) and (j == 0 or best[j] and step(best[j], t)):
-                    best[i], origin[i] = t, j
+        made, step, lengths = self.made, self.step, self.lengths
+        out: list[str] = []
+        at = [0]
+        dead: set[int] = set()
+        while at[-1] < n:
+            i = at[-1]
+            rest = n - i
+            last = out[-1] if out else None
+            for size in lengths.get(text[i : i + 2], ONE) if rest > 1 else ONE:
+                if size > rest or i + size in dead:
+                    continue
+                t = text[i : i + size] if size < rest else text[i:]
+                if (size == 1 or t in made) and (last is None or step(last, t)):
+                    out.append(t)
+                    at.append(i + size)
                     break
-        out, i = [], n
-        while i:
-            out.append(best[i])
-            i = origin[i]
-        return out[::-1]
+            else:
+                dead.add(i)
+                out.pop()
+                at.pop()
+        return out
 
 
 class Encoder(dict):
@@ -124,6 +135,7 @@ class Encoder(dict):
         import regex
 
         self.automaton = Automaton(path)
+        self.code = {t: i.to_bytes(4, "little") for t, i in self.automaton.vocab.items()}
         self.find = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in self.automaton.special) + ")")
         self.white = regex.compile(r"\s+")
@@ -135,7 +147,7 @@ class Encoder(dict):
         a = self.automaton
         symbols = [BYTE_SYMBOLS[b] for b in word.encode("utf-8")]
         symbols[-1] += WORD_END
-        ids = self[word] = np.array([a.vocab[t] for t in a.path(symbols)], "<u4").tobytes()
+        ids = self[word] = b"".join(map(self.code.__getitem__, a.path(symbols)))
         return ids
 
     def words(self, text: str) -> list[str]:
