@@ -119,5 +119,25 @@ ik as (select distinct item_id, case when len(w) < 5 then array_to_string(w, ' '
 n as (select item_id, count(*) as n_item from ik group by 1)
 select doc_id, item_id, n_item, count(*) as n_shared, count(*) / n_item as containment
 from ds join ik using (s) join n using (item_id) group by doc_id, item_id, n_item having count(*) >= 0.75 * n_item
+""",
+    "op9_quality_rules": """
+with d as (select doc_id, coalesce(text, '') as t from documents),
+l as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as ln from d),
+lw as (select doc_id, ln, unnest(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as word, generate_subscripts(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'), 1) as k from l),
+w as (select *, row_number() over o as i, word is not distinct from lag(word) over o as again, concat_ws(' ', word, lead(word) over o, lead(word, 2) over o) as gram, count(*) over (partition by doc_id) as n from lw window o as (partition by doc_id order by ln, k)),
+g as (select doc_id, i, count(*) over (partition by doc_id, gram) as times from w where i <= n - 2),
+r as (select doc_id, count(distinct i + x) as n_repeat_words from g, (values (0), (1), (2)) v(x) where times > 1 group by 1),
+wl as (select doc_id, ln, count(*) as n, sum(length(word)) as chars, count(*) filter (again) as stutter,
+  count(*) filter (regexp_matches(word, '[.!?:;]$|[.!?:;]["'')\\]]$|[…”’。»]$')) as stops,
+  count(*) filter (regexp_matches(word, '(###|\\*\\*\\*|\\$\\$\\$|%%%|&&&|\\|\\|\\||<<<|>>>)$|^[|<>/#*$%&=_~+-]([\\x00-\\x7F]?[|<>/#*$%&=_~+-])?$')) as marks from w group by 1, 2),
+ll as (select l.doc_id, l.ln, line, n, chars, stops = 0 or marks > 0.25 * n or (stutter > 0.4 * n and n >= 5)
+  or (length(regexp_replace(line, '[^A-Z\\x{C0}-\\x{DE}]', '', 'g')) > 4 * length(regexp_replace(line, '[^a-z\\x{DF}-\\x{FF}]', '', 'g')) and length(regexp_replace(line, '[^A-Z\\x{C0}-\\x{DE}]', '', 'g')) >= 20)
+  or (n <= 12 and regexp_matches(lower(line), 'all rights reserved|cookie|privacy policy|terms of (use|service)|subscribe|sign (in|up)|log ?in|read more|click here|javascript|share this|back to top|licensed under|copyright')) as fails
+  from l join wl on l.doc_id = wl.doc_id and l.ln = wl.ln),
+s as (select doc_id, sum(n)::bigint as n_words, sum(chars)::bigint as word_chars, (count(*) - count(distinct line))::bigint as n_dup_lines, coalesce(sum(chars) filter (fails), 0) as lost from ll group by 1),
+a as (select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(lost, 0) as lost from d left join s on d.doc_id = s.doc_id left join r on d.doc_id = r.doc_id),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from a)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and lost <= 0.5 * word_chars as kept from b
 """,
 }
