@@ -10,20 +10,20 @@ from runloom.operators import runs
 from runloom.sources import frames, storyboard
 from runloom.streaming.runs import stream_bursts, stream_runs
 
-SAMPLE = """Sprite,Background,Centre,"bg.png",100,50
- F,0,0,1000,0,1
- M,0,0,500,10,20,30,40
-AnimationVideo,Foreground,Centre,"video1.mp4",200,150,0,30,0,5000
- S,0,0,2000,1,2
- L,0,3
-  F,0,0,100,0,1
-  L,0,2
-   V,0,0,50,1,1,2,2
-Sprite,Foreground,Centre,"overlay.png",300,300
- P,0,0,0,A
- T,HitSoundClap,0,1000,0
-  F,0,0,500,0,1
-AnimationVideo,Foreground,Centre,"video2.mp4",400,150,1000
+SAMPLE = """Sprite,Overlay,TopLeft,"sky.png",12.5,-4
+ R,3,10,900,0,1.5
+ V,1,0,250,1,2,0.5,0.25
+Animation,Pass,Centre,"walk.png",64,32,6,40,LoopForever
+ F,0,5,5,1,1
+ L,100,4
+  MX,2,0,50,0,8
+  L,50,2
+   M,0,0,20,1,2,3,4
+Sprite,Fail,BottomRight,"a,b.png",0,0
+ P,0,0,700,V
+ T,Passing,0,600,2
+  C,0,0,90,255,0,10,0,255,20
+AnimationVideo,Background,Centre,"clip.bin",320,240,1500,24
 """
 
 
@@ -34,7 +34,7 @@ def parsed(spark, text):
 def test_round_trip(spark):
     p = storyboard.checked(parsed(spark, SAMPLE))
     o, c = storyboard.objects(p), storyboard.commands(p)
-    assert [r.type for r in o.orderBy("z").collect()] == ["Sprite", "AnimationVideo", "Sprite", "AnimationVideo"]
+    assert [r.type for r in o.orderBy("z").collect()] == ["Sprite", "Animation", "Sprite", "AnimationVideo"]
     assert c.count() == 12
     written = storyboard.documents(storyboard.object_lines(o).unionByName(storyboard.command_lines(c)))
     assert written.first().value == SAMPLE
