@@ -153,3 +153,13 @@ def quality_rules(docs: DataFrame, text: str = "text", clean: bool = True) -> Da
 
     schema = StructType([*(source.schema[c] for c in rest), *StructType.fromDDL(", ".join(added)).fields])
     return source.mapInArrow(run, schema)
+
+
+def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows that are kept, all columns, with clean_text as their text; n_chars, if there, follows it."""
+    aside = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    judged = quality_rules(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in aside.items()]), aside[text]).where("kept")
+    values = {c: F.col(a) for c, a in aside.items() if c != text} | {text: F.col("clean_text")}
+    if "n_chars" in values:
+        values["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return judged.select(*[values[c].alias(c) for c in docs.columns])

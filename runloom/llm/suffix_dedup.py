@@ -34,7 +34,7 @@ GRAM = 128
 #: Texts are looked at in stretches of so many starts; pieces end there, strings don't
 STRETCH = 1 << 18
 #: Distinct pieces of one anchor that go to one block
-PIECES = 2048
+PIECES = 6144
 #: Bytes of pieces that a suffix array is built of at once, whole anchors
 BLOCK_BYTES = 1 << 18
 
@@ -281,7 +281,8 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     long_rows = keyed.where(F.octet_length("text") >= LENGTH)
     rows = stash(long_rows.mapInArrow(_anchored, "id long, k long, first long, size int, anchor long, content long"))
     again = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    rows = stash(rows.join(again, "anchor"))
+    # read back, both sides of the join come by an exchange, so that a common anchor's rows can be split
+    rows = stash(rows.join(stash(again), "anchor"))
     distinct = rows.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "k", "first", "size")).alias("at"))
     distinct = stash(distinct.select("anchor", "content", "copies", "at.*"))
     groups = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
@@ -365,7 +366,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", decode: bool = False) ->
 
 def dedup_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text``, and n_chars, if there, of what is left; all rows stay."""
-    out = remove_repeats(docs, text, decode=True).withColumnRenamed("kept_text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    aside = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", text)}
+    out = remove_repeats(docs.select("doc_id", text, *[F.col(f"`{c}`").alias(a) for c, a in aside.items()]), text, decode=True)
+    values = {c: F.col(a) for c, a in aside.items()} | {"doc_id": F.col("doc_id"), text: F.col("kept_text")}
+    if "n_chars" in values:
+        values["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[values[c].alias(c) for c in docs.columns])

@@ -237,6 +237,7 @@ def test_suffix_dedup(spark):
     assert [r.n_removed for r in again] == [len(texts[6].encode())] * 2
     clean = {r.doc_id: r.text for r in S.dedup_text(df).collect()}
     assert clean == {i: w[3].decode("utf-8", "ignore") for i, w in enumerate(want)}
+    assert {r.n_spans for r in S.dedup_text(df).collect()} == {1}  # the input's own column
     assert S.remove_repeats(df.where("false")).count() == 0
 
 

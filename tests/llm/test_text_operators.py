@@ -17,7 +17,7 @@ from tokenizers import Tokenizer  # noqa: E402
 
 from runloom.llm import html_text as H  # noqa: E402
 from runloom.llm.bpe_automaton import Automaton, bpe_decode, bpe_encode  # noqa: E402
-from runloom.llm.quality import quality_rules  # noqa: E402
+from runloom.llm.quality import clean_documents, quality_rules  # noqa: E402
 from runloom.llm.token_counts import token_counts  # noqa: E402
 from runloom.llm.toxicity import held_out, toxicity  # noqa: E402
 
@@ -75,6 +75,12 @@ def test_quality_lines(spark):
     assert got[0].kept and got[0].clean_text == varied and got[1].kept and got[1].clean_text == varied and not got[2].kept
 
 
+def test_cleaned_documents_keep_their_columns(spark):
+    varied = " ".join(f"Word{i} number{i * 7} says thing{i * 3} here." for i in range(30))
+    df = spark.createDataFrame([(0, varied + "\na | b | c | d", "own", 5), (1, "short", "own", 5)], "doc_id int, text string, kept string, n_chars int")
+    assert [tuple(r) for r in clean_documents(df).collect()] == [(0, varied, "own", len(varied))]
+
+
 def test_quality_empty_table(spark):
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
