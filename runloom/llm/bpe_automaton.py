@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ._gpt_bytes import BYTE_SYMBOLS
+from ._recent import Recent
 
-#: Words remembered by a worker before it starts anew
-MEMORY = 300_000
+#: Words and arcs that a generation of a worker's memory holds
+WORDS, ARCS = 100_000, 100_000
 # Fixed pattern of the pre-tokenizer; only the matches are kept.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -35,6 +36,17 @@ LATEST = 1 << 60
 ONE = (1,)
 
 
+class Arcs(Recent):
+    """By (state, token): whether the arc exists; 1 or 0."""
+
+    def __init__(self, automaton: Automaton) -> None:
+        super().__init__(ARCS)
+        self.automaton = automaton
+
+    def make(self, key: tuple[str, str]) -> int:
+        return int(self.automaton.allowed(*key))
+
+
 class Automaton:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -50,7 +62,7 @@ class Automaton:
         lengths: dict[str, set[int]] = {}
         for time, m in enumerate(model["merges"]):
             self.gadget(*(m if isinstance(m, list) else m.split(" ")), time)
-        self.arcs: dict[tuple[str, str], bool] = {}
+        self.arcs = Arcs(self)
         # numbers of symbols of the tokens that begin with two given ones, longest first
         for t in self.made:
             lengths.setdefault(t[:2], {1}).add(len(t) - (len(WORD_END) if t.endswith(WORD_END) else 0))
@@ -88,14 +100,8 @@ class Automaton:
                 return True
             x, upto = part[0], min(upto, part[2])
 
-    def step(self, s: str, t: str) -> bool:
-        key = (s, t)
-        got = self.arcs.get(key)
-        if got is None:
-            if len(self.arcs) >= 4 * MEMORY:
-                self.arcs.clear()
-            got = self.arcs[key] = self.allowed(s, t)
-        return got
+    def step(self, s: str, t: str) -> int:
+        return self.arcs[s, t]
 
     def path(self, symbols: list[str]) -> list[str]:
         """The tokens of one word, given its base symbols.
@@ -105,7 +111,7 @@ class Automaton:
         """
         n = len(symbols)
         text = "".join(symbols)
-        made, step, lengths = self.made, self.step, self.lengths
+        made, arcs, lengths = self.made, self.arcs, self.lengths
         out: list[str] = []
         at = [0]
         dead: set[int] = set()
@@ -117,7 +123,7 @@ class Automaton:
                 if size > rest or i + size in dead:
                     continue
                 t = text[i : i + size] if size < rest else text[i:]
-                if (size == 1 or t in made) and (last is None or step(last, t)):
+                if (size == 1 or t in made) and (last is None or arcs[last, t]):
                     out.append(t)
                     at.append(i + size)
                     break
@@ -128,12 +134,13 @@ class Automaton:
         return out
 
 
-class Encoder(dict):
+class Encoder(Recent):
     """By word: its ids as little-endian 32-bit integers, and their labels joined by spaces."""
 
     def __init__(self, path: str) -> None:
         import regex
 
+        super().__init__(WORDS)
         self.automaton = Automaton(path)
         self.code = {t: i.to_bytes(4, "little") for t, i in self.automaton.vocab.items()}
         self.find = regex.compile(PATTERN).findall
@@ -141,14 +148,10 @@ class Encoder(dict):
         self.white = regex.compile(r"\s+")
         self.held = list(self.automaton.special)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        a = self.automaton
+    def make(self, word: str) -> bytes:
         symbols = [BYTE_SYMBOLS[b] for b in word.encode("utf-8")]
         symbols[-1] += WORD_END
-        ids = self[word] = b"".join(map(self.code.__getitem__, a.path(symbols)))
-        return ids
+        return b"".join(map(self.code.__getitem__, self.automaton.path(symbols)))
 
     def words(self, text: str) -> list[str]:
         import unicodedata

@@ -20,19 +20,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ._gpt_bytes import BYTE_SYMBOLS
+from ._recent import Recent
 
-#: Pre-tokens remembered by a worker before it starts anew
-MEMORY = 400_000
+#: Pre-tokens that a generation of a worker's memory holds
+WORDS = 150_000
 # Fixed pattern of byte-level pre-tokenization.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class Counter(dict):
+class Counter(Recent):
     """Number of tokens by pre-token."""
 
     def __init__(self, path: str) -> None:
         import regex
 
+        super().__init__(WORDS)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
@@ -41,11 +43,8 @@ class Counter(dict):
         self.special = regex.compile("|".join(regex.escape(s) for s in special)) if special else None
         self.held = special
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        n = self[word] = self.merged(word.encode("utf-8"))
-        return n
+    def make(self, word: str) -> int:
+        return self.merged(word.encode("utf-8"))
 
     def merged(self, raw: bytes) -> int:
         symbols = [BYTE_SYMBOLS[b] for b in raw]
