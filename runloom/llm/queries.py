@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ready
-from .bpe_automaton import bpe_decode, bpe_encode
+from .bpe_automaton import bpe_round_trip
 from .chat_format import chat_digest, chat_examples
 from .decontaminate import contamination
 from .html_text import html_text
@@ -68,11 +68,14 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def bpe_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
+    coded = bpe_round_trip(docs.select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("word_bpe_49k.json")
-    encoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    encoded = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
-    return bpe_decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_digest(table(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

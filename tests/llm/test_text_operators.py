@@ -16,7 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from runloom.llm import html_text as H  # noqa: E402
-from runloom.llm.bpe_automaton import Automaton, bpe_decode, bpe_encode  # noqa: E402
+from runloom.llm.bpe_automaton import Automaton, bpe_decode, bpe_encode, bpe_round_trip  # noqa: E402
 from runloom.llm.quality import clean_documents, quality_rules  # noqa: E402
 from runloom.llm.token_counts import token_counts  # noqa: E402
 from runloom.llm.toxicity import held_out, toxicity  # noqa: E402
@@ -97,7 +97,9 @@ def test_bpe_matches_the_library(docs):
     tok = Tokenizer.from_file(path)
     encoded = bpe_encode(docs, path)
     back = {r.doc_id: r.decoded for r in bpe_decode(encoded, path).collect()}
+    both = {r.doc_id: (bytes(r.ids), r.n_tokens, r.decoded) for r in bpe_round_trip(docs, path).collect()}
     for r in encoded.collect():
+        assert both[r.doc_id] == (bytes(r.ids), r.n_tokens, back[r.doc_id])
         ids = tok.encode(texts()[r.doc_id] or "", add_special_tokens=False).ids
         assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids) and r.n_tokens == len(ids)
         assert back[r.doc_id] == tok.decode(ids, skip_special_tokens=False)
