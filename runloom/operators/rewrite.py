@@ -33,20 +33,23 @@ def merge_adjacent(commands: DataFrame, keys: tuple[str, ...] = KEYS, linear_onl
     return merged.select(*keys, "c.seq", "c.start", "c.end", "c.easing", F.col("c.a").alias("v_start"), F.col("c.b").alias("v_end"))
 
 
-def drop_covered(commands: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Without the flat commands that another flat command of equal value covers; of equal ones the first stays."""
-    flat = commands.where(F.abs(F.col("v_end") - F.col("v_start")) <= VALUE_EPSILON)
-    l, r = flat.alias("l"), flat.alias("r")
-    same_key = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
-    covers = (
+def drop_covered(commands: DataFrame, width: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Without the flat commands that another flat command of equal value covers; of equal ones the first stays.
+
+    Compared within buckets of time, ``width`` long: a covering command is in every bucket it touches, a covered one in that of
+    its start.
+    """
+    flat = commands.where(F.abs(F.col("v_end") - F.col("v_start")) <= VALUE_EPSILON).select(*keys, "seq", "start", "end", "v_start")
+    inner = flat.withColumn("__b", F.floor(F.col("start") / width)).alias("l")
+    outer = flat.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest("start", "end") / width)))).alias("r")
+    condition = (
         (F.col("l.seq") != F.col("r.seq")) & (F.abs(F.col("l.v_start") - F.col("r.v_start")) <= VALUE_EPSILON)
         & (F.col("r.start") <= F.col("l.start")) & (F.col("r.end") >= F.col("l.end"))
         & ((F.col("r.start") < F.col("l.start")) | (F.col("r.end") > F.col("l.end")) | (F.col("r.seq") < F.col("l.seq")))
     )
-    condition = covers
-    for k in same_key:
-        condition = k & condition
-    gone = l.join(r, condition, "left_semi").select(*keys, "seq")
+    for k in (*keys, "__b"):
+        condition = (F.col(f"l.{k}") == F.col(f"r.{k}")) & condition
+    gone = inner.join(outer, condition, "left_semi").select(*keys, "seq")
     return commands.join(gone, [*keys, "seq"], "left_anti")
 
 
@@ -103,6 +106,6 @@ def pair_axes(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
     return numbered(x, "x_seq").join(numbered(y, "y_seq"), [*same, "place"], "full").select(*same, "x_seq", "y_seq")
 
 
-def simplify(commands: DataFrame) -> DataFrame:
+def simplify(commands: DataFrame, width: float) -> DataFrame:
     """The passes in their order; loops are left to extract_loops on the result."""
-    return drop_covered(merge_adjacent(commands))
+    return drop_covered(merge_adjacent(commands), width)

@@ -5,7 +5,7 @@ Commands are rows (object, kind, seq, start, end, easing, v_start, v_end); seq i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.easing import ease
@@ -16,34 +16,58 @@ def progress(t: Column, start: Column, end: Column) -> Column:
     return F.when(end - start <= EPSILON_DOUBLE, F.lit(1.0)).otherwise((t - start) / (end - start))
 
 
-def evaluate(commands: DataFrame, moments: DataFrame, gap: str = "reference", keys: tuple[str, ...] = ("object", "kind")) -> DataFrame:
+def covering(points: DataFrame, commands: DataFrame, keys: tuple[str, ...], width: float) -> DataFrame:
+    """Each point (keys, t) with each command of its keys that has start <= t <= end.
+
+    Both sides go by key and bucket of time, ``width`` long, and a command is in every bucket that it touches; so a key
+    with most of the rows is spread over its buckets, and only what is near in time is compared.
+    """
+    at = points.withColumn("__b", F.floor(F.col("t") / width))
+    spread = commands.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest("start", "end") / width))))
+    return at.join(spread, [*keys, "__b"]).where("start <= t and t <= end").drop("__b")
+
+
+def evaluate(commands: DataFrame, moments: DataFrame, width: float, gap: str = "reference", keys: tuple[str, ...] = ("object", "kind")) -> DataFrame:
     """keys, t and value of each moment (keys, t) of an object's kind that has commands.
 
     The last declared command with start <= t <= end is active; at its start and end it holds, one of no length gives its
     end value.  Where none is active: before the first declared command its start value, else the end value of the command
     that ends last (``gap="reference"``), or of the one that ended last before t (``gap="preceding"``).
-    The commands of one object and kind meet in one aggregate that keeps four rows of state, so none is collected.
+    First and last commands come from one aggregate over the commands, active ones from a join in buckets of ``width``.
     """
-    c = commands.select(*keys, "seq", F.col("start").cast("double").alias("s"), F.col("end").cast("double").alias("e"), "easing", F.col("v_start").cast("double").alias("a"), F.col("v_end").cast("double").alias("b"))
-    row = F.struct("s", "e", "easing", "a", "b")
-    at = F.col("t")
-    active = (F.col("s") <= at) & (at <= F.col("e"))
-    past = F.lit(True) if gap == "reference" else F.col("e") < at
+    double = {"start": F.col("start").cast("double"), "end": F.col("end").cast("double"), "a": F.col("v_start").cast("double"), "b": F.col("v_end").cast("double")}
+    c = commands.select(*keys, "seq", "easing", *[v.alias(k) for k, v in double.items()])
+    row = F.struct("start", "end", "easing", "a", "b")
     points = moments.select(*keys, F.col("t").cast("double").alias("t")).distinct()
-    found = points.join(c, list(keys)).groupBy(*keys, "t").agg(
-        F.min_by(row, "seq").alias("first"), F.max_by(F.when(active, row), F.when(active, F.col("seq"))).alias("active"), F.max_by(F.when(past, row), F.when(past, F.struct("e", "seq"))).alias("last")
-    )
-    p = progress(at, F.col("active.s"), F.col("active.e"))
+    ends = c.groupBy(*keys).agg(F.min_by(row, "seq").alias("first"), F.max_by(row, F.struct("end", "seq")).alias("last"))
+    active = covering(points, c, keys, width).groupBy(*keys, "t").agg(F.max_by(row, "seq").alias("active"))
+    found = points.join(ends, list(keys)).join(active, [*keys, "t"], "left")
+    if gap == "preceding":
+        found = found.drop("last").join(_ended_before(points, c.select(*keys, "seq", "end", row.alias("row")), keys), [*keys, "t"])
+    at = F.col("t")
+    p = progress(at, F.col("active.start"), F.col("active.end"))
     inside = F.col("active.a") + (F.col("active.b") - F.col("active.a")) * ease(F.col("active.easing"), p)
-    idle = F.when((at < F.col("first.s")) | F.col("last").isNull(), F.col("first.a")).otherwise(F.col("last.b"))
+    idle = F.when((at < F.col("first.start")) | F.col("last").isNull(), F.col("first.a")).otherwise(F.col("last.b"))
     return found.select(*keys, "t", F.when(F.col("active").isNotNull(), inside).otherwise(idle).alias("value"))
 
 
-def flag_at(commands: DataFrame, moments: DataFrame, keys: tuple[str, ...] = ("object", "kind")) -> DataFrame:
+def _ended_before(points: DataFrame, commands: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Each point with the row of the command that ended last before it: an as-of lookup in one window of each key."""
+    none = F.lit(None)
+    both = commands.select(*keys, F.col("end").alias("t"), F.lit(1).alias("__k"), "seq", "row").unionByName(points.select(*keys, "t", F.lit(0).alias("__k"), none.cast(commands.schema["seq"].dataType).alias("seq"), none.cast(commands.schema["row"].dataType).alias("row")))
+    by = Window.partitionBy(*keys).orderBy("t", "__k", "seq")
+    return both.withColumn("last", F.last("row", ignorenulls=True).over(by)).where("__k = 0").select(*keys, "t", "last")
+
+
+def flag_at(commands: DataFrame, moments: DataFrame, width: float, keys: tuple[str, ...] = ("object", "kind")) -> DataFrame:
     """Whether a flag holds at t: in [start, end), or from start on if the command has no length."""
-    holds = F.when(F.col("end") - F.col("start") <= EPSILON_DOUBLE, F.col("start") <= F.col("t")).otherwise((F.col("start") <= F.col("t")) & (F.col("t") < F.col("end")))
-    joined = moments.select(*keys, "t").distinct().join(commands.select(*keys, "start", "end"), list(keys))
-    return joined.groupBy(*keys, "t").agg(F.bool_or(holds).alias("flag"))
+    short = F.col("end") - F.col("start") <= EPSILON_DOUBLE
+    c = commands.select(*keys, "start", "end")
+    points = moments.select(*keys, "t").distinct()
+    always = c.groupBy(*keys).agg(F.min(F.when(short, F.col("start"))).alias("from"))
+    on = covering(points, c.where(~short), keys, width).where("t < end").select(*keys, "t").distinct().withColumn("on", F.lit(True))
+    found = points.join(always, list(keys)).join(on, [*keys, "t"], "left")
+    return found.select(*keys, "t", (F.coalesce("on", F.lit(False)) | F.coalesce(F.col("from") <= F.col("t"), F.lit(False))).alias("flag"))
 
 
 def colour(channels: Column) -> Column:

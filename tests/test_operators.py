@@ -119,11 +119,11 @@ def commands(spark, data):
 def test_evaluation_before_between_and_after(spark):
     c = commands(spark, [(0, 1000.0, 2000.0, 0, 0.0, 1.0), (1, 3000.0, 4000.0, 0, 5.0, 7.0), (2, 6000.0, 6000.0, 0, 1.0, 9.0)])
     at = spark.createDataFrame([("o", "F", float(t)) for t in (0, 1500, 2500, 3500, 6000, 9000)], "object string, kind string, t double")
-    assert [r[1] for r in rows(timeline.evaluate(c, at), "t", "value")] == [0.0, 0.5, 9.0, 6.0, 9.0, 9.0]
-    assert [r[1] for r in rows(timeline.evaluate(c, at, gap="preceding"), "t", "value")][2] == 1.0
+    assert [r[1] for r in rows(timeline.evaluate(c, at, 700.0), "t", "value")] == [0.0, 0.5, 9.0, 6.0, 9.0, 9.0]
+    assert [r[1] for r in rows(timeline.evaluate(c, at, 700.0, gap="preceding"), "t", "value")][2] == 1.0
     flags = spark.createDataFrame([("o", "A", 0, 0.0, 10.0), ("o", "H", 0, 5.0, 5.0)], "object string, kind string, seq int, start double, end double")
     at = spark.createDataFrame([("o", k, float(t)) for k in "AH" for t in (0, 5, 10)], "object string, kind string, t double")
-    assert [r[2] for r in rows(timeline.flag_at(flags, at), "kind", "t", "flag")] == [True, True, False, False, True, True]
+    assert [r[2] for r in rows(timeline.flag_at(flags, at, 3.0), "kind", "t", "flag")] == [True, True, False, False, True, True]
 
 
 def test_lifetimes_count_loops(spark):
@@ -162,9 +162,9 @@ def test_merge_compares_with_the_merged_slope(spark):
 def test_covered(spark):
     base = (0, 0.0, 1000.0, 0, 1.0, 1.0)
     for other, kept in [((1, 100.0, 200.0, 0, 1.0, 1.0), 1), (base[:0] + (1, *base[1:]), 1), ((1, 100.0, 200.0, 0, 2.0, 2.0), 2), ((1, 500.0, 1500.0, 0, 1.0, 1.0), 2), ((1, 100.0, 200.0, 0, 1.0, 2.0), 2)]:
-        got = rewrite.drop_covered(commands(spark, [base, other]))
+        got = rewrite.drop_covered(commands(spark, [base, other]), 70.0)
         assert got.count() == kept and (kept == 2 or got.first().seq == 0)
-    assert rewrite.simplify(commands(spark, [base])).count() == 1
+    assert rewrite.simplify(commands(spark, [base]), 70.0).count() == 1
 
 
 @pytest.mark.parametrize("starts, want", [([0, 500, 1000], (1, 3)), ([0, 500], (None, None)), ([0, 500, 1200], (None, None)), ([0, 250, 500, 750, 1000], (1, 5)), ([], (None, None))])
