@@ -40,18 +40,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template svg math iframe object textarea title select canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINER = frozenset("div section center table tbody thead tfoot tr td th ul ol dl main body html figure details".split())
-SECTION = frozenset("article nav header footer aside form menu dialog fieldset address head".split())
+SECTION = frozenset("article nav header footer aside form menu dialog fieldset address head button".split())
 CLOSES_P = CONTAINER | SECTION | frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote hr li dt dd figcaption".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table".split())
 # Fixed role words of class and id names.
-AWAY = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments reply replies discussion respond disqus form search pagination pager copyright legal disclaimer skip toolbar".split())
+AWAY = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments reply replies discussion respond disqus form search pagination pager copyright legal disclaimer skip toolbar complementary contentinfo".split())
+AWAY_STARTS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navi", "newsletter", "promo", "sidebar", "sponsor", "subscri")
+AWAY_ENDS = ("banner", "footer", "menu", "nav", "sidebar")
+HEADERS = frozenset("header masthead".split())
+TALK = frozenset("comment comments reply replies respond discussion".split())
 TOWARD = frozenset("article content main post entry story body text prose page".split())
-AWAY_TAGS = frozenset("nav aside form menu dialog fieldset footer head".split())
+AWAY_TAGS = frozenset("nav aside form menu dialog fieldset footer head button".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 SENTENCE = re.compile(r"[.!?…:;]\s*$|[.!?…]\s")
 
 
@@ -68,12 +73,19 @@ class Page:
 
 
 def role_of(tag: str, attributes: str) -> int:
-    if tag in ("article", "main", "body", "html"):
+    """1 toward content, -1 away from it, -2 if only because it is a header."""
+    if not attributes or tag in ("body", "html"):
         return 0
+    if HIDDEN.search(attributes):
+        return -1
     if "class" not in attributes and "id" not in attributes and "role" not in attributes:
         return 0
     words = {w for m in NAMES.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-    return -1 if words & AWAY else 1 if words & TOWARD else 0
+    if tag in ("article", "main"):
+        return -1 if words & TALK else 0
+    if words & (AWAY - HEADERS) or any(w.startswith(AWAY_STARTS) or w.endswith(AWAY_ENDS) for w in words):
+        return -1
+    return -2 if words & HEADERS else 1 if words & TOWARD else 0
 
 
 def parse(source: str) -> Page:
@@ -170,10 +182,8 @@ def kind(tag: str) -> int:
 
 def feature_names(page: Page, i: int) -> list[str]:
     tag = page.tag[i]
-    out = [f"role {page.role[i]}"]
-    if tag == "header":
-        out[0] = "role -1" if away(page, i) else out[0]
-    elif tag in SECTION:
+    out = [f"role {max(page.role[i], 0)}" if tag in AWAY_TAGS or not away(page, i) else "role -1"]
+    if tag in SECTION and tag != "header":
         out.append(f"tag {tag}")
     elif tag not in CONTAINER and tag != "li":
         out.append(f"tag {'h' if tag[0] == 'h' else 'p' if tag == 'p' else 'other'}")
@@ -190,7 +200,9 @@ def _up(page: Page, i: int) -> Iterator[int]:
 def away(page: Page, i: int) -> bool:
     """Whether a node is marked as something other than text, by its tag or role words."""
     tag = page.tag[i]
-    return page.role[i] < 0 or tag in AWAY_TAGS or tag == "header" and not any(page.tag[j] in ("article", "main") for j in _up(page, i))
+    if page.role[i] == -1 or tag in AWAY_TAGS:
+        return True
+    return (tag == "header" or page.role[i] == -2) and not any(page.tag[j] in ("article", "main") for j in _up(page, i))
 
 
 def link(page: Page, i: int) -> str:
