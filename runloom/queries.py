@@ -15,8 +15,9 @@ from .functions import scalar as X
 from .functions.easing import ease
 from .operators import bake, blocks, bursts, dedupe, fidelity, render, rewrite, runs, timeline
 from .plans import sources, tuning
-from .session import ready
+from .session import ready, shared
 from .sources import storyboard
+from .streaming.runs import stream_runs
 
 HOUR = 3_600_000
 DAY = 24 * HOUR
@@ -62,6 +63,24 @@ def run_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_runs(spark, sf_dir).select("user_id", "start", "end", "n", "content")
 
 
+STREAM_WAIT = 60_000
+
+
+@query(f"""with {RUNS}, m as (select max(t) as latest from ev), z as (select user_id, max(s) as s from r2 group by 1),
+q as (select r2.user_id, r2.start, r2.last, coalesce(lead(r2.start) over (partition by r2.user_id order by r2.s), r2.last) as "end", r2.n, r2.content, r2.s = z.s as open from r2 join z using (user_id))
+select user_id, start, "end", n::bigint as n, content from q, m where not open or last + {STREAM_WAIT} < latest - {STREAM_WAIT}""")
+def streamed_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs as a stream closes them; a key that is silent for a minute is closed, later ones stay open"""
+    source = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+    place = shared(spark, "stream")
+    closed = stream_runs(stream, "user_id", "ts", "event_type", "1 minute", STREAM_WAIT)
+    work = closed.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/out").outputMode("append").trigger(availableNow=True).start()
+    work.awaitTermination()
+    out = spark.read.schema(closed.schema).parquet(f"{place}/out")
+    return out.select(F.col("key").alias("user_id"), F.unix_millis("start").alias("start"), F.unix_millis("end").alias("end"), "n", "content")
+
+
 @query()
 def tolerant_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W2, F3"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,26 +28,25 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the shared folder that spark.checkpoint.dir names.
+def shared(spark: SparkSession, kind: str) -> str:
+    """A new place in the shared folder that spark.checkpoint.dir names.
 
     Only where that isn't set, as in tests on one machine, a temporary folder is taken.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return f"{context.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a checkpoint in the shared folder."""
+    shared(df.sparkSession, "none")
     return df.checkpoint()
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Cuts lineage as cut() does, with a Parquet table in the same shared folder: smaller for long rows of few distinct values."""
-    import uuid
-
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    """Cuts lineage as cut() does, with a Parquet table in the same folder: smaller for long rows of few distinct values."""
+    path = shared(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
