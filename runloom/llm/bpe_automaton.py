@@ -27,24 +27,13 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from ._gpt_bytes import BYTE_SYMBOLS
 from ._recent import Recent
 
-#: Words and arcs that a generation of a worker's memory holds
-WORDS, ARCS = 70_000, 50_000
+#: Words that a generation of a worker's memory holds
+WORDS = 120_000
 # Fixed pattern of the pre-tokenizer; only the matches are kept.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 LATEST = 1 << 60
-ONE = (1,)
-
-
-class Arcs(Recent):
-    """By (state, token): whether the arc exists; 1 or 0."""
-
-    def __init__(self, automaton: Automaton) -> None:
-        super().__init__(ARCS)
-        self.automaton = automaton
-
-    def make(self, key: tuple[str, str]) -> int:
-        return int(self.automaton.allowed(*key))
+SHORT = (2, 1)
 
 
 class Automaton:
@@ -62,10 +51,14 @@ class Automaton:
         lengths: dict[str, set[int]] = {}
         for time, m in enumerate(model["merges"]):
             self.gadget(*(m if isinstance(m, list) else m.split(" ")), time)
-        self.arcs = Arcs(self)
-        # numbers of symbols of the tokens that begin with two given ones, longest first
+        #: by token, as they are asked for: what was removed from its state's copies, and the tokens it begins with
+        self.states: dict[str, list[tuple[dict[str, int], int]]] = {}
+        self.heads: dict[str, list[tuple[str, int]]] = {}
+        # numbers of symbols of the tokens that begin with three given ones, longest first
         for t in self.made:
-            lengths.setdefault(t[:2], {1}).add(len(t) - (len(WORD_END) if t.endswith(WORD_END) else 0))
+            size = len(t) - (len(WORD_END) if t.endswith(WORD_END) else 0)
+            if size > 2:
+                lengths.setdefault(t[:3], set(SHORT)).add(size)
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
 
     def gadget(self, u: str, v: str, time: int) -> None:
@@ -100,8 +93,41 @@ class Automaton:
                 return True
             x, upto = part[0], min(upto, part[2])
 
-    def step(self, s: str, t: str) -> int:
-        return self.arcs[s, t]
+    def state(self, s: str) -> list[tuple[dict[str, int], int]]:
+        """The removals from the state after s and from those it is a copy of, each with the time up to which they count."""
+        out, x, upto = [], s, LATEST
+        while True:
+            if gone := self.removed.get(x):
+                out.append((gone, upto))
+            part = self.made.get(x)
+            if part is None:
+                break
+            x, upto = part[0], min(upto, part[2])
+        self.states[s] = out
+        return out
+
+    def head(self, t: str) -> list[tuple[str, int]]:
+        """The tokens that t begins with, itself first, each with the time up to which its removal keeps t out."""
+        out, y, until = [], t, LATEST
+        while True:
+            out.append((y, until))
+            part = self.made.get(y)
+            if part is None:
+                break
+            y, until = part[1], min(until, part[2])
+        self.heads[t] = out
+        return out
+
+    def step(self, s: str, t: str) -> bool:
+        """Whether the finished table has an arc t after s: allowed(), from what is kept by token."""
+        heads = self.heads.get(t) or self.head(t)
+        states = self.states.get(s)
+        for gone, upto in self.state(s) if states is None else states:
+            for y, until in heads:
+                at = gone.get(y)
+                if at is not None and at < upto and at <= until:
+                    return False
+        return True
 
     def path(self, symbols: list[str]) -> list[str]:
         """The tokens of one word, given its base symbols.
@@ -111,7 +137,7 @@ class Automaton:
         """
         n = len(symbols)
         text = "".join(symbols)
-        made, arcs, lengths = self.made, self.arcs, self.lengths
+        made, step, lengths = self.made, self.step, self.lengths
         out: list[str] = []
         at = [0]
         dead: set[int] = set()
@@ -119,11 +145,11 @@ class Automaton:
             i = at[-1]
             rest = n - i
             last = out[-1] if out else None
-            for size in lengths.get(text[i : i + 2], ONE) if rest > 1 else ONE:
+            for size in lengths.get(text[i : i + 3], SHORT) if rest > 2 else SHORT:
                 if size > rest or i + size in dead:
                     continue
                 t = text[i : i + size] if size < rest else text[i:]
-                if (size == 1 or t in made) and (last is None or arcs[last, t]):
+                if (size == 1 or t in made) and (last is None or step(last, t)):
                     out.append(t)
                     at.append(i + size)
                     break
