@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
+
 
 def thrash_segments(runs: DataFrame, keys: list[str], single: Column, cap: int = 300, least: int = 4, unique: float = 0.8) -> DataFrame:
     """keys, first, last, n, distinct_contents, promoted of the chains of single-frame runs (start, end, content).
@@ -31,14 +33,35 @@ def burst_starts(moments: DataFrame, keys: list[str], time: str, gap: Column | f
     return before.where(F.col("__p").isNull() | (F.col(time) - F.col("__p") > gap)).drop("__p")
 
 
+def spaced_starts(starts: DataFrame, keys: list[str], time: str, least: float) -> DataFrame:
+    """Keys and each moment ``cut`` accepted in order, at least ``least`` after the last accepted one.
+
+    A key without moments has one row of null.
+    """
+
+    def run(last: float | None, piece: dict[str, list]) -> tuple[list[tuple], float | None]:
+        done = []
+        for t in piece["cut"]:
+            if t is not None and (last is None or t - last >= least):
+                done.append((t,))
+                last = t
+        return done, last
+
+    rows = starts.select(*keys, F.col(time).cast("double").alias("cut"))
+    return fold_sorted(rows, keys, [F.col("cut").asc_nulls_last()], run, lambda last: [] if last is not None else [(None,)], {"cut": "double"})
+
+
 def spaced(starts: DataFrame, keys: list[str], time: str, least: float) -> DataFrame:
-    """Keys and the array of moments accepted in order, each at least ``least`` after the last accepted one."""
-    taken = F.aggregate(
-        F.array_sort(F.collect_list(F.col(time).cast("double"))),
-        F.array().cast("array<double>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= least), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    return starts.groupBy(*keys).agg(taken.alias("cuts"))
+    """Keys and the array of the moments of spaced_starts(); for keys of few moments."""
+    return spaced_starts(starts, keys, time, least).groupBy(*keys).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+
+
+def scenes_between(bounds: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """W11 for cuts in rows: from start and end, start before end, and the moments ``cut``, one row (scene, start, end) for each piece."""
+    inside = cuts.join(bounds, keys).where("start < cut and cut < end").select(*keys, F.col("cut").alias("start"))
+    edges = inside.distinct().unionByName(bounds.select(*keys, "start")).unionByName(bounds.select(*keys, F.col("end").alias("start")))
+    by = Window.partitionBy(*keys).orderBy("start")
+    return edges.select(*keys, (F.row_number().over(by) - 1).alias("scene"), "start", F.lead("start").over(by).alias("end")).where("end is not null")
 
 
 def scenes(bounds: DataFrame, keys: list[str]) -> DataFrame:

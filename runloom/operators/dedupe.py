@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .folds import fold_sorted
+
 
 def assign_assets(items: DataFrame, key: list[Column], content: Column, order: str, size: Column) -> DataFrame:
     """One row per asset: asset_key, the first item that has it, its uses and its size.
@@ -23,9 +28,20 @@ def new_assets(assets: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def assign_sequences(rows: DataFrame, keys: list[str], order: str, content: Column) -> DataFrame:
-    """Keys with the digest of their ordered contents, the first key that has it, and how many have it."""
-    whole = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.coalesce(content, F.lit("")).alias("c")))), lambda x: x["c"])
-    sequences = rows.groupBy(*keys).agg(F.sha2(F.array_join(whole, "\x1f"), 256).alias("sequence_key"), F.count("*").alias("frames"))
+    """Keys with the digest of their ordered contents, the first key that has it, and how many have it.
+
+    The digest is fed content by content, so a key's contents are never together.
+    """
+
+    def run(state: tuple | None, piece: dict[str, list]) -> tuple[list[tuple], tuple]:
+        digest, n = state or (hashlib.sha256(), 0)
+        for c in piece["c"]:
+            digest.update(b"\x1f" * (n > 0) + c.encode())
+            n += 1
+        return [], (digest, n)
+
+    parts = rows.select(*keys, F.col(order).alias("at"), F.coalesce(content, F.lit("")).cast("string").alias("c"))
+    sequences = cut(fold_sorted(parts, keys, ["at", "c"], run, lambda state: [(state[0].hexdigest(), state[1])], {"sequence_key": "string", "frames": "long"}))
     firsts = sequences.groupBy("sequence_key").agg(F.min(F.struct(*keys)).alias("first"), F.count("*").alias("uses"))
     return sequences.join(firsts, "sequence_key").select(*keys, "sequence_key", "frames", "uses", *[F.col(f"first.{k}").alias(f"first_{k}") for k in keys])
 

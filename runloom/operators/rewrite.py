@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .folds import fold_sorted
+
 TIME_EPSILON, VALUE_EPSILON, SLOPE_EPSILON = 0.01, 1e-4, 1e-4
 KEYS = ("object", "kind")
 
@@ -12,25 +15,31 @@ KEYS = ("object", "kind")
 def merge_adjacent(commands: DataFrame, keys: tuple[str, ...] = KEYS, linear_only: bool = False) -> DataFrame:
     """Chains of commands that touch, continue each other's value, ease alike and rise alike become one.
 
-    Slopes are compared with the merged command so far, so the fold goes over the sorted array of an object's kind.
+    Slopes are compared with the merged command so far, so an object's kind passes through one task, which holds that
+    command and one batch.
     """
-    item = F.struct(F.col("start").cast("double").alias("start"), "seq", F.col("end").cast("double").alias("end"), "easing", F.col("v_start").cast("double").alias("a"), F.col("v_end").cast("double").alias("b"))
-    grouped = commands.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("list"))
-
-    def slope(x: Column) -> Column:
-        return F.when(x["end"] - x["start"] <= TIME_EPSILON, F.lit(None)).otherwise((x["b"] - x["a"]) / (x["end"] - x["start"]))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        fits = (F.abs(last["end"] - x["start"]) <= TIME_EPSILON) & (F.abs(last["b"] - x["a"]) <= VALUE_EPSILON) & (last["easing"] == x["easing"]) & (F.abs(slope(last) - slope(x)) <= SLOPE_EPSILON)
-        if linear_only:
-            fits = fits & (x["easing"] == 0)
-        joined = F.struct(last["start"].alias("start"), last["seq"].alias("seq"), x["end"].alias("end"), last["easing"].alias("easing"), last["a"].alias("a"), x["b"].alias("b"))
-        return F.when(F.coalesce(fits, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
-
-    rest = F.slice("list", F.lit(2), F.greatest(F.size("list") - 1, F.lit(0)))
-    merged = grouped.select(*keys, F.explode(F.aggregate(rest, F.slice("list", 1, 1), step)).alias("c"))
-    return merged.select(*keys, "c.seq", "c.start", "c.end", "c.easing", F.col("c.a").alias("v_start"), F.col("c.b").alias("v_end"))
+    rows = commands.select(*keys, F.col("start").cast("double").alias("start"), "seq", F.col("end").cast("double").alias("end"), "easing", F.col("v_start").cast("double").alias("a"), F.col("v_end").cast("double").alias("b"))
+
+    def fits(last: tuple, x: tuple) -> bool:
+        (_, s, e, easing, a, b), (_, xs, xe, x_easing, xa, xb) = last, x
+        if None in (s, e, easing, a, b, xs, xe, x_easing, xa, xb) or e - s <= TIME_EPSILON or xe - xs <= TIME_EPSILON or linear_only and x_easing != 0:
+            return False
+        slopes = abs((b - a) / (e - s) - (xb - xa) / (xe - xs))
+        return abs(e - xs) <= TIME_EPSILON and abs(b - xa) <= VALUE_EPSILON and easing == x_easing and slopes <= SLOPE_EPSILON
+
+    def run(last: tuple | None, piece: dict[str, list]) -> tuple[list[tuple], tuple]:
+        done = []
+        for x in zip(*[piece[c] for c in ("seq", "start", "end", "easing", "a", "b")], strict=True):
+            if last and fits(last, x):
+                last = (*last[:2], x[2], *last[3:5], x[5])
+                continue
+            if last:
+                done.append(last)
+            last = x
+        return done, last
+
+    output = {"seq": "seq", "start": "double", "end": "double", "easing": "easing", "v_start": "double", "v_end": "double"}
+    return fold_sorted(rows, list(keys), ["start", "seq", "end", "easing", "a", "b"], run, lambda last: [last], output)
 
 
 def drop_covered(commands: DataFrame, width: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -74,6 +83,30 @@ def extract_loops(sequences: DataFrame, items: str = "items", least: int = 3) ->
     return sequences.withColumn("period", F.array_min(periods)).withColumn("count", (n / F.col("period")).cast("int"))
 
 
+def loop_periods(rows: DataFrame, keys: list[str], time: str, content: str, least: int = 3) -> DataFrame:
+    """W13 for rows instead of arrays: keys, n, period and count as extract_loops() finds them; no key's rows are collected.
+
+    The times a body runs divide the count of every content, which leaves few periods to try; for these each row is joined
+    with the one a period before.
+    """
+    by = Window.partitionBy("k").orderBy("time", "content")
+    placed = rows.select(F.struct(*keys).alias("k"), F.col(time).alias("time"), F.col(content).alias("content"))
+    placed = cut(placed.withColumn("i", F.row_number().over(by) - 1))
+    counts = placed.groupBy("k", "content").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("k").agg(F.sum("c").alias("n"), F.min("c").alias("m"))
+    low = F.filter(F.sequence(F.lit(1).cast("long"), F.ceil(F.sqrt("m"))), lambda d: F.col("m") % d == 0)
+    times = F.explode(F.array_distinct(F.concat(low, F.transform(low, lambda d: F.floor(F.col("m") / d)))))
+    dividing = sizes.select("k", "n", times.alias("times")).where(F.col("times") >= least).join(counts, "k").groupBy("k", "n", "times").agg(F.max(F.col("c") % F.col("times")).alias("rest"))
+    tried = cut(dividing.where("rest = 0").select("k", (F.col("n") / F.col("times")).cast("int").alias("period")))
+    first = placed.where("i = 0").select("k", F.col("time").alias("t0"))
+    spans = tried.join(first, "k").join(placed.select("k", F.col("i").alias("period"), F.col("time").alias("tp")), ["k", "period"]).select("k", "period", (F.col("tp") - F.col("t0")).alias("span"))
+    later = placed.join(spans, "k").where("i >= period").select("k", "period", "span", (F.col("i") - F.col("period")).alias("i"), F.col("time").alias("t1"), F.col("content").alias("c1"))
+    same = F.col("content").eqNullSafe(F.col("c1")) & (F.abs(F.col("t1") - F.col("time") - F.col("span")) <= TIME_EPSILON)
+    broken = later.join(placed, ["k", "i"]).where(~F.coalesce(same, F.lit(False))).select("k", "period").distinct()
+    found = tried.join(broken, ["k", "period"], "left_anti").groupBy("k").agg(F.min("period").alias("period"))
+    return sizes.join(found, "k", "left").select(*[F.col(f"k.{k}").alias(k) for k in keys], F.col("n").cast("int").alias("n"), "period", (F.col("n") / F.col("period")).cast("int").alias("count"))
+
+
 def _same(a: Column, b: Column, fields: list[str]) -> Column:
     out = F.lit(True)
     for f in fields:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
+
 
 def change_runs(df: DataFrame, keys: list[str], order: list[str], time: str, content: str, bucket: Column) -> DataFrame:
     """keys, start, end, n and content of every maximal run of equal content.
@@ -57,16 +58,16 @@ def mean_difference(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
-def fold_tolerant(values: np.ndarray, steps: np.ndarray, tolerance: float) -> np.ndarray:
+def fold_tolerant(values: np.ndarray, steps: np.ndarray, tolerance: float, opened: tuple[float, float] | None = None) -> np.ndarray:
     """Whether each row of one ordered series opens a run.
 
     A row goes on with the run while its step (quantised content) is the one last seen to open it, or its raw value is
-    within ``tolerance`` of the value the run opened with.
+    within ``tolerance`` of the value the run opened with.  ``opened`` has value and step of a run that is already open.
     """
     opens = np.zeros(len(values), bool)
-    snapshot, step = np.nan, None
+    snapshot, step = opened or (np.nan, None)
     for i, (v, s) in enumerate(zip(values.tolist(), steps.tolist(), strict=True)):
-        if s == step or (i and abs(v - snapshot) <= tolerance):
+        if s == step or abs(v - snapshot) <= tolerance:
             continue
         opens[i], snapshot, step = True, v, s
     return opens
@@ -75,25 +76,26 @@ def fold_tolerant(values: np.ndarray, steps: np.ndarray, tolerance: float) -> np
 def tolerant_runs(df: DataFrame, keys: list[str], order: str, value: str, step: Column, tolerance: float) -> DataFrame:
     """Runs whose values stay near the value they opened with; the fold compares with the run, not with the row before.
 
-    A key's series is one group of a task, as each decision needs the one before.
+    A key's series passes through one task, which holds its open run and one batch.
     """
     rows = df.select(*keys, F.col(order).alias("at"), F.col(value).cast("double").alias("value"), step.cast("long").alias("step"))
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    at = rows.schema["at"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "value"], kind="stable").reset_index(drop=True)
-        opens = fold_tolerant(pdf["value"].to_numpy(), pdf["step"].to_numpy(), tolerance)
-        at_ = np.flatnonzero(opens)
-        ends = np.append(at_[1:], len(pdf) - 1)
-        out = pdf.loc[at_, keys].reset_index(drop=True)
-        out["start"] = pdf["at"].to_numpy()[at_]
-        out["end"] = pdf["at"].to_numpy()[ends]
-        out["n"] = np.diff(np.append(at_, len(pdf)))
-        out["value"] = pdf["value"].to_numpy()[at_]
-        return out
-
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, start {at}, end {at}, n long, value double")
+
+    def run(state: tuple | None, piece: dict[str, list]) -> tuple[list[tuple], tuple]:
+        at, value = piece["at"], piece["value"]
+        values, steps = (np.array([np.nan if x is None else x for x in piece[c]]) for c in ("value", "step"))
+        opens = np.flatnonzero(fold_tolerant(values, steps, tolerance, state and state[:2])).tolist()
+        done, since = [], 0
+        for i in opens:
+            if state:
+                done.append((state[2], at[i], state[4] + i - since, state[5]))
+            state, since = (values[i], steps[i], at[i], at[i], 0, value[i]), i
+        return done, (*state[:3], at[-1], state[4] + len(at) - since, state[5])
+
+    def last(state: tuple) -> list[tuple]:
+        return [(state[2], state[3], state[4], state[5])]
+
+    along = [F.col(c).asc_nulls_last() for c in ("at", "value", "step")]
+    return fold_sorted(rows, keys, along, run, last, {"start": "at", "end": "at", "n": "long", "value": "double"})
 
 
 def closed_counts(runs: DataFrame, bucket: Column) -> DataFrame:

@@ -145,9 +145,9 @@ select user_id, (row_number() over w - 1)::int as scene, t::double as start, lea
 def scene_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenes between bursts that begin two days apart at least"""
     e = events(spark, sf_dir).select("user_id", "t")
-    cuts = bursts.spaced(bursts.burst_starts(e, ["user_id"], "t", 12 * HOUR), ["user_id"], "t", 2.0 * DAY)
-    bounds = e.groupBy("user_id").agg(F.min("t").cast("double").alias("start"), F.max("t").cast("double").alias("end")).where("start < end").join(cuts, "user_id")
-    return bursts.scenes(bounds, ["user_id"]).select("user_id", "scene", "start", "end")
+    cuts = bursts.spaced_starts(bursts.burst_starts(e, ["user_id"], "t", 12 * HOUR), ["user_id"], "t", 2.0 * DAY)
+    bounds = e.groupBy("user_id").agg(F.min("t").cast("double").alias("start"), F.max("t").cast("double").alias("end")).where("start < end")
+    return bursts.scenes_between(bounds, cuts, ["user_id"]).select("user_id", "scene", "start", "end")
 
 
 @query(f"""with {RUNS}, s as (select user_id, min(t) as t0, max(t) as t1 from ev group by 1),
@@ -332,8 +332,8 @@ p as (select s.conv_id, n, period from s, range(1, 400) q(period) where n % peri
 select s.conv_id, s.n::int as n, min(period)::int as period, (s.n // min(period))::int as count from s left join p on s.conv_id = p.conv_id group by s.conv_id, s.n""")
 def role_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations whose roles repeat"""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role")))).alias("items"))
-    return rewrite.extract_loops(c).select("conv_id", F.size("items").alias("n"), "period", "count")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"))
+    return rewrite.loop_periods(c, ["conv_id"], "turn", "role").select("conv_id", "n", "period", "count")
 
 
 @query(f"""with lo as (select o_orderkey as object, {MS.format('o_orderdate')} // {DAY}::double as base, o_orderkey % 4 as c from orders),

@@ -7,14 +7,70 @@ rows are dropped.  A run is emitted when its content changes, when it has ``cap`
 
 from __future__ import annotations
 
+import heapq
+import os
+import tempfile
 from collections.abc import Iterator
+from itertools import count, islice
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+STRETCH = pa.schema([("time", pa.timestamp("ns")), ("content", pa.string())])
+#: Rows of a key that are sorted in memory, sorted stretches on disk that are merged at a time, and rows read of each at once
+HELD, STRETCHES, READ = 100_000, 32, 1000
+
+
+def in_order(batches: Iterator[pd.DataFrame], held: int = HELD) -> Iterator[tuple]:
+    """time and content of the batches by time, equal times as they came; over ``held`` rows are sorted on the task's disk."""
+
+    def merged() -> Iterator[tuple]:
+        return heapq.merge(*[rows(f) for f in stretches], key=itemgetter(0))
+
+    def rows(path: str) -> Iterator[tuple]:
+        with pa.OSFile(path) as f, pa.ipc.open_stream(f) as stretch:
+            for batch in stretch:
+                pdf = batch.to_pandas()
+                yield from zip(pdf["time"], pdf["content"], strict=True)
+
+    def write(found: Iterator[tuple]) -> str:
+        path = f"{folder}/{next(number)}"
+        with pa.OSFile(path, "wb") as f, pa.ipc.new_stream(f, STRETCH) as stretch:
+            while some := list(islice(found, READ)):
+                stretch.write_batch(pa.RecordBatch.from_pandas(pd.DataFrame(some, columns=STRETCH.names), STRETCH, preserve_index=False))
+        return path
+
+    def sort() -> Iterator[tuple]:
+        pdf = pd.concat(held_back).sort_values("time", kind="stable")
+        return zip(pdf["time"], pdf["content"], strict=True)
+
+    number, stretches, held_back, n = count(), [], [], 0
+    with tempfile.TemporaryDirectory(prefix="runs-") as folder:
+        for pdf in batches:
+            held_back.append(pdf[["time", "content"]])
+            n += len(pdf)
+            if n >= held:
+                stretches.append(write(sort()))
+                held_back, n = [], 0
+            if len(stretches) == STRETCHES:
+                whole = write(merged())
+                for f in stretches:
+                    os.unlink(f)
+                stretches = [whole]
+        if held_back and not stretches:
+            yield from sort()
+            return
+        if held_back:
+            stretches.append(write(sort()))
+            held_back = []
+        yield from merged()
+
+
 def stream_runs(stream: DataFrame, key: str, time: str, content: str, delay: str = "1 minute", timeout_ms: int = 60_000, cap: int | None = None) -> DataFrame:
     """key, start, end, n and content of closed runs, in append mode."""
     rows = stream.select(F.col(key).cast("long").alias("key"), F.col(time).cast("timestamp").alias("time"), F.col(content).cast("string").alias("content")).withWatermark("time", delay)
@@ -31,12 +87,11 @@ def stream_runs(stream: DataFrame, key: str, time: str, content: str, delay: str
             yield closed(key[0], start, last, n, content)
             return
         open_ = list(state.get) if state.exists else None
-        for pdf in [pd.concat(list(batches)).sort_values("time", kind="stable")]:
-            for t, c in zip(pdf["time"], pdf["content"], strict=True):
-                if open_ is not None and (open_[3] != c or cap is not None and open_[2] >= cap):
-                    yield closed(key[0], open_[0], t, open_[2], open_[3])
-                    open_ = None
-                open_ = [t, t, 1, c] if open_ is None else [open_[0], t, open_[2] + 1, c]
+        for t, c in in_order(batches):
+            if open_ is not None and (open_[3] != c or cap is not None and open_[2] >= cap):
+                yield closed(key[0], open_[0], t, open_[2], open_[3])
+                open_ = None
+            open_ = [t, t, 1, c] if open_ is None else [open_[0], t, open_[2] + 1, c]
         state.update(tuple(open_))
         state.setTimeoutTimestamp(max(int(open_[1].timestamp() * 1000) + timeout_ms, state.getCurrentWatermarkMs() + 1))
 
