@@ -9,6 +9,9 @@ Both kinds of potentials are counted on labelled pages: a bounded sample of the
 inside it are content, except below menus, notices and the like.  A prior adds counts, so that templates without a labelled
 page are read by their roles, text and neighbours, and settles what is marked as a menu, notice or form.
 
+Text of svg, select and template is no text of the page; without an end tag only their tag is passed over. Formulas and what
+object, canvas, audio and video hold are text where they stand.
+
 Blocks: character references are decoded, white space becomes one space, the ends are trimmed; blocks are joined by
 ``\n\n`` in page order.  Null and empty pages, and pages without content, give the empty string.  Repeated rows give equal
 rows.  Columns of the input with the names text and n_chars are replaced.
@@ -37,8 +40,9 @@ AWAY_RATIO = -40.0
 
 # Fixed sets of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea title select canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript iframe textarea title".split())
+UNREAD = frozenset("svg select template".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math object q rb rp rt ruby s samp small span strike strong sub sup time tt u var video wbr".split())
 CONTAINER = frozenset("div section center table tbody thead tfoot tr td th ul ol dl main body html figure details".split())
 SECTION = frozenset("article nav header footer aside form menu dialog fieldset address head button".split())
 CLOSES_P = CONTAINER | SECTION | frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote hr li dt dd figcaption".split())
@@ -88,6 +92,27 @@ def role_of(tag: str, attributes: str) -> int:
     return -2 if words & HEADERS else 1 if words & TOWARD else 0
 
 
+def end_of_raw(name: str, source: str, at: int) -> int:
+    stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
+    return stop.end() if stop else len(source)
+
+
+def ends_of_unread(source: str) -> dict[int, int]:
+    """Where the drawings, choices and templates of a page start and end; those without an end tag of their own aren't in it."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {name: [] for name in UNREAD}
+    at = 0
+    while m := TOKEN.search(source, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if name in RAW and not m[1] and not m[3].endswith("/"):
+            at = end_of_raw(name, source, at)
+        elif name in UNREAD and m[1] and opened[name]:
+            found[opened[name].pop()] = m.end()
+        elif name in UNREAD and not m[1] and not m[3].endswith("/"):
+            opened[name].append(m.start())
+    return found
+
+
 def parse(source: str) -> Page:
     """The tree of block elements and the blocks of text."""
     page = Page()
@@ -115,6 +140,7 @@ def parse(source: str) -> Page:
         del stack[upto:]
         here = next(node for _, node in reversed(stack) if node >= 0)
 
+    closed = None
     at, end = 0, len(source)
     while at < end:
         m = TOKEN.search(source, at)
@@ -143,8 +169,12 @@ def parse(source: str) -> Page:
             continue
         if name in RAW:
             if not m[3].endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = stop.end() if stop else end
+                at = end_of_raw(name, source, at)
+            continue
+        if name in UNREAD:
+            if closed is None:
+                closed = ends_of_unread(source)
+            at = closed.get(m.start(), at)
             continue
         if name in INLINE:
             stack.append((name, -1))
