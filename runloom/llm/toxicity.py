@@ -1,6 +1,6 @@
 """Operator 4, toxicity by weak supervision.
 
-1. A lexicon is mined from a bounded sample of labelled rows: words, and stems of four to six letters, that toxic texts have
+1. A lexicon is mined from a bounded sample of labelled rows: words of any length, and stems of four to six letters, that toxic texts have
    far more often than clean ones.
 2. Voters.  Every group of lexicon tokens with a common four-letter stem votes, and so do patterns of a whole text: several
    hits, several tokens, dense hits, shouting, exclamation, symbols.
@@ -139,7 +139,6 @@ def features(column: pa.Array, lexicon: Lexicon) -> Iterator[tuple[np.ndarray, n
 def mine_lexicon(sample: DataFrame) -> list[str]:
     """Words, and stems with a star, of the sample (text, toxic), the most telling first."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9'\\x{80}-\\x{10FFFF}]+)"), 1))
-    words = F.filter(words, lambda w: F.length(w) >= STEM)
     stems = [F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.left(w, F.lit(n)), F.lit("*"))) for n in (4, 5, 6)]
     tokens = sample.select("toxic", words.alias("words")).select("toxic", F.explode(F.array_distinct(F.concat("words", *stems))).alias("token"))
     size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
