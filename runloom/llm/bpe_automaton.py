@@ -6,7 +6,8 @@ an arc v, the arc u is led to a copy of that state without v, and an arc w to wh
 token lead to one state, so a state is named by its last token and kept as what differs from the state it was copied
 from: the arcs removed from it, each with the time (merge rank) of the removal.
 
-Encoding walks a word through the table along the only accepted path.  Decoding emits the labels of the arcs.
+Encoding searches a word's only accepted path, longest token first with backtracking; whether an arc is there is worked out from
+the removals when asked, as a table of all states is not kept.  Decoding emits the labels of the arcs.
 
 Null and empty texts give no tokens and decode to the empty string.  Special strings in a text are its special tokens,
 as in the library's default.
