@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,14 +41,40 @@ def shared(spark: SparkSession, kind: str) -> str:
     return f"{context.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting under which the shuffle files of a query go when it has run, not when the driver happens to collect garbage
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run within leaves no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a checkpoint in the shared folder."""
     shared(df.sparkSession, "none")
-    return df.checkpoint()
+    with freeing(df.sparkSession):
+        return df.select("*").checkpoint()  # planned anew, within
 
 
 def stash(df: DataFrame) -> DataFrame:
     """Cuts lineage as cut() does, with a Parquet table in the same folder: smaller for long rows of few distinct values."""
     path = shared(df.sparkSession, "table")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with freeing(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the table of a stash() that nothing reads any more."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.stashed_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
