@@ -9,6 +9,8 @@ from ..session import cut
 
 #: More rounds than any graph of 2^60 nodes needs
 MAX_ROUNDS = 100
+#: Edges to a task; rounds of a small graph don't run over all the session's partitions
+TASK_EDGES = 100_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,15 +29,20 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        around = edges.join(least, "u")
-        edges = cut(around.select(F.col("v").alias("u"), F.col("m").alias("v")).union(around.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        tasks = 2 + before[0] // TASK_EDGES
+        edges = edges.coalesce(tasks)
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
+        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").coalesce(tasks).distinct().coalesce(tasks)
+        edges = cut(edges).coalesce(tasks)
+        least = edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+        around = edges.join(least, "u").coalesce(tasks)
+        edges = cut(around.select(F.col("v").alias("u"), F.col("m").alias("v")).union(around.select("u", F.col("m").alias("v"))).where("u != v").coalesce(tasks).distinct().coalesce(tasks))
         after = _state(edges)
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
