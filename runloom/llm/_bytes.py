@@ -1,8 +1,8 @@
 """Vectorised views of Arrow string columns: byte buffers, words, lines and range hashes.
 
 All helpers work on a chunk of whole rows: ``buf`` is the UTF-8 of the rows one after another and
-``offs`` has the n+1 row boundaries in it.  A range hash is a polynomial over Z/2^64 of randomised byte
-values, so the hash of any byte range is two lookups in one prefix sum.
+``offs`` has the n+1 row boundaries in it.  A range hash is a pair of polynomials modulo the prime 2^31 - 1, each of
+randomised byte values at a base of its own, so the hash of any byte range is two lookups in each of two prefix sums.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
-_BASE = int(_rng.integers(1, 2**62)) * 2 + 1
-_INVERSE = pow(_BASE, -1, 2**64)
+PRIME = 2**31 - 1
+_BASES = [int(x) for x in _rng.integers(2**20, PRIME - 1, 2)]
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -26,20 +26,29 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 IS_CHAR_START = (np.arange(256) & 0xC0) != 0x80
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller value that is equal modulo PRIME: under 2^33 for x under 2^64, under 2^31 + 4 for x under 2^33."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
 class _Powers:
+    """Powers of the bases and of their inverses, modulo PRIME."""
+
     def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
+        self.size = 0
 
     def upto(self, n: int) -> _Powers:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                a = np.full(size, base, np.uint64)
-                a[0] = 1
-                setattr(self, name, np.cumprod(a, dtype=np.uint64))
+        if self.size < n:
+            self.size = max(n, 1 << 16)
+            self.up, self.down = ([self._powers(b) for b in bases] for bases in (_BASES, [pow(b, -1, PRIME) for b in _BASES]))
         return self
 
+    def _powers(self, base: int) -> np.ndarray:
+        out = np.ones(1, np.uint64)
+        while len(out) < self.size:
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), PRIME)) % np.uint64(PRIME)])
+        return out
+
 
 _POWERS = _Powers()
 
@@ -76,14 +85,22 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
 
 
 def prefix_hash(buf: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """Prefix sums from which range_hash() takes the hash of any byte range."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(values[buf] * _POWERS.upto(len(buf) + 1).up[: len(buf)], out=out[1:])
+    """Prefix sums from which range_hash() takes the hash of any byte range; texts of up to 2^31 bytes."""
+    powers = _POWERS.upto(len(buf) + 1)
+    out = np.zeros((2, len(buf) + 1), np.uint64)
+    for lane, up in enumerate(powers.up):
+        byte = (values >> np.uint64(31 * lane)) & np.uint64(PRIME)
+        np.cumsum(_fold(byte[buf] * up[: len(buf)]), out=out[lane, 1:])
     return out
 
 
 def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((prefix[end] - prefix[start]) * _POWERS.upto(len(prefix)).down[start])
+    lanes = []
+    for sums, down in zip(prefix, _POWERS.upto(prefix.shape[1]).down, strict=True):
+        x = _fold(_fold(_fold(_fold(sums[end] - sums[start])) * down[start]))
+        x = _fold(x)
+        lanes.append(np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x))
+    return mix(lanes[0] << np.uint64(32) | lanes[1])
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

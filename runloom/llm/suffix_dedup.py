@@ -1,6 +1,6 @@
-"""Operator 7, suffix-array dedup: removes every byte covered by a 400-byte string that starts anywhere else too.
+"""Operator 7, suffix-array dedup: removes every byte covered by a string of ``length`` (400) bytes that starts anywhere else too.
 
-1. Anchors.  Of the 128-byte grams inside a 400-byte string the (leftmost) one of least hash is its anchor.  Equal strings
+1. Anchors.  Of the grams (0.32 of its length) inside a string the (leftmost) one of least hash is its anchor.  Equal strings
    have equal anchors at the same place, so only strings whose anchor gram repeats can repeat.  Successive starts with
    one anchor make a piece: the bytes from its first start to the end of its last string.  Only pieces of repeated anchors go on,
    and pieces of equal bytes are one from here.
@@ -12,13 +12,14 @@
 3. Spans go back to the documents, where the covered bytes are removed.
 
 Strings are judged on the input and never cross rows.  Null texts are empty.  Rows that repeat each other count as
-separate documents, so their strings of 400 bytes are all repeated.  The cleaned text is the remaining bytes; where a
+separate documents, so their strings of that length are all repeated.  The cleaned text is the remaining bytes; where a
 cut leaves part of a character, that part is dropped from kept_text, while kept_bytes holds every byte.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,37 +27,39 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stash
+from ..session import discard, stash
 from . import _bytes as B
 
 LENGTH = 400
-GRAM = 128
 #: Texts are looked at in stretches of so many starts; pieces end there, strings don't
 STRETCH = 1 << 18
+#: Bytes of a gram in hundredths of those of a string
+GRAM_PERCENT = 32
 #: Distinct pieces of one anchor that go to one block
 PIECES = 6144
 #: Bytes of pieces that a suffix array is built of at once, whole anchors
 BLOCK_BYTES = 1 << 18
 
 
-def pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+def pieces(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Row, first start, number of starts, anchor hash and hash of the bytes of every piece of some rows."""
-    n, window = len(buf), LENGTH - GRAM + 1
-    if n < LENGTH:
+    width = length * GRAM_PERCENT // 100
+    n, window = len(buf), length - width + 1
+    if n < length:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     prefix = B.prefix_hash(buf)
-    at = np.arange(n - GRAM + 1)
-    gram = B.range_hash(prefix, at, at + GRAM)
+    at = np.arange(n - width + 1)
+    gram = B.range_hash(prefix, at, at + width)
     # with the place in the low bits the leftmost of the least is the least, and tells where it is
     bits = np.uint64(int(n).bit_length())
     key = (gram >> bits << bits) | at.astype(np.uint64)
     grid = np.append(key, np.full(-len(key) % window, 2**64 - 1, np.uint64)).reshape(-1, window)
     left = np.minimum.accumulate(grid, axis=1).ravel()
     right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = n - LENGTH + 1
+    starts = n - length + 1
     least = np.minimum(right[:starts], left[window - 1 : window - 1 + starts])
     anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    room = np.diff(offs) - LENGTH + 1
+    room = np.diff(offs) - length + 1
     has = room > 0
     edge = np.zeros(starts + 1, np.int8)
     edge[offs[:-1][has]] += 1
@@ -69,11 +72,11 @@ def pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     size = np.diff(np.append(first, starts))
     first, size = first[inside[first]], size[inside[first]]
     row = np.searchsorted(offs, first, side="right") - 1
-    return row, first - offs[row], size, gram[anchor[first]], B.range_hash(prefix, first, first + size + LENGTH - 1)
+    return row, first - offs[row], size, gram[anchor[first]], B.range_hash(prefix, first, first + size + length - 1)
 
 
-def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The wanted places of ``text`` in the order of the first LENGTH bytes of their suffixes, by two-stage sorting.
+def suffix_order(text: np.ndarray, wanted: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The wanted places of ``text`` in the order of the first ``length`` bytes of their suffixes, by two-stage sorting.
 
     ``text`` has bytes over 0 and a 0 behind every piece.  With a place its successors up to the next suffix that is
     smaller than its own successor must be wanted.
@@ -86,9 +89,9 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     smaller = step[turns[np.searchsorted(turns, np.arange(n))]] > 0  # than the successor; ends of pieces are
     places = np.flatnonzero(wanted)
     direct = places[smaller[places]]
-    padded = np.concatenate([text, np.zeros(LENGTH, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, LENGTH)[direct]
-    direct = direct[np.argsort(rows.view(f"S{LENGTH}").ravel(), kind="stable")]
+    padded = np.concatenate([text, np.zeros(length, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, length)[direct]
+    direct = direct[np.argsort(rows.view(f"S{length}").ravel(), kind="stable")]
 
     # scan the buckets of first bytes upward; what stands before a suffix and is greater joins its own bucket's front part
     first = text[direct]
@@ -129,13 +132,13 @@ def _before(scanned: np.ndarray, text: np.ndarray, wanted: np.ndarray, smaller:
     return same
 
 
-def common_prefix(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Common prefix of each suffix with the one before it, in bytes and up to LENGTH; 0 for the first."""
+def common_prefix(text: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Common prefix of each suffix with the one before it, in bytes and up to ``length``; 0 for the first."""
     lcp = np.zeros(len(order), np.int64)
-    padded = np.concatenate([text, np.zeros(LENGTH + 8, np.uint8)])
+    padded = np.concatenate([text, np.zeros(length + 8, np.uint8)])
     open_ = np.arange(1, len(order))
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    for k in range(0, LENGTH, 8):
+    for k in range(0, length, 8):
         a, b = (words[order[open_ - d] + k].view(np.uint64).ravel() for d in (0, 1))
         lcp[open_] += 8
         differs = a != b
@@ -146,10 +149,10 @@ def common_prefix(text: np.ndarray, order: np.ndarray) -> np.ndarray:
             open_ = open_[~differs]
         if not len(open_):
             break
-    return np.minimum(lcp, LENGTH)
+    return np.minimum(lcp, length)
 
 
-def block_repeats(parts: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def block_repeats(parts: list[bytes], sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For pieces with ``sizes`` starts: piece, start and class of every start of a string, and whether the class repeats."""
     lengths = np.array([len(p) + 1 for p in parts])
     base = np.concatenate([[0], np.cumsum(lengths)])
@@ -174,9 +177,8 @@ def block_repeats(parts: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np
     np.add.at(grow, last, 1)
     np.add.at(grow, stop + 1, -1)
     wanted |= np.cumsum(grow[:-1]) > 0
-    order = suffix_order(text, wanted)
-    order_lcp = common_prefix(text, order)
-    fresh = order_lcp < LENGTH
+    order = suffix_order(text, wanted, length)
+    fresh = common_prefix(text, order, length) < length
     number = np.cumsum(fresh) - 1
     real = start[order]
     order, number = order[real], number[real]
@@ -197,14 +199,14 @@ def _runs(piece: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return piece[i], start[i], start[np.append(i[1:], len(piece)) - 1] + 1
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchored(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, _, buf, offs in B.text_chunks(batch.column(2), STRETCH):
             stretches = [(buf, offs, 0)]
             if len(buf) > 2 * STRETCH and len(offs) == 2:
-                stretches = [(buf[a : a + STRETCH + LENGTH - 1], None, a) for a in range(0, len(buf) - LENGTH + 1, STRETCH)]
+                stretches = [(buf[a : a + STRETCH + length - 1], None, a) for a in range(0, len(buf) - length + 1, STRETCH)]
             for part, bounds, shift in stretches:
-                row, first, size, anchor, content = pieces(part, bounds if bounds is not None else np.array([0, len(part)]))
+                row, first, size, anchor, content = pieces(part, bounds if bounds is not None else np.array([0, len(part)]), length)
                 if len(row):
                     rows = pa.array(row + lo)
                     yield pa.RecordBatch.from_arrays(
@@ -213,7 +215,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_pieces(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From texts and the lists of pieces wanted of them: the pieces' bytes."""
     for batch in batches:
         wanted = batch.column(1)
@@ -222,15 +224,15 @@ def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ask = wanted[i].values
             raw = memoryview(text)
             first, size = (ask.field(c).to_numpy() for c in ("first", "size"))
-            cut = [bytes(raw[a : a + s + LENGTH - 1]) for a, s in zip(first.tolist(), size.tolist(), strict=True)]
+            cut = [bytes(raw[a : a + s + length - 1]) for a, s in zip(first.tolist(), size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ask.field("anchor"), ask.field("content"), ask.field("salt"), ask.field("hot"), ask.field("size"), pa.array(cut, pa.binary())], ["anchor", "content", "salt", "hot", "size", "bytes"])
 
 
-def _settle(rows: list[dict]) -> pa.RecordBatch:
+def _settle(length: int, rows: list[dict]) -> pa.RecordBatch:
     """Spans of the starts that repeat in a block, and of hot anchors one string of each class for the other blocks."""
     parts = [r["bytes"] for r in rows]
     sizes = np.array([r["size"] for r in rows])
-    piece, start, number, twice = block_repeats(parts, sizes)
+    piece, start, number, twice = block_repeats(parts, sizes, length)
     p, a, b = _runs(piece[twice], start[twice])
     hot = np.array([r["hot"] for r in rows])
     # neighbours of a class stand together, so its first is where the number changes
@@ -245,7 +247,7 @@ def _settle(rows: list[dict]) -> pa.RecordBatch:
             h = np.empty(len(q), np.uint64)
             for x in np.unique(q):
                 at = np.flatnonzero(q == x)
-                h[at] = B.range_hash(B.prefix_hash(np.frombuffer(parts[x], np.uint8), values), s[at], s[at] + LENGTH)
+                h[at] = B.range_hash(B.prefix_hash(np.frombuffer(parts[x], np.uint8), values), s[at], s[at] + length)
             hashes.append(h.view(np.int64).tolist())
     else:
         hashes = [[], []]
@@ -258,7 +260,7 @@ def _settle(rows: list[dict]) -> pa.RecordBatch:
     )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole groups (anchor, salt), which come one after another, up to BLOCK_BYTES at a time."""
     held: list[dict] = []
     size, last = 0, None
@@ -266,23 +268,26 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             group = (r["anchor"], r["salt"])
             if group != last and size >= BLOCK_BYTES:
-                yield _settle(held)
+                yield _settle(length, held)
                 held, size = [], 0
             held.append(r)
             size += len(r["bytes"])
             last = group
     if held:
-        yield _settle(held)
+        yield _settle(length, held)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """id, k (hash of the text) and spans (array of start and end in bytes, unsorted) of rows with repeated strings."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("k"), F.col(text).alias("text"))
-    long_rows = keyed.where(F.octet_length("text") >= LENGTH)
-    rows = stash(long_rows.mapInArrow(_anchored, "id long, k long, first long, size int, anchor long, content long"))
-    again = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    long_rows = keyed.where(F.octet_length("text") >= length)
+    cut = stash(long_rows.mapInArrow(partial(_anchored, length), "id long, k long, first long, size int, anchor long, content long"))
+    again = cut.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     # read back, both sides of the join come by an exchange, so that a common anchor's rows can be split
-    rows = stash(rows.join(stash(again), "anchor"))
+    again = stash(again)
+    rows = stash(cut.join(again, "anchor"))
+    discard(cut)
+    discard(again)
     distinct = rows.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "k", "first", "size")).alias("at"))
     distinct = stash(distinct.select("anchor", "content", "copies", "at.*"))
     groups = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
@@ -295,9 +300,9 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     blocks = (
         long_rows.join(asked.hint("shuffle_hash"), ["id", "k"]).select(F.col("text").cast("binary"), "asked")
-        .mapInArrow(_cut_pieces, "anchor long, content long, salt int, hot boolean, size int, bytes binary")
+        .mapInArrow(partial(_cut_pieces, length), "anchor long, content long, salt int, hot boolean, size int, bytes binary")
         .repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-        .mapInArrow(_blocks, "anchor long, content long, from int, to int, x long, y long")
+        .mapInArrow(partial(_blocks, length), "anchor long, content long, from int, to int, x long, y long")
     )
     settled = stash(blocks)
     across = settled.where("x is not null").groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
@@ -307,11 +312,14 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = distinct.where("copies > 1").select("anchor", "content", F.lit(0).alias("from"), F.col("size").alias("to"))
     single = distinct.where("copies = 1").select("anchor", "content")
     found = whole.union(part.join(single, ["anchor", "content"]))
-    return (
+    spans = stash(
         rows.join(found, ["anchor", "content"])
         .groupBy("id", "k")
-        .agg(F.collect_list(F.struct((F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to") + (LENGTH - 1)).alias("b"))).alias("spans"))
-    )
+        .agg(F.collect_list(F.struct((F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to") + (length - 1)).alias("b"))).alias("spans"))
+    )
+    for done in (rows, distinct, settled):
+        discard(done)
+    return spans
 
 
 def _joined(spans: pa.Scalar) -> np.ndarray:
@@ -328,14 +336,15 @@ def _joined(spans: pa.Scalar) -> np.ndarray:
     return np.stack([a[i], b[np.append(i[1:], len(a)) - 1]], axis=1)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", decode: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", decode: bool = False, length: int = LENGTH, over_words: int = 0) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept_bytes (binary, or kept_text if ``decode``) to the rows of ``docs``, all but ``text``.
 
+    Removed are the bytes covered by repeated strings of ``length`` bytes, in runs that hold more than ``over_words`` words.
     Columns of ``docs`` with a result's name are replaced.
     """
     added = ("n_bytes", "n_removed", "n_spans", "kept_text" if decode else "kept_bytes")
     rest = [c for c in docs.columns if c not in added and c != text]
-    spans = repeated_spans(docs, text)
+    spans = repeated_spans(docs, text, length)
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     own = [f"c{i}" for i in range(len(rest))]
     source = keyed.join(spans, ["id", "k"], "left").select(*own, "text", "spans")
@@ -351,6 +360,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", decode: bool = False) ->
                 for i in range(x, y):
                     raw = texts[i].as_py()
                     cut = _joined(spans[i])
+                    if over_words:
+                        cut = cut[[len(raw[a:b].split()) > over_words for a, b in cut.tolist()]]
                     removed.append(int((cut[:, 1] - cut[:, 0]).sum()))
                     n.append(len(cut))
                     edges = [0, *cut.ravel().tolist(), len(raw)]
@@ -364,10 +375,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", decode: bool = False) ->
     return out.select(*[F.col(c).alias(n) for c, n in zip(own, rest, strict=True)], *added)
 
 
-def dedup_text(docs: DataFrame, text: str = "text") -> DataFrame:
+def dedup_text(docs: DataFrame, text: str = "text", length: int = LENGTH, over_words: int = 0) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text``, and n_chars, if there, of what is left; all rows stay."""
     aside = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", text)}
-    out = remove_repeats(docs.select("doc_id", text, *[F.col(f"`{c}`").alias(a) for c, a in aside.items()]), text, decode=True)
+    out = remove_repeats(docs.select("doc_id", text, *[F.col(f"`{c}`").alias(a) for c, a in aside.items()]), text, True, length, over_words)
     values = {c: F.col(a) for c, a in aside.items()} | {"doc_id": F.col("doc_id"), text: F.col("kept_text")}
     if "n_chars" in values:
         values["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
