@@ -7,14 +7,15 @@ potential for its kind (container, section or text block).  Messages are passed
 
 Both kinds of potentials are counted on labelled pages: a bounded sample of the pages that mark their article, where nodes
 inside it are content, except below menus, notices and the like.  A prior adds counts, so that templates without a labelled
-page are read by their roles, text and neighbours, and settles what is marked as a menu, notice or form.
+page are read by their roles, text and neighbours.  What a mark as a menu, notice or form says is bounded, and a frame around
+most of the page's text is not taken for one.  The labels of the sample use the same marks.
 
 Text of svg, select and template is no text of the page; without an end tag only their tag is passed over. Formulas and what
 object, canvas, audio and video hold are text where they stand.
 
 Blocks: character references are decoded, white space becomes one space, the ends are trimmed; blocks are joined by
 ``\n\n`` in page order.  Null and empty pages, and pages without content, give the empty string.  Repeated rows give equal
-rows.  Columns of the input with the names text and n_chars are replaced.
+rows.  Pages of any length are read whole.  An empty table gives none.  Columns of the input with the names text and n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 FIT_PAGES = 2000
 #: Count that the prior adds to features of texts and their sections; bound of what one learned feature may say
 PRIOR, CLIP = 40.0, 4.0
-#: Log-likelihood ratio of a node marked as a menu, notice, form and so on, and log-probability of content below one
-AWAY_RATIO = -40.0
+#: Counts that the prior adds for nodes marked as a menu, notice, form and so on, and for children of them; bound of what the mark may say
+MARKED, STRONG = 400.0, 9.0
 
 # Fixed sets of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,6 +55,7 @@ AWAY_STARTS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navi", "n
 AWAY_ENDS = ("banner", "footer", "menu", "nav", "sidebar")
 HEADERS = frozenset("header masthead".split())
 TALK = frozenset("comment comments reply replies respond discussion".split())
+WEAK = frozenset("ad ads share social related search form side legal alert notice notices header".split())
 TOWARD = frozenset("article content main post entry story body text prose page".split())
 AWAY_TAGS = frozenset("nav aside form menu dialog fieldset footer head button".split())
 
@@ -72,23 +74,32 @@ class Page:
     size: list[int] = field(default_factory=lambda: [0])
     linked: list[int] = field(default_factory=lambda: [0])
     ends: list[bool] = field(default_factory=lambda: [False])
+    #: whether a node holds most of the page's text outside links, itself and below
+    most: list[bool] = field(default_factory=list)
     #: node and text of each block in page order
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
 def role_of(tag: str, attributes: str) -> int:
-    """1 toward content, -1 away from it, -2 if only because it is a header."""
+    """1 toward content, -1 away from it, -2 if only because it is a header, -3 if a name joins a word of several meanings to others, -4 hidden or of readers' talk."""
     if not attributes or tag in ("body", "html"):
         return 0
     if HIDDEN.search(attributes):
-        return -1
+        return -4
     if "class" not in attributes and "id" not in attributes and "role" not in attributes:
         return 0
-    words = {w for m in NAMES.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+    names = [n for m in NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+    parts = [set(WORD.findall(n)) for n in names]
+    words = set().union(*parts)
+    if words & TALK or any(w.startswith("comment") for w in words):
+        return -4
     if tag in ("article", "main"):
-        return -1 if words & TALK else 0
-    if words & (AWAY - HEADERS) or any(w.startswith(AWAY_STARTS) or w.endswith(AWAY_ENDS) for w in words):
-        return -1
+        return 0
+    away = [x for x in parts if x & (AWAY - HEADERS) or any(w.startswith(AWAY_STARTS) or w.endswith(AWAY_ENDS) for w in x)]
+    if away:
+        if all(x & TOWARD for x in away):  # a frame of the content and something beside it
+            return 0
+        return -3 if all(len(x) > 1 and x & WEAK for x in away) else -1
     return -2 if words & HEADERS else 1 if words & TOWARD else 0
 
 
@@ -197,12 +208,16 @@ def parse(source: str) -> Page:
         flush()
         page.parent.append(here)
         page.tag.append(name)
-        page.role.append(role_of(name, m[3]))
+        page.role.append(-4 if page.role[here] == -4 else role_of(name, m[3]))  # all of a talk is talk
         for column, value in ((page.size, 0), (page.linked, 0), (page.ends, False)):
             column.append(value)
         here = len(page.tag) - 1
         stack.append((name, here))
     flush()
+    plain = [size - linked for size, linked in zip(page.size, page.linked, strict=True)]
+    for i in range(len(plain) - 1, 0, -1):
+        plain[page.parent[i]] += max(plain[i], 0)
+    page.most = [2 * x > plain[0] for x in plain]
     return page
 
 
@@ -212,9 +227,12 @@ def kind(tag: str) -> int:
 
 def feature_names(page: Page, i: int) -> list[str]:
     tag = page.tag[i]
-    out = [f"role {max(page.role[i], 0)}" if tag in AWAY_TAGS or not away(page, i) else "role -1"]
+    marked = away(page, i)
+    role = page.role[i]
+    out = [("role -4" if role == -4 else "role -1") if marked and tag not in AWAY_TAGS else "role -3" if role == -3 else f"role {max(role, 0)}"]
     if tag in SECTION and tag != "header":
-        out.append(f"tag {tag}")
+        if marked or tag not in AWAY_TAGS:
+            out.append(f"tag {tag}")
     elif tag not in CONTAINER and tag != "li":
         out.append(f"tag {'h' if tag[0] == 'h' else 'p' if tag == 'p' else 'other'}")
     if size := page.size[i]:
@@ -228,8 +246,15 @@ def _up(page: Page, i: int) -> Iterator[int]:
 
 
 def away(page: Page, i: int) -> bool:
-    """Whether a node is marked as something other than text, by its tag or role words."""
+    """Whether a node is marked as something other than text, by its tag or role words.
+
+    A frame around most of the page's text is no menu, form or notice, whatever its name.
+    """
     tag = page.tag[i]
+    if page.role[i] == -4:
+        return True
+    if page.most[i]:
+        return False
     if page.role[i] == -1 or tag in AWAY_TAGS:
         return True
     return (tag == "header" or page.role[i] == -2) and not any(page.tag[j] in ("article", "main") for j in _up(page, i))
@@ -237,7 +262,8 @@ def away(page: Page, i: int) -> bool:
 
 def link(page: Page, i: int) -> str:
     """The potential between a node and its parent."""
-    return f"{kind(page.tag[i])} {int(away(page, page.parent[i]))}"
+    p = page.parent[i]
+    return f"{kind(page.tag[i])} {2 if page.role[p] == -4 else int(away(page, p))}"
 
 
 def known_labels(page: Page) -> list[int] | None:
@@ -262,19 +288,20 @@ class TreeModel:
     def of(counts: dict[str, tuple[float, float]]) -> TreeModel:
         known = {k: list(v) for k, v in counts.items()}
         texts = [(f"text 3 0 {e}", 1) for e in (0, 1)] + [(f"text {n} {k} 0", 0) for n in range(4) for k in (2, 3)]
-        for name, label in [("role 1", 1), ("tag article", 1), ("tag main", 1), ("tag p", 1), ("tag h", 1), *texts]:
-            known.setdefault(name, [0.0, 0.0])[label] += PRIOR
+        strong = {"role -1", "role -4", *(f"tag {t}" for t in AWAY_TAGS)}
+        for name, label, count in [(x, 1, PRIOR) for x in ("role 1", "tag article", "tag main", "tag p", "tag h")] + [(*x, PRIOR) for x in texts] + [(x, 0, MARKED) for x in strong] + [("role -3", 0, PRIOR)]:
+            known.setdefault(name, [0.0, 0.0])[label] += count
         families: dict[str, list[float]] = {}
         for name, pair in known.items():
-            total = families.setdefault(name.split()[0], [0.0, 0.0])
-            total[0] += pair[0]
-            total[1] += pair[1]
+            family = families.setdefault(name.split()[0], [0.0, 0.0])
+            for label in (0, 1):
+                family[label] += pair[label] - MARKED * (name in strong and label == 0)  # what the prior says of marks is of nodes with marks
         ratio = {}
         for name, (a, b) in known.items():
             n0, n1 = families[name.split()[0]]
             if not name.startswith("given"):
-                ratio[name] = max(-CLIP, min(CLIP, math.log((b + 0.5) / (n1 + 1)) - math.log((a + 0.5) / (n0 + 1))))
-        ratio |= {"role -1": AWAY_RATIO} | {f"tag {t}": AWAY_RATIO for t in AWAY_TAGS}
+                bound = STRONG if name in strong else CLIP
+                ratio[name] = max(-bound, min(bound, math.log((b + 0.5) / (n1 + 1)) - math.log((a + 0.5) / (n0 + 1))))
         given = {}
         for k in range(3):
             pair = []
@@ -282,7 +309,10 @@ class TreeModel:
                 a, b = known.get(f"given {k} 0 {parent}", (0.0, 0.0))
                 pair.append((b + few) / (a + b + all_))
             given[f"{k} 0"] = min(pair[0], 0.2), max(pair[1], 0.7)
-            given[f"{k} 1"] = math.exp(AWAY_RATIO), 0.5
+            a, b = known.get(f"given {k} 1 0", (0.0, 0.0))
+            low = max((b + 0.05) / (a + b + MARKED), math.exp(-STRONG))
+            given[f"{k} 1"] = low, max(low, 0.02)  # texts in a marked frame say little for it
+            given[f"{k} 2"] = math.exp(-STRONG), math.exp(-STRONG)
         return TreeModel(ratio, given)
 
     def marginals(self, page: Page) -> list[float]:
