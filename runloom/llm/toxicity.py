@@ -4,7 +4,7 @@
    far more often than clean ones.
 2. Voters.  Every group of lexicon tokens with a common four-letter stem votes, and so do patterns of a whole text: several
    hits, several tokens, dense hits, shouting, exclamation, symbols.
-3. A generative label model is fitted to the votes of all documents, without labels: each class has its own rate per voter
+3. A generative label model is fitted to the votes of all documents but the held-out fifth, without labels: each class has its own rate per voter
    (so the voters' accuracies), and one covariance within classes holds their correlations.  It starts from the sample's
    rates and is refined by expectation-maximization; Spark counts the vote patterns and sums the moments.
 4. Its posteriors on the sample's texts are the labels of a linear classifier over hit counts, density and votes, whose
@@ -12,7 +12,9 @@
 
 Learning uses only rows whose crc32(doc_id as text) mod 5 is not 0.  Label, language, source and id are no inputs of a
 score.  Null texts are empty and get the score of a text without hits; repeated rows get equal scores.  Without labelled
-rows, or none of one class, the lexicon is empty and every score is the share of toxic labels (one half of none).
+rows, or none of one class, the lexicon is empty and every score is the share of toxic labels; without any label it is
+``NO_LABELS``, under one half.  Texts of any length are read whole; ties take the least doc_id; an empty table gives none;
+other columns of either table are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from . import _bytes as B
 FIT_ROWS = 8192
 #: Lexicon: at most so many tokens, each in at least MIN_TOXIC toxic texts, and LIFT times as often as in clean ones
 LEXICON, MIN_TOXIC, LIFT = 2000, 4, 8.0
+#: Score of every text where nothing is labelled
+NO_LABELS = 0.25
 GROUPS = 24
 STEM = 4
 PATTERNS = 8
@@ -225,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     rows = sample.select("text", "toxic").mapInArrow(seen, "bits long, hits long, distinct long, words long, toxic long").toPandas()
     sample.unpersist()
     y = rows["toxic"].to_numpy().astype(float)
-    prior = float(np.clip(y.mean(), 1e-3, 0.999)) if len(y) else 0.5
+    prior = float(np.clip(y.mean(), 1e-3, 0.999)) if len(y) else NO_LABELS
     weights = np.zeros(5 + size)
     weights[0] = np.log(prior / (1 - prior))
     if not lexicon.tokens:
@@ -241,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
 
     from ..session import cut
 
-    patterns = cut(docs.select("text").mapInArrow(pattern, "bits long, c long").groupBy("bits").agg(F.sum("c").alias("c")))
+    patterns = cut(docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(pattern, "bits long, c long").groupBy("bits").agg(F.sum("c").alias("c")))
     model = label_model(patterns, model, prior, size)
     counts = rows[["hits", "distinct", "words"]].to_numpy()
     return lexicon, train(_inputs(v, counts), _posterior(v, model))
