@@ -12,8 +12,8 @@
 
 Learning uses only rows whose crc32(doc_id as text) mod 5 is not 0.  Label, language, source and id are no inputs of a
 score.  Null texts are empty and get the score of a text without hits; repeated rows get equal scores.  Without labelled
-rows, or none of one class, the lexicon is empty and every score is the share of toxic labels; without any label it is
-``NO_LABELS``, under one half.  Texts of any length are read whole; ties take the least doc_id; an empty table gives none;
+rows, or none of one class, the lexicon is empty and every score is the share of toxic labels; without any label it is one half,
+which counts as toxic.  Texts of any length are read whole; ties take the least doc_id; an empty table gives none;
 other columns of either table are not read.
 """
 
@@ -34,8 +34,6 @@ from . import _bytes as B
 FIT_ROWS = 8192
 #: Lexicon: at most so many tokens, each in at least MIN_TOXIC toxic texts, and LIFT times as often as in clean ones
 LEXICON, MIN_TOXIC, LIFT = 2000, 4, 8.0
-#: Score of every text where nothing is labelled
-NO_LABELS = 0.25
 GROUPS = 24
 STEM = 4
 PATTERNS = 8
@@ -229,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     rows = sample.select("text", "toxic").mapInArrow(seen, "bits long, hits long, distinct long, words long, toxic long").toPandas()
     sample.unpersist()
     y = rows["toxic"].to_numpy().astype(float)
-    prior = float(np.clip(y.mean(), 1e-3, 0.999)) if len(y) else NO_LABELS
+    prior = float(np.clip(y.mean(), 1e-3, 0.999)) if len(y) else 0.5
     weights = np.zeros(5 + size)
     weights[0] = np.log(prior / (1 - prior))
     if not lexicon.tokens:

@@ -180,11 +180,20 @@ def test_near_duplicates(spark):
     assert near_duplicates(df.where("false")).count() == 0
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b + " two more"), (3, a + " more"), (4, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    assert sorted((r.doc_id, r.text) for r in drop_near_duplicates(df).collect()) == [(1, a), (1, b), (4, "other")]
+    late = spark.createDataFrame([(9, a), (9, b), (5, b + " two more"), (7, a + " more")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(late).collect()} == {(9, 5), (9, 7), (5, 5), (7, 7)}
+
+
 # --- suffix dedup
 
 
-def test_block_repeats(monkeypatch):
-    monkeypatch.setattr(S, "LENGTH", 12)
+def test_block_repeats():
     rng = random.Random(1)
     base = bytes(rng.choice(b"abc") for _ in range(200))
     for _ in range(150):
@@ -198,12 +207,12 @@ def test_block_repeats(monkeypatch):
         for p in parts:
             for j in range(len(p) - 11):
                 count[p[j : j + 12]] = count.get(p[j : j + 12], 0) + 1
-        piece, start, number, twice = S.block_repeats(parts, sizes)
+        piece, start, number, twice = S.block_repeats(parts, sizes, 12)
         assert len(piece) == sizes.sum() and len(set(number.tolist())) == len(count)
         assert all((count[parts[i][j : j + 12]] > 1) == t for i, j, t in zip(piece, start, twice))
 
 
-def brute_repeats(texts: list[str | None], length: int = 400) -> list[tuple]:
+def brute_repeats(texts: list[str | None], length: int = 400, over_words: int = 0) -> list[tuple]:
     raw = [(t or "").encode() for t in texts]
     count: dict[bytes, int] = {}
     for b in raw:
@@ -217,6 +226,9 @@ def brute_repeats(texts: list[str | None], length: int = 400) -> list[tuple]:
                 cover[s] += 1
                 cover[s + length] -= 1
         on = np.cumsum(cover[:-1]) > 0
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(int)))
+        for x, y in edges.reshape(-1, 2).tolist():
+            on[x:y] = len(b[x:y].split()) > over_words
         out.append((len(b), int(on.sum()), int((np.diff(np.concatenate([[0], on.astype(int)])) == 1).sum()), np.frombuffer(b, np.uint8)[~on].tobytes()))
     return out
 
@@ -241,6 +253,18 @@ def test_suffix_dedup(spark):
     assert S.remove_repeats(df.where("false")).count() == 0
 
 
+def test_suffix_dedup_of_passages(spark):
+    rng = random.Random(15)
+    word = lambda n: " ".join(prose(rng, n))
+    long, short = word(52), word(45)  # the shorter one repeats too, but isn't cut
+    texts = [word(30) + " " + long + " " + word(30), word(9) + " " + long, word(20) + " " + short + " " + word(20), short, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_repeats(texts, 200, 50)
+    assert [w[1] > 0 for w in want] == [True, True, False, False, False, False]
+    for r in S.remove_repeats(df, length=200, over_words=50).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) == want[r.doc_id], r.doc_id
+
+
 def test_blocks_of_one_anchor_meet_by_hash(spark, monkeypatch):
     monkeypatch.setattr(S, "PIECES", 4)
     rng = random.Random(12)
@@ -269,5 +293,5 @@ def test_pipeline(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     texts = {r.doc_id: r.text for r in docs.collect()}
-    want = dict(zip([1, 4, 5, 8, 9], (w[3].decode() for w in brute_repeats([dict(rows)[d] for d in (1, 4, 5, 8, 9)]))))
+    want = dict(zip([1, 4, 5, 8, 9], (w[3].decode() for w in brute_repeats([dict(rows)[d] for d in (1, 4, 5, 8, 9)], 4 * 50, 50))))
     assert {d: texts[d] for d in (1, 5, 8, 9)} == {d: want[d] for d in (1, 5, 8, 9)}
