@@ -17,12 +17,16 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 #: Rows that Python tasks get at once where the session has Spark's default: rows here can be long texts
 BATCH_ROWS = "2000"
 BATCH, DEFAULT_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Their bytes, which long texts reach first
+BATCH_BYTES = str(8 << 20)
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package where it isn't installed, from the folder it lies in, and keeps their batches small."""
     if spark.conf.get(BATCH) == DEFAULT_BATCH:
         spark.conf.set(BATCH, BATCH_ROWS)
+        spark.conf.set(BYTES, BATCH_BYTES)
     environment = spark.sparkContext.environment
     have = environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
