@@ -40,7 +40,7 @@ class _Powers:
     def upto(self, n: int) -> _Powers:
         if self.size < n:
             self.size = max(n, 1 << 16)
-            self.up, self.down = ([self._powers(b) for b in bases] for bases in (_BASES, [pow(b, -1, PRIME) for b in _BASES]))
+            self.up, self.down = ([self._powers(b).astype(np.uint32) for b in bases] for bases in (_BASES, [pow(b, -1, PRIME) for b in _BASES]))
         return self
 
     def _powers(self, base: int) -> np.ndarray:
@@ -90,14 +90,14 @@ def prefix_hash(buf: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray
     out = np.zeros((2, len(buf) + 1), np.uint64)
     for lane, up in enumerate(powers.up):
         byte = (values >> np.uint64(31 * lane)) & np.uint64(PRIME)
-        np.cumsum(_fold(byte[buf] * up[: len(buf)]), out=out[lane, 1:])
+        np.cumsum(_fold(byte[buf] * up[: len(buf)].astype(np.uint64)), out=out[lane, 1:])
     return out
 
 
 def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     lanes = []
     for sums, down in zip(prefix, _POWERS.upto(prefix.shape[1]).down, strict=True):
-        x = _fold(_fold(_fold(_fold(sums[end] - sums[start])) * down[start]))
+        x = _fold(_fold(_fold(_fold(sums[end] - sums[start])) * down[start].astype(np.uint64)))
         x = _fold(x)
         lanes.append(np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x))
     return mix(lanes[0] << np.uint64(32) | lanes[1])

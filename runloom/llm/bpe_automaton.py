@@ -33,7 +33,7 @@ from ._gpt_bytes import BYTE_SYMBOLS
 from ._recent import Recent
 
 #: Words that a generation of a worker's memory holds
-WORDS = 200_000
+WORDS = 80_000
 #: Words of more bytes are walked one at a time
 LONG = 48
 #: Slots of the table of arcs; an arc that falls on another's slot takes its place
@@ -358,7 +358,7 @@ def _map(docs: DataFrame, vocabulary: str, column: str, fields: list[StructField
             # a few texts at a time, so that what is made from them stays small
             inputs = batch.column(len(rest))
             size = pc.fill_null(pc.binary_length(inputs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            group = np.cumsum(size) >> 22
+            group = np.cumsum(size) >> 20
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(inputs)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 made = work(encoder, inputs.slice(a, b - a).to_pylist())
