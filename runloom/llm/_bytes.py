@@ -63,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges [lo, hi) of about ``limit`` bytes with their buffer and boundaries; null is empty text.
 
     A row is never cut: one longer than ``limit`` is a chunk of its own.
