@@ -15,6 +15,7 @@ KEYS = ("object", "kind")
 def merge_adjacent(commands: DataFrame, keys: tuple[str, ...] = KEYS, linear_only: bool = False) -> DataFrame:
     """Chains of commands that touch, continue each other's value, ease alike and rise alike become one.
 
+    Where one of two has no length, both must be flat.
     Slopes are compared with the merged command so far, so an object's kind passes through one task, which holds that
     command and one batch.
     """
@@ -22,10 +23,13 @@ def merge_adjacent(commands: DataFrame, keys: tuple[str, ...] = KEYS, linear_onl
 
     def fits(last: tuple, x: tuple) -> bool:
         (_, s, e, easing, a, b), (_, xs, xe, x_easing, xa, xb) = last, x
-        if None in (s, e, easing, a, b, xs, xe, x_easing, xa, xb) or e - s <= TIME_EPSILON or xe - xs <= TIME_EPSILON or linear_only and x_easing != 0:
+        if None in (s, e, easing, a, b, xs, xe, x_easing, xa, xb) or linear_only and x_easing != 0:
             return False
-        slopes = abs((b - a) / (e - s) - (xb - xa) / (xe - xs))
-        return abs(e - xs) <= TIME_EPSILON and abs(b - xa) <= VALUE_EPSILON and easing == x_easing and slopes <= SLOPE_EPSILON
+        if abs(e - xs) > TIME_EPSILON or abs(b - xa) > VALUE_EPSILON or easing != x_easing:
+            return False
+        if e <= s or xe <= xs:
+            return abs(b - a) <= VALUE_EPSILON and abs(xb - xa) <= VALUE_EPSILON
+        return abs((b - a) / (e - s) - (xb - xa) / (xe - xs)) <= SLOPE_EPSILON
 
     def run(last: tuple | None, piece: dict[str, list]) -> tuple[list[tuple], tuple]:
         done = []

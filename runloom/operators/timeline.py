@@ -1,4 +1,4 @@
-"""Timed commands evaluated at moments.
+"""Timed commands evaluated at moments.
 
 Commands are rows (object, kind, seq, start, end, easing, v_start, v_end); seq is the order of declaration.
 """
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.easing import ease
-from ..functions.scalar import EPSILON_DOUBLE
+from ..functions.scalar import EPSILON_DOUBLE, flicker, transform_point
 
 
 def progress(t: Column, start: Column, end: Column) -> Column:
@@ -75,6 +75,49 @@ def colour(channels: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), channels.cast("int")))
 
 
+#: Values of an object without a command of the kind; a group's x and y default to its pivot
+DEFAULTS = {"MoveX": 0.0, "MoveY": 0.0, "Scale": 1.0, "VectorScaleX": 1.0, "VectorScaleY": 1.0, "Rotate": 0.0, "Fade": 1.0}
+FLAG_KINDS = ("FlipH", "FlipV", "Additive")
+
+
+def evaluate_colour(commands: DataFrame, moments: DataFrame, width: float) -> DataFrame:
+    """Object, t, r, g and b of each moment (object, t) of an object with colour commands (c_start, c_end), as evaluate()."""
+    parts = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(f"c_start.{c}").alias("v_start"), F.col(f"c_end.{c}").alias("v_end")) for c in "rgb"])
+    channels = commands.where("kind = 'Colour'").select("object", "seq", "start", "end", "easing", F.inline(parts))
+    points = moments.select("object", "t", F.explode(F.array(*map(F.lit, "rgb"))).alias("kind"))
+    values = evaluate(channels, points, width)
+    return values.groupBy("object", "t").agg(*[colour(F.max(F.when(F.col("kind") == c, F.col("value")))).alias(c) for c in "rgb"])
+
+
+def states(commands: DataFrame, moments: DataFrame, width: float) -> DataFrame:
+    """Every scalar, flag and colour of each moment (object, t), with defaults for what an object has no commands of."""
+    kinds = commands.select("object", "kind").distinct()
+    at = moments.select("object", F.col("t").cast("double").alias("t")).distinct()
+    scalars = commands.where(F.col("kind").isin(*DEFAULTS))
+    flags = commands.where(F.col("kind").isin(*FLAG_KINDS))
+    points = at.join(kinds, "object")
+    values = evaluate(scalars, points.where(F.col("kind").isin(*DEFAULTS)), width).groupBy("object", "t").agg(*[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in DEFAULTS])
+    on = flag_at(flags, points.where(F.col("kind").isin(*FLAG_KINDS)), width).groupBy("object", "t").agg(*[F.max(F.when(F.col("kind") == k, F.col("flag"))).alias(k) for k in FLAG_KINDS])
+    out = at.join(values, ["object", "t"], "left").join(on, ["object", "t"], "left").join(evaluate_colour(commands, at, width), ["object", "t"], "left")
+    filled = {k: F.coalesce(k, F.lit(v)) for k, v in DEFAULTS.items() if not k.startswith("Move")} | {k: F.coalesce(k, F.lit(False)) for k in FLAG_KINDS} | {c: F.coalesce(c, F.lit(255)) for c in "rgb"}
+    return out.withColumns(filled)
+
+
+def placed(states: DataFrame, base_x: Column, base_y: Column, pivot_x: Column, pivot_y: Column, base_scale: Column) -> DataFrame:
+    """X11: where the states of a group put a point of it: x, y, sx, sy, angle and alpha.
+
+    The offset from the pivot is scaled and mirrored, turned, and moved; a group that doesn't move stays at its pivot.
+    """
+    sx, sy = (F.col("Scale") * F.col(f"VectorScale{a}") for a in "XY")
+    x = transform_point(base_x, pivot_x, sx, F.col("FlipH"))
+    y = transform_point(base_y, pivot_y, sy, F.col("FlipV"))
+    cos, sin = F.cos("Rotate"), F.sin("Rotate")
+    return states.withColumns({
+        "x": F.coalesce("MoveX", pivot_x) + x * cos - y * sin, "y": F.coalesce("MoveY", pivot_y) + x * sin + y * cos,
+        "sx": base_scale * sx, "sy": base_scale * sy, "angle": F.col("Rotate"), "alpha": flicker(F.col("Fade")),
+    })
+
+
 def lifetimes(commands: DataFrame, keys: tuple[str, ...] = ("object",)) -> DataFrame:
     """A4: first start and last end of each object's commands; a loop lasts as often as its cycle is repeated.
 

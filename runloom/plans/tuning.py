@@ -20,7 +20,7 @@ class Parameters:
     tile: int = 64
     colors: int = 0
     quant: int = 32
-    tolerance: int = 0
+    tolerance: int = 8
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def tune(probe: Callable[[list[Parameters]], list[Score]], start: Parameters | N
     """H2, H3: the winner and how many candidates were probed.
 
     ``probe`` scores a list of candidates in one go, so that a Spark job can take an axis at once.  The value that the winner
-    has already is not probed again.
+    has already is not probed again.  If no value of the last axis meets the floor in both folds, the defaults are the answer.
     """
     best = start or Parameters()
     score = probe([best])[0]
@@ -86,7 +86,7 @@ def tune(probe: Callable[[list[Parameters]], list[Score]], start: Parameters | N
         by_value = sorted(scored, key=lambda x: values.index(getattr(x[0], axis)))
         passing = [x for x in by_value if min(x[1].train, x[1].evaluation) >= floor]
         best, score = min(passing, key=lambda x: x[1].cost) if passing else max(by_value, key=lambda x: x[1].train)
-    return best, probed
+    return best if passing else Parameters(), probed
 
 
 def ranked(candidates: DataFrame, groups: list[str]) -> DataFrame:

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as X
 from .functions.easing import ease
-from .operators import bake, blocks, bursts, dedupe, fidelity, render, rewrite, runs, timeline
+from .operators import bake, blocks, bursts, dedupe, document, fidelity, render, rewrite, runs, timeline
 from .plans import sources, tuning
 from .session import ready, shared
-from .sources import storyboard
+from .sources import osb, storyboard
 from .streaming.runs import stream_runs
 
 HOUR = 3_600_000
@@ -466,6 +466,99 @@ def storyboard_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc", "seq", "kind", "easing", F.round(F.col("v_start").cast("double"), 4).alias("v_start"), F.round(F.col("v_end").cast("double"), 4).alias("v_end"))
 
 
+def osb_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A customer's orders as objects of a document, on five layers, a third of them without commands."""
+    null = F.lit(None)
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc"), F.col("o_orderkey").alias("z"), "o_orderpriority")
+    layers = F.array(*map(F.lit, X.LAYERS))
+    objects = o.select(
+        "doc", "z", F.when(F.col("z") % 4 == 0, "Animation").otherwise("Sprite").alias("type"), layers[(F.col("z") % 5).cast("int")].alias("layer"), F.lit("Centre").alias("origin"), F.concat(F.lower("o_orderpriority"), F.lit(".png")).alias("path"),
+        F.lit(320.0).alias("x"), F.lit(240.0).alias("y"), F.lit(4).alias("frame_count"), F.lit(50.0).alias("frame_delay"), F.lit("LoopForever").alias("loop_type"), *[null.cast("double").alias(c) for c in ("start", "fps", "video_start", "video_end")],
+    )
+    own = story_commands(spark, sf_dir).withColumn("object", F.col("doc").cast("long")).drop("doc").where("object % 3 != 0")
+    return objects, own.join(o.select("doc", F.col("z").alias("object")), "object")
+
+
+@query(f"""with {COMMANDS}, t as (select object, seq, case when v_start = 0 then '0' else rtrim(format('{{:.2f}}', v_start), '0') end as a, case when v_end = 0 then '0' else rtrim(format('{{:.2f}}', v_end), '0') end as b, easing, start::bigint::varchar as s, "end"::bigint::varchar as e from cm where object % 3 <> 0),
+la as (select * from (values (0, 'Background'), (1, 'Fail'), (2, 'Pass'), (3, 'Foreground'), (4, 'Overlay')) v(k, layer)),
+l as (select o_custkey::varchar as doc, o_orderkey % 5 as k, o_orderkey as z, seq + 1 as seq, ' F,' || easing || ',' || s || ',' || case when s = e then '' else e end || ',' || a || case when a = b then '' else ',' || b end as line from t join orders on object = o_orderkey
+ union all select o_custkey::varchar, k, o_orderkey, -1, case when o_orderkey % 4 = 0 then 'Animation,' else 'Sprite,' end || layer || ',Centre,"' || lower(o_orderpriority) || '.png",320,240' || case when o_orderkey % 4 = 0 then ',4,50,LoopForever' else '' end
+  from orders join la on o_orderkey % 5 = k where o_orderkey in (select object from t)
+ union all select doc, k, -1, 0, '//Storyboard Layer ' || k || ' (' || layer || ')' from (select distinct o_custkey::varchar as doc from orders), la
+ union all select doc, k, z, 0, line from (select distinct o_custkey::varchar as doc from orders), (values (-1, 0, '[Events]'), (-1, 1, '//Background and Video events'), (5, 0, '//Storyboard Sound Samples')) v(k, z, line))
+select doc, string_agg(line, chr(10) order by k, z, seq) || chr(10) as value from l group by 1""")
+def osb_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as .osb files"""
+    return osb.write(*osb_parts(spark, sf_dir))
+
+
+@query(f"""with {COMMANDS} select o_custkey::varchar as doc, o_orderkey % 5 as layer_ord, lower(o_orderpriority) || '.png' as path, count(distinct o_orderkey) as objects, count(*) as commands, round(sum(round(v_start, 4)), 4) as v_start
+from cm join orders on object = o_orderkey where object % 3 <> 0 group by 1, 2, 3""")
+def osb_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written files read again"""
+    objects, c = osb.read(osb.write(*osb_parts(spark, sf_dir)))
+    both = objects.select("doc", F.col("z").alias("object"), F.col("layer_ord").cast("long").alias("layer_ord"), "path").join(c, ["doc", "object"])
+    return both.groupBy("doc", "layer_ord", "path").agg(F.count_distinct("object").alias("objects"), F.count("*").alias("commands"), F.round(F.sum(F.round(F.col("v_start").cast("double"), 4)), 4).alias("v_start"))
+
+
+@query(f"""with {COMMANDS}, n as (select o_custkey as d, count(*) as commands from cm join orders on object = o_orderkey where object % 3 <> 0 group by 1)
+select o_custkey::varchar as doc, count(*) filter (o_orderkey % 4 <> 0) as sprites, count(*) filter (o_orderkey % 4 = 0) as animations, coalesce(any_value(commands), 0) as commands from orders left join n on o_custkey = d group by 1""")
+def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2, A3"""
+    return document.document_counts(*osb_parts(spark, sf_dir))
+
+
+@query("""select o_custkey::varchar as doc, ['Background', 'Fail', 'Pass', 'Foreground', 'Overlay'][(o_orderkey % 5 + 1)::int] as layer, count(*) as objects from orders group by 1, 2""")
+def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A16"""
+    return document.layer_counts(osb_parts(spark, sf_dir)[0])
+
+
+@query(f"""with {EVENTS}, s as (select user_id, event_type as stage, sum(round(value * 100))::bigint as total, max(round(value * 100))::bigint as longest from ev group by 1, 2)
+select *, round(total / sum(total) over (partition by user_id), 9) as share from s""")
+def stage_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as probes of stages"""
+    times = events(spark, sf_dir).select("user_id", F.col("event_type").alias("stage"), F.round(F.col("value") * 100).cast("long").alias("ms"))
+    return document.stage_shares(times, ["user_id"]).withColumn("share", F.round("share", 9))
+
+
+@query("""with n as (select c_custkey as doc, count(o_orderkey) as frames, coalesce(avg(case when o_orderkey % 7 = 0 then round(o_totalprice * 100)::bigint end), 0) as mean, c_nationkey + 1 as w, c_custkey % 9 + 1 as h,
+ coalesce(sum(round(o_totalprice * 100)::bigint) filter (o_orderkey % 2 = 0), 0)::bigint as asset_bytes, count(*) filter (o_orderkey % 2 = 0) as assets from customer join orders on c_custkey = o_custkey group by all)
+select doc, frames, w * h * 3 * frames as raw_bytes, assets, asset_bytes, trunc(mean * frames)::bigint as naive_bytes from n""")
+def encode_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as frames, every seventh sampled, every second stored"""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("bytes"))
+    frames = o.groupBy("doc").agg(F.count("*").alias("frames"))
+    counts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), (F.col("c_nationkey") + 1).alias("width"), (F.col("c_custkey") % 9 + 1).alias("height")).join(frames, "doc")
+    naive = document.naive_bytes(o.where("o_orderkey % 7 = 0").join(frames, "doc"), F.col("frames"))
+    out = document.encode_statistics(counts, o.where("o_orderkey % 2 = 0").select("doc", "bytes"), naive)
+    return out.select("doc", "frames", "raw_bytes", "assets", "asset_bytes", "naive_bytes")
+
+
+def colour_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An order's line items as linear colour commands, and three moments of it."""
+    l = table(spark, sf_dir, "lineitem")
+    rgb = lambda x: F.struct(F.col("l_quantity").cast("int").alias("r"), (F.col(x) * 1000).cast("int").alias("g"), (255 - F.col("l_linenumber") * 20).cast("int").alias("b"))
+    start = days("l_shipdate")
+    c = l.select(F.col("l_orderkey").alias("object"), F.lit("Colour").alias("kind"), line_order().alias("seq"), start.alias("start"), (start + F.col("l_quantity")).alias("end"), F.lit(0).alias("easing"), rgb("l_discount").alias("c_start"), rgb("l_tax").alias("c_end"))
+    return c, moments(spark, sf_dir).select("object", "t").distinct()
+
+
+COLOURS = f"""{COMMANDS}, cc as (select object, seq, start, "end", l_q as r, (v_start * 1000)::int as g0, (v_end * 1000)::int as g1, 255 - easing_n * 20 as b from (select *, ("end" - start)::int as l_q, easing as easing_n from cm)),
+tt as (select o_orderkey as object, {MS.format('o_orderdate')} // {DAY} + k as t from orders, (values (20), (60), (100)) v(k)),
+ends as (select object, arg_min(struct_pack(s := start, r := r, g := g0, b := b), seq) as f, arg_max(struct_pack(r := r, g := g1, b := b), ("end", seq)) as l from cc group by 1),
+act as (select tt.object, t, arg_max(struct_pack(s := start, e := "end", r := r, g0 := g0, g1 := g1, b := b), seq) as a from tt join cc on tt.object = cc.object and start <= t and t <= "end" group by 1, 2),
+col as (select object, t, case when a is not null then a.r when t < f.s then f.r else l.r end as r,
+ case when a is not null then trunc(round(a.g0 + (a.g1 - a.g0) * case when a.e = a.s then 1.0 else (t - a.s) / (a.e - a.s) end, 9))::int when t < f.s then f.g else l.g end as g,
+ case when a is not null then a.b when t < f.s then f.b else l.b end as b from tt join ends using (object) left join act using (object, t))"""
+
+
+@query(f"""with {COLOURS} select object, t::double as t, r::int as r, g::int as g, b::int as b from col""")
+def colour_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X2"""
+    return timeline.evaluate_colour(*colour_parts(spark, sf_dir), width=30.0)
+
+
 @query(f"""with {PIXELS} select vec_id, (i // 8 // 4)::int as "row", (i % 8 // 4)::int as col, min(4) as w, sum(b)::bigint as total from pq group by 1, 2, 3""")
 def tile_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 8 by 8 images cut into tiles of 4"""

@@ -38,9 +38,9 @@ def split_lines(files: DataFrame) -> DataFrame:
 
 def parse(lines: DataFrame) -> DataFrame:
     """doc, line_no, depth, object (its line), parent (its line), fields and error of each line that isn't blank or a comment."""
-    depth = F.length(F.regexp_extract("line", r"^([ _]*)", 1))
+    indent = F.regexp_extract("line", r"^([ _]*)", 1)
     body = F.regexp_replace("line", r"^[ _]+|[ _]+$", "")
-    rows = lines.withColumns({"depth": depth, "body": body}).where("body != '' and not startswith(body, '//')")
+    rows = lines.withColumns({"indent": indent, "depth": F.length(indent), "body": body}).where("body != '' and not startswith(body, '//')")
     before = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     opened = F.array(*[F.last(F.when(F.col("depth") <= k, F.struct("line_no", "depth", F.substring_index("body", ",", 1).alias("type"))), True).over(before) for k in range(MAX_DEPTH)])
@@ -55,7 +55,8 @@ def parse(lines: DataFrame) -> DataFrame:
         .when(F.when(F.col("depth") == 0, ~type_.isin(*HEADERS)).otherwise(~type_.isin(*ARITY)), "unknown type")
         .when((F.size("fields") < least[type_]) | (F.size("fields") > most[type_]), "wrong number of fields")
     )
-    return fields.select("doc", "line_no", "depth", "object", F.col("parent_line.line_no").alias("parent"), type_.alias("type"), "fields", wrong.alias("error"))
+    # depth leaves as a value of its own: a filter on it must not be put in its place inside the checks
+    return fields.select("doc", "line_no", F.length("indent").alias("depth"), "object", F.col("parent_line.line_no").alias("parent"), type_.alias("type"), "fields", wrong.alias("error"))
 
 
 def checked(parsed: DataFrame) -> DataFrame:

@@ -225,7 +225,7 @@ def test_search(spark):
         calls.extend(candidates)
         return [tuning.Score(30, 30, 100_000, 500) if c == tuning.Parameters() else tuning.Score(25, 25, 200_000, 500) for c in candidates]
 
-    assert tuning.tune(probe) == (tuning.Parameters(64, 0, 32, 0), 10) and len(calls) == len(set(calls)) == 10
+    assert tuning.tune(probe) == (tuning.Parameters(64, 0, 32, 8), 10) and len(calls) == len(set(calls)) == 10
     lossy = lambda cs: [tuning.Score(29.5, 29.5, 50_000, 500) if c.colors == 16 else tuning.Score(30, 30, 100_000, 500) for c in cs]
     assert tuning.tune(lossy)[0].colors == 16
     fooled = lambda cs: [tuning.Score(29.8, 20, 50_000, 500) if c.colors == 16 else tuning.Score(30, 30, 100_000, 500) for c in cs]
