@@ -1,4 +1,4 @@
-"""How near a reconstruction is."""
+"""How near a reconstruction is."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Frames rendered from placed objects, and tiles joined to blocks."""
+"""Frames rendered from placed objects, and tiles joined to blocks."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""The indented text form of a storyboard, to and from tables.
+"""The indented text form of a storyboard, to and from tables.
 
 A file is an ordered list of objects; a line at depth d (leading spaces or underscores) belongs to the last line at depth
 d - 1, which must be an object, loop or trigger.  Lines are parsed with column expressions; only the links between lines
