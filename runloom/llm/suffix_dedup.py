@@ -279,7 +279,14 @@ def _blocks(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """id, k (hash of the text) and spans (array of start and end in bytes, unsorted) of rows with repeated strings."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("k"), F.col(text).alias("text"))
+    return _spans_of(_keyed(docs, text), length)
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("k"), F.col(text).alias("text"))
+
+
+def _spans_of(keyed: DataFrame, length: int) -> DataFrame:
     long_rows = keyed.where(F.octet_length("text") >= length)
     cut = stash(long_rows.mapInArrow(partial(_anchored, length), "id long, k long, first long, size int, anchor long, content long"))
     again = cut.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
@@ -322,6 +329,28 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     return spans
 
 
+def _with_run(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of rows whose spans cover ``length`` bytes in one run at least."""
+    for batch in batches:
+        runs = (_joined(x) for x in batch.column(2))
+        yield batch.select([0, 1]).filter(pa.array([bool(len(r) and (r[:, 1] - r[:, 0]).max() >= length) for r in runs], pa.bool_()))
+
+
+def spans_of_both(docs: DataFrame, text: str, length: int, shorter: int) -> DataFrame:
+    """id, k, spans (repeated strings of ``length`` bytes, or null) and passages (those of ``shorter`` bytes).
+
+    All strings of the shorter length within a repeated string repeat, at both its places.  So only texts that these cover
+    in a run of ``length`` bytes can hold one, and nothing else is searched a second time.
+    """
+    keyed = _keyed(docs, text)
+    passages = _spans_of(keyed, shorter).withColumnRenamed("spans", "passages")
+    with_run = passages.mapInArrow(partial(_with_run, length), "id long, k long")
+    texts = stash(keyed.join(with_run.hint("shuffle_hash"), ["id", "k"], "left_semi"))
+    spans = _spans_of(texts, length)
+    discard(texts)
+    return passages.join(spans, ["id", "k"], "left")
+
+
 def _joined(spans: pa.Scalar) -> np.ndarray:
     """The union of some spans as sorted disjoint spans that don't touch."""
     if not spans.is_valid:
@@ -336,18 +365,26 @@ def _joined(spans: pa.Scalar) -> np.ndarray:
     return np.stack([a[i], b[np.append(i[1:], len(a)) - 1]], axis=1)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", decode: bool = False, length: int = LENGTH, over_words: int = 0) -> DataFrame:
+def _wordy(raw: bytes, runs: np.ndarray, words: int) -> np.ndarray:
+    """The runs that hold more than ``words`` words, all with 0."""
+    return runs[[len(raw[a:b].split()) > words for a, b in runs.tolist()]] if words and len(runs) else runs
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", decode: bool = False, length: int = LENGTH, over_words: int = 0, passage_words: int = 0) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept_bytes (binary, or kept_text if ``decode``) to the rows of ``docs``, all but ``text``.
 
     Removed are the bytes covered by repeated strings of ``length`` bytes, in runs that hold more than ``over_words`` words.
+    With ``passage_words`` also n_passages and passage_bytes: the number and bytes of runs of repeated strings of four bytes
+    a word (less than ``length``) that hold more words than that.  They are reported, not removed.
     Columns of ``docs`` with a result's name are replaced.
     """
-    added = ("n_bytes", "n_removed", "n_spans", "kept_text" if decode else "kept_bytes")
+    counts = ("n_bytes", "n_removed", "n_spans", *(("n_passages", "passage_bytes") if passage_words else ()))
+    added = (*counts, "kept_text" if decode else "kept_bytes")
     rest = [c for c in docs.columns if c not in added and c != text]
-    spans = repeated_spans(docs, text, length)
+    spans = spans_of_both(docs, text, length, 4 * passage_words) if passage_words else repeated_spans(docs, text, length)
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     own = [f"c{i}" for i in range(len(rest))]
-    source = keyed.join(spans, ["id", "k"], "left").select(*own, "text", "spans")
+    source = keyed.join(spans, ["id", "k"], "left").select(*own, "text", "spans", *(["passages"] if passage_words else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,21 +393,22 @@ def remove_repeats(docs: DataFrame, text: str = "text", decode: bool = False, le
             group = np.cumsum(size) >> 24
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
             for x, y in zip(cuts, cuts[1:], strict=False):
-                kept, removed, n = [], [], []
+                kept, removed, n, seen = [], [], [], []
                 for i in range(x, y):
                     raw = texts[i].as_py()
-                    cut = _joined(spans[i])
-                    if over_words:
-                        cut = cut[[len(raw[a:b].split()) > over_words for a, b in cut.tolist()]]
+                    cut = _wordy(raw, _joined(spans[i]), over_words)
+                    if passage_words:
+                        seen.append(_wordy(raw, _joined(batch.column(len(own) + 2)[i]), passage_words))
                     removed.append(int((cut[:, 1] - cut[:, 0]).sum()))
                     n.append(len(cut))
                     edges = [0, *cut.ravel().tolist(), len(raw)]
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if n[-1] else raw)
-                yield pa.RecordBatch.from_arrays([*batch.slice(x, y - x).columns[:-2], pa.array(size[x:y]), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if decode else pa.array(kept, pa.binary())], [*own, *added])
+                found = [[len(r) for r in seen], [int((r[:, 1] - r[:, 0]).sum()) for r in seen]] if passage_words else []
+                yield pa.RecordBatch.from_arrays([*batch.slice(x, y - x).columns[: len(own)], pa.array(size[x:y]), *(pa.array(v, pa.int64()) for v in (removed, n, *found)), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if decode else pa.array(kept, pa.binary())], [*own, *added])
 
     from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-    schema = StructType([*(source.schema[c] for c in own), *(StructField(c, LongType()) for c in added[:3]), StructField(added[3], StringType() if decode else BinaryType())])
+    schema = StructType([*(source.schema[c] for c in own), *(StructField(c, LongType()) for c in counts), StructField(added[-1], StringType() if decode else BinaryType())])
     out = source.mapInArrow(run, schema)
     return out.select(*[F.col(c).alias(n) for c, n in zip(own, rest, strict=True)], *added)
 

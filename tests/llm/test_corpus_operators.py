@@ -245,12 +245,17 @@ def test_suffix_dedup(spark):
     assert len(got) == len(texts)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) == want[r.doc_id], r.doc_id
+    passages = brute_repeats(texts, 200, 50)
+    for r in S.remove_repeats(df, passage_words=50).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) == want[r.doc_id], r.doc_id
+        assert (r.passage_bytes, r.n_passages) == passages[r.doc_id][1:3], r.doc_id
     again = S.remove_repeats(df.unionByName(df.where("doc_id = 6"))).where("doc_id = 6").collect()
     assert [r.n_removed for r in again] == [len(texts[6].encode())] * 2
     clean = {r.doc_id: r.text for r in S.dedup_text(df).collect()}
     assert clean == {i: w[3].decode("utf-8", "ignore") for i, w in enumerate(want)}
     assert {r.n_spans for r in S.dedup_text(df).collect()} == {1}  # the input's own column
     assert S.remove_repeats(df.where("false")).count() == 0
+    assert S.remove_repeats(df.where("false"), passage_words=50).count() == 0
 
 
 def test_suffix_dedup_of_passages(spark):
@@ -263,6 +268,8 @@ def test_suffix_dedup_of_passages(spark):
     assert [w[1] > 0 for w in want] == [True, True, False, False, False, False]
     for r in S.remove_repeats(df, length=200, over_words=50).collect():
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) == want[r.doc_id], r.doc_id
+    for r in S.remove_repeats(df, passage_words=50).collect():  # too short to be cut at 400 bytes, and reported
+        assert (r.n_removed, r.passage_bytes, r.n_passages) == (0, *want[r.doc_id][1:3]), r.doc_id
 
 
 def test_blocks_of_one_anchor_meet_by_hash(spark, monkeypatch):
