@@ -16,6 +16,7 @@ from .functions.easing import ease
 from .operators import bake, blocks, bursts, dedupe, document, fidelity, render, rewrite, runs, timeline
 from .plans import sources, tuning
 from .session import ready, shared
+from .sources import frames as frames_
 from .sources import osb, storyboard
 from .streaming.runs import stream_runs
 
@@ -81,7 +82,13 @@ def streamed_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("user_id"), F.unix_millis("start").alias("start"), F.unix_millis("end").alias("end"), "n", "content")
 
 
-@query()
+@query(f"""with recursive {EVENTS}, n as (select user_id, t, value, least(255, floor(value / 8) * 8 + 4)::int as step,
+ row_number() over (partition by user_id order by t nulls last, value nulls last) as k from ev),
+f as (select user_id, k, t, value, value as snapshot, step as opened, 1 as run from n where k = 1 union all
+ select n.user_id, n.k, n.t, n.value, case when goes then snapshot else n.value end, case when goes then opened else n.step end, case when goes then run else run + 1 end
+ from (select n.*, f.snapshot, f.opened, f.run, n.step = f.opened or abs(n.value - f.snapshot) <= 10 as goes from f join n on n.user_id = f.user_id and n.k = f.k + 1) n),
+r as (select user_id, run, min(t) as start, max(t) as last, count(*) as n, min(snapshot) as value from f group by 1, 2)
+select user_id, start, coalesce(lead(start) over (partition by user_id order by run), last) as "end", n::bigint as n, value from r""")
 def tolerant_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W2, F3"""
     return runs.tolerant_runs(events(spark, sf_dir), ["user_id"], "t", "value", X.quantize(F.col("value"), 32), 10.0)
@@ -234,6 +241,31 @@ max(coalesce(case when l_returnflag = 'A' then null else {MS.format('l_shipdate'
 from lineitem join orders on l_orderkey = o_orderkey group by 1, 2""")
 def source_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uses of a source (priority, supplier) with open starts and ends"""
+    return sources.plan_sources(*source_members(spark, sf_dir), SOURCE, "l_orderkey")
+
+
+SOURCE = ["path", "l_suppkey"]
+PLANS = f"""with mb as (select lower(o_orderpriority) as path, l_suppkey, l_orderkey, case when l_returnflag = 'N' then 0 else {MS.format('l_shipdate')} // {DAY} end as s, case when l_returnflag = 'A' then 20000.0 else {MS.format('l_shipdate')} // {DAY} + l_quantity end as e from lineitem join orders on l_orderkey = o_orderkey),
+pl as (select path, l_suppkey, min(s)::double as union_start, max(e)::double as union_end from mb group by 1, 2)"""
+
+
+@query(f"{PLANS} select l_orderkey, path, l_suppkey, union_start, union_end from mb join pl using (path, l_suppkey)")
+def planned_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a source with the window to decode for it"""
+    members, media = source_members(spark, sf_dir)
+    out = sources.assign_members(members, sources.plan_sources(members, media, SOURCE, "l_orderkey"), SOURCE)
+    return out.select("l_orderkey", *SOURCE, "union_start", "union_end")
+
+
+@query(f'{PLANS} select distinct s::double as start, e::double as "end" from mb')
+def decode_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of all uses, each once"""
+    members, _ = source_members(spark, sf_dir)
+    return sources.distinct_windows(members.select(F.coalesce("start", F.lit(0.0)).alias("start"), F.coalesce("end", F.lit(20000.0)).alias("end")))
+
+
+def source_members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The uses of the sources, and the length of each source."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_shipdate", "l_quantity")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     m = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -241,7 +273,7 @@ def source_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") != "N", days("l_shipdate")).alias("start"), F.when(F.col("l_returnflag") != "A", days("l_shipdate") + F.col("l_quantity")).alias("end"),
     )
     media = m.select("path", "l_suppkey").distinct().withColumn("duration", F.lit(20000.0))
-    return sources.plan_sources(m, media, ["path", "l_suppkey"], "l_orderkey")
+    return m, media
 
 
 COMMANDS = f"""cm as (select l_orderkey as object, l_returnflag as kind, ((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::bigint as seq, {MS.format('l_shipdate')} // {DAY}::double as start, ({MS.format('l_shipdate')} // {DAY}) + l_quantity as "end", l_linenumber % 35 as easing, l_discount as v_start, l_tax as v_end from lineitem)"""
@@ -292,6 +324,21 @@ def object_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.lifetimes(commands(spark, sf_dir)).where("end - start >= 60")
 
 
+@query(f'with {COMMANDS} select coalesce(max("end"), 0)::double as duration from cm')
+def story_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of the last order's lifetime"""
+    return timeline.duration(timeline.lifetimes(commands(spark, sf_dir)))
+
+
+@query(f"""with {COMMANDS}, lt as (select object, min(start) as start, max("end") as "end" from cm group by 1),
+o as (select o_orderkey as object, ({MS.format('o_orderdate')} // {DAY} + o_custkey % 200)::double as t from orders)
+select object, start, "end", t from lt join o using (object) where start <= t and t <= "end" """)
+def alive_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders that are under way some days, up to 200, after their date"""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("object"), (days("o_orderdate") + F.col("o_custkey") % 200).alias("t"))
+    return timeline.alive(timeline.lifetimes(commands(spark, sf_dir)).join(o, "object"), F.col("t")).select("object", "start", "end", "t")
+
+
 @query(f"""with x as (select l_orderkey, l_linenumber, l_linenumber % 8 as easing, l_discount * 10 as p from lineitem) select l_orderkey, l_linenumber, easing, round({CURVE}, 9) as eased from x""")
 def eased_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Easing curves"""
@@ -314,7 +361,10 @@ def covered_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.drop_covered(flat_commands(spark, sf_dir), width=30.0).select("object", "kind", "seq", "start", "end", "v_start")
 
 
-@query()
+@query("""with l as (select l_orderkey as object, ((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::bigint as seq, l_quantity as q, case when l_returnflag = 'N' then 1 else 2 end as tenths from lineitem),
+c as (select *, sum(q) over w as e, sum(q * tenths) over w / 10 as b, lag(tenths) over w is distinct from tenths as opens from l window w as (partition by object order by seq)),
+g as (select *, sum(opens::int) over (partition by object order by seq) as run from c)
+select object, 'F' as kind, min(seq) as seq, min(e - q)::double as start, max(e)::double as "end", 0 as easing, round(min(b - q * tenths / 10), 6) as v_start, round(max(b), 6) as v_end from g group by object, run""")
 def merged_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's line items laid end to end, rising by a tenth of their quantity"""
     from pyspark.sql import Window
@@ -323,7 +373,8 @@ def merged_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("object"), F.lit("F").alias("kind"), line_order().alias("seq"), "l_quantity", F.when(F.col("l_returnflag") == "N", 0.1).otherwise(0.2).alias("slope"))
     ends = F.sum("l_quantity").over(by)
     rises = F.sum(F.col("l_quantity") * F.col("slope")).over(by)
-    return rewrite.merge_adjacent(l.select("object", "kind", "seq", (ends - F.col("l_quantity")).alias("start"), ends.alias("end"), F.lit(0).alias("easing"), (rises - F.col("l_quantity") * F.col("slope")).alias("v_start"), rises.alias("v_end")))
+    merged = rewrite.merge_adjacent(l.select("object", "kind", "seq", (ends - F.col("l_quantity")).alias("start"), ends.alias("end"), F.lit(0).alias("easing"), (rises - F.col("l_quantity") * F.col("slope")).alias("v_start"), rises.alias("v_end")))
+    return merged.withColumns({c: F.round(c, 6) for c in ("v_start", "v_end")})
 
 
 @query("""with s as (select conv_id, count(*) as n, list(coalesce(role, '') order by turn) as r, list(turn order by turn) as k from conversations group by 1),
@@ -567,14 +618,104 @@ def tile_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.groupBy("vec_id", row.alias("row"), col.alias("col")).agg(F.max(X.tile_bounds(col, row, 4, 8, 8)["w"]).alias("w"), F.sum("b").alias("total"))
 
 
-@query(f"""with {PIXELS} select vec_id as frame, sum(a)::bigint * 3 as total from px group by 1""")
+@query(f"""with {PIXELS}, cells as (select vec_id, y, x, (y - 1) * 8 + x - 2 as i, x between 2 and 9 and y between 1 and 8 as inside from (select distinct vec_id from px), range(10) r(y), range(12) q(x))
+select cells.vec_id as frame, sha256(string_agg(case when inside then repeat(printf('%02X', a), 3) else '000000' end, '' order by y, x)) as digest
+from cells left join px on inside and cells.vec_id = px.vec_id and cells.i = px.i group by 1""")
 def rendered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as grey 8 by 8 images, drawn on a frame of their own"""
-    grey = F.array_sort(F.collect_list(F.struct("i", "a")))
-    images = pixels(spark, sf_dir).groupBy("vec_id").agg(F.unhex(F.array_join(F.transform(grey, lambda p: F.repeat(F.lpad(F.hex(p["a"]), 2, "0"), F.lit(3))), "")).alias("rgb"))
-    placed = images.select(
+    """Embeddings as grey 8 by 8 images, drawn on a frame of their own; every byte at its place"""
+    placed = grey_images(spark, sf_dir).select(
         F.col("vec_id").alias("frame"), F.lit(0).alias("z"), F.lit(8).alias("w"), F.lit(8).alias("h"), "rgb", *[F.lit(v).alias(k) for k, v in (("x", 2.0), ("y", 1.0), ("sx", 1.0), ("sy", 1.0), ("angle", 0.0), ("alpha", 1.0), ("additive", False), ("r", 255), ("g", 255), ("b", 255))]
     )
-    frames = render.render_frames(placed, 12, 10)
-    bytes_ = F.transform(F.sequence(F.lit(1), F.length("rgb")), lambda i: F.conv(F.hex(F.substring("rgb", i, F.lit(1))), 16, 10).cast("int"))
-    return frames.select("frame", F.aggregate(bytes_, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    return render.render_frames(placed, 12, 10).select("frame", F.sha2(F.hex("rgb"), 256).alias("digest"))
+
+
+def grey_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id and the 8 by 8 pixels of an embedding, three equal bytes each."""
+    grey = F.array_sort(F.collect_list(F.struct("i", "a")))
+    return pixels(spark, sf_dir).groupBy("vec_id").agg(F.unhex(F.array_join(F.transform(grey, lambda p: F.repeat(F.lpad(F.hex(p["a"]), 2, "0"), F.lit(3))), "")).alias("rgb"))
+
+
+def cut_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = grey_images(spark, sf_dir).select(F.lit("e").alias("source"), F.col("vec_id").alias("frame"), F.lit(0.0).alias("ts"), F.lit(8).alias("width"), F.lit(8).alias("height"), "rgb")
+    return frames_.extract_tiles(frames, 4)
+
+
+@query(f"""with {PIXELS} select vec_id as frame, (i % 8 // 4)::int as col, (i // 8 // 4)::int as "row", min(i % 8)::int as x, min(i // 8)::int as y, 4 as w, 4 as h,
+ sha256(string_agg(repeat(printf('%02X', a), 3), '' order by i)) as digest from px group by 1, 2, 3""")
+def extracted_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as images, cut into tiles of 4"""
+    return cut_images(spark, sf_dir).select("frame", "col", "row", "x", "y", "w", "h", F.sha2(F.hex("rgb"), 256).alias("digest"))
+
+
+@query(f"""with {PIXELS} select vec_id as block, 8 as w, 8 as h, sha256(string_agg(repeat(printf('%02X', a), 3), '' order by i)) as digest from px group by 1""")
+def joined_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles spliced to blocks again"""
+    out = render.join_tiles(cut_images(spark, sf_dir).select(F.col("frame").alias("block"), "col", "row", "rgb"), 4)
+    return out.select("block", "w", "h", F.sha2(F.hex("rgb"), 256).alias("digest"))
+
+
+@query(f"""with {PIXELS} select vec_id, i // 3 as k, trunc(0.299::double * max(a) filter (i % 3 = 0) + 0.587::double * max(a) filter (i % 3 = 1) + 0.114::double * max(a) filter (i % 3 = 2))::int as luma
+from px where i < 63 group by 1, 2""")
+def pixel_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three numbers of an embedding as one pixel"""
+    part = lambda c: F.max(F.when(F.col("i") % 3 == c, F.col("a")))
+    px = pixels(spark, sf_dir).where("i < 63").groupBy("vec_id", F.floor(F.col("i") / 3).alias("k"))
+    return px.agg(X.luma(part(0), part(1), part(2)).alias("luma"))
+
+
+@query("""with d as (select o_orderkey, (o_custkey % 1280 + 1)::int as w, (o_orderkey % 720 + 1)::int as h, o_orderpriority || '.png' as base from orders),
+g as (select *, (w - 1) // 16 as c, (h - 1) // 16 as r, greatest(640.0 / w, 480.0 / h) as fit from d)
+select o_orderkey, (c * 16)::int as x, (r * 16)::int as y, least(16, w - c * 16)::int as w, least(16, h - r * 16)::int as h, w - c * 16 >= 16 and h - r * 16 >= 16 as is_full,
+ round(480.0 / h, 6) as scale, round((w / (h / 480.0) - 640.0) / 2, 6) + 0.0::double as off_x, round(fit, 6) as fit, round(w / 2.0 * fit - 320, 6) + 0.0::double as fit_x, round(h / 2.0 * fit - 240, 6) + 0.0::double as fit_y,
+ round(10 * fit - (w / 2.0 * fit - 320), 6) + 0.0::double as on_canvas, 10.0::double as on_pixel, replace(base, '.', (o_orderkey % 7)::varchar || '.') as path from g""")
+def tile_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a frame of its own size, with its last tile"""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_custkey") % 1280 + 1).cast("int").alias("w"), (F.col("o_orderkey") % 720 + 1).cast("int").alias("h"))
+    col, row = (F.floor((F.col(c) - 1) / 16).cast("int") for c in "wh")
+    o = o.select("*", X.tile_bounds(col, row, 16, F.col("w"), F.col("h")).alias("tile"), X.canvas_mapping(F.col("w"), F.col("h")).alias("map"), X.centred_mapping(F.col("w"), F.col("h"), F.lit(320.0), F.lit(240.0)).alias("fit"))
+    on_canvas = X.to_canvas(F.lit(10.0), F.col("fit.scale"), F.col("fit.off_x"))
+    return o.select(
+        "o_orderkey", "tile.*", X.is_full_tile(F.col("tile"), 16).alias("is_full"), F.round("map.scale", 6).alias("scale"), F.round("map.off_x", 6).alias("off_x"),
+        F.round("fit.scale", 6).alias("fit"), F.round("fit.off_x", 6).alias("fit_x"), F.round("fit.off_y", 6).alias("fit_y"), F.round(on_canvas, 6).alias("on_canvas"),
+        F.round(X.to_pixel(on_canvas, F.col("fit.scale"), F.col("fit.off_x")), 6).alias("on_pixel"), X.frame_path(F.concat("o_orderpriority", F.lit(".png")), (F.col("o_orderkey") % 7)).alias("path"),
+    )
+
+
+@query("""with d as (select o_orderkey, o_custkey, o_orderkey % 3 as form, round(o_totalprice * 1000)::bigint as n, o_custkey % 60 as ss, o_orderkey % 60 as mm, o_orderkey % 24 as hh from orders)
+select o_orderkey, case when form > 0 then (o_custkey % 2000)::int end as w, case when form > 0 then mm::int end as h,
+ case form when 0 then ss when 1 then mm * 60 + ss else hh * 3600 + mm * 60 + ss end::double as seconds,
+ regexp_replace((case when n < 1024 then n when n < 1048576 then round(n / 1024, 2) when n < 1073741824 then round(n / 1048576, 2) else round(n / 1073741824, 2) end)::double::varchar, '\\.0$', '')
+  || case when n < 1024 then ' B' when n < 1048576 then ' KB' when n < 1073741824 then ' MB' else ' GB' end as size,
+ case when ss = 0 then 0 else round(1 - mm / ss, 6) end::double as saved, n::varchar as ms from d""")
+def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and times read from texts, and numbers written as texts"""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 2000).alias("w"), (F.col("o_orderkey") % 3).alias("form"), F.round(F.col("o_totalprice") * 1000).cast("long").alias("n"), (F.col("o_custkey") % 60).alias("ss"), (F.col("o_orderkey") % 60).alias("mm"), (F.col("o_orderkey") % 24).alias("hh"))
+    size = X.parse_size(F.when(F.col("form") > 0, F.concat("w", F.lit("x"), "mm")).otherwise(F.concat("w", F.lit("by"), "mm")))
+    time = F.when(F.col("form") == 0, F.col("ss").cast("string")).when(F.col("form") == 1, F.concat_ws(":", "mm", "ss")).otherwise(F.concat_ws(":", "hh", "mm", "ss"))
+    return o.select(
+        "o_orderkey", size["w"].alias("w"), size["h"].alias("h"), X.parse_time(time).alias("seconds"), X.format_bytes(F.col("n")).alias("size"),
+        F.round(X.reduction(F.col("mm"), F.col("ss")), 6).alias("saved"), X.format_time(F.col("n").cast("double")).alias("ms"),
+    )
+
+
+@query("""select sha256(o_orderstatus || chr(31) || o_orderpriority) as content, count(*) as n from orders group by o_orderstatus, o_orderpriority""")
+def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5"""
+    return table(spark, sf_dir, "orders").groupBy(X.content_hash(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("content")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with o(k, name, fx, fy) as (values {", ".join(f"({i}, '{n}', {x}, {y})" for i, (n, (x, y)) in enumerate(X.ORIGINS.items()))}),
+d as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity as q, l_partkey % 10 as k, l_partkey % 5 as layer, l_tax::float as a, l_discount::float as b, (l_suppkey % 11 / 10)::float as p, l_returnflag = 'N' as forever, trunc((l_quantity * 10 - 100) / 7)::bigint as f from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, q, case when q / 10 > 1 then (q / 10) % 1 else q / 10 end as alpha, round((a + (b - a) * p)::double, 5) as mixed,
+ case when forever then (f % 9 + 9) % 9 else greatest(0, least(f, 8)) end as frame, name as origin, fx::double as fx, fy::double as fy, layer::int as layer from d join o using (k)""")
+def object_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as objects of a layer and origin"""
+    names = F.array(*[F.lit(x) for x in X.ORIGINS])
+    l = table(spark, sf_dir, "lineitem").withColumn("origin", F.get(names, (F.col("l_partkey") % 10).cast("int"))).withColumn("layer_name", F.get(F.array(*[F.lit(x) for x in X.LAYERS]), (F.col("l_partkey") % 5).cast("int")))
+    place = X.origin_fraction(F.col("origin"))
+    return l.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("q"), X.flicker(F.col("l_quantity") / 10).alias("alpha"),
+        F.round(X.lerp(F.col("l_tax"), F.col("l_discount"), F.col("l_suppkey") % 11 / 10).cast("double"), 5).alias("mixed"),
+        X.animation_frame(F.col("l_quantity") * 10, F.lit(100.0), F.lit(7.0), F.lit(9), F.col("l_returnflag") == "N").cast("long").alias("frame"),
+        "origin", place["fx"].alias("fx"), place["fy"].alias("fy"), X.layer_ordinal(F.col("layer_name")).cast("int").alias("layer"),
+    )
