@@ -55,3 +55,8 @@ def valid_triggers(commands: DataFrame) -> DataFrame:
     child = F.col("__t").isNotNull() & ~F.col("kind").isin(*IN_TRIGGERS)
     checked = commands.join(triggers, ["doc", "parent"], "left").where(F.when(child, F.raise_error(F.concat(F.lit("not allowed in a trigger: "), F.col("kind"))).cast("boolean")).otherwise(F.lit(True)))
     return checked.select(commands.columns)
+
+
+def json_report(statistics: DataFrame, keys: list[str]) -> DataFrame:
+    """K5: keys and report, the other columns as JSON text."""
+    return statistics.select(*keys, F.to_json(F.struct(*[c for c in statistics.columns if c not in keys])).alias("report"))

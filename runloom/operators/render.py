@@ -1,4 +1,4 @@
-"""Frames rendered from placed objects, and tiles joined to blocks."""
+"""Frames rendered from placed objects, and tiles joined to blocks."""
 
 from __future__ import annotations
 
@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame
 FRAME = "frame long, width int, height int, rgb binary"
 
 
-def blit(canvas: np.ndarray, image: np.ndarray, x: float, y: float, sx: float, sy: float, angle: float, alpha: float, additive: bool, tint: tuple[int, int, int]) -> None:
-    """An image scaled, turned around its top left corner and mixed in; the nearest pixel at each pixel's centre."""
+def blit(canvas: np.ndarray, image: np.ndarray, x: float, y: float, sx: float, sy: float, angle: float, alpha: float, additive: bool, tint: tuple[int, int, int], origin: tuple[float, float] = (0.0, 0.0)) -> None:
+    """An image scaled, turned around its origin and mixed in; the nearest pixel at each pixel's centre.
+
+    ``origin`` is the fraction of the image's width and height that lies at (x, y).
+    """
     if alpha <= 0 or not sx or not sy:
         return
     h, w = image.shape[:2]
     py, px = np.mgrid[0 : canvas.shape[0], 0 : canvas.shape[1]] + 0.5
     dx, dy = px - x, py - y
-    u = np.floor((dx * np.cos(angle) + dy * np.sin(angle)) / sx).astype(int)
-    v = np.floor((dy * np.cos(angle) - dx * np.sin(angle)) / sy).astype(int)
+    u = np.floor((dx * np.cos(angle) + dy * np.sin(angle)) / sx + origin[0] * w).astype(int)
+    v = np.floor((dy * np.cos(angle) - dx * np.sin(angle)) / sy + origin[1] * h).astype(int)
     at = (u >= 0) & (u < w) & (v >= 0) & (v < h)
     source = image[v[at], u[at]].astype(float) * (np.array(tint) / 255.0)
     under = canvas[at].astype(float)
@@ -27,19 +30,27 @@ def blit(canvas: np.ndarray, image: np.ndarray, x: float, y: float, sx: float, s
 def render_frames(placed: DataFrame, width: int, height: int) -> DataFrame:
     """G1: one frame of each group of rows (frame, z, w, h, rgb, x, y, sx, sy, angle, alpha, additive, r, g, b), drawn by z on black.
 
+    Rows may have ox and oy, the fractions of the image that lie at x and y; else these are its top left corner.
     A frame's live objects meet in one group; their number is bounded by what is on screen at once.
     """
 
+    turned = {"ox", "oy"} <= set(placed.columns)
+
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         canvas = np.zeros((height, width, 3), np.uint8)
         for o in pdf.sort_values("z", kind="stable").itertuples():
             image = np.frombuffer(o.rgb, np.uint8).reshape(o.h, o.w, 3)
-            blit(canvas, image, o.x, o.y, o.sx, o.sy, o.angle, o.alpha, o.additive, (o.r, o.g, o.b))
+            blit(canvas, image, o.x, o.y, o.sx, o.sy, o.angle, o.alpha, o.additive, (o.r, o.g, o.b), (o.ox, o.oy) if turned else (0.0, 0.0))
         return pd.DataFrame({"frame": [pdf["frame"].iloc[0]], "width": [width], "height": [height], "rgb": [canvas.tobytes()]})
 
     return placed.groupBy("frame").applyInPandas(draw, FRAME)
 
 
+def with_assets(placed: DataFrame, assets: DataFrame, key: str) -> DataFrame:
+    """The placed objects with w, h and rgb of their asset; objects without one aren't drawn."""
+    return placed.join(assets.select(key, "w", "h", "rgb"), key)
+
+
 def join_tiles(blocks: DataFrame, tile: int) -> DataFrame:
     """Block, w, h, rgb of blocks from their tiles (block, col, row, rgb), all of ``tile`` by ``tile``."""
 

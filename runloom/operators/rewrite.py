@@ -111,6 +111,18 @@ def loop_periods(rows: DataFrame, keys: list[str], time: str, content: str, leas
     return sizes.join(found, "k", "left").select(*[F.col(f"k.{k}").alias(k) for k in keys], F.col("n").cast("int").alias("n"), "period", (F.col("n") / F.col("period")).cast("int").alias("count"))
 
 
+def apply_loops(rows: DataFrame, keys: list[str], time: str, content: str, least: int = 3) -> DataFrame:
+    """I4, T4: keys, i, time, content, and period and count of the loop that a key's rows make.
+
+    Of a loop only the body stays, timed from the loop's start; rows that make none stay as they are, with null period and count.
+    """
+    by = Window.partitionBy(*keys).orderBy(time, content)
+    placed = rows.select(*keys, time, content, (F.row_number().over(by) - 1).alias("i"), F.first(time).over(by).alias("__t0"))
+    found = placed.join(loop_periods(rows, keys, time, content, least).drop("n"), keys)
+    body = found.where("period is null or i < period")
+    return body.withColumn(time, F.when(F.col("period").isNull(), F.col(time)).otherwise(F.col(time) - F.col("__t0"))).drop("__t0")
+
+
 def _same(a: Column, b: Column, fields: list[str]) -> Column:
     out = F.lit(True)
     for f in fields:

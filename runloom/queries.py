@@ -64,16 +64,29 @@ def run_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_runs(spark, sf_dir).select("user_id", "start", "end", "n", "content")
 
 
+@query(f"""with {EVENTS}, sc as (select *, t // {3 * DAY} as scene from ev),
+r0 as (select *, case when event_type is distinct from lag(event_type) over w or row_number() over w = 1 then 1 else 0 end as c from sc window w as (partition by scene, user_id order by t, event_id)),
+r1 as (select *, sum(c) over (partition by scene, user_id order by t, event_id) as s from r0),
+r2 as (select scene, user_id, s, min(t) as start, max(t) as last, count(*) as n, min(event_type) as content from r1 group by 1, 2, 3)
+select scene, user_id, start, coalesce(lead(start) over (partition by scene, user_id order by s), max(last) over (partition by scene, user_id)) as "end", n::bigint as n, content from r2""")
+def runs_by_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that begin anew with every scene of three days"""
+    scenes = events(spark, sf_dir).withColumn("scene", F.floor(F.col("t") / (3 * DAY)))
+    return runs.change_runs(scenes, ["scene", "user_id"], ["t", "event_id"], "t", "event_type", F.floor(F.col("t") / DAY)).select("scene", "user_id", "start", "end", "n", "content")
+
+
 STREAM_WAIT = 60_000
+#: R2: files that a micro-batch takes at most, so that a slow sink holds the source back
+STREAM_FILES = 64
 
 
 @query(f"""with {RUNS}, m as (select max(t) as latest from ev), z as (select user_id, max(s) as s from r2 group by 1),
 q as (select r2.user_id, r2.start, r2.last, coalesce(lead(r2.start) over (partition by r2.user_id order by r2.s), r2.last) as "end", r2.n, r2.content, r2.s = z.s as open from r2 join z using (user_id))
 select user_id, start, "end", n::bigint as n, content from q, m where not open or last + {STREAM_WAIT} < latest - {STREAM_WAIT}""")
 def streamed_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs as a stream closes them; a key that is silent for a minute is closed, later ones stay open"""
+    """The runs as a stream closes them; a key that is silent for a minute is closed, later ones stay open"""
     source = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(f"{sf_dir}/events.parquet*")
     place = shared(spark, "stream")
     closed = stream_runs(stream, "user_id", "ts", "event_type", "1 minute", STREAM_WAIT)
     work = closed.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/out").outputMode("append").trigger(availableNow=True).start()
@@ -387,6 +400,17 @@ def role_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.loop_periods(c, ["conv_id"], "turn", "role").select("conv_id", "n", "period", "count")
 
 
+@query("""with s as (select conv_id, count(*) as n, list(coalesce(role, '') order by turn, coalesce(role, '')) as r, list(turn order by turn, coalesce(role, '')) as k from conversations group by 1),
+p as (select s.conv_id, min(period) as period from s, range(1, 400) q(period) where n % period = 0 and n // period >= 3
+ and list_aggregate(list_transform(range(period, n), lambda j: case when r[j + 1] = r[j - period + 1] and k[j + 1] - k[j - period + 1] = k[period + 1] - k[1] then 0 else 1 end), 'sum') = 0 group by 1),
+x as (select s.conv_id, n, period, k[1] as t0, unnest(range(n)) as i, unnest(r) as role, unnest(k) as turn from s left join p on s.conv_id = p.conv_id)
+select conv_id, i::int as i, case when period is null then turn else turn - t0 end as turn, role, period::int as period, (n // period)::int as count from x where period is null or i < period""")
+def loop_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4, T4: conversations, those that repeat as a loop's body"""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"))
+    return rewrite.apply_loops(c, ["conv_id"], "turn", "role").select("conv_id", "i", "turn", "role", "period", "count")
+
+
 @query(f"""with lo as (select o_orderkey as object, {MS.format('o_orderdate')} // {DAY}::double as base, o_orderkey % 4 as c from orders),
 ch as (select l_orderkey as object, ((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::bigint as seq, l_linenumber::double as start, l_linenumber + l_quantity as "end" from lineitem),
 cy as (select object, greatest(0, max("end")) as cycle from ch group by 1)
@@ -586,6 +610,13 @@ def encode_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc", "frames", "raw_bytes", "assets", "asset_bytes", "naive_bytes")
 
 
+@query("""select p_brand, to_json(struct_pack(parts := count(*), sizes := sum(p_size)::bigint, largest := max(p_size), types := count(distinct p_type)))::varchar as report from part group by 1""")
+def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: counts of a brand's parts as a report"""
+    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("parts"), F.sum("p_size").alias("sizes"), F.max("p_size").alias("largest"), F.count_distinct("p_type").alias("types"))
+    return document.json_report(p, ["p_brand"])
+
+
 def colour_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """An order's line items as linear colour commands, and three moments of it."""
     l = table(spark, sf_dir, "lineitem")
@@ -622,10 +653,13 @@ def tile_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 select cells.vec_id as frame, sha256(string_agg(case when inside then repeat(printf('%02X', a), 3) else '000000' end, '' order by y, x)) as digest
 from cells left join px on inside and cells.vec_id = px.vec_id and cells.i = px.i group by 1""")
 def rendered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as grey 8 by 8 images, drawn on a frame of their own; every byte at its place"""
-    placed = grey_images(spark, sf_dir).select(
-        F.col("vec_id").alias("frame"), F.lit(0).alias("z"), F.lit(8).alias("w"), F.lit(8).alias("h"), "rgb", *[F.lit(v).alias(k) for k, v in (("x", 2.0), ("y", 1.0), ("sx", 1.0), ("sy", 1.0), ("angle", 0.0), ("alpha", 1.0), ("additive", False), ("r", 255), ("g", 255), ("b", 255))]
+    """Embeddings as grey 8 by 8 images, drawn by their centre on a frame of their own; every byte at its place"""
+    images = grey_images(spark, sf_dir).select("vec_id", F.lit(8).alias("w"), F.lit(8).alias("h"), "rgb")
+    centre = X.origin_fraction(F.lit("Centre"))
+    objects = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("vec_id").alias("frame"), F.lit(0).alias("z"), centre["fx"].alias("ox"), centre["fy"].alias("oy"), *[F.lit(v).alias(k) for k, v in (("x", 6.0), ("y", 5.0), ("sx", 1.0), ("sy", 1.0), ("angle", 0.0), ("alpha", 1.0), ("additive", False), ("r", 255), ("g", 255), ("b", 255))]
     )
+    placed = render.with_assets(objects, images, "vec_id")
     return render.render_frames(placed, 12, 10).select("frame", F.sha2(F.hex("rgb"), 256).alias("digest"))
 
 

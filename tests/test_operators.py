@@ -257,3 +257,19 @@ def test_render(spark):
     assert image[1:3, 1:3, 0].tolist() == [[255, 255], [255, 255]] and image.sum() == 4 * 255
     tiles = spark.createDataFrame([(7, c, r, bytearray([10 * r + c] * 3)) for c in (0, 1) for r in (0, 1)], "block long, col int, row int, rgb binary")
     assert list(render.join_tiles(tiles, 1).first().rgb)[::3] == [0, 1, 10, 11]
+
+
+def test_render_turns_around_the_origin():
+    image = np.arange(12, dtype=np.uint8).reshape(2, 2, 3) + 1
+    canvas = np.zeros((4, 4, 3), np.uint8)
+    render.blit(canvas, image, 2.0, 2.0, 1.0, 1.0, np.pi, 1.0, False, (255, 255, 255), (0.5, 0.5))
+    want = np.zeros((4, 4, 3), np.uint8)
+    want[1:3, 1:3] = image[::-1, ::-1]
+    assert (canvas == want).all()
+
+
+def test_loop_bodies(spark):
+    rows = [("a", 10.0 * i, "xy"[i % 2]) for i in range(6)] + [("b", float(i), c) for i, c in enumerate("xyz")] + [("c", 5.0 + i, "x") for i in range(4)]
+    out = rewrite.apply_loops(spark.createDataFrame(rows, "k string, t double, c string"), ["k"], "t", "c")
+    got = sorted((r.k, r.i, r.t, r.c, r.period, r["count"]) for r in out.collect())
+    assert got == [("a", 0, 0.0, "x", 2, 3), ("a", 1, 10.0, "y", 2, 3), ("b", 0, 0.0, "x", None, None), ("b", 1, 1.0, "y", None, None), ("b", 2, 2.0, "z", None, None), ("c", 0, 0.0, "x", 1, 4)]
