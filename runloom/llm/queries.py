@@ -13,6 +13,7 @@ from .chat_format import chat_digest, chat_examples
 from .decontaminate import contamination
 from .html_text import html_text
 from .near_dup import near_duplicates
+from .periodic_runs import periodic_runs
 from .quality import quality_rules
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
@@ -86,9 +87,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the texts, by crc32 of doc_id, repeats a stretch of words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    cut = cut.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + floor((n - a) / (3 + g % 8))"))
+    again = "concat(slice(words, 1, int(a)), slice(flatten(array_repeat(slice(words, int(a + 1), int(p)), int(ceil((n - a) / p)))), 1, int(n - a)))"
+    return cut.select("doc_id", F.expr(f"if(n > 0, array_join({again}, ' '), text)").alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    greatest = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as before, -r.period as less)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), greatest.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", (-F.col("top.before")).alias("start"), "top.length", (-F.col("top.less")).alias("period"),
+        F.expr("(1000 * top.length) div (-top.less)").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op4_toxicity, op5_minhash_near_dedup, op6_html_extraction, op7_suffix_array_dedup, op8_bpe_automaton, op9_quality_rules, op10_token_counts)
+    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op4_toxicity, op5_minhash_near_dedup, op6_html_extraction, op7_suffix_array_dedup, op8_bpe_automaton, op9_quality_rules, op10_token_counts, op11_periodic_runs)
 }
 
 ORACLE = {
