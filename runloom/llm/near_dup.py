@@ -45,21 +45,21 @@ FACTORS = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.
 OFFSETS = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
 
 
-def shingle_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of each row, repeats included, and row boundaries."""
+def shingle_hashes(buf: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of ``width`` words of each row, repeats included, and row boundaries."""
     starts, ends, first = B.words(buf, offs)
     word_hash = B.range_hash(B.prefix_hash(buf, B.LOWER_VALUES), starts, ends)
-    h, _, bounds = B.windows_hash(word_hash, first, WIDTH)
+    h, _, bounds = B.windows_hash(word_hash, first, width)
     count = np.diff(first)
-    short = np.flatnonzero((count > 0) & (count < WIDTH))
+    short = np.flatnonzero((count > 0) & (count < width))
     if not len(short):
         return h, bounds
     own = np.zeros(len(short), np.uint64)
-    for k in range(WIDTH - 1):  # the whole sequence is the one shingle
+    for k in range(width - 1):  # the whole sequence is the one shingle
         has = count[short] > k
         own[has] = own[has] * np.uint64(0x9E3779B97F4A7C15) + word_hash[first[short][has] + k]
     own = B.mix(own ^ count[short].astype(np.uint64))
-    return np.insert(h, bounds[short], own), bounds + np.concatenate([[0], np.cumsum((count > 0) & (count < WIDTH))])
+    return np.insert(h, bounds[short], own), bounds + np.concatenate([[0], np.cumsum((count > 0) & (count < width))])
 
 
 def _signature(s: np.ndarray) -> bytes:

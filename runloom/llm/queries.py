@@ -13,11 +13,13 @@ from .chat_format import chat_digest, chat_examples
 from .decontaminate import contamination
 from .html_text import html_text
 from .near_dup import near_duplicates
+from .ngram_join import ngram_join
 from .periodic_runs import periodic_runs
 from .quality import quality_rules
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .turn_repair import conversation, structure
 from .url_filters import url_filters
 
 # Fixed rules of the query: host, path, action.
@@ -107,9 +109,31 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """conversations with a row in five dropped, emptied, unpunctuated, repeated or given to the user, by crc32 of conv_id:turn."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    role = F.when(kind == 4, "user").otherwise(blank("role"))
+    out = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1))))
+    return out.drop("col")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = structure(damaged(rows)).withColumn("cid", conversation()).drop("conv_id")
+    all_ = rows.select("conv_id").distinct().withColumn("cid", conversation())
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return all_.join(found, "cid", "left").select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op4_toxicity, op5_minhash_near_dedup, op6_html_extraction, op7_suffix_array_dedup, op8_bpe_automaton, op9_quality_rules, op10_token_counts, op11_periodic_runs)
+    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op4_toxicity, op5_minhash_near_dedup, op6_html_extraction, op7_suffix_array_dedup, op8_bpe_automaton, op9_quality_rules, op10_token_counts, op11_periodic_runs, op12_ngram_join, op13_turn_repair)
 }
 
 ORACLE = {
