@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .folds import fold_sorted
+from .intervals import cell, indexed, level, listed, used_levels
 
 TIME_EPSILON, VALUE_EPSILON, SLOPE_EPSILON = 0.01, 1e-4, 1e-4
 KEYS = ("object", "kind")
@@ -46,23 +47,24 @@ def merge_adjacent(commands: DataFrame, keys: tuple[str, ...] = KEYS, linear_onl
     return fold_sorted(rows, list(keys), ["start", "seq", "end", "easing", "a", "b"], run, lambda last: [last], output)
 
 
-def drop_covered(commands: DataFrame, width: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def drop_covered(commands: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Without the flat commands that another flat command of equal value covers; of equal ones the first stays.
 
-    Compared within buckets of time, ``width`` long: a covering command is in every bucket it touches, a covered one in that of
-    its start.
+    A command looks for its start among the intervals that are as long as it is, or longer.
     """
     flat = commands.where(F.abs(F.col("v_end") - F.col("v_start")) <= VALUE_EPSILON).select(*keys, "seq", "start", "end", "v_start")
-    inner = flat.withColumn("__b", F.floor(F.col("start") / width)).alias("l")
-    outer = flat.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest("start", "end") / width)))).alias("r")
+    bits = flat.groupBy(*keys).agg(used_levels().alias("bits"))
+    own = level(F.col("start"), F.col("end"))
+    inner = flat.join(bits, list(keys)).withColumn("level", F.explode(F.filter(listed(F.col("bits")), lambda k: k >= own))).withColumn("cell", cell(F.col("start"), F.col("level"))).alias("l")
+    outer = indexed(flat).alias("r")
     condition = (
         (F.col("l.seq") != F.col("r.seq")) & (F.abs(F.col("l.v_start") - F.col("r.v_start")) <= VALUE_EPSILON)
         & (F.col("r.start") <= F.col("l.start")) & (F.col("r.end") >= F.col("l.end"))
         & ((F.col("r.start") < F.col("l.start")) | (F.col("r.end") > F.col("l.end")) | (F.col("r.seq") < F.col("l.seq")))
     )
-    for k in (*keys, "__b"):
+    for k in (*keys, "level", "cell"):
         condition = (F.col(f"l.{k}") == F.col(f"r.{k}")) & condition
-    gone = inner.join(outer, condition, "left_semi").select(*keys, "seq")
+    gone = inner.join(outer, condition, "left_semi").select(*keys, "seq").distinct()
     return commands.join(gone, [*keys, "seq"], "left_anti")
 
 
@@ -142,6 +144,53 @@ def flatten_loops(loops: DataFrame, children: DataFrame, keys: tuple[str, ...] =
     return runs.join(children, [*keys, "loop"]).withColumns({"start": F.col("start") + shift, "end": F.col("end") + shift}).drop("at", "cycle")
 
 
+def expand_loops(commands: DataFrame, keys: tuple[str, ...] = ("object",)) -> DataFrame:
+    """I1 for loops in loops: every command of a loop as often as it and the loops around it run, at its absolute time.
+
+    ``commands``: keys, seq, parent (seq of the loop or trigger around it), depth, kind, start, end and count; other columns
+    stay.  Adds iteration, the number of the run (0 for what is in no loop); the parent is then the outermost loop's.
+    From the innermost loops outward, a loop's cycle is the latest end in it, and it ends when its last run does.  Each loop then
+    knows the counts and cycles of all loops around it, and the number of a run, in the mixed radix of these counts, has the
+    number of each loop's run as its digits.  A loop runs once at least.  Triggers and what is in them stay as they are; a
+    trigger in a loop is an error, as a loop's runs need fixed times.
+    """
+    loops = cut(commands.where("kind = 'Loop'").select(*keys, "seq", "parent", "depth", F.col("start").cast("double").alias("start"), F.greatest("count", F.lit(1)).cast("long").alias("runs")))
+    depths = [r.depth for r in loops.select("depth").distinct().orderBy(F.desc("depth")).collect()]
+    held = [*keys, "parent"]
+    parents = loops.select(*keys, F.col("seq").alias("parent"))
+    leaves = commands.where("kind != 'Loop'").select(*keys, "parent", "kind", F.col("end").cast("double").alias("end")).join(parents, held, "left_semi")
+    ends = leaves.select(*held, F.when(F.col("kind") == "Trigger", F.raise_error(F.lit("a trigger in a loop has no fixed time"))).otherwise(F.col("end")).alias("end"))
+    cycles = None
+    for depth in depths:  # as many as loops are nested
+        last = ends.groupBy(*held).agg(F.max("end").alias("last")).withColumnRenamed("parent", "seq")
+        at = loops.where(F.col("depth") == depth).join(last, [*keys, "seq"], "left").withColumn("cycle", F.greatest(F.coalesce("last", F.lit(0.0)), F.lit(0.0)))
+        at = cut(at)
+        cycles = at.select(*keys, "seq", "cycle") if cycles is None else cycles.unionByName(at.select(*keys, "seq", "cycle"))
+        ends = ends.unionByName(at.where("last is not null").select(*held, (F.col("start") + (F.col("runs") - 1) * F.col("cycle") + F.col("last")).alias("end")))
+    if cycles is None:
+        return commands.withColumn("iteration", F.lit(0).cast("long"))
+    inside = loops.join(cycles, [*keys, "seq"])
+    step = F.struct("start", "runs", "cycle")
+    outer = inside.join(parents, held, "left_anti").select(*keys, "seq", F.col("parent").alias("top"), F.array(step).alias("chain"))
+    chains = outer
+    for _ in depths[1:]:
+        around = outer.select(*keys, F.col("seq").alias("parent"), "top", F.col("chain").alias("outer"))
+        outer = cut(inside.join(around, held).select(*keys, "seq", "top", F.concat("outer", F.array(step)).alias("chain")))
+        chains = chains.unionByName(outer)
+    triggers = commands.where("kind = 'Trigger'").select(*keys, F.col("seq").alias("top"))
+    untouched = chains.join(triggers, [*keys, "top"], "left_semi").select(*keys, "seq")
+    chains = chains.join(untouched, [*keys, "seq"], "left_anti").withColumnRenamed("seq", "parent")
+    is_loop = F.col("kind") == "Loop"
+    kept = commands.where(~is_loop).unionByName(commands.where(is_loop).join(untouched, [*keys, "seq"], "left_semi").select(commands.columns)).join(chains, held, "left")
+    total = F.aggregate(F.coalesce("chain", F.array().cast(chains.schema["chain"].dataType)), F.lit(1).cast("long"), lambda n, x: n * x.runs)
+    numbered = kept.withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("long"), total - 1)))
+    start = F.struct(F.col("iteration").alias("rest"), F.lit(0.0).alias("shift"))
+    digits = F.aggregate(F.reverse("chain"), start, lambda acc, x: F.struct(F.floor(acc.rest / x.runs).alias("rest"), (acc.shift + x.start + F.pmod(acc.rest, x.runs) * x.cycle).alias("shift")))
+    shift = F.when(F.col("chain").isNotNull(), digits.shift).otherwise(0.0)
+    out = numbered.withColumns({"start": F.col("start") + shift, "end": F.col("end") + shift, "parent": F.coalesce("top", "parent")})
+    return out.select(*commands.columns, "iteration")
+
+
 def pair_axes(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with x_seq and y_seq: the n-th command of one axis with the n-th of the other of equal span and easing.
 
@@ -155,6 +204,6 @@ def pair_axes(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
     return numbered(x, "x_seq").join(numbered(y, "y_seq"), [*same, "place"], "full").select(*same, "x_seq", "y_seq")
 
 
-def simplify(commands: DataFrame, width: float) -> DataFrame:
+def simplify(commands: DataFrame) -> DataFrame:
     """The passes in their order; loops are left to extract_loops on the result."""
-    return drop_covered(merge_adjacent(commands), width)
+    return drop_covered(merge_adjacent(commands))

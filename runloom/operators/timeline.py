@@ -10,38 +10,31 @@ from pyspark.sql import functions as F
 
 from ..functions.easing import ease
 from ..functions.scalar import EPSILON_DOUBLE, flicker, transform_point
+from .intervals import cell, covering, indexed, listed, used_levels
 
 
 def progress(t: Column, start: Column, end: Column) -> Column:
     return F.when(end - start <= EPSILON_DOUBLE, F.lit(1.0)).otherwise((t - start) / (end - start))
 
 
-def covering(points: DataFrame, commands: DataFrame, keys: tuple[str, ...], width: float) -> DataFrame:
-    """Each point (keys, t) with each command of its keys that has start <= t <= end.
-
-    Both sides go by key and bucket of time, ``width`` long, and a command is in every bucket that it touches; so a key
-    with most of the rows is spread over its buckets, and only what is near in time is compared.
-    """
-    at = points.withColumn("__b", F.floor(F.col("t") / width))
-    spread = commands.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest("start", "end") / width))))
-    return at.join(spread, [*keys, "__b"]).where("start <= t and t <= end").drop("__b")
-
-
-def evaluate(commands: DataFrame, moments: DataFrame, width: float, gap: str = "reference", keys: tuple[str, ...] = ("object", "kind")) -> DataFrame:
+def evaluate(commands: DataFrame, moments: DataFrame, gap: str = "reference", keys: tuple[str, ...] = ("object", "kind")) -> DataFrame:
     """keys, t and value of each moment (keys, t) of an object's kind that has commands.
 
     The last declared command with start <= t <= end is active; at its start and end it holds, one of no length gives its
     end value.  Where none is active: before the first declared command its start value, else the end value of the command
     that ends last (``gap="reference"``), or of the one that ended last before t (``gap="preceding"``).
-    First and last commands come from one aggregate over the commands, active ones from a join in buckets of ``width``.
+    First and last commands come from one aggregate over the commands, active ones from the index of intervals.
     """
     double = {"start": F.col("start").cast("double"), "end": F.col("end").cast("double"), "a": F.col("v_start").cast("double"), "b": F.col("v_end").cast("double")}
     c = commands.select(*keys, "seq", "easing", *[v.alias(k) for k, v in double.items()])
     row = F.struct("start", "end", "easing", "a", "b")
     points = moments.select(*keys, F.col("t").cast("double").alias("t")).distinct()
-    ends = c.groupBy(*keys).agg(F.min_by(row, "seq").alias("first"), F.max_by(row, F.struct("end", "seq")).alias("last"))
-    active = covering(points, c, keys, width).groupBy(*keys, "t").agg(F.max_by(row, "seq").alias("active"))
-    found = points.join(ends, list(keys)).join(active, [*keys, "t"], "left")
+    ends = c.groupBy(*keys).agg(F.min_by(row, "seq").alias("first"), F.max_by(row, F.struct("end", "seq")).alias("last"), used_levels().alias("bits"))
+    looked = points.join(ends, list(keys)).withColumn("level", F.explode_outer(listed(F.col("bits")))).withColumn("cell", cell(F.col("t"), F.col("level"))).drop("bits")
+    holding = indexed(c).select(*keys, "level", "cell", "seq", row.alias("row"))
+    met = looked.join(holding, [*keys, "level", "cell"], "left")
+    holds = F.when(F.col("t").between(F.col("row.start"), F.col("row.end")), F.col("seq"))
+    found = met.groupBy(*keys, "t").agg(F.first("first").alias("first"), F.first("last").alias("last"), F.max_by("row", holds).alias("active"))
     if gap == "preceding":
         found = found.drop("last").join(_ended_before(points, c.select(*keys, "seq", "end", row.alias("row")), keys), [*keys, "t"])
     at = F.col("t")
@@ -59,13 +52,13 @@ def _ended_before(points: DataFrame, commands: DataFrame, keys: tuple[str, ...])
     return both.withColumn("last", F.last("row", ignorenulls=True).over(by)).where("__k = 0").select(*keys, "t", "last")
 
 
-def flag_at(commands: DataFrame, moments: DataFrame, width: float, keys: tuple[str, ...] = ("object", "kind")) -> DataFrame:
+def flag_at(commands: DataFrame, moments: DataFrame, keys: tuple[str, ...] = ("object", "kind")) -> DataFrame:
     """Whether a flag holds at t: in [start, end), or from start on if the command has no length."""
     short = F.col("end") - F.col("start") <= EPSILON_DOUBLE
     c = commands.select(*keys, "start", "end")
     points = moments.select(*keys, "t").distinct()
     always = c.groupBy(*keys).agg(F.min(F.when(short, F.col("start"))).alias("from"))
-    on = covering(points, c.where(~short), keys, width).where("t < end").select(*keys, "t").distinct().withColumn("on", F.lit(True))
+    on = covering(points, c.where(~short), keys).where("t < end").select(*keys, "t").distinct().withColumn("on", F.lit(True))
     found = points.join(always, list(keys)).join(on, [*keys, "t"], "left")
     return found.select(*keys, "t", (F.coalesce("on", F.lit(False)) | F.coalesce(F.col("from") <= F.col("t"), F.lit(False))).alias("flag"))
 
@@ -80,25 +73,25 @@ DEFAULTS = {"MoveX": 0.0, "MoveY": 0.0, "Scale": 1.0, "VectorScaleX": 1.0, "Vect
 FLAG_KINDS = ("FlipH", "FlipV", "Additive")
 
 
-def evaluate_colour(commands: DataFrame, moments: DataFrame, width: float) -> DataFrame:
+def evaluate_colour(commands: DataFrame, moments: DataFrame) -> DataFrame:
     """Object, t, r, g and b of each moment (object, t) of an object with colour commands (c_start, c_end), as evaluate()."""
     parts = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(f"c_start.{c}").alias("v_start"), F.col(f"c_end.{c}").alias("v_end")) for c in "rgb"])
     channels = commands.where("kind = 'Colour'").select("object", "seq", "start", "end", "easing", F.inline(parts))
     points = moments.select("object", "t", F.explode(F.array(*map(F.lit, "rgb"))).alias("kind"))
-    values = evaluate(channels, points, width)
+    values = evaluate(channels, points)
     return values.groupBy("object", "t").agg(*[colour(F.max(F.when(F.col("kind") == c, F.col("value")))).alias(c) for c in "rgb"])
 
 
-def states(commands: DataFrame, moments: DataFrame, width: float) -> DataFrame:
+def states(commands: DataFrame, moments: DataFrame) -> DataFrame:
     """Every scalar, flag and colour of each moment (object, t), with defaults for what an object has no commands of."""
     kinds = commands.select("object", "kind").distinct()
     at = moments.select("object", F.col("t").cast("double").alias("t")).distinct()
     scalars = commands.where(F.col("kind").isin(*DEFAULTS))
     flags = commands.where(F.col("kind").isin(*FLAG_KINDS))
     points = at.join(kinds, "object")
-    values = evaluate(scalars, points.where(F.col("kind").isin(*DEFAULTS)), width).groupBy("object", "t").agg(*[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in DEFAULTS])
-    on = flag_at(flags, points.where(F.col("kind").isin(*FLAG_KINDS)), width).groupBy("object", "t").agg(*[F.max(F.when(F.col("kind") == k, F.col("flag"))).alias(k) for k in FLAG_KINDS])
-    out = at.join(values, ["object", "t"], "left").join(on, ["object", "t"], "left").join(evaluate_colour(commands, at, width), ["object", "t"], "left")
+    values = evaluate(scalars, points.where(F.col("kind").isin(*DEFAULTS))).groupBy("object", "t").agg(*[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in DEFAULTS])
+    on = flag_at(flags, points.where(F.col("kind").isin(*FLAG_KINDS))).groupBy("object", "t").agg(*[F.max(F.when(F.col("kind") == k, F.col("flag"))).alias(k) for k in FLAG_KINDS])
+    out = at.join(values, ["object", "t"], "left").join(on, ["object", "t"], "left").join(evaluate_colour(commands, at), ["object", "t"], "left")
     filled = {k: F.coalesce(k, F.lit(v)) for k, v in DEFAULTS.items() if not k.startswith("Move")} | {k: F.coalesce(k, F.lit(False)) for k in FLAG_KINDS} | {c: F.coalesce(c, F.lit(255)) for c in "rgb"}
     return out.withColumns(filled)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as X
 from .functions.easing import ease
-from .operators import bake, blocks, bursts, dedupe, document, fidelity, render, rewrite, runs, timeline
+from .operators import bake, blocks, bursts, dedupe, document, fidelity, intervals, render, rewrite, runs, timeline
 from .plans import sources, tuning
 from .session import ready, shared
 from .sources import frames as frames_
@@ -322,13 +322,13 @@ v as (select j.*, cm.easing, cm.v_start as a, cm.v_end as b, case when cm."end"
 select object, kind, t::double as t, round(case when na > 0 then a + (b - a) * ({CURVE}) when t < fs then fv else lv end, 9) as value from v""")
 def timeline_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1, W15, J6"""
-    return timeline.evaluate(commands(spark, sf_dir), moments(spark, sf_dir), width=30.0).withColumn("value", F.round("value", 9))
+    return timeline.evaluate(commands(spark, sf_dir), moments(spark, sf_dir)).withColumn("value", F.round("value", 9))
 
 
 @query(f"""with {COMMANDS}, {MOMENTS} select mm.object, mm.kind, t::double as t, bool_or(case when "end" - start <= 1e-9 then start <= t else start <= t and t < "end" end) as flag from mm join cm on mm.object = cm.object and mm.kind = cm.kind group by 1, 2, 3""")
 def timeline_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X3"""
-    return timeline.flag_at(commands(spark, sf_dir), moments(spark, sf_dir), width=30.0)
+    return timeline.flag_at(commands(spark, sf_dir), moments(spark, sf_dir))
 
 
 @query(f"""with {COMMANDS} select object, min(start) as start, max("end") as "end" from cm group by 1 having max("end") - min(start) >= 60""")
@@ -371,7 +371,7 @@ def flat_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 and abs(r.v_start - l.v_start) <= 1e-4 and r.start <= l.start and r."end" >= l."end" and (r.start < l.start or r."end" > l."end" or r.seq < l.seq))""")
 def covered_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J7, I3"""
-    return rewrite.drop_covered(flat_commands(spark, sf_dir), width=30.0).select("object", "kind", "seq", "start", "end", "v_start")
+    return rewrite.drop_covered(flat_commands(spark, sf_dir)).select("object", "kind", "seq", "start", "end", "v_start")
 
 
 @query("""with l as (select l_orderkey as object, ((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::bigint as seq, l_quantity as q, case when l_returnflag = 'N' then 1 else 2 end as tenths from lineitem),
@@ -445,7 +445,7 @@ def flag_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When an order has an item under way, sampled every 30 days"""
     c = commands(spark, sf_dir)
     samples = bake.sample_times(timeline.lifetimes(c), ["object"], 30.0)
-    flags = timeline.flag_at(c, samples, width=30.0, keys=("object",))
+    flags = timeline.flag_at(c, samples, keys=("object",))
     return bake.flag_windows(flags, ["object"])
 
 
@@ -456,7 +456,7 @@ def baked_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of items under way as linear segments"""
     c = commands(spark, sf_dir)
     samples = bake.sample_times(timeline.lifetimes(c), ["object"], 30.0)
-    under_way = timeline.covering(samples, c.select("object", "start", "end"), ("object",), width=30.0).where("t < end").groupBy("object", "t").agg(F.count("*").alias("n"))
+    under_way = intervals.covering(samples, c.select("object", "start", "end"), ("object",)).where("t < end").groupBy("object", "t").agg(F.count("*").alias("n"))
     values = samples.join(under_way, ["object", "t"], "left").select("object", "t", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
     return bake.segments(values, ["object"])
 
@@ -638,7 +638,7 @@ col as (select object, t, case when a is not null then a.r when t < f.s then f.r
 @query(f"""with {COLOURS} select object, t::double as t, r::int as r, g::int as g, b::int as b from col""")
 def colour_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X2"""
-    return timeline.evaluate_colour(*colour_parts(spark, sf_dir), width=30.0)
+    return timeline.evaluate_colour(*colour_parts(spark, sf_dir))
 
 
 @query(f"""with {PIXELS} select vec_id, (i // 8 // 4)::int as "row", (i % 8 // 4)::int as col, min(4) as w, sum(b)::bigint as total from pq group by 1, 2, 3""")

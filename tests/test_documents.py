@@ -69,7 +69,7 @@ def test_states_and_places(spark):
     ]
     c = spark.createDataFrame(rows, f"object int, seq double, kind string, easing int, start double, end double, v_start double, v_end double, c_start {rgb}, c_end {rgb}")
     at = spark.createDataFrame([(1, 5.0), (2, 5.0)], "object int, t double")
-    seen = timeline.states(c, at, width=4.0)
+    seen = timeline.states(c, at)
     got = {r.object: r for r in timeline.placed(seen, F.lit(14.0), F.lit(20.0), F.lit(10.0), F.lit(20.0), F.lit(0.5)).collect()}
     a, b = got[1], got[2]
     assert (a.r, a.g, a.b, a.FlipH, a.Additive, a.sx, a.alpha) == (127, 50, 255, True, False, 1.0, 1.0)
