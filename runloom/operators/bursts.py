@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import fold_sorted
+from ..session import cut
 
 
 def thrash_segments(runs: DataFrame, keys: list[str], single: Column, cap: int = 300, least: int = 4, unique: float = 0.8) -> DataFrame:
@@ -33,22 +33,51 @@ def burst_starts(moments: DataFrame, keys: list[str], time: str, gap: Column | f
     return before.where(F.col("__p").isNull() | (F.col(time) - F.col("__p") > gap)).drop("__p")
 
 
-def spaced_starts(starts: DataFrame, keys: list[str], time: str, least: float) -> DataFrame:
-    """Keys and each moment ``cut`` accepted in order, at least ``least`` after the last accepted one.
+#: A block of moments is so many times the least distance long
+BLOCK = 64
+
+
+def next_starts(points: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """keys, t and next: of each distinct moment t the first moment of its key from t + least on; null if there is none.
 
-    A key without moments has one row of null.
+    Moments and what they ask for meet in blocks of time; for what a block doesn't have, the first moment of the next block that
+    has any is taken, so a key is windowed whole by one row a block only.
     """
+    width = BLOCK * least
+    block = lambda t: F.floor(t / width)
+    t = F.col("t")
+    held = points.select(*keys, t.alias("at"), F.lit(1).alias("held"), F.lit(None).cast("double").alias("t"), t.alias("moment"), block(t).alias("block"))
+    asked = points.select(*keys, (t + least).alias("at"), F.lit(0).alias("held"), "t", F.lit(None).cast("double").alias("moment"), block(t + least).alias("block"))
+    back = Window.partitionBy(*keys, "block").orderBy(F.desc("at"), F.desc("held"))
+    met = held.unionByName(asked).withColumn("next", F.last("moment", ignorenulls=True).over(back)).where("held = 0")
+    heads = points.groupBy(*keys, block(t).alias("block")).agg(F.min("t").alias("head"))
+    heads = heads.select(*keys, "block", F.lead("head").over(Window.partitionBy(*keys).orderBy("block")).alias("after"))
+    own = heads.select(*keys, "block", "after", F.lit(True).alias("has"))
+    before = heads.select(*keys, F.col("block").alias("from"), F.col("after").alias("after_from"))
+    found = met.withColumn("from", block(t)).join(own, [*keys, "block"], "left").join(before, [*keys, "from"])
+    later = F.when(F.col("has"), F.col("after")).otherwise(F.col("after_from"))
+    return found.select(*keys, "t", F.coalesce("next", later).alias("next"))
 
-    def run(last: float | None, piece: dict[str, list]) -> tuple[list[tuple], float | None]:
-        done = []
-        for t in piece["cut"]:
-            if t is not None and (last is None or t - last >= least):
-                done.append((t,))
-                last = t
-        return done, last
 
-    rows = starts.select(*keys, F.col(time).cast("double").alias("cut"))
-    return fold_sorted(rows, keys, [F.col("cut").asc_nulls_last()], run, lambda last: [] if last is not None else [(None,)], {"cut": "double"})
+def spaced_starts(starts: DataFrame, keys: list[str], time: str, least: float) -> DataFrame:
+    """Keys and each moment ``cut`` accepted in order, at least ``least`` (over 0) after the last accepted one.
+
+    Each moment has one that would be accepted after it; accepted are those that the key's first leads to.  By pointer doubling: what
+    is led to in under 2^k steps gives, by links of 2^k steps, what is led to in under 2^(k+1), in as many rounds as the longest chain
+    has binary digits.  A key without moments has one row of null.
+    """
+    at = starts.select(*keys, F.col(time).cast("double").alias("t"))
+    points = cut(at.where("t is not null").distinct())
+    links = cut(next_starts(points, keys, least).where("next is not null"))
+    firsts = at.groupBy(*keys).agg(F.min("t").alias("t"))
+    led = cut(firsts)
+    while True:
+        new = cut(led.join(links, [*keys, "t"]).select(*keys, F.col("next").alias("t")))
+        if not new.take(1):
+            return led.withColumnRenamed("t", "cut")
+        led = cut(led.unionByName(new))
+        second = links.select(*keys, F.col("t").alias("next"), F.col("next").alias("second"))
+        links = cut(links.join(second, [*keys, "next"]).select(*keys, "t", F.col("second").alias("next")))
 
 
 def spaced(starts: DataFrame, keys: list[str], time: str, least: float) -> DataFrame:

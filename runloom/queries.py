@@ -423,6 +423,24 @@ def flattened_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.flatten_loops(loops, children).select("object", F.col("i").cast("int").alias("i"), "seq", "start", "end")
 
 
+@query(f"""with lf as (select o_custkey as object, o_orderkey as o, ascii(l_returnflag) % 4 + 1 as f, -(((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::bigint) as seq, l_linenumber::double as start, l_linenumber + l_quantity as "end",
+ {MS.format('o_orderdate')} // {DAY}::double as base, greatest(o_orderkey % 3, 1) as n from lineitem join orders on l_orderkey = o_orderkey),
+ci as (select o, f, max("end") as cycle, 2 * f + (f - 1) * max("end") + max("end") as upto from lf group by 1, 2), co as (select o, max(upto) as outer_cycle from ci group by 1)
+select object, seq, i as iteration, start + base + 2 * f + i % f * cycle + i // f * outer_cycle as start, "end" + base + 2 * f + i % f * cycle + i // f * outer_cycle as "end"
+from lf join ci using (o, f) join co using (o), lateral (select unnest(range(0, n * f)) as i)""")
+def nested_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as loops over loops (line items of one flag) over line items"""
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    none = F.lit(None)
+    flag = F.ascii("l_returnflag") % 4 + 1
+    line = F.col("l_linenumber").cast("double")
+    both = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("inner", F.col("o_orderkey") * 8 + flag)
+    outer = o.select(F.col("o_custkey").alias("object"), (F.col("o_orderkey") * 8).alias("seq"), F.lit(-1).cast("long").alias("parent"), F.lit(1).alias("depth"), F.lit("Loop").alias("kind"), days("o_orderdate").alias("start"), none.cast("double").alias("end"), (F.col("o_orderkey") % 3).cast("int").alias("count"))
+    inner = both.select(F.col("o_custkey").alias("object"), F.col("inner").alias("seq"), (F.col("o_orderkey") * 8).alias("parent"), F.lit(2).alias("depth"), F.lit("Loop").alias("kind"), (2.0 * flag).alias("start"), none.cast("double").alias("end"), flag.cast("int").alias("count")).distinct()
+    leaves = both.select(F.col("o_custkey").alias("object"), (-line_order()).alias("seq"), F.col("inner").alias("parent"), F.lit(3).alias("depth"), F.lit("Fade").alias("kind"), line.alias("start"), (line + F.col("l_quantity")).alias("end"), none.cast("int").alias("count"))
+    return rewrite.expand_loops(outer.unionByName(inner).unionByName(leaves)).select("object", "seq", "iteration", "start", "end")
+
+
 @query(f"""with {COMMANDS}, x as (select object, kind, start, "end", easing, seq, row_number() over (partition by object, start, "end", easing order by seq) as place from cm where kind = 'A'),
 y as (select object, kind, start, "end", easing, seq, row_number() over (partition by object, start, "end", easing order by seq) as place from cm where kind = 'R')
 select coalesce(x.object, y.object) as object, coalesce(x.start, y.start) as start, coalesce(x."end", y."end") as "end", coalesce(x.easing, y.easing) as easing, x.seq as x_seq, y.seq as y_seq
