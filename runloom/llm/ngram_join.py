@@ -212,22 +212,30 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def _links(index: DataFrame, open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, component) of the open sets that link with others."""
-    size = open_.select("node", "low", "n")
+    """(node, component) of the open sets that link with others.
+
+    Two rounds of leaders join most of a large group without its pairs: first the member of each list whose own lists are longest,
+    which of near copies is the one with fewest changes, then the least.  What a list still has of several components is compared
+    across them, one side always outside the list's largest.
+    """
+    central = index.where("not less").groupBy("node", "low").agg(F.sum("c").alias("central"))
+    size = open_.join(central, ["node", "low"], "left").select("node", "low", "n", F.coalesce("central", F.lit(0)).alias("central"))
     asks = stash(_asked(index, open_).join(size, ["node", "low"]))
-    lists = stash(index.join(asks.select("key", "less").distinct(), ["key", "less"], "left_semi").join(size, ["node", "low"]).select("key", "less", "node", "low", "n"))
-    of = F.struct("node", "n")
-    first = lists.groupBy("key", "less").agg(F.min(F.when(~F.col("low"), of)).alias("own"), F.min(of).alias("any"))
-    to = F.when(F.col("low"), F.col("own")).otherwise(F.col("any"))
-    led = asks.join(first, ["key", "less"]).select(F.col("node").alias("x"), F.col("n").alias("n_x"), to.node.alias("y"), to.n.alias("n_y"))
-    links = cut(_verified(_pairs(led), sets))
-    found = cut(components(links))
-
-    name = found.select("node", F.col("component").alias("in"))
-    x = asks.join(name, "node", "left").select("key", "less", F.col("node").alias("x"), F.col("low").alias("low_x"), F.col("n").alias("n_x"), F.coalesce("in", "node").alias("in_x"))
-    y = lists.join(name, "node", "left").select("key", "less", F.col("node").alias("y"), F.col("low").alias("low_y"), F.col("n").alias("n_y"), F.coalesce("in", "node").alias("in_y"))
+    lists = stash(index.join(asks.select("key", "less").distinct(), ["key", "less"], "left_semi").join(size, ["node", "low"]).select("key", "less", "node", "low", "n", "central"))
+    links = found = None
+    for rank in (F.struct("central_y", -F.col("y")), -F.col("y")):
+        x, y = _named(asks, found, "x"), _named(lists, found, "y")
+        of = F.struct(*[c for c in y.columns if c.endswith("_y") or c == "y"])
+        first = y.withColumn("rank", rank).groupBy("key", "less").agg(F.max_by(of, F.when(~F.col("low_y"), F.col("rank"))).alias("own"), F.max_by(of, "rank").alias("any"))
+        led = x.join(first, ["key", "less"]).withColumn("to", F.when(F.col("low_x"), F.col("own")).otherwise(F.col("any"))).select("x", "n_x", "in_x", "to.*").where("in_x != in_y")
+        new = cut(_verified(_pairs(led), sets))
+        if found is None or new.take(1):
+            links = new if links is None else cut(links.union(new))
+            found = cut(components(links))
+
+    x, y = _named(asks, found, "x"), _named(lists, found, "y")
     by = y.groupBy("key", "less", "in_y").agg(F.count("*").alias("c"))
-    main = by.groupBy("key", "less").agg(F.max_by("in_y", "c").alias("main"))
+    main = by.groupBy("key", "less").agg(F.max_by("in_y", "c").alias("main"), F.count("*").alias("d")).where("d > 1").drop("d")
     x, y = (cut(z.join(main, ["key", "less"])) for z in (x, y))
     apart = F.expr("in_x != in_y and not (low_x and low_y)")
     outside = x.join(y.where("in_y != main").drop("main"), ["key", "less"]).where(apart)
@@ -238,6 +246,15 @@ def _links(index: DataFrame, open_: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(components(links.union(more))) if more.take(1) else found
 
 
+def _named(rows: DataFrame, found: DataFrame | None, end: str) -> DataFrame:
+    """key, less, and of the node at this end itself, low, n, central and the component that it is in so far."""
+    node = F.col("node")
+    inside = node
+    if found is not None:
+        rows, inside = rows.join(found.select("node", F.col("component").alias("in")), "node", "left"), F.coalesce("in", "node")
+    return rows.select("key", "less", node.alias(end), F.col("low").alias(f"low_{end}"), F.col("n").alias(f"n_{end}"), F.col("central").alias(f"central_{end}"), inside.alias(f"in_{end}"))
+
+
 def ngram_join(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id that links lead to, for every row of ``docs``."""
     members = stash(_members(docs, text).withColumn("row", F.monotonically_increasing_id()))

@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from . import timeline
+from .intervals import covering
+from .runs import change_runs
+
+#: Values within this are one value; a fade within FADED of 1 isn't written
+EQUAL, FADED = 1e-6, 1e-4
+#: What a baked run's place, size and orientation depend on; these change together or not at all
+POSITION = ("MoveX", "MoveY", "Scale", "VectorScaleX", "VectorScaleY", "Rotate", "FlipH", "FlipV")
+#: What can be in a trigger, whose time isn't known
+TRIGGERED = ("Fade", "Colour", "Additive")
+COLOUR = "struct<r:int,g:int,b:int>"
+#: Samples of a run that are windowed together
+SAMPLES = 4096
+
 
 def sample_times(spans: DataFrame, keys: list[str], frame: float) -> DataFrame:
     """keys and t of every frame from start on and of the end itself."""
@@ -13,27 +30,144 @@ def sample_times(spans: DataFrame, keys: list[str], frame: float) -> DataFrame:
     return spans.select(*keys, F.explode(F.array_distinct(F.concat(inner, F.array(F.col("end").cast("double"))))).alias("t"))
 
 
-def segments(samples: DataFrame, keys: list[str]) -> DataFrame:
+def segments(samples: DataFrame, keys: list[str], width: float) -> DataFrame:
     """keys, start, end, v_start and v_end between successive samples (t, value); equal neighbours of a constant collapse.
 
-    I7: a series of one value is a single segment from its first to its last sample.
+    I7: a series of one value is a single segment from its first to its last sample.  Series are windowed by blocks of time,
+    ``width`` long, and whole by one row a block only.
     """
-    by = Window.partitionBy(*keys).orderBy("t")
-    whole = Window.partitionBy(*keys)
-    rows = samples.select(*keys, "t", "value", F.lead("t").over(by).alias("t1"), F.lead("value").over(by).alias("v1"), (F.max("value").over(whole) - F.min("value").over(whole) <= 1e-6).alias("constant"), F.max("t").over(whole).alias("tz"), F.row_number().over(by).alias("__k"))
-    moving = rows.where("not constant and t1 is not null").select(*keys, F.col("t").alias("start"), F.col("t1").alias("end"), F.col("value").alias("v_start"), F.col("v1").alias("v_end"))
-    still = rows.where("constant and __k = 1").select(*keys, F.col("t").alias("start"), F.col("tz").alias("end"), F.col("value").alias("v_start"), F.col("value").alias("v_end"))
+    rows = samples.select(*keys, "t", "value", F.floor(F.col("t") / width).alias("__b"))
+    by = Window.partitionBy(*keys, "__b").orderBy("t")
+    at = F.struct("t", "value")
+    blocks = rows.groupBy(*keys, "__b").agg(F.min_by(at, "t").alias("head"), F.min("value").alias("low"), F.max("value").alias("high"), F.min("t").alias("first"), F.max("t").alias("last"))
+    along, whole = Window.partitionBy(*keys).orderBy("__b"), Window.partitionBy(*keys)
+    blocks = blocks.select(*keys, "__b", F.lead("head").over(along).alias("after"), (F.max("high").over(whole) - F.min("low").over(whole) <= EQUAL).alias("constant"), F.min("first").over(whole).alias("first"), F.max("last").over(whole).alias("last"))
+    rows = rows.withColumn("next", F.lead(at).over(by)).join(blocks, [*keys, "__b"]).withColumn("next", F.coalesce("next", "after"))
+    moving = rows.where("not constant and next is not null").select(*keys, F.col("t").alias("start"), F.col("next.t").alias("end"), F.col("value").alias("v_start"), F.col("next.value").alias("v_end"))
+    still = rows.where("constant and t = first").select(*keys, F.col("t").alias("start"), F.col("last").alias("end"), F.col("value").alias("v_start"), F.col("value").alias("v_end"))
     return moving.unionByName(still)
 
 
-def flag_windows(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """[start, end) of every run of true samples (t, flag); one that is still true at the last sample ends there."""
-    by = Window.partitionBy(*keys).orderBy("t")
-    changed = F.coalesce(F.lag("flag").over(by) != F.col("flag"), F.lit(True))
-    rows = samples.withColumn("__c", changed)
-    turns = rows.where("__c").withColumn("end", F.lead("t").over(by))
-    last = samples.groupBy(*keys).agg(F.max("t").alias("__z"))
-    return turns.where("flag").join(last, keys).select(*keys, F.col("t").alias("start"), F.coalesce("end", "__z").alias("end"))
+def flag_windows(samples: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """[start, end) of every run of true samples (t, flag); one that is still true at the last sample ends there.
+
+    Windowed by blocks of time, ``width`` long.
+    """
+    return change_runs(samples, keys, ["t"], "t", "flag", F.floor(F.col("t") / width)).where("content").select(*keys, "start", "end")
+
+
+def check_triggers(commands: DataFrame) -> DataFrame:
+    """The triggers of groups and what is in them; anything but fades, colours and additive flags in one raises."""
+    triggers = commands.where("kind = 'Trigger'")
+    of = triggers.select("object", F.col("seq").alias("parent"), F.col("trigger").alias("__name"))
+    inside = commands.join(of, ["object", "parent"])
+    wrong = F.concat(F.lit("trigger "), F.coalesce("__name", F.lit("")), F.lit(": "), "kind", F.lit(" has no fixed time to bake at"))
+    kind = F.when(F.col("kind").isin(*TRIGGERED), F.col("kind")).otherwise(F.raise_error(wrong))
+    return triggers.unionByName(inside.withColumn("kind", kind).select(commands.columns))
+
+
+RUN = ["object", "run"]
+
+
+def _piece(kind: str, when: Column, a: Column | None = None, b: Column | None = None, c: Column | None = None, d: Column | None = None) -> Column:
+    """A command of a kind with values a to b, or colours c to d, or neither; null unless ``when``."""
+    of = lambda x, kind: (F.lit(None) if x is None else x).cast(kind)
+    return F.when(when, F.struct(F.lit(kind).alias("kind"), of(a, "double").alias("v_start"), of(b, "double").alias("v_end"), of(c, COLOUR).alias("c_start"), of(d, COLOUR).alias("c_end")))
+
+
+def _states(commands: DataFrame, moments: DataFrame, pivots: DataFrame) -> DataFrame:
+    """object, t and the state of groups at moments (object, t) as a struct; a group that doesn't move is at its pivot."""
+    found = timeline.states(commands, moments.distinct()).join(pivots, "object")
+    rgb = F.struct(*[F.col(c).cast("int").alias(c) for c in "rgb"])
+    found = found.withColumns({"MoveX": F.coalesce("MoveX", "px"), "MoveY": F.coalesce("MoveY", "py"), "Colour": rgb})
+    return cut(found.select("object", "t", F.struct(*POSITION, "Fade", "Colour", "Additive").alias("state")))
+
+
+def constancy(commands: DataFrame, pivots: DataFrame, spans: DataFrame) -> DataFrame:
+    """object, run, start, end, the state at start, and keeps: which of a group's values are the same from start to end of a run (spans).
+
+    Values are linear between the boundaries of commands, so those at the start, the end and the boundaries between tell.
+    """
+    bounds = commands.select("object", F.explode(F.array(F.col("start").cast("double"), F.col("end").cast("double"))).alias("t")).distinct()
+    within = covering(bounds, spans, ("object",)).where("start < t and t < end").select(*RUN, "t")
+    seen = within.unionByName(spans.select(*RUN, F.col("end").alias("t")))
+    state = _states(commands, seen.select("object", "t").unionByName(spans.select("object", F.col("start").alias("t"))), pivots)
+    first = spans.join(state.select("object", F.col("t").alias("start"), F.col("state").alias("a")), ["object", "start"])
+    both = seen.join(state.select("object", "t", F.col("state").alias("b")), ["object", "t"]).join(first, RUN)
+
+    def same(k: str) -> Column:
+        exact = k in timeline.FLAG_KINDS or k == "Colour"
+        return F.col(f"a.{k}") == F.col(f"b.{k}") if exact else F.abs(F.col(f"a.{k}") - F.col(f"b.{k}")) <= EQUAL
+
+    position = reduce(Column.__and__, map(same, POSITION))
+    keeps = [F.bool_and(position).alias("position"), *[F.bool_and(same(k)).alias(k) for k in ("Fade", "Colour", *timeline.FLAG_KINDS)]]
+    found = both.groupBy(*RUN, "start", "end").agg(*keeps, F.first("a").alias("state"))
+    return cut(found.select(*RUN, "start", "end", "state", F.struct("position", "Fade", "Colour", *timeline.FLAG_KINDS).alias("keeps")))
+
+
+def _posed(rows: DataFrame, pivots: DataFrame, runs: DataFrame) -> DataFrame:
+    """``rows`` (object, run, the state of the group) with x, y, sx, sy, angle, alpha, Colour and flags of the run then."""
+    base = runs.select(*RUN, F.col("x").alias("base_x"), F.col("y").alias("base_y"), F.col("scale").alias("base_scale"))
+    wide = rows.select("*", "state.*").drop("state").join(pivots, "object").join(base, RUN)
+    return cut(timeline.placed(wide, *map(F.col, ("base_x", "base_y", "px", "py", "base_scale"))))
+
+
+def _fixed(posed: DataFrame) -> DataFrame:
+    """One command for what a run keeps from start to end, and needs."""
+    position, white = F.col("keeps.position"), F.struct(*[F.lit(255).alias(c) for c in "rgb"])
+    move = [_piece(kind, position, F.col(c), F.col(c)) for kind, c in (("MoveX", "x"), ("MoveY", "y"), ("VectorScaleX", "sx"), ("VectorScaleY", "sy"))]
+    turn = _piece("Rotate", position & (F.abs("angle") > EQUAL), F.col("angle"), F.col("angle"))
+    fade = _piece("Fade", F.col("keeps.Fade") & (F.abs(F.col("alpha") - 1) > FADED), F.col("alpha"), F.col("alpha"))
+    colour = _piece("Colour", F.col("keeps.Colour") & (F.col("Colour") != white), c=F.col("Colour"), d=F.col("Colour"))
+    flags = [_piece(k, F.col(f"keeps.{k}") & F.col(k)) for k in timeline.FLAG_KINDS]
+    return posed.select(*RUN, "start", "end", F.inline(F.array_compact(F.array(*move, turn, fade, colour, *flags))))
+
+
+def _linear(samples: DataFrame) -> DataFrame:
+    """A piece from each sample of a run to the next, for what changes in it."""
+    value = F.struct("x", "y", "sx", "sy", "angle", "alpha", "Colour")
+    later = samples.where("k > 0").select(*RUN, (F.col("k") - 1).alias("k"), F.col("t").alias("end"), value.alias("b"))
+    pairs = samples.where("k < n").select(*RUN, "k", F.col("t").alias("start"), "keeps", value.alias("a")).join(later, [*RUN, "k"])
+    moves = (("MoveX", "x", "position"), ("MoveY", "y", "position"), ("VectorScaleX", "sx", "position"), ("VectorScaleY", "sy", "position"), ("Rotate", "angle", "position"), ("Fade", "alpha", "Fade"))
+    made = [_piece(kind, ~F.col(f"keeps.{kept}"), F.col(f"a.{c}"), F.col(f"b.{c}")) for kind, c, kept in moves]
+    made.append(_piece("Colour", ~F.col("keeps.Colour"), c=F.col("a.Colour"), d=F.col("b.Colour")))
+    return pairs.select(*RUN, "start", "end", F.inline(F.array_compact(F.array(*made))))
+
+
+def _flag_spans(samples: DataFrame, frame: float) -> DataFrame:
+    """The spans in which flags hold that a run doesn't keep."""
+    each = F.array_compact(F.array(*[F.when(~F.col(f"keeps.{k}"), F.struct(F.lit(k).alias("kind"), F.col(k).alias("flag"))) for k in timeline.FLAG_KINDS]))
+    turning = samples.select(*RUN, "t", F.inline(each))
+    spans = flag_windows(turning, [*RUN, "kind"], SAMPLES * frame).where("end > start")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    return spans.select(*RUN, "start", "end", "kind", none("v_start", "double"), none("v_end", "double"), none("c_start", COLOUR), none("c_end", COLOUR))
+
+
+def bake_runs(commands: DataFrame, pivots: DataFrame, runs: DataFrame, frame: float) -> DataFrame:
+    """The commands that each run (object, run, x, y, scale, start, end) of a group needs to move with it.
+
+    ``commands``: object, seq, parent, kind, start, end, easing, v_start, v_end, c_start, c_end and trigger, of groups whose loops are
+    expanded; ``pivots``: object, px, py.  x and y are the run's centre, scale its size, before the group's script.
+    What a run keeps is written once; the rest is sampled every ``frame`` and written as linear pieces, flags as the spans in which
+    they hold.  Triggers, with what is in them, are copied to every run.
+    Result: object, run, kind, start, end, v_start, v_end, c_start, c_end, and of triggers seq, parent and trigger.
+    """
+    triggers = check_triggers(commands)
+    plain = cut(commands.join(triggers.select("object", "seq"), ["object", "seq"], "left_anti"))
+    spans = runs.select(*RUN, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    kept = constancy(plain, pivots, spans)
+    fixed = _fixed(_posed(kept, pivots, runs))
+
+    changing = kept.where(~reduce(Column.__and__, [F.col(f"keeps.{k}") for k in ("position", "Fade", "Colour", "Additive")])).drop("state")
+    steps = F.greatest(F.ceil((F.col("end") - F.col("start")) / frame).cast("int"), F.lit(1))
+    numbered = changing.withColumn("n", steps).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    at = numbered.withColumn("t", F.when(F.col("k") == F.col("n"), F.col("end")).otherwise(F.col("start") + F.col("k") * frame))
+    samples = _posed(at.join(_states(plain, at.select("object", "t"), pivots), ["object", "t"]), pivots, runs)
+    own = fixed.unionByName(_linear(samples)).unionByName(_flag_spans(samples, frame))
+    kinds = commands.schema
+    own = own.select("*", *[F.lit(None).cast(kinds[c].dataType).alias(c) for c in ("seq", "parent", "trigger")])
+    copied = runs.select(*RUN).join(triggers, "object").select(*[F.col(c).cast(own.schema[c].dataType).alias(c) for c in own.columns])
+    return own.unionByName(copied)
 
 
 def place(runs: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:

@@ -202,8 +202,3 @@ def pair_axes(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
         return df.select(*same, F.col("seq").alias(name), F.row_number().over(Window.partitionBy(*same).orderBy("seq")).alias("place"))
 
     return numbered(x, "x_seq").join(numbered(y, "y_seq"), [*same, "place"], "full").select(*same, "x_seq", "y_seq")
-
-
-def simplify(commands: DataFrame) -> DataFrame:
-    """The passes in their order; loops are left to extract_loops on the result."""
-    return drop_covered(merge_adjacent(commands))

@@ -46,10 +46,10 @@ def change_runs(df: DataFrame, keys: list[str], order: list[str], time: str, con
     run = F.when((F.col("__s") == 1) & F.col("joined"), F.col("from")).otherwise(own)
     return (
         parts.join(edges, [*keys, "__b"])
-        .select(*keys, run.alias("run"), "start", "n", "content", F.coalesce("next", "after", "end_of_key").alias("end"))
-        .groupBy(*keys, "run")
+        .select(*keys, run.alias("__r"), "start", "n", "content", F.coalesce("next", "after", "end_of_key").alias("end"))
+        .groupBy(*keys, "__r")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.first("content").alias("content"))
-        .drop("run")
+        .drop("__r")
     )
 
 

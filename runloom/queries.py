@@ -464,7 +464,7 @@ def flag_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = commands(spark, sf_dir)
     samples = bake.sample_times(timeline.lifetimes(c), ["object"], 30.0)
     flags = timeline.flag_at(c, samples, keys=("object",))
-    return bake.flag_windows(flags, ["object"])
+    return bake.flag_windows(flags, ["object"], 64 * 30.0)
 
 
 @query(f"""with {BAKED}, f as (select sm.object, t, count(*) filter (start <= t and t < "end")::double as value from sm join cm on sm.object = cm.object group by 1, 2),
@@ -476,7 +476,57 @@ def baked_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = bake.sample_times(timeline.lifetimes(c), ["object"], 30.0)
     under_way = intervals.covering(samples, c.select("object", "start", "end"), ("object",)).where("t < end").groupBy("object", "t").agg(F.count("*").alias("n"))
     values = samples.join(under_way, ["object", "t"], "left").select("object", "t", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
-    return bake.segments(values, ["object"])
+    return bake.segments(values, ["object"], 64 * 30.0)
+
+
+SCRIPTS = f"""cm as (select l_orderkey as object, case l_linenumber when 1 then 'MoveX' when 2 then 'MoveY' when 3 then 'VectorScaleX' when 4 then 'Rotate' when 5 then 'Fade' when 6 then 'Colour' else case when l_returnflag = 'A' then 'Additive' else 'FlipH' end end as kind,
+ ((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::bigint as seq, ({MS.format('l_shipdate')} // {DAY})::double as start, ({MS.format('l_shipdate')} // {DAY}) + l_quantity as "end", l_discount * 10 as a, l_tax * 10 as b from lineitem),
+ru as (select o_orderkey as object, k as run, (o_custkey % 640)::double as x, (o_orderkey % 480)::double as y, ({MS.format('o_orderdate')} // {DAY})::double + 10 + 30 * k as start, ({MS.format('o_orderdate')} // {DAY})::double + 40 + 60 * k as "end" from orders, (values (0), (1)) v(k)),
+ev as (select object, kind, unnest([start, "end"]) as t from cm where kind <> 'x'),
+sn as (select distinct ru.object, run, ru.start, t from ru join ev on ru.object = ev.object and ru.start < t and t < ru."end" union select object, run, start, "end" from ru),
+sp as (select object, run, ru.start, "end", i as k, ceil(("end" - ru.start) / 7)::int as n, case when i = ceil(("end" - ru.start) / 7)::int then "end" else ru.start + i * 7.0 end as t from ru, range(0, 10) r(i) where i <= ceil(("end" - ru.start) / 7)::int),
+mm as (select object, t from sn union select object, start from ru union select object, t from sp),
+jj as (select mm.object, kind, t, arg_min(start, seq) as fs, arg_min(a, seq) as fv, max(seq) filter (start <= t and t <= "end") as sa, arg_max(b, {{'e': "end", 's': seq}}) as lv, bool_or(start <= t and t < "end") as flag from mm join cm on mm.object = cm.object group by 1, 2, 3),
+va as (select jj.*, case when cm.seq is not null then cm.a + (cm.b - cm.a) * case when cm."end" - cm.start <= 1e-9 then 1 else (t - cm.start) / (cm."end" - cm.start) end when t < fs then fv else lv end as v,
+  case when cm.seq is not null then cm.a * 200 + (cm.b * 200 - cm.a * 200) * case when cm."end" - cm.start <= 1e-9 then 1 else (t - cm.start) / (cm."end" - cm.start) end when t < fs then fv * 200 else lv * 200 end as c from jj left join cm on jj.object = cm.object and jj.kind = cm.kind and jj.sa = cm.seq),
+st as (select mm.object, mm.t, coalesce(max(v) filter (kind = 'MoveX'), 320) as mx, coalesce(max(v) filter (kind = 'MoveY'), 240) as my, coalesce(max(v) filter (kind = 'VectorScaleX'), 1) as vx, coalesce(max(v) filter (kind = 'Rotate'), 0) as an, coalesce(max(v) filter (kind = 'Fade'), 1) as fa,
+  coalesce(max(trunc(c)) filter (kind = 'Colour'), 255)::int as co, coalesce(bool_or(flag) filter (kind = 'FlipH'), false) as fh, coalesce(bool_or(flag) filter (kind = 'Additive'), false) as ad from mm left join va on mm.object = va.object and mm.t = va.t group by 1, 2),
+ke as (select sn.object, sn.run, bool_and(abs(p.mx - q.mx) <= 1e-6 and abs(p.my - q.my) <= 1e-6 and abs(p.vx - q.vx) <= 1e-6 and abs(p.an - q.an) <= 1e-6 and p.fh = q.fh) as kp, bool_and(abs(p.fa - q.fa) <= 1e-6) as kf, bool_and(p.co = q.co) as kc, bool_and(p.ad = q.ad) as ka, bool_and(p.fh = q.fh) as kh
+  from sn join st p on sn.object = p.object and sn.start = p.t join st q on sn.object = q.object and sn.t = q.t group by 1, 2),
+po as (select ru.object, ru.run, st.t, st.*, mx + (x - 320) * vx * case when fh then -1.0 else 1.0 end * cos(an) - (y - 240) * sin(an) as px, my + (x - 320) * vx * case when fh then -1.0 else 1.0 end * sin(an) + (y - 240) * cos(an) as py, 0.5 * vx as sx, 0.5::double as sy, case when fa > 1 then fa % 1 else fa end as al from ru join st on ru.object = st.object),
+p0 as (select ru.start, ru."end", po.*, kp, kf, kc, ka, kh from ru join po on ru.object = po.object and ru.run = po.run and ru.start = po.t join ke on ke.object = ru.object and ke.run = ru.run),
+se as (select a.object, a.run, a.start, b.start as "end", a.p, b.p as q from (select sp.object, sp.run, k, sp.t as start, n, po as p from sp join po on po.object = sp.object and po.run = sp.run and po.t = sp.t) a join (select sp.object, sp.run, k, sp.t as start, po as p from sp join po on po.object = sp.object and po.run = sp.run and po.t = sp.t) b on a.object = b.object and a.run = b.run and b.k = a.k + 1),
+fl as (select sp.object, sp.run, kind, k, sp.t, case kind when 'FlipH' then fh else ad end as flag from sp join po on po.object = sp.object and po.run = sp.run and po.t = sp.t join ke on ke.object = sp.object and ke.run = sp.run, (values ('FlipH'), ('Additive')) v(kind) where case kind when 'FlipH' then not kh else not ka end),
+fg as (select *, k - row_number() over (partition by object, run, kind, flag order by k) as g from fl),
+fw as (select object, run, kind, min(t) as start, max(k) as z from fg where flag group by object, run, kind, g),
+fe as (select fw.object, fw.run, fw.kind, fw.start, coalesce(fl.t, (select max(t) from fl z where z.object = fw.object and z.run = fw.run and z.kind = fw.kind)) as "end" from fw left join fl on fl.object = fw.object and fl.run = fw.run and fl.kind = fw.kind and fl.k = fw.z + 1),
+pc as (select object, run, 'MoveX' as kind, start, "end", px as v_start, px as v_end, null::int as c_start, null::int as c_end from p0 where kp union all select object, run, 'MoveY', start, "end", py, py, null, null from p0 where kp
+ union all select object, run, 'VectorScaleX', start, "end", sx, sx, null, null from p0 where kp union all select object, run, 'VectorScaleY', start, "end", sy, sy, null, null from p0 where kp
+ union all select object, run, 'Rotate', start, "end", an, an, null, null from p0 where kp and abs(an) > 1e-6 union all select object, run, 'Fade', start, "end", al, al, null, null from p0 where kf and abs(al - 1) > 1e-4
+ union all select object, run, 'Colour', start, "end", null, null, co, co from p0 where kc and co <> 255 union all select object, run, 'FlipH', start, "end", null, null, null, null from p0 where kh and fh union all select object, run, 'Additive', start, "end", null, null, null, null from p0 where ka and ad
+ union all select se.object, se.run, 'MoveX', se.start, se."end", p.px, q.px, null, null from se join ke using (object, run) where not kp union all select se.object, se.run, 'MoveY', se.start, se."end", p.py, q.py, null, null from se join ke using (object, run) where not kp
+ union all select se.object, se.run, 'VectorScaleX', se.start, se."end", p.sx, q.sx, null, null from se join ke using (object, run) where not kp union all select se.object, se.run, 'VectorScaleY', se.start, se."end", p.sy, q.sy, null, null from se join ke using (object, run) where not kp
+ union all select se.object, se.run, 'Rotate', se.start, se."end", p.an, q.an, null, null from se join ke using (object, run) where not kp union all select se.object, se.run, 'Fade', se.start, se."end", p.al, q.al, null, null from se join ke using (object, run) where not kf
+ union all select se.object, se.run, 'Colour', se.start, se."end", null, null, p.co, q.co from se join ke using (object, run) where not kc union all select object, run, kind, start, "end", null, null, null, null from fe where "end" > start)"""
+
+
+@query(f"""with {SCRIPTS} select object, run::int as run, kind, start, "end", round(v_start, 6) + 0.0::double as v_start, round(v_end, 6) + 0.0::double as v_end, c_start, c_end from pc""")
+def baked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as groups that their line items move, scale, turn, fade, colour and flip, with two runs each"""
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    names = F.array(*map(F.lit, ("MoveX", "MoveY", "VectorScaleX", "Rotate", "Fade", "Colour")))
+    kind = F.coalesce(F.get(names, F.col("l_linenumber") - 1), F.when(F.col("l_returnflag") == "A", "Additive").otherwise("FlipH"))
+    grey = lambda c: F.struct(*[(F.col(c) * 2000).alias(x) for x in "rgb"])
+    script = l.select(
+        F.col("l_orderkey").alias("object"), line_order().alias("seq"), F.lit(None).cast("long").alias("parent"), kind.alias("kind"), days("l_shipdate").alias("start"), (days("l_shipdate") + F.col("l_quantity")).alias("end"),
+        F.lit(0).alias("easing"), (F.col("l_discount") * 10).alias("v_start"), (F.col("l_tax") * 10).alias("v_end"), grey("l_discount").alias("c_start"), grey("l_tax").alias("c_end"), F.lit(None).cast("string").alias("trigger"),
+    )
+    pivots = o.select(F.col("o_orderkey").alias("object"), F.lit(320.0).alias("px"), F.lit(240.0).alias("py"))
+    runs_ = o.select(
+        F.col("o_orderkey").alias("object"), (F.col("o_custkey") % 640).cast("double").alias("x"), (F.col("o_orderkey") % 480).cast("double").alias("y"), F.lit(0.5).alias("scale"), days("o_orderdate").alias("d"), F.explode(F.array(F.lit(0), F.lit(1))).alias("run"),
+    ).withColumns({"start": F.expr("d + 10 + 30 * run"), "end": F.expr("d + 40 + 60 * run")}).drop("d")
+    baked = bake.bake_runs(script, pivots, runs_, 7.0)
+    return baked.select("object", "run", "kind", "start", "end", *[(F.round(c, 6) + 0.0).alias(c) for c in ("v_start", "v_end")], F.col("c_start.r").alias("c_start"), F.col("c_end.r").alias("c_end"))
 
 
 @query("""with tg as (select n_regionkey, n_nationkey, 1.0 + n_nationkey / 10.0 as scale, n_nationkey * 2.0 as dx, n_nationkey * -1.0 as dy from nation),

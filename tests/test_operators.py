@@ -164,7 +164,6 @@ def test_covered(spark):
     for other, kept in [((1, 100.0, 200.0, 0, 1.0, 1.0), 1), (base[:0] + (1, *base[1:]), 1), ((1, 100.0, 200.0, 0, 2.0, 2.0), 2), ((1, 500.0, 1500.0, 0, 1.0, 1.0), 2), ((1, 100.0, 200.0, 0, 1.0, 2.0), 2)]:
         got = rewrite.drop_covered(commands(spark, [base, other]))
         assert got.count() == kept and (kept == 2 or got.first().seq == 0)
-    assert rewrite.simplify(commands(spark, [base])).count() == 1
 
 
 @pytest.mark.parametrize("starts, want", [([0, 500, 1000], (1, 3)), ([0, 500], (None, None)), ([0, 500, 1200], (None, None)), ([0, 250, 500, 750, 1000], (1, 5)), ([], (None, None))])
@@ -197,9 +196,9 @@ def test_bake(spark):
     spans = spark.createDataFrame([(1, 0.0, 100.0)], "k int, start double, end double")
     assert [r[0] for r in rows(bake.sample_times(spans, ["k"], 40.0), "t")] == [0.0, 40.0, 80.0, 100.0]
     s = spark.createDataFrame([(1, 0.0, 1.0), (1, 1.0, 2.0), (1, 2.0, 2.0), (2, 0.0, 5.0), (2, 9.0, 5.0)], "k int, t double, value double")
-    assert rows(bake.segments(s, ["k"]), "k", "start", "end", "v_end") == [(1, 0.0, 1.0, 2.0), (1, 1.0, 2.0, 2.0), (2, 0.0, 9.0, 5.0)]
+    assert rows(bake.segments(s, ["k"], 2.0), "k", "start", "end", "v_end") == [(1, 0.0, 1.0, 2.0), (1, 1.0, 2.0, 2.0), (2, 0.0, 9.0, 5.0)]
     f = spark.createDataFrame([(1, float(t), v) for t, v in enumerate([True, True, False, False, True])], "k int, t double, flag boolean")
-    assert rows(bake.flag_windows(f, ["k"]), "start", "end") == [(0.0, 2.0), (4.0, 4.0)]
+    assert rows(bake.flag_windows(f, ["k"], 2.0), "start", "end") == [(0.0, 2.0), (4.0, 4.0)]
 
 
 def test_source_plan(spark):
