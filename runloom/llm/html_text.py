@@ -8,7 +8,8 @@ potential for its kind (container, section or text block).  Messages are passed
 Both kinds of potentials are counted on labelled pages: a bounded sample of the pages that mark their article, where nodes
 inside it are content, except below menus, notices and the like.  A prior adds counts, so that templates without a labelled
 page are read by their roles, text and neighbours.  What a mark as a menu, notice or form says is bounded, and a frame around
-most of the page's text is not taken for one.  The labels of the sample use the same marks.
+most of the page's text is not taken for one.  The labels of the sample use the same marks.  What is hidden, by the attribute or by
+its style, is no text of the page; nor is readers' talk, by names that say nothing else, unless it is most of a page without an article.
 
 Text of svg, select and template is no text of the page; without an end tag only their tag is passed over. Formulas and what
 object, canvas, audio and video hold are text where they stand.
@@ -50,22 +51,72 @@ CLOSES_P = CONTAINER | SECTION | frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote h
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table".split())
 # Fixed role words of class and id names.
-AWAY = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments reply replies discussion respond disqus form search pagination pager copyright legal disclaimer skip toolbar complementary contentinfo".split())
-AWAY_STARTS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navi", "newsletter", "promo", "sidebar", "sponsor", "subscri")
+AWAY = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended form search pagination pager copyright legal disclaimer skip toolbar complementary contentinfo".split())
+AWAY_STARTS = ("advert", "breadcrumb", "cookie", "footer", "navi", "newsletter", "promo", "sidebar", "sponsor", "subscri")
 AWAY_ENDS = ("banner", "footer", "menu", "nav", "sidebar")
 HEADERS = frozenset("header masthead".split())
-TALK = frozenset("comment comments reply replies respond discussion".split())
+#: A name is of readers' talk if all its words are here and one of them is in TALK
+TALK = frozenset("comment comments commentlist disqus replies".split())
+TALKING = TALK | frozenset("area body box block child children container content item list main parent reader readers reply section text the thread user users view wrap wrapper".split())
 WEAK = frozenset("ad ads share social related search form side legal alert notice notices header".split())
 TOWARD = frozenset("article content main post entry story body text prose page".split())
 AWAY_TAGS = frozenset("nav aside form menu dialog fieldset footer head button".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+STOPS = re.compile(r"""[>"']""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 SENTENCE = re.compile(r"[.!?…:;]\s*$|[.!?…]\s")
 
 
+class Tags:
+    """The tags of a page one after another: start, end, whether it closes, name (empty for comments and the like), attributes.
+
+    A quoted value runs to its quote.  Where that leaves no end of the tag, it ends at the next ``>``.  Quotes that have led to no end
+    once aren't followed again, so the time is linear in the page.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.last, self.lost = source, source.rfind(">"), set()
+
+    def end(self, at: int) -> int:
+        """Behind the ``>`` that ends a tag whose name ends at ``at``; ``at`` lies before the last one of the page."""
+        met, k = [], at
+        while (stop := STOPS.search(self.source, k)) and stop.start() not in self.lost:
+            if stop[0] == ">":
+                return stop.end()
+            met.append(stop.start())
+            k = self.source.find(stop[0], stop.end()) + 1
+            if not k:
+                break
+        self.lost.update(met)
+        return self.source.index(">", at) + 1
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        source = self.source
+        while m := OPENS.search(source, at):
+            if m[1]:
+                end = source.find("-->", m.end())
+                return m.start(), len(source) if end < 0 else end + 3, False, "", ""
+            if m[2]:
+                end = source.find(">", m.end())
+                return m.start(), len(source) if end < 0 else end + 1, False, "", ""
+            if m.end() > self.last:
+                return None  # no tag ends any more: text
+            end = self.end(m.end())
+            return m.start(), end, bool(m[3]), m[4].lower(), source[m.end() : end - 1]
+        return None
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    """The attributes of a tag by name in lower case, the first of equal ones."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
 @dataclass
 class Page:
     parent: list[int] = field(default_factory=lambda: [-1])
@@ -80,18 +131,16 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
-def role_of(tag: str, attributes: str) -> int:
-    """1 toward content, -1 away from it, -2 if only because it is a header, -3 if a name joins a word of several meanings to others, -4 hidden or of readers' talk."""
-    if not attributes or tag in ("body", "html"):
+def role_of(tag: str, text: str) -> int:
+    """1 toward content, -1 away from it, -2 if only because it is a header, -3 if a name joins a word of several meanings to others, -4 of readers' talk, -5 hidden."""
+    if not text or tag in ("body", "html"):
         return 0
-    if HIDDEN.search(attributes):
-        return -4
-    if "class" not in attributes and "id" not in attributes and "role" not in attributes:
-        return 0
-    names = [n for m in NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+    have = attributes_of(text)
+    if "hidden" in have or UNSEEN.search(have.get("style", "")):
+        return -5
+    names = [n for key in ("class", "id", "role") for n in have.get(key, "").lower().split()]
     parts = [set(WORD.findall(n)) for n in names]
-    words = set().union(*parts)
-    if words & TALK or any(w.startswith("comment") for w in words):
+    if any(x & TALK and x <= TALKING for x in parts):
         return -4
     if tag in ("article", "main"):
         return 0
@@ -100,6 +149,7 @@ def role_of(tag: str, attributes: str) -> int:
         if all(x & TOWARD for x in away):  # a frame of the content and something beside it
             return 0
         return -3 if all(len(x) > 1 and x & WEAK for x in away) else -1
+    words = set().union(*parts)
     return -2 if words & HEADERS else 1 if words & TOWARD else 0
 
 
@@ -112,15 +162,15 @@ def ends_of_unread(source: str) -> dict[int, int]:
     """Where the drawings, choices and templates of a page start and end; those without an end tag of their own aren't in it."""
     found: dict[int, int] = {}
     opened: dict[str, list[int]] = {name: [] for name in UNREAD}
-    at = 0
-    while m := TOKEN.search(source, at):
-        at, name = m.end(), (m[2] or "").lower()
-        if name in RAW and not m[1] and not m[3].endswith("/"):
+    tags, at = Tags(source), 0
+    while tag := tags.after(at):
+        start, at, closes, name, attributes = tag
+        if name in RAW and not closes and not attributes.endswith("/"):
             at = end_of_raw(name, source, at)
-        elif name in UNREAD and m[1] and opened[name]:
-            found[opened[name].pop()] = m.end()
-        elif name in UNREAD and not m[1] and not m[3].endswith("/"):
-            opened[name].append(m.start())
+        elif name in UNREAD and closes and opened[name]:
+            found[opened[name].pop()] = at
+        elif name in UNREAD and not closes and not attributes.endswith("/"):
+            opened[name].append(start)
     return found
 
 
@@ -152,23 +202,21 @@ def parse(source: str) -> Page:
         here = next(node for _, node in reversed(stack) if node >= 0)
 
     closed = None
-    at, end = 0, len(source)
+    tags, at, end = Tags(source), 0, len(source)
     while at < end:
-        m = TOKEN.search(source, at)
-        piece = source[at : m.start() if m else end]
+        tag = tags.after(at)
+        piece = source[at : tag[0] if tag else end]
         if piece:
             text = html.unescape(piece) if "&" in piece else piece
             parts.append(text)
             if links:
                 page.linked[here] += len(text)
-        if not m:
+        if not tag:
             break
-        at = m.end()
-        name = m[2]
+        start, at, closes, name, attributes = tag
         if not name:
             continue
-        name = name.lower()
-        if m[1]:
+        if closes:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     close(k)
@@ -179,13 +227,13 @@ def parse(source: str) -> Page:
                 parts.append(" ")
             continue
         if name in RAW:
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 at = end_of_raw(name, source, at)
             continue
         if name in UNREAD:
             if closed is None:
                 closed = ends_of_unread(source)
-            at = closed.get(m.start(), at)
+            at = closed.get(start, at)
             continue
         if name in INLINE:
             stack.append((name, -1))
@@ -208,7 +256,7 @@ def parse(source: str) -> Page:
         flush()
         page.parent.append(here)
         page.tag.append(name)
-        page.role.append(-4 if page.role[here] == -4 else role_of(name, m[3]))  # all of a talk is talk
+        page.role.append(role_of(name, attributes))
         for column, value in ((page.size, 0), (page.linked, 0), (page.ends, False)):
             column.append(value)
         here = len(page.tag) - 1
@@ -218,6 +266,11 @@ def parse(source: str) -> Page:
     for i in range(len(plain) - 1, 0, -1):
         plain[page.parent[i]] += max(plain[i], 0)
     page.most = [2 * x > plain[0] for x in plain]
+    marked = any(page.tag[i] in ("article", "main") and page.role[i] > -4 for i in range(len(page.tag)))
+    for i in range(1, len(page.tag)):  # all of what is hidden is hidden, and all of a talk is talk
+        if page.role[i] == -4 and page.most[i] and not marked:
+            page.role[i] = 0
+        page.role[i] = min(page.role[i], page.role[page.parent[i]]) if page.role[page.parent[i]] <= -4 else page.role[i]
     return page
 
 
@@ -229,7 +282,7 @@ def feature_names(page: Page, i: int) -> list[str]:
     tag = page.tag[i]
     marked = away(page, i)
     role = page.role[i]
-    out = [("role -4" if role == -4 else "role -1") if marked and tag not in AWAY_TAGS else "role -3" if role == -3 else f"role {max(role, 0)}"]
+    out = [("role -4" if role <= -4 else "role -1") if marked and tag not in AWAY_TAGS else "role -3" if role == -3 else f"role {max(role, 0)}"]
     if tag in SECTION and tag != "header":
         if marked or tag not in AWAY_TAGS:
             out.append(f"tag {tag}")
@@ -251,7 +304,7 @@ def away(page: Page, i: int) -> bool:
     A frame around most of the page's text is no menu, form or notice, whatever its name.
     """
     tag = page.tag[i]
-    if page.role[i] == -4:
+    if page.role[i] <= -4:
         return True
     if page.most[i]:
         return False
@@ -263,7 +316,7 @@ def away(page: Page, i: int) -> bool:
 def link(page: Page, i: int) -> str:
     """The potential between a node and its parent."""
     p = page.parent[i]
-    return f"{kind(page.tag[i])} {2 if page.role[p] == -4 else int(away(page, p))}"
+    return f"{kind(page.tag[i])} {2 if page.role[p] <= -4 else int(away(page, p))}"
 
 
 def known_labels(page: Page) -> list[int] | None:
