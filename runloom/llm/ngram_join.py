@@ -9,8 +9,8 @@
 4. Open sets are indexed by their segments and by the segments less one shingle each.  A segment without a partner at one
    shingle's distance counts twice.  For the rest of H + 1 the cheapest are taken, exact or within one shingle, at the cost of
    the partners that the index has for each: sets that differ by more in all that is taken differ in over H shingles.
-5. Partners are asked for: first the least of each list, then, where lists still span several components, all of other
-   components.  Each pair is verified on whole sets; links become components.  No list or pair is capped.
+5. Partners are asked for: first one leader of each list, then, where lists still span several components, those that differ from
+   the leader in the same shingles.  Each pair is verified on whole sets; links become components.  No list or pair is capped.
 
 Texts without words (null, empty) are linked with nothing.  Fewer than three words are one shingle, the whole sequence.  Rows with
 a null doc_id are linked with nothing and have no component.  Rows that repeat a doc_id stay rows, each with the component of its
@@ -211,50 +211,67 @@ def _pairs(found: DataFrame) -> DataFrame:
     return fits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _deltas(spread: DataFrame, sets: DataFrame) -> DataFrame:
+    """leader, node and each shingle that one of the two has and the other hasn't."""
+    wide = spread.select("leader", "node")
+    for end in ("leader", "node"):
+        wide = wide.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"shingles_{end}")), end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a pair at a time: its rows are as many as its shingles
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+                apart = np.setxor1d(x, y, assume_unique=True)
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(c)[i], len(apart)) for c in (0, 1)), pa.array(apart.view(np.int64))], ["leader", "node", "shingle"])
+
+    return wide.select("leader", "node", "shingles_leader", "shingles_node").mapInArrow(run, "leader long, node long, shingle long")
+
+
 def _links(index: DataFrame, open_: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component) of the open sets that link with others.
 
-    Two rounds of leaders join most of a large group without its pairs: first the member of each list whose own lists are longest,
-    which of near copies is the one with fewest changes, then the least.  What a list still has of several components is compared
-    across them, one side always outside the list's largest.
+    First each set is compared with the leader of each list that it looks through: the one whose own lists are longest, which of near
+    copies is the one with fewest changes.  Then, for lists that still hold several components, with others of the list: two sets
+    that link differ in H shingles at most, so what they have unlike their leader has that much in common, too.  Any H + 1 of the
+    shingles in which x and its leader differ hold one in which y and the leader differ; where x differs in fewer, either they
+    have one in common or both link with the leader.  So only sets with one of the H + 1 rarest such shingles in common are compared,
+    if from the first of these on enough are left on both sides.
     """
     central = index.where("not less").groupBy("node", "low").agg(F.sum("c").alias("central"))
-    size = open_.join(central, ["node", "low"], "left").select("node", "low", "n", F.coalesce("central", F.lit(0)).alias("central"))
+    size = open_.join(central, ["node", "low"], "left").select("node", "low", "n", "h", F.coalesce("central", F.lit(0)).alias("central"))
     asks = stash(_asked(index, open_).join(size, ["node", "low"]))
     lists = stash(index.join(asks.select("key", "less").distinct(), ["key", "less"], "left_semi").join(size, ["node", "low"]).select("key", "less", "node", "low", "n", "central"))
-    links = found = None
-    for rank in (F.struct("central_y", -F.col("y")), -F.col("y")):
-        x, y = _named(asks, found, "x"), _named(lists, found, "y")
-        of = F.struct(*[c for c in y.columns if c.endswith("_y") or c == "y"])
-        first = y.withColumn("rank", rank).groupBy("key", "less").agg(F.max_by(of, F.when(~F.col("low_y"), F.col("rank"))).alias("own"), F.max_by(of, "rank").alias("any"))
-        led = x.join(first, ["key", "less"]).withColumn("to", F.when(F.col("low_x"), F.col("own")).otherwise(F.col("any"))).select("x", "n_x", "in_x", "to.*").where("in_x != in_y")
-        new = cut(_verified(_pairs(led), sets))
-        if found is None or new.take(1):
-            links = new if links is None else cut(links.union(new))
-            found = cut(components(links))
-
-    x, y = _named(asks, found, "x"), _named(lists, found, "y")
-    by = y.groupBy("key", "less", "in_y").agg(F.count("*").alias("c"))
-    main = by.groupBy("key", "less").agg(F.max_by("in_y", "c").alias("main"), F.count("*").alias("d")).where("d > 1").drop("d")
-    x, y = (cut(z.join(main, ["key", "less"])) for z in (x, y))
-    apart = F.expr("in_x != in_y and not (low_x and low_y)")
-    outside = x.join(y.where("in_y != main").drop("main"), ["key", "less"]).where(apart)
-    inside = x.where("in_x != main").join(y.where("in_y = main").drop("main"), ["key", "less"]).where(apart)
-    more = cut(_verified(_pairs(outside.unionByName(inside)), sets))
-    for done in (asks, lists):
+    of, rank = F.struct("node", "n"), F.struct("central", -F.col("node"))
+    first = cut(lists.groupBy("key", "less").agg(F.max_by(of, rank).alias("to")).select("key", "less", F.col("to.node").alias("y"), F.col("to.n").alias("n_y")))
+    led = asks.join(first, ["key", "less"]).select(F.col("node").alias("x"), F.col("n").alias("n_x"), "y", "n_y")
+    links = cut(_verified(_pairs(led), sets))
+    found = cut(components(links))
+
+    name = found.select("node", F.col("component").alias("in"))
+    members = lists.join(name, "node", "left").withColumn("in", F.coalesce("in", "node"))
+    several = members.groupBy("key", "less").agg(F.min("in").alias("a"), F.max("in").alias("b")).where("a != b").select("key", "less")
+    led_by = cut(several.join(first.select("key", "less", F.col("y").alias("leader")), ["key", "less"]))
+    spread = members.join(led_by, ["key", "less"]).groupBy("leader", "node").agg(F.first("n").alias("n"), F.first("in").alias("in"))
+    asking = asks.join(led_by, ["key", "less"]).groupBy("leader", "node").agg(F.max("h").alias("h"))
+    apart = stash(_deltas(spread, sets))
+    often = apart.groupBy("leader", "shingle").agg(F.count("*").alias("often")).where("often > 1")
+    shared = apart.join(often, ["leader", "shingle"])
+    sizes = apart.groupBy("leader", "node").agg(F.count("*").alias("apart")).join(shared.groupBy("leader", "node").agg(F.count("*").alias("met")), ["leader", "node"])
+    rank = F.row_number().over(Window.partitionBy("leader", "node").orderBy("often", "shingle"))
+    # what a set has alone comes before: it's rarest, and meets nothing; left: from this place on
+    placed = shared.withColumn("rank", rank).join(sizes, ["leader", "node"]).join(spread, ["leader", "node"]).join(asking, ["leader", "node"], "left")
+    placed = stash(placed.selectExpr("leader", "shingle", "node", "n", "in", "apart", "met - rank + 1 as left", "coalesce(apart - met + rank <= h + 1, false) as looks"))
+    x = placed.where("looks").select("leader", "shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "in", "apart", "left")])
+    y = placed.select("leader", "shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "in", "apart", "left")])
+    common = F.expr(f"in_x != in_y and 2 * least(left_x, left_y) >= apart_x + apart_y - (n_x + n_y) div {SHARE}")
+    met = x.join(y, (x["leader"] == y["leader"]) & (x["shingle"] == y["shingle"]) & common).withColumnsRenamed({"node_x": "x", "node_y": "y"})
+    more = cut(_verified(_pairs(met), sets))
+    discard(placed)
+    for done in (asks, lists, apart):
         discard(done)
     return cut(components(links.union(more))) if more.take(1) else found
 
 
-def _named(rows: DataFrame, found: DataFrame | None, end: str) -> DataFrame:
-    """key, less, and of the node at this end itself, low, n, central and the component that it is in so far."""
-    node = F.col("node")
-    inside = node
-    if found is not None:
-        rows, inside = rows.join(found.select("node", F.col("component").alias("in")), "node", "left"), F.coalesce("in", "node")
-    return rows.select("key", "less", node.alias(end), F.col("low").alias(f"low_{end}"), F.col("n").alias(f"n_{end}"), F.col("central").alias(f"central_{end}"), inside.alias(f"in_{end}"))
-
-
 def ngram_join(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id that links lead to, for every row of ``docs``."""
     members = stash(_members(docs, text).withColumn("row", F.monotonically_increasing_id()))
