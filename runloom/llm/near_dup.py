@@ -252,6 +252,18 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose component has a lesser doc_id."""
-    gone = _components(docs, text).where("doc_id != component_id").select(F.col("doc_id").alias("__id"), F.col("k").alias("__k")).distinct()
-    return docs.join(gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs[text]) == gone["__k"]), "left_anti").select(docs.columns)
+    """The rows of ``docs``, all columns, without those whose component has a lesser doc_id.
+
+    Of rows that repeat doc_id and text, null among them, one stays.
+    """
+    found = _components(docs, text)
+    named = found.select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), (F.col("doc_id") != F.col("component_id")).alias("gone"))
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__k"))
+    kept = docs.join(named.where("gone").distinct(), same, "left_anti").select(docs.columns)
+    again = stash(named.where("not coalesce(gone, false)").groupBy("__id", "__k").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
+    if not again.take(1):
+        discard(again)
+        return kept
+    same = kept["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(kept[text]) == F.col("__k"))
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", text])
+    return kept.join(again, same, "left_anti").unionByName(once)

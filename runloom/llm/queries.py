@@ -67,8 +67,14 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage_words=50)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), "n_passages", "passage_bytes")
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 by words: the passages of over 50 words that also stand elsewhere, and their bytes."""
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), over_words=50)
+    return out.select("doc_id", "n_bytes", F.col("n_spans").alias("n_passages"), F.col("n_removed").alias("passage_bytes"))
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
@@ -133,7 +139,7 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op4_toxicity, op5_minhash_near_dedup, op6_html_extraction, op7_suffix_array_dedup, op8_bpe_automaton, op9_quality_rules, op10_token_counts, op11_periodic_runs, op12_ngram_join, op13_turn_repair)
+    for f in (op1_url_filters, op2_chat_format, op3_decontaminate, op4_toxicity, op5_minhash_near_dedup, op6_html_extraction, op7_suffix_array_dedup, op8_bpe_automaton, op9_quality_rules, op10_token_counts, op11_periodic_runs, op12_ngram_join, op13_turn_repair, repeated_passages)
 }
 
 ORACLE = {

@@ -11,8 +11,12 @@
    alone, one string of each of its classes, meets the other blocks' by a 128-bit hash that is counted, not gathered.
 3. Spans go back to the documents, where the covered bytes are removed.
 
+Passages can be counted in words instead: then each word stands for ``CODE`` bytes, made of its hash, and strings are so many whole
+words, whatever white space is between them; what goes is from the first letter of a run of words to the next word.
+
 Strings are judged on the input and never cross rows.  Null texts are empty.  Rows that repeat each other count as
-separate documents, so their strings of that length are all repeated.  The cleaned text is the remaining bytes; where a
+separate documents, so their strings of that length are all repeated, and of such rows nothing is left; drop repeated rows before.
+Texts of any length are taken whole.  Rows with a null doc_id are rows like any other.  An empty table gives none.  The cleaned text is the remaining bytes; where a
 cut leaves part of a character, that part is dropped from kept_text, while kept_bytes holds every byte.
 """
 
@@ -26,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ..session import discard, stash
 from . import _bytes as B
@@ -37,6 +42,8 @@ STRETCH = 1 << 18
 GRAM_PERCENT = 32
 #: Distinct pieces of one anchor that go to one block
 PIECES = 6144
+#: Bytes that stand for a word, seven bits of its hash each
+CODE = 8
 #: Bytes of pieces that a suffix array is built of at once, whole anchors
 BLOCK_BYTES = 1 << 18
 
@@ -199,9 +206,18 @@ def _runs(piece: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return piece[i], start[i], start[np.append(i[1:], len(piece)) - 1] + 1
 
 
-def _anchored(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def coded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row boundaries of rows in which each word is ``CODE`` bytes."""
+    starts, ends, first = B.words(buf, offs)
+    h = B.range_hash(B.prefix_hash(buf), starts, ends)
+    return (h[:, None] >> np.arange(0, 7 * CODE, 7, dtype=np.uint64) & np.uint64(127)).astype(np.uint8).ravel(), first * CODE
+
+
+def _anchored(length: int, words: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, _, buf, offs in B.text_chunks(batch.column(2), STRETCH):
+            if words:
+                buf, offs = coded(buf, offs)
             stretches = [(buf, offs, 0)]
             if len(buf) > 2 * STRETCH and len(offs) == 2:
                 stretches = [(buf[a : a + STRETCH + length - 1], None, a) for a in range(0, len(buf) - length + 1, STRETCH)]
@@ -215,14 +231,20 @@ def _anchored(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
                     )
 
 
-def _cut_pieces(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From texts and the lists of pieces wanted of them: the pieces' bytes."""
+def _cut_pieces(length: int, words: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From id, k, texts and the lists of pieces wanted of them: the pieces' bytes, of rows that repeat each other once."""
+    seen = set()
     for batch in batches:
-        wanted = batch.column(1)
-        for i in range(batch.num_rows):
-            text = batch.column(0)[i].as_buffer()
-            ask = wanted[i].values
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for i, key in enumerate(keys):
+            if key in seen:
+                continue
+            seen.add(key)
+            text = batch.column(2)[i].as_buffer()
+            ask = batch.column(3)[i].values
             raw = memoryview(text)
+            if words:
+                raw = memoryview(coded(np.frombuffer(text, np.uint8), np.array([0, len(raw)]))[0].tobytes())
             first, size = (ask.field(c).to_numpy() for c in ("first", "size"))
             cut = [bytes(raw[a : a + s + length - 1]) for a, s in zip(first.tolist(), size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ask.field("anchor"), ask.field("content"), ask.field("salt"), ask.field("hot"), ask.field("size"), pa.array(cut, pa.binary())], ["anchor", "content", "salt", "hot", "size", "bytes"])
@@ -279,16 +301,21 @@ def _blocks(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """id, k (hash of the text) and spans (array of start and end in bytes, unsorted) of rows with repeated strings."""
-    return _spans_of(_keyed(docs, text), length)
+    return _spans_of(_keyed(docs, text), length, False)
+
+
+def repeated_words(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """id, k and spans as of repeated_spans(), of strings of so many words, in bytes of words' codes."""
+    return _spans_of(_keyed(docs, text), words * CODE, True)
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("k"), F.col(text).alias("text"))
 
 
-def _spans_of(keyed: DataFrame, length: int) -> DataFrame:
-    long_rows = keyed.where(F.octet_length("text") >= length)
-    cut = stash(long_rows.mapInArrow(partial(_anchored, length), "id long, k long, first long, size int, anchor long, content long"))
+def _spans_of(keyed: DataFrame, length: int, words: bool) -> DataFrame:
+    long_rows = keyed.where(F.octet_length("text") >= (2 * length // CODE - 1 if words else length))
+    cut = stash(long_rows.mapInArrow(partial(_anchored, length, words), "id long, k long, first long, size int, anchor long, content long"))
     again = cut.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     # read back, both sides of the join come by an exchange, so that a common anchor's rows can be split
     again = stash(again)
@@ -306,8 +333,8 @@ def _spans_of(keyed: DataFrame, length: int) -> DataFrame:
         .groupBy("id", "k").agg(F.collect_list(F.struct("anchor", "content", "salt", "hot", "first", "size")).alias("asked"))
     )
     blocks = (
-        long_rows.join(asked.hint("shuffle_hash"), ["id", "k"]).select(F.col("text").cast("binary"), "asked")
-        .mapInArrow(partial(_cut_pieces, length), "anchor long, content long, salt int, hot boolean, size int, bytes binary")
+        long_rows.join(asked.hint("shuffle_hash"), ["id", "k"]).select("id", "k", F.col("text").cast("binary"), "asked")
+        .mapInArrow(partial(_cut_pieces, length, words), "anchor long, content long, salt int, hot boolean, size int, bytes binary")
         .repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
         .mapInArrow(partial(_blocks, length), "anchor long, content long, from int, to int, x long, y long")
     )
@@ -322,41 +349,35 @@ def _spans_of(keyed: DataFrame, length: int) -> DataFrame:
     spans = stash(
         rows.join(found, ["anchor", "content"])
         .groupBy("id", "k")
-        .agg(F.collect_list(F.struct((F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to") + (length - 1)).alias("b"))).alias("spans"))
+        .agg(F.collect_set(F.struct((F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to") + (length - 1)).alias("b"))).alias("spans"))
     )
     for done in (rows, distinct, settled):
         discard(done)
     return spans
 
 
-def _with_run(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of rows whose spans cover ``length`` bytes in one run at least."""
-    for batch in batches:
-        runs = (_joined(x) for x in batch.column(2))
-        yield batch.select([0, 1]).filter(pa.array([bool(len(r) and (r[:, 1] - r[:, 0]).max() >= length) for r in runs], pa.bool_()))
-
+def _joined(spans: pa.Scalar) -> np.ndarray:
+    """The union of some spans as sorted disjoint spans that don't touch."""
+    if not spans.is_valid:
+        return np.empty((0, 2), np.int64)
+    return _union(*(spans.values.field(c).to_numpy() for c in ("a", "b")))
 
-def spans_of_both(docs: DataFrame, text: str, length: int, shorter: int) -> DataFrame:
-    """id, k, spans (repeated strings of ``length`` bytes, or null) and passages (those of ``shorter`` bytes).
 
-    All strings of the shorter length within a repeated string repeat, at both its places.  So only texts that these cover
-    in a run of ``length`` bytes can hold one, and nothing else is searched a second time.
-    """
-    keyed = _keyed(docs, text)
-    passages = _spans_of(keyed, shorter).withColumnRenamed("spans", "passages")
-    with_run = passages.mapInArrow(partial(_with_run, length), "id long, k long")
-    texts = stash(keyed.join(with_run.hint("shuffle_hash"), ["id", "k"], "left_semi"))
-    spans = _spans_of(texts, length)
-    discard(texts)
-    return passages.join(spans, ["id", "k"], "left")
+def _of_words(spans: pa.Scalar, raw: bytes, words: int) -> np.ndarray:
+    """The union of some spans of codes as spans of a text's bytes; only strings of whole words count."""
+    if not spans.is_valid:
+        return np.empty((0, 2), np.int64)
+    a, b = (spans.values.field(c).to_numpy() for c in ("a", "b"))
+    first, last = -(-a // CODE), b // CODE - words
+    whole = first <= last
+    found = _union(first[whole], last[whole] + words)
+    starts, _, _ = B.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return np.append(starts, len(raw))[found]
 
 
-def _joined(spans: pa.Scalar) -> np.ndarray:
-    """The union of some spans as sorted disjoint spans that don't touch."""
-    if not spans.is_valid:
+def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if not len(a):
         return np.empty((0, 2), np.int64)
-    v = spans.values
-    a, b = v.field("a").to_numpy(), v.field("b").to_numpy()
     o = np.argsort(a, kind="stable")
     a, b = a[o], np.maximum.accumulate(b[o])
     new = np.ones(len(a), bool)
@@ -365,26 +386,19 @@ def _joined(spans: pa.Scalar) -> np.ndarray:
     return np.stack([a[i], b[np.append(i[1:], len(a)) - 1]], axis=1)
 
 
-def _wordy(raw: bytes, runs: np.ndarray, words: int) -> np.ndarray:
-    """The runs that hold more than ``words`` words, all with 0."""
-    return runs[[len(raw[a:b].split()) > words for a, b in runs.tolist()]] if words and len(runs) else runs
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", decode: bool = False, length: int = LENGTH, over_words: int = 0, passage_words: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", decode: bool = False, length: int = LENGTH, over_words: int = 0) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept_bytes (binary, or kept_text if ``decode``) to the rows of ``docs``, all but ``text``.
 
-    Removed are the bytes covered by repeated strings of ``length`` bytes, in runs that hold more than ``over_words`` words.
-    With ``passage_words`` also n_passages and passage_bytes: the number and bytes of runs of repeated strings of four bytes
-    a word (less than ``length``) that hold more words than that.  They are reported, not removed.
+    Removed are the bytes covered by repeated strings of ``length`` bytes, or with ``over_words`` of more words than that.
     Columns of ``docs`` with a result's name are replaced.
     """
-    counts = ("n_bytes", "n_removed", "n_spans", *(("n_passages", "passage_bytes") if passage_words else ()))
+    counts = ("n_bytes", "n_removed", "n_spans")
     added = (*counts, "kept_text" if decode else "kept_bytes")
     rest = [c for c in docs.columns if c not in added and c != text]
-    spans = spans_of_both(docs, text, length, 4 * passage_words) if passage_words else repeated_spans(docs, text, length)
+    spans = repeated_words(docs, text, over_words + 1) if over_words else repeated_spans(docs, text, length)
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     own = [f"c{i}" for i in range(len(rest))]
-    source = keyed.join(spans, ["id", "k"], "left").select(*own, "text", "spans", *(["passages"] if passage_words else []))
+    source = keyed.join(spans, ["id", "k"], "left").select(*own, "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -393,20 +407,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", decode: bool = False, le
             group = np.cumsum(size) >> 24
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
             for x, y in zip(cuts, cuts[1:], strict=False):
-                kept, removed, n, seen = [], [], [], []
+                kept, removed, n = [], [], []
                 for i in range(x, y):
                     raw = texts[i].as_py()
-                    cut = _wordy(raw, _joined(spans[i]), over_words)
-                    if passage_words:
-                        seen.append(_wordy(raw, _joined(batch.column(len(own) + 2)[i]), passage_words))
+                    cut = _of_words(spans[i], raw, over_words + 1) if over_words else _joined(spans[i])
                     removed.append(int((cut[:, 1] - cut[:, 0]).sum()))
                     n.append(len(cut))
                     edges = [0, *cut.ravel().tolist(), len(raw)]
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if n[-1] else raw)
-                found = [[len(r) for r in seen], [int((r[:, 1] - r[:, 0]).sum()) for r in seen]] if passage_words else []
-                yield pa.RecordBatch.from_arrays([*batch.slice(x, y - x).columns[: len(own)], pa.array(size[x:y]), *(pa.array(v, pa.int64()) for v in (removed, n, *found)), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if decode else pa.array(kept, pa.binary())], [*own, *added])
-
-    from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+                yield pa.RecordBatch.from_arrays([*batch.slice(x, y - x).columns[: len(own)], pa.array(size[x:y]), *(pa.array(v, pa.int64()) for v in (removed, n)), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if decode else pa.array(kept, pa.binary())], [*own, *added])
 
     schema = StructType([*(source.schema[c] for c in own), *(StructField(c, LongType()) for c in counts), StructField(added[-1], StringType() if decode else BinaryType())])
     out = source.mapInArrow(run, schema)

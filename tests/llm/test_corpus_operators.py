@@ -9,6 +9,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from runloom.llm import suffix_dedup as S
 from runloom.llm.chat_format import chat_digest, chat_examples
 from runloom.llm.components import components
@@ -212,7 +214,26 @@ def test_block_repeats():
         assert all((count[parts[i][j : j + 12]] > 1) == t for i, j, t in zip(piece, start, twice))
 
 
-def brute_repeats(texts: list[str | None], length: int = 400, over_words: int = 0) -> list[tuple]:
+def brute_words(texts: list[str | None], words: int) -> list[tuple]:
+    """As brute_repeats() of strings of so many whole words; a run goes up to the word after it."""
+    raw = [(t or "").encode() for t in texts]
+    at = [[m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in raw]
+    count: dict[tuple, int] = {}
+    for b in raw:
+        w = b.split()
+        for i in range(len(w) - words + 1):
+            count[tuple(w[i : i + words])] = count.get(tuple(w[i : i + words]), 0) + 1
+    out = []
+    for b, starts in zip(raw, at, strict=True):
+        w, on = b.split(), np.zeros(len(b), bool)
+        for i in range(len(w) - words + 1):
+            if count[tuple(w[i : i + words])] > 1:
+                on[starts[i] : [*starts, len(b)][i + words]] = True
+        out.append((len(b), int(on.sum()), int((np.diff(np.concatenate([[0], on.astype(int)])) == 1).sum()), np.frombuffer(b, np.uint8)[~on].tobytes()))
+    return out
+
+
+def brute_repeats(texts: list[str | None], length: int = 400) -> list[tuple]:
     raw = [(t or "").encode() for t in texts]
     count: dict[bytes, int] = {}
     for b in raw:
@@ -226,9 +247,6 @@ def brute_repeats(texts: list[str | None], length: int = 400, over_words: int =
                 cover[s] += 1
                 cover[s + length] -= 1
         on = np.cumsum(cover[:-1]) > 0
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(int)))
-        for x, y in edges.reshape(-1, 2).tolist():
-            on[x:y] = len(b[x:y].split()) > over_words
         out.append((len(b), int(on.sum()), int((np.diff(np.concatenate([[0], on.astype(int)])) == 1).sum()), np.frombuffer(b, np.uint8)[~on].tobytes()))
     return out
 
@@ -245,31 +263,53 @@ def test_suffix_dedup(spark):
     assert len(got) == len(texts)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) == want[r.doc_id], r.doc_id
-    passages = brute_repeats(texts, 200, 50)
-    for r in S.remove_repeats(df, passage_words=50).collect():
-        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) == want[r.doc_id], r.doc_id
-        assert (r.passage_bytes, r.n_passages) == passages[r.doc_id][1:3], r.doc_id
+    for words in (5, 50):
+        passages = brute_words(texts, words + 1)
+        for r in S.remove_repeats(df, over_words=words).collect():
+            assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) == passages[r.doc_id], r.doc_id
     again = S.remove_repeats(df.unionByName(df.where("doc_id = 6"))).where("doc_id = 6").collect()
     assert [r.n_removed for r in again] == [len(texts[6].encode())] * 2
     clean = {r.doc_id: r.text for r in S.dedup_text(df).collect()}
     assert clean == {i: w[3].decode("utf-8", "ignore") for i, w in enumerate(want)}
     assert {r.n_spans for r in S.dedup_text(df).collect()} == {1}  # the input's own column
     assert S.remove_repeats(df.where("false")).count() == 0
-    assert S.remove_repeats(df.where("false"), passage_words=50).count() == 0
+    assert S.remove_repeats(df.where("false"), over_words=50).count() == 0
 
 
 def test_suffix_dedup_of_passages(spark):
     rng = random.Random(15)
     word = lambda n: " ".join(prose(rng, n))
-    long, short = word(52), word(45)  # the shorter one repeats too, but isn't cut
-    texts = [word(30) + " " + long + " " + word(30), word(9) + " " + long, word(20) + " " + short + " " + word(20), short, None, ""]
+    long, short = word(52), word(50)  # the shorter one repeats too, but isn't cut
+    texts = [word(30) + " " + long + " " + word(30), word(9) + "\n" + long.replace(" ", "\t "), word(20) + " " + short + " " + word(20), short, None, ""]
+    a, b = word(30), word(30)  # side by side in one text only
+    texts += [a + " " + b, word(9) + " " + a, b + " " + word(9), "x " * 200]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = brute_repeats(texts, 200, 50)
-    assert [w[1] > 0 for w in want] == [True, True, False, False, False, False]
-    for r in S.remove_repeats(df, length=200, over_words=50).collect():
+    want = brute_words(texts, 51)
+    assert [w[1] > 0 for w in want] == [True, True, False, False, False, False, False, False, False, True]
+    for r in S.remove_repeats(df, over_words=50).collect():
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) == want[r.doc_id], r.doc_id
-    for r in S.remove_repeats(df, passage_words=50).collect():  # too short to be cut at 400 bytes, and reported
-        assert (r.n_removed, r.passage_bytes, r.n_passages) == (0, *want[r.doc_id][1:3]), r.doc_id
+
+
+def test_passages_are_found_at_every_length_of_word(spark):
+    rng = random.Random(16)
+    letters = "".join(chr(c) for c in range(0x61, 0x7B)) + "éß日本"
+    texts = []
+    for size in range(1, 12):
+        make = lambda n, size=size: " ".join("".join(rng.choice(letters) for _ in range(size)) for _ in range(n))
+        passage = make(51)
+        texts += [make(20) + " " + passage + " " + make(20), make(3) + " " + passage, make(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in S.remove_repeats(df, over_words=50).collect()}
+    assert got == {i: w[1:3] for i, w in enumerate(brute_words(texts, 51))} and all((got[i][1] == 1) == (i % 3 < 2) for i in got)
+
+
+def test_many_equal_rows_stay_small(spark):
+    rng = random.Random(17)
+    text = " ".join(prose(rng, 1200))
+    df = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(8)
+    spans = S.repeated_spans(df)
+    assert spans.count() == 1 and spans.select(F.size("spans")).first()[0] < 200
+    assert S.remove_repeats(df).where(F.col("n_removed") == len(text)).count() == 2000
 
 
 def test_blocks_of_one_anchor_meet_by_hash(spark, monkeypatch):
@@ -300,5 +340,21 @@ def test_pipeline(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     texts = {r.doc_id: r.text for r in docs.collect()}
-    want = dict(zip([1, 4, 5, 8, 9], (w[3].decode() for w in brute_repeats([dict(rows)[d] for d in (1, 4, 5, 8, 9)], 4 * 50, 50))))
+    want = dict(zip([1, 4, 5, 8, 9], (w[3].decode() for w in brute_words([dict(rows)[d] for d in (1, 4, 5, 8, 9)], 51))))
     assert {d: texts[d] for d in (1, 5, 8, 9)} == {d: want[d] for d in (1, 5, 8, 9)}
+
+
+def test_pipeline_of_rows_that_repeat(spark, tmp_path):
+    """One row of equal ones stays, with its text, whatever its id; an empty table gives none."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(22)
+    text = lambda n: "\n".join(" ".join(x).capitalize() + "." for x in (prose(rng, 12) for _ in range(n)))
+    a, b = text(12), text(12)
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, text(11)), (3, None), (3, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, some in (("full", rows), ("none", [])):
+        spark.createDataFrame([(d, t, None, None, None) for d, t in some], schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = [(r.doc_id, r.n_tokens > 50) for r in pipeline.run(spark, f"{tmp_path}/full").collect()]
+    assert sorted(got, key=repr) == sorted([(1, True), (None, True), (2, True)], key=repr)
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
