@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as X
 from .functions.easing import ease
-from .operators import bake, blocks, bursts, dedupe, document, fidelity, intervals, render, rewrite, runs, timeline
+from .operators import bake, blocks, bursts, dedupe, document, fidelity, intervals, loops, render, rewrite, runs, timeline
 from .plans import sources, tuning
 from .session import ready, shared
 from .sources import frames as frames_
-from .sources import osb, storyboard
+from .sources import assets, osb, storyboard
 from .streaming.runs import stream_runs
 
 HOUR = 3_600_000
@@ -516,7 +516,7 @@ def baked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     names = F.array(*map(F.lit, ("MoveX", "MoveY", "VectorScaleX", "Rotate", "Fade", "Colour")))
     kind = F.coalesce(F.get(names, F.col("l_linenumber") - 1), F.when(F.col("l_returnflag") == "A", "Additive").otherwise("FlipH"))
-    grey = lambda c: F.struct(*[(F.col(c) * 2000).alias(x) for x in "rgb"])
+    grey = lambda c: F.struct(*[(F.col(c) * 10 * 200).alias(x) for x in "rgb"])
     script = l.select(
         F.col("l_orderkey").alias("object"), line_order().alias("seq"), F.lit(None).cast("long").alias("parent"), kind.alias("kind"), days("l_shipdate").alias("start"), (days("l_shipdate") + F.col("l_quantity")).alias("end"),
         F.lit(0).alias("easing"), (F.col("l_discount") * 10).alias("v_start"), (F.col("l_tax") * 10).alias("v_end"), grey("l_discount").alias("c_start"), grey("l_tax").alias("c_end"), F.lit(None).cast("string").alias("trigger"),
@@ -529,6 +529,26 @@ def baked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baked.select("object", "run", "kind", "start", "end", *[(F.round(c, 6) + 0.0).alias(c) for c in ("v_start", "v_end")], F.col("c_start.r").alias("c_start"), F.col("c_end.r").alias("c_end"))
 
 
+@query(f"""with l as (select l_orderkey as object, (((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::bigint) * 32 as s0, l_linenumber::double as a, l_quantity as b, l_suppkey % 5 + 1 as reps, ({MS.format('l_shipdate')} // {DAY})::double as d, l_discount as x, l_tax as y,
+ case when l_linenumber % 2 = 1 then 'Fade' else 'Scale' end as kind, case when l_linenumber = l_quantity and l_discount = l_tax and l_suppkey % 5 >= 1 then 1 when l_suppkey % 5 >= 2 then 2 end as p from lineitem)
+select object, s0::double as seq, 'Additive' as kind, d as start, d as "end", null::double as v_start, null::double as v_end, null::double as parent, null::int as count from l
+union all select object, s0 + 0.75::double, 'Loop', d, d, null, null, null, (2 * reps // p)::int from l where p is not null
+union all select object, (s0 + 1 + i)::double, kind, case when p is null then d else 0 end + i // 2 * (a + b) + i % 2 * a, case when p is null then d else 0 end + i // 2 * (a + b) + i % 2 * a + case when i % 2 = 0 then a else b end,
+ case when i % 2 = 0 then x else y end, case when i % 2 = 0 then y else x end, case when p is not null then s0 + 0.75::double end, null from l, range(0, 10) r(i) where i < 2 * reps and (p is null or i < p)""")
+def command_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's line items as values that go up and down, some of them again and again"""
+    l = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("object"), (line_order() * 32).alias("s0"), F.col("l_linenumber").cast("double").alias("a"), F.col("l_quantity").alias("b"), (F.col("l_suppkey") % 5 + 1).cast("int").alias("reps"),
+        days("l_shipdate").alias("d"), F.col("l_discount").alias("x"), F.col("l_tax").alias("y"), F.when(F.col("l_linenumber") % 2 == 1, "Fade").otherwise("Scale").alias("kind"),
+    )
+    up = F.col("i") % 2 == 0
+    each = l.withColumn("i", F.explode(F.expr("sequence(0, 2 * reps - 1)"))).withColumn("start", F.expr("d + i div 2 * (a + b) + i % 2 * a"))
+    values = each.select("object", (F.col("s0") + 1 + F.col("i")).alias("seq"), "kind", "start", (F.col("start") + F.when(up, F.col("a")).otherwise(F.col("b"))).alias("end"), F.lit(0).alias("easing"), F.when(up, F.col("x")).otherwise(F.col("y")).alias("v_start"), F.when(up, F.col("y")).otherwise(F.col("x")).alias("v_end"))
+    none = F.lit(None).cast("double")
+    flags = l.select("object", F.col("s0").alias("seq"), F.lit("Additive").alias("kind"), F.col("d").alias("start"), F.col("d").alias("end"), F.lit(0).alias("easing"), none.alias("v_start"), none.alias("v_end"))
+    return loops.extract_command_loops(values.unionByName(flags)).select("object", "seq", "kind", "start", "end", "v_start", "v_end", "parent", "count")
+
+
 @query("""with tg as (select n_regionkey, n_nationkey, 1.0 + n_nationkey / 10.0 as scale, n_nationkey * 2.0 as dx, n_nationkey * -1.0 as dy from nation),
 r as (select c_custkey, n_regionkey, c_acctbal as x, c_custkey * 1.0 as y from customer join nation on c_nationkey = n_nationkey)
 select c_custkey, n_nationkey, round(x * scale + dx, 6) as px, round(y * scale + dy, 6) as py from r join tg using (n_regionkey)""")
@@ -644,6 +664,29 @@ def osb_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("doc", "layer_ord", "path").agg(F.count_distinct("object").alias("objects"), F.count("*").alias("commands"), F.round(F.sum(F.round(F.col("v_start").cast("double"), 4)), 4).alias("v_start"))
 
 
+@query(f"""with k as (select o_custkey::varchar as doc, case l_linenumber when 1 then 'Fade' when 2 then 'MoveX' when 3 then 'Scale' when 4 then 'Rotate' when 5 then 'Colour' when 6 then 'FlipH' else 'VectorScaleX' end as kind, {MS.format('l_shipdate')} // {DAY} as s, l_quantity as q, round(l_discount, 4) as a, round(l_tax, 4) as b from lineitem join orders on l_orderkey = o_orderkey),
+r as (select * from k union all select doc, 'VectorScaleY', s, q, a + 1, b + 1 from k where kind = 'VectorScaleX')
+select doc, kind, count(*) as n, sum(s)::double as start, sum(s + q)::double as "end", round(sum(a) filter (kind not in ('Colour', 'FlipH')), 4) as v_start, round(sum(b) filter (kind not in ('Colour', 'FlipH')), 4) as v_end,
+ (sum(q::int) filter (kind = 'Colour'))::bigint as r, (sum(round(b * 1000)::int) filter (kind = 'Colour'))::bigint as b from r group by 1, 2""")
+def osb_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of every kind written and read again"""
+    objects, _ = osb_parts(spark, sf_dir)
+    none = F.lit(None)
+    both = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    kinds = ("Fade", "MoveX", "Scale", "Rotate", "Colour", "FlipH")
+    kind = F.coalesce(F.get(F.array(*map(F.lit, kinds)), F.col("l_linenumber") - 1), F.lit("VectorScaleX"))
+    rgb = lambda x: F.when(F.col("l_linenumber") == 5, F.struct(F.col("l_quantity").cast("int").alias("r"), F.lit(0).alias("g"), F.round(F.col(x) * 1000).cast("int").alias("b")))
+    rows = both.select(
+        F.col("o_custkey").cast("string").alias("doc"), F.col("l_orderkey").alias("object"), F.col("l_orderkey").alias("parent"), (F.col("l_linenumber") * 1000 + F.col("l_quantity")).alias("seq"), F.lit(1).alias("depth"), kind.alias("kind"), F.lit(0).alias("easing"),
+        days("l_shipdate").alias("start"), (days("l_shipdate") + F.col("l_quantity")).alias("end"), F.round("l_discount", 4).cast("float").alias("v_start"), F.round("l_tax", 4).cast("float").alias("v_end"), rgb("l_discount").alias("c_start"), rgb("l_tax").alias("c_end"),
+        none.cast("int").alias("count"), none.cast("string").alias("trigger"), none.cast("int").alias("group"),
+    )
+    other = rows.where("kind = 'VectorScaleX'").withColumns({"kind": F.lit("VectorScaleY"), "seq": F.col("seq") + 0.5, "v_start": (F.col("v_start").cast("double") + 1).cast("float"), "v_end": (F.col("v_end").cast("double") + 1).cast("float")})
+    _, c = osb.read(osb.write(objects, rows.unionByName(other)))
+    value = lambda x: F.round(F.sum(F.round(F.col(x).cast("double"), 4)), 4).alias(x)
+    return c.groupBy("doc", "kind").agg(F.count("*").alias("n"), F.sum("start").alias("start"), F.sum("end").alias("end"), value("v_start"), value("v_end"), F.sum("c_start.r").alias("r"), F.sum("c_end.b").alias("b"))
+
+
 @query(f"""with {COMMANDS}, n as (select o_custkey as d, count(*) as commands from cm join orders on object = o_orderkey where object % 3 <> 0 group by 1)
 select o_custkey::varchar as doc, count(*) filter (o_orderkey % 4 <> 0) as sprites, count(*) filter (o_orderkey % 4 = 0) as animations, coalesce(any_value(commands), 0) as commands from orders left join n on o_custkey = d group by 1""")
 def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -749,6 +792,29 @@ def extracted_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_images(spark, sf_dir).select("frame", "col", "row", "x", "y", "w", "h", F.sha2(F.hex("rgb"), 256).alias("digest"))
 
 
+DIGESTS = f"{PIXELS}, dg as (select vec_id, sha256(string_agg(repeat(printf('%02X', a), 3), '' order by i)) as digest from px group by 1)"
+
+
+@query(f"with {DIGESTS} select digest, count(*) as n from dg group by 1")
+def read_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as frames of packed files, written and read by ranges of bytes"""
+    path = shared(spark, "frames")
+    frames_.write_raw(grey_images(spark, sf_dir), path)
+    return frames_.read_raw(spark, path, 8, 8, 25.0).groupBy(F.sha2(F.hex("rgb"), 256).alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {DIGESTS} select digest as asset_key, 8 as w, 8 as h, count(*) as uses, digest from dg group by digest")
+def stored_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as images in files, written twice, and the pixels of these files"""
+    path = shared(spark, "assets")
+    images = grey_images(spark, sf_dir).select(F.sha2(F.hex("rgb"), 256).alias("asset_key"), F.lit(8).alias("w"), F.lit(8).alias("h"), "rgb")
+    written, _ = assets.store(images, path)
+    if assets.store(images, path) != (0, written):
+        raise RuntimeError("an asset was written again")
+    uses = images.groupBy("asset_key").agg(F.count("*").alias("uses"))
+    return assets.stored(spark, path).join(uses, "asset_key").select("asset_key", "w", "h", "uses", F.sha2(F.hex("rgb"), 256).alias("digest"))
+
+
 @query(f"""with {PIXELS} select vec_id as block, 8 as w, 8 as h, sha256(string_agg(repeat(printf('%02X', a), 3), '' order by i)) as digest from px group by 1""")
 def joined_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tiles spliced to blocks again"""

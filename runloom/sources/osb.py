@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import LAYERS, layer_ordinal
@@ -32,14 +32,53 @@ def write(objects: DataFrame, commands: DataFrame) -> DataFrame:
     return storyboard.documents(lines.select("doc", F.struct(F.col("seq.layer").cast("int").alias("layer"), F.col("seq.z").alias("z"), F.col("seq.seq").alias("seq")).alias("seq"), "line").unionByName(around))
 
 
+# Fixed numbers of the format: of events that are objects, of origins and loop types; layers count from 0.
+OBJECTS = {"4": "Sprite", "6": "Animation"}
+ORIGIN_NUMBERS = ("TopLeft", "Centre", "CentreLeft", "TopRight", "BottomCentre", "TopCentre", "Custom", "CentreRight", "BottomLeft", "BottomRight")
+LOOPS = ("LoopForever", "LoopOnce")
+
+
+def _named(field: Column, names: dict[str, str]) -> Column:
+    return F.coalesce(F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])[field], field)
+
+
+def events(files: DataFrame) -> DataFrame:
+    """doc, line_no and line of the sprites and animations of files (doc, value), with what is below them.
+
+    Only the events section counts; names of the variables section are put in.  Backgrounds, videos, breaks, colours and samples, and
+    what stands below one, are passed over.  Numbers for types, layers, origins and loop types become names; an animation without
+    a loop type loops forever.
+    """
+    lines = storyboard.split_lines(files).where(F.trim("line") != "")
+    upto = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    header = F.when(F.startswith(F.ltrim("line"), F.lit("[")), F.lower(F.trim("line")))
+    lines = lines.withColumn("header", header).withColumn("section", F.last("header", True).over(upto)).where("header is null")
+    own = lines.where("section is null or section = '[events]'").where(~F.startswith(F.ltrim("line"), F.lit("//")))
+    pair = F.split(F.ltrim("line"), "=", 2)
+    variables = lines.where("section = '[variables]'").where(F.startswith(F.ltrim("line"), F.lit("$")) & F.contains("line", F.lit("="))).select("doc", pair[0].alias("name"), pair[1].alias("value"))
+    # a longer name may begin with a shorter one
+    given = variables.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("order"), "name", "value"))).alias("given"))
+    put = F.aggregate(F.coalesce("given", F.array().cast(given.schema["given"].dataType)), F.col("line"), lambda line, v: F.replace(line, v["name"], v["value"]))
+    own = own.join(given, "doc", "left").withColumn("line", put).drop("given", "header", "section")
+    top = ~F.col("line").rlike("^[ _]")
+    f = storyboard.split_fields(F.trim("line"))
+    at = lambda i: F.get(f, F.lit(i))
+    name = _named(at(0), OBJECTS)
+    own = own.withColumn("is_object", F.when(top, name.isin(*OBJECTS.values()))).withColumn("kept", F.last("is_object", True).over(upto)).where("coalesce(kept, true)")
+    numbers = lambda names: {str(i): n for i, n in enumerate(names)}
+    head = [name, _named(at(1), numbers(LAYERS)), _named(at(2), numbers(ORIGIN_NUMBERS)), F.concat(F.lit('"'), at(3), F.lit('"')), at(4), at(5)]
+    loop = F.when(name == "Animation", _named(F.coalesce(at(8), F.lit(LOOPS[0])), numbers(LOOPS)))
+    line = F.concat_ws(",", *head, at(6), at(7), loop)
+    return own.select("doc", "line_no", F.when(F.col("is_object"), line).otherwise(F.col("line")).alias("line"))
+
+
 def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Objects and commands of files (doc, value).
+    """Objects and commands of files (doc, value); a wrong line raises with its number.
 
     Objects have layer_ord, by which and z they are drawn.  Commands have place: plain ones, then loops, then triggers, each in
     the file's order.
     """
-    lines = storyboard.split_lines(files).where(~F.startswith(F.ltrim("line"), F.lit("[")))
-    parsed = storyboard.checked(storyboard.parse(lines))
+    parsed = storyboard.checked(storyboard.parse(events(files)))
     group = F.when(F.col("kind") == "Loop", 1).when(F.col("kind") == "Trigger", 2).otherwise(0)
     objects = storyboard.objects(parsed).withColumn("layer_ord", layer_ordinal(F.col("layer")))
     return objects, storyboard.commands(parsed).withColumn("place", F.struct(group.alias("group"), "seq"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import format_number, format_time
+from ..functions.scalar import LAYERS, ORIGINS, format_number, format_time
 
 MAX_DEPTH = 8
 # Fixed letters of commands and flags.
@@ -19,6 +19,18 @@ VECTORS = {"M": ("MoveX", "MoveY"), "V": ("VectorScaleX", "VectorScaleY")}
 FLAGS = {"H": "FlipH", "V": "FlipV", "A": "Additive"}
 HEADERS = {"Sprite": (6, 6), "Animation": (9, 9), "AnimationVideo": (7, 10)}
 ARITY = {"T": (4, 5), "L": (3, 3), **dict.fromkeys(SCALARS, (5, 6)), **dict.fromkeys(VECTORS, (6, 8)), "C": (7, 10), "P": (5, 5)}
+#: Numbers of fields between least and most that a type can't have
+UNEVEN = {**dict.fromkeys(VECTORS, (7,)), "C": (8, 9)}
+LOOP_TYPES = ("LoopForever", "LoopOnce")
+TIMED = [(1, "integer"), (2, "number"), (3, "number?")]
+#: By type: the field and what it must be; with ? it can be empty
+TYPED = {
+    "Sprite": [(1, "layer"), (2, "origin"), (4, "number"), (5, "number")],
+    "Animation": [(1, "layer"), (2, "origin"), (4, "number"), (5, "number"), (6, "integer"), (7, "number"), (8, "loop type")],
+    "AnimationVideo": [(1, "layer"), (2, "origin"), (4, "number"), (5, "number"), *((i, "number?") for i in range(6, 10))],
+    **{k: [*TIMED, *((i, "number") for i in range(4, ARITY[k][1]))] for k in (*SCALARS, *VECTORS)},
+    "C": [*TIMED, *((i, "byte") for i in range(4, 10))], "P": [*TIMED, (4, "flag")], "L": [(1, "number"), (2, "integer")], "T": [(2, "number"), (3, "number"), (4, "integer?")],
+}
 
 
 def split_fields(line: Column) -> Column:
@@ -36,6 +48,29 @@ def split_lines(files: DataFrame) -> DataFrame:
     return files.select("doc", F.posexplode(F.split("value", "\r?\n"))).select("doc", (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
 
 
+def _is(kind: str, field: Column) -> Column:
+    names = {"layer": LAYERS, "origin": tuple(ORIGINS), "loop type": LOOP_TYPES, "flag": tuple(FLAGS)}
+    if kind in names:
+        return field.isin(*names[kind])
+    value = field.try_cast("double" if kind == "number" else "int")
+    return F.coalesce(value.between(0, 255), F.lit(False)) if kind == "byte" else value.isNotNull()
+
+
+def misfit(type_: Column, fields: Column) -> Column:
+    """What is wrong with the first field that isn't what its place asks for; null if none is. Fields left out don't count."""
+
+    def wrong(i: int, kind: str) -> Column:
+        name = kind.rstrip("?")
+        field = F.get(fields, F.lit(i))
+        asked = field.isNotNull() & (field != "") if kind.endswith("?") else field.isNotNull()
+        return F.when(asked & ~_is(name, field), F.concat(F.lit(f"expected {name}, got \""), field, F.lit('"')))
+
+    found = F.lit(None).cast("string")
+    for name, places in TYPED.items():
+        found = F.when(type_ == name, F.coalesce(*[wrong(*x) for x in places])).otherwise(found)
+    return found
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """doc, line_no, depth, object (its line), parent (its line), fields and error of each line that isn't blank or a comment."""
     indent = F.regexp_extract("line", r"^([ _]*)", 1)
@@ -54,6 +89,8 @@ def parse(lines: DataFrame) -> DataFrame:
         .when(F.col("depth") >= MAX_DEPTH, "nested too deep")
         .when(F.when(F.col("depth") == 0, ~type_.isin(*HEADERS)).otherwise(~type_.isin(*ARITY)), "unknown type")
         .when((F.size("fields") < least[type_]) | (F.size("fields") > most[type_]), "wrong number of fields")
+        .when(F.array_contains(F.create_map(*[x for k, v in UNEVEN.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[type_], F.size("fields")), "wrong number of fields")
+        .otherwise(misfit(type_, F.col("fields")))
     )
     # depth leaves as a value of its own: a filter on it must not be put in its place inside the checks
     return fields.select("doc", "line_no", F.length("indent").alias("depth"), "object", F.col("parent_line.line_no").alias("parent"), type_.alias("type"), "fields", wrong.alias("error"))
