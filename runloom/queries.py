@@ -774,6 +774,28 @@ def rendered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.render_frames(placed, 12, 10).select("frame", F.sha2(F.hex("rgb"), 256).alias("digest"))
 
 
+@query()
+def drawn_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customers' orders as sprites with embeddings as images, which their line items move, turn, scale, fade, colour and blend; from commands to pixels by tiles"""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    objects = o.select(
+        F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("object"), F.when(F.col("o_orderkey") % 5 == 0, "Animation").otherwise("Sprite").alias("type"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit("1.png")).otherwise(F.concat((F.col("o_orderkey") % 400).cast("string"), F.lit(".png"))).alias("path"),
+        F.get(F.array(*[F.lit(x) for x in X.ORIGINS]), (F.col("o_orderkey") % 9).cast("int")).alias("origin"), (F.col("o_custkey") % 640).cast("double").alias("x"), (F.col("o_orderkey") % 480).cast("double").alias("y"), F.col("o_orderkey").alias("z"),
+        F.lit(6).alias("frame_count"), F.lit(10.0).alias("frame_delay"), F.when(F.col("o_orderkey") % 2 == 0, "LoopForever").otherwise("LoopOnce").alias("loop_type"),
+    )
+    kinds = F.array(*map(F.lit, ("MoveX", "Rotate", "Scale", "Fade", "Colour", "Additive")))
+    kind = F.coalesce(F.get(kinds, F.col("l_linenumber") - 1), F.lit("FlipH"))
+    factor = F.when(kind == "MoveX", 4000.0).when(kind == "Scale", 100.0).otherwise(10.0)
+    grey = lambda c: F.struct(*[(F.col(c) * 10 * 200 + 50).alias(x) for x in "rgb"])
+    script = l.select(F.col("l_orderkey").alias("object"), line_order().alias("seq"), kind.alias("kind"), days("l_shipdate").alias("start"), (days("l_shipdate") + F.col("l_quantity")).alias("end"), F.lit(0).alias("easing"), (F.col("l_discount") * factor + 0.2).alias("v_start"), (F.col("l_tax") * factor + 0.2).alias("v_end"), grey("l_discount").alias("c_start"), grey("l_tax").alias("c_end"))
+    shots = o.groupBy(F.col("o_custkey").alias("doc")).agg(F.min(days("o_orderdate")).alias("d")).select("doc", "d", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
+    moments_ = shots.select("doc", (F.col("doc") * 4 + F.col("k")).alias("frame"), (F.col("d") + F.col("k") * 40).alias("t"))
+    images = grey_images(spark, sf_dir).select(F.concat(F.col("vec_id").cast("string"), F.lit(".png")).alias("path"), F.lit(8).alias("w"), F.lit(8).alias("h"), "rgb")
+    tiles = render.draw_tiles(render.scene(objects, script, moments_, 64, 48), images, "path", 64, 48, 16)
+    return tiles.select("frame", "col", "row", "w", "h", F.sha2(F.hex("rgb"), 256).alias("digest"))
+
+
 def grey_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id and the 8 by 8 pixels of an embedding, three equal bytes each."""
     grey = F.array_sort(F.collect_list(F.struct("i", "a")))
