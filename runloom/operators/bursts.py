@@ -26,6 +26,29 @@ def thrash_segments(runs: DataFrame, keys: list[str], single: Column, cap: int =
     return out.select(*keys, "first", "last", "n", "distinct_contents", ((F.col("n") >= least) & (F.col("distinct_contents") >= unique * F.col("n"))).alias("promoted"))
 
 
+def split_runs(runs: DataFrame, keys: list[str], single: Column, wide: Column, cap: int = 300, least: int = 4, unique: float = 0.8) -> DataFrame:
+    """Keys, kind, start, end, n and contents: promoted chains of single-frame runs as one animation each, all other runs as sprites.
+
+    Runs of merged blocks (``wide``) are sprites, and no part of a chain.  A chain has ``cap`` runs at most, so its contents are few.
+    """
+    rows = runs.withColumn("wide", wide)
+    narrow = rows.where("not wide")
+    by = Window.partitionBy(*keys).orderBy("start", "end")
+    own = narrow.withColumn("single", single)
+    breaks = ~F.coalesce(F.lag("single").over(by), F.lit(False)) | ~F.lag("end").over(by).eqNullSafe(F.col("start"))
+    chained = own.withColumn("chain", F.sum(F.when(~F.col("single") | breaks, 1).otherwise(0)).over(by))
+    place = F.row_number().over(Window.partitionBy(*keys, "chain").orderBy("start", "end")) - 1
+    parts = chained.where("single").withColumn("part", F.floor(place / cap)).groupBy(*keys, "chain", "part").agg(F.array_sort(F.collect_list(F.struct("start", "end", "content"))).alias("runs"))
+    contents = F.transform("runs", lambda r: r["content"])
+    distinct = F.size(F.array_distinct(contents))
+    parts = parts.withColumn("promoted", (F.size("runs") >= least) & (distinct >= unique * F.size("runs")))
+    n = lambda x: F.lit(x).cast("long").alias("n")
+    animations = parts.where("promoted").select(*keys, F.lit("animation").alias("kind"), F.get("runs", F.lit(0))["start"].alias("start"), F.element_at("runs", -1)["end"].alias("end"), F.size("runs").cast("long").alias("n"), contents.alias("contents"))
+    short = parts.where("not promoted").select(*keys, F.lit("sprite").alias("kind"), F.explode("runs").alias("r")).select(*keys, "kind", "r.start", "r.end", n(1), F.array("r.content").alias("contents"))
+    plain = chained.where("not single").select(*keys, "start", "end", "content").unionByName(rows.where("wide").select(*keys, "start", "end", "content"))
+    return animations.unionByName(short).unionByName(plain.select(*keys, F.lit("sprite").alias("kind"), "start", "end", n(1), F.array("content").alias("contents")))
+
+
 def burst_starts(moments: DataFrame, keys: list[str], time: str, gap: Column | float) -> DataFrame:
     """The first moment of each burst; a burst goes on while the next moment is at most ``gap`` after the last."""
     by = Window.partitionBy(*keys).orderBy(time)

@@ -151,6 +151,20 @@ def thrash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursts.thrash_segments(single_runs(spark, sf_dir), ["user_id"], F.col("end") - F.col("start") <= 12 * HOUR, cap=10)
 
 
+@query(f"""with {SINGLES}, w0 as (select *, user_id % 7 = 0 as wide from s0), s1 as (select *, "end" - start <= {12 * HOUR} as single from w0 where not wide),
+s2 as (select *, case when not single or not coalesce(lag(single) over w, false) or lag("end") over w is distinct from start then 1 else 0 end as b from s1 window w as (partition by user_id order by start, "end")),
+s3 as (select *, sum(b) over (partition by user_id order by start, "end") as chain from s2),
+s4 as (select *, (row_number() over (partition by user_id, chain order by start, "end") - 1) // 10 as part from s3 where single),
+g as (select user_id, chain, part, arg_min(start, (start, "end")) as start, arg_max("end", (start, "end")) as z, count(*) as n, string_agg(content, ',' order by start, "end", content) as contents, count(*) >= 4 and count(distinct content) >= 0.8 * count(*) as promoted from s4 group by 1, 2, 3)
+select user_id, 'animation' as kind, start, z as "end", n, contents from g where promoted
+union all select s4.user_id, 'sprite', s4.start, s4."end", 1, content from s4 join g on s4.user_id = g.user_id and s4.chain = g.chain and s4.part = g.part where not promoted
+union all select user_id, 'sprite', start, "end", 1, content from s3 where not single union all select user_id, 'sprite', start, "end", 1, content from w0 where wide""")
+def sprites_and_animations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of short runs as animations, all other runs as sprites; every seventh user's runs are merged blocks"""
+    split = bursts.split_runs(single_runs(spark, sf_dir), ["user_id"], F.col("end") - F.col("start") <= 12 * HOUR, F.col("user_id") % 7 == 0, cap=10)
+    return split.select("user_id", "kind", "start", "end", "n", F.array_join("contents", ",").alias("contents"))
+
+
 @query(f"""with {EVENTS} select user_id, t from (select user_id, t, lag(t) over (partition by user_id order by t) as p from ev) where p is null or t - p > {12 * HOUR}""")
 def burst_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W9"""
