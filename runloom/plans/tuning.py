@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed axes of the search, in order, their first values first.
@@ -70,7 +70,7 @@ def select_best(candidates: DataFrame, groups: list[str]) -> DataFrame:
     return best.select(*groups, "passing", F.when(F.col("passing") > 0, F.col("cheapest")).otherwise(F.col("finest")).alias("chosen"))
 
 
-def tune(probe: Callable[[list[Parameters]], list[Score]], start: Parameters | None = None) -> tuple[Parameters, int]:
+def tune(probe: Callable[[list[Parameters]], list[Score]], start: Parameters | None = None, axes: dict[str, tuple] = AXES) -> tuple[Parameters, int]:
     """H2, H3: the winner and how many candidates were probed.
 
     ``probe`` scores a list of candidates in one go, so that a Spark job can take an axis at once.  The value that the winner
@@ -79,16 +79,11 @@ def tune(probe: Callable[[list[Parameters]], list[Score]], start: Parameters | N
     best = start or Parameters()
     score = probe([best])[0]
     floor, probed = score.train - FLOOR_LOSS, 1
-    for axis, values in AXES.items():
+    for axis, values in axes.items():
         rest = [replace(best, **{axis: v}) for v in values if v != getattr(best, axis)]
         scored = [(best, score), *zip(rest, probe(rest), strict=True)]
         probed += len(rest)
         by_value = sorted(scored, key=lambda x: values.index(getattr(x[0], axis)))
         passing = [x for x in by_value if min(x[1].train, x[1].evaluation) >= floor]
         best, score = min(passing, key=lambda x: x[1].cost) if passing else max(by_value, key=lambda x: x[1].train)
-    return best if passing else Parameters(), probed
-
-
-def ranked(candidates: DataFrame, groups: list[str]) -> DataFrame:
-    """All candidates with their place by cost."""
-    return candidates.withColumn("place", F.row_number().over(Window.partitionBy(*groups).orderBy(cost(F.col("bytes"), F.col("commands")), "ord")))
+    return best if passing else start or Parameters(), probed

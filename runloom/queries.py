@@ -7,6 +7,7 @@ embeddings for pixel buffers, conversations and documents for sequences and asse
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from .functions import scalar as X
 from .functions.easing import ease
 from .operators import bake, blocks, bursts, dedupe, document, fidelity, intervals, loops, render, rewrite, runs, timeline
-from .plans import sources, tuning
-from .session import ready, shared
+from .plans import probes, sources, tuning
+from .session import ready, shared, stash
 from .sources import frames as frames_
 from .sources import assets, osb, storyboard
 from .streaming.runs import stream_runs
@@ -594,21 +595,32 @@ def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuning.select_best(c, ["l_orderkey"])
 
 
+#: Axes for images of 8 by 8
+SMALL_AXES = {"tile": (8, 4, 2), "colors": (0, 4, 2), "quant": (32, 16, 8), "tolerance": (0, 8, 16, 64)}
+
+
+def sample_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as frames of a series (label); of four frames in a row the third is for evaluation."""
+    images = grey_images(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    fold = F.when(F.col("vec_id") % 4 == 2, "eval").otherwise("train")
+    return images.select(F.col("label").alias("series"), F.col("vec_id").alias("frame"), fold.alias("fold"), F.lit(8).alias("width"), F.lit(8).alias("height"), "rgb")
+
+
+@query()
+def probed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of every axis beside the defaults, encoded, drawn and scored in one job"""
+    start = tuning.Parameters(tile=8)
+    tried = [start, *(replace(start, **{k: v}) for k, values in SMALL_AXES.items() for v in values if v != getattr(start, k))]
+    names = spark.createDataFrame([(k, p.tile, p.colors, p.quant, p.tolerance) for k, p in enumerate(tried)], "ord long, tile int, colors int, quant int, tolerance int")
+    return names.join(probes.probe(stash(sample_frames(spark, sf_dir)), tried), "ord").withColumns({c: F.round(c, 6) for c in ("train", "eval")})
+
+
 @query()
 def tuned_quantiser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H1 to H3, A10: the axes searched over the embeddings, an axis in one job; train and eval are even and odd vectors"""
-    px = pixels(spark, sf_dir)
-
-    def probe(candidates: list[tuning.Parameters]) -> list[tuning.Score]:
-        tried = F.array(*[F.struct(F.lit(i).alias("ord"), X.quantize(F.col("a"), p.quant).alias("b"), F.lit(p.tile).alias("tile")) for i, p in enumerate(candidates)])
-        rows = px.select("vec_id", "i", "a", F.explode(tried).alias("c")).select("vec_id", "a", "c.*")
-        scores = rows.groupBy("ord", "vec_id").agg(F.avg((F.col("a") - F.col("b")) ** 2).alias("mse"), F.count_distinct("b").alias("bytes"), F.first("tile").alias("tile"))
-        scores = scores.select("ord", (F.col("vec_id") % 2).alias("fold"), fidelity.psnr(F.col("mse")).alias("psnr"), "bytes", (64.0 / F.col("tile")).alias("commands"))
-        got = {(r.ord, r.fold): r for r in tuning.fold_probes(scores, ["ord", "fold"]).collect()}
-        return [tuning.Score(got[i, 0].psnr, got[i, 1].psnr, got[i, 0].bytes, got[i, 0].commands) for i in range(len(candidates))]
-
-    best, probed = tuning.tune(probe)
-    return px.groupBy("label").agg(F.count_distinct("vec_id").alias("vectors"), F.count_distinct(X.quantize(F.col("a"), best.quant)).alias("levels_used")).select("label", "vectors", "levels_used", *[F.lit(getattr(best, k)).alias(k) for k in tuning.AXES], F.lit(probed).alias("probed"))
+    """H1 to H4: the axes searched one after another, each in one job over frames that are decoded once"""
+    frames = stash(sample_frames(spark, sf_dir))
+    best, probed = tuning.tune(lambda c: probes.scores(frames, c), tuning.Parameters(tile=8), SMALL_AXES)
+    return frames.groupBy(F.col("series").cast("int").alias("label")).agg(F.count("*").alias("vectors")).select("label", "vectors", *[F.lit(getattr(best, k)).alias(k) for k in tuning.AXES], F.lit(probed).alias("probed"))
 
 
 def story_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
