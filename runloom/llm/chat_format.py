@@ -5,8 +5,9 @@ If a conversation doesn't end with an assistant turn, one more example without a
 nothing of it is lost.  A turn is written as ``### role: text </turn>\n``.  In texts and roles ``\``, ``#`` and ``<`` (in
 roles ``:`` too) are written as ``\b``, ``\h``, ``\l`` (``\c``), so neither marker can occur in them, and back.
 
-Null texts and roles are empty.  Turns go by turn number, ties by role and text; equal rows count each.  Rows with a null
-conv_id are one conversation.  Other columns are not carried.  The work for one conversation grows with the
+Null texts and roles are empty.  Turns go by turn number, nulls first, ties by role and text as they are written (escaped); equal rows
+count each.  Rows with a null conv_id are one conversation.  Texts of any length are whole; an empty table gives no example.  Other columns
+are not carried, whatever their names.  The work for one conversation grows with the
 square of its turns, as every example holds its whole context.
 """
 

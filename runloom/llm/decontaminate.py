@@ -9,7 +9,8 @@ than the last), so sketches stay near the least size that is safe.  Candidate pa
 containment |item and document| / |item| on whole shingle sets.
 
 Null and empty texts and items have no shingles and match nothing.  Repeated rows of one doc_id are one document, the
-union of their sets; the same for items.  Other columns are ignored.
+union of their sets; the same for items.  Texts of any length are whole sets.  Items of equal least values and pairs at the threshold all count.  An empty
+table of documents or items gives no pair.  Other columns are ignored.
 """
 
 from __future__ import annotations

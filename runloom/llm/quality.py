@@ -6,7 +6,7 @@ phrase (boilerplate).  Failing lines are removed; a document that loses more tha
 characters is rejected, as is one that fails the base rules (too short, too repetitive).
 
 Nulls and empty texts have no words and fail the base rules; repeated rows are judged alike, one result row each;
-other columns pass through unless a result column has the same name, which then wins.
+texts of any length are judged whole; an empty table gives none; other columns pass through unless a result column has the same name, which then wins.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ popped and joined as long as it is still there, which is one token less.  The co
 merges, so no identifiers are made.  Counts of pre-tokens are remembered in a table of bounded size per worker.
 
 Null and empty texts have no tokens.  Special strings inside a text count one token, as the library does by default.
+Repeated rows are counted alike, one result row each; texts of any length are counted whole; an empty table gives none.
 """
 
 from __future__ import annotations

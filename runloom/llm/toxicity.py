@@ -212,7 +212,8 @@ def train(x: np.ndarray, target: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     ids = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").persist()
+    # of rows that repeat an id one is for learning, so that the bound is one of rows
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic").persist()
     size = GROUPS + 1 + PATTERNS
     lexicon = Lexicon(mine_lexicon(sample))
 

@@ -6,7 +6,7 @@ The longest rule that fits decides.  Without a rule a URL is allowed.
 
 Null urls and urls without ``://`` have an empty host and path, which no rule fits.  Repeated rows stay as they are.
 Rules are rows (host string, path string, action string) with action block or allow; of equal rules block wins.  An empty
-rule table allows everything.  Columns of the input with the names of the results are replaced.
+rule table allows everything, and an empty table of urls gives none.  Urls of any length are read whole.  Columns of the input with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -48,29 +48,24 @@ def url_filters(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFram
         .select("action", F.concat("h", "p").alias("rule"), _labels(F.col("h")).alias("labels"), F.length("p").alias("prefix"))
         .withColumn("digest", F.sha2("rule", 256))
     )
-    # the shapes of rules: at most (labels in a host) x (path length), however many rules there are
-    shapes = [(r.labels, r.prefix) for r in rules.select("labels", "prefix").distinct().orderBy("labels", "prefix").collect()]
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    small = F.broadcast if few else lambda df: df
+    # the shapes of rules: for each number of labels the lengths of paths, at most as many as rules or places in a path
+    shapes = rules.groupBy("labels").agg(F.array_sort(F.collect_set("prefix")).alias("prefixes"))
     right = rules.select(F.left("digest", F.lit(SHORT)).alias("short"), "digest", "rule", "action")
 
     pages = urls.drop(*RESULT).withColumns({"host": url_host(F.col(f"`{url}`")), "path": url_path(F.col(f"`{url}`"))})
-    if not shapes:
-        return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
-    fits = F.filter(
-        F.array(*[
-            F.when((_labels(F.col("host")) >= n) & (F.length("path") >= k), F.concat(F.substring_index("host", ".", -n), F.left("path", F.lit(k))))
-            for n, k in shapes
-        ]),
-        lambda x: x.isNotNull(),
-    )
+    suffixes = pages.where("host != ''").select("host", "path").distinct().withColumn("labels", F.explode(F.sequence(F.lit(1), _labels(F.col("host")))))
+    suffixes = suffixes.withColumn("suffix", F.call_function("substring_index", "host", F.lit("."), -F.col("labels")))
+    fits = F.transform(F.filter("prefixes", lambda k: k <= F.length("path")), lambda k: F.concat("suffix", F.left("path", k)))
     expressions = (
-        pages.where("host != ''").select("host", "path").distinct()
+        suffixes.join(small(shapes), "labels")
         .select("host", "path", F.explode(fits).alias("expression"))
         .select("host", "path", F.sha2("expression", 256).alias("full"))
         .withColumn("short", F.left("full", F.lit(SHORT)))
     )
     hits = (
-        expressions.join(F.broadcast(right) if few else right, "short")
+        expressions.join(small(right), "short")
         .where("full = digest")
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("best"))
