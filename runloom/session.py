@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
@@ -22,8 +23,21 @@ BATCH_BYTES = str(8 << 20)
 BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def packed() -> str:
+    """A zip of this package, for executors elsewhere."""
+    folder = Path(ROOT) / "runloom"
+    path = Path(tempfile.mkdtemp(prefix="runloom-")) / "runloom.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(folder.rglob("*.py")):
+            out.write(f, f.relative_to(ROOT))
+    return str(path)
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where it isn't installed, from the folder it lies in, and keeps their batches small."""
+    """Lets Python workers import this package where it isn't installed, and keeps their batches small.
+
+    Workers of this machine find the folder that it lies in; to others Spark ships a zip, once a session.
+    """
     if spark.conf.get(BATCH) == DEFAULT_BATCH:
         spark.conf.set(BATCH, BATCH_ROWS)
         spark.conf.set(BYTES, BATCH_BYTES)
@@ -31,6 +45,8 @@ def ready(spark: SparkSession) -> SparkSession:
     have = environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (have, ROOT) if x)
+        if not spark.sparkContext.master.startswith("local"):
+            spark.sparkContext.addPyFile(packed())
     return spark
 
 
