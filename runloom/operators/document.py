@@ -1,4 +1,4 @@
-"""What a storyboard holds, and what making it took.
+"""What a storyboard holds, and what making it took.
 
 Objects are rows (doc, z, type, layer, ..), commands rows (doc, object, seq, parent, kind, ..) with loops, triggers and their
 children as rows of their own; object is the z of the object.
@@ -19,6 +19,13 @@ def with_commands(objects: DataFrame, commands: DataFrame) -> DataFrame:
     return objects.join(direct, ["doc", "z"], "left_semi")
 
 
+def pass_through(objects: DataFrame) -> DataFrame:
+    """Sprites and animations as they go to the output: places in single precision, and of an animation only its frames' fields."""
+    animated = F.col("type") == "Animation"
+    own = {c: F.when(animated, F.col(c)) for c in ("frame_count", "frame_delay", "loop_type")}
+    return objects.where(F.col("type").isin("Sprite", "Animation")).withColumns({**own, "x": F.col("x").cast("float"), "y": F.col("y").cast("float")})
+
+
 def document_counts(objects: DataFrame, commands: DataFrame) -> DataFrame:
     """A2, A3: doc, sprites, animations and commands; loops and triggers count, and so do their children."""
     kinds = objects.groupBy("doc").agg(F.count_if(F.col("type") == "Sprite").alias("sprites"), F.count_if(F.col("type") == "Animation").alias("animations"))

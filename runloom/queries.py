@@ -374,6 +374,42 @@ def eased_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select("l_orderkey", "l_linenumber", "easing", F.round(ease(F.col("easing"), F.col("p")), 9).alias("eased"))
 
 
+def _bounce_sql(t: str) -> str:
+    return f"case when {t} < 1 / 2.75 then 7.5625 * {t} * {t} when {t} < 2 / 2.75 then 7.5625 * ({t} - 1.5 / 2.75) * ({t} - 1.5 / 2.75) + 0.75 when {t} < 2.5 / 2.75 then 7.5625 * ({t} - 2.25 / 2.75) * ({t} - 2.25 / 2.75) + 0.9375 else 7.5625 * ({t} - 2.625 / 2.75) * ({t} - 2.625 / 2.75) + 0.984375 end"
+
+
+def _power_sql(first: int, n: int) -> str:
+    return f"when {first} then power(p, {n}) when {first + 1} then 1 - power(1 - p, {n}) when {first + 2} then case when p < 0.5 then {2 ** (n - 1)} * power(p, {n}) else 1 - power(-2 * p + 2, {n}) / 2 end"
+
+
+ENDS_SQL = "case when abs(p) <= 1e-9 then 0.0 when abs(p - 1) <= 1e-9 then 1.0 else {} end"
+SWING_SQL = "{} * power(2.0, -10 * p) * sin((10 * p - 0.75) * 2 * pi() / 3) + 1"
+WAVE_SQL = "sin((20 * p - 11.125) * 2 * pi() / 4.5)"
+ALL_CURVES = f"""case easing when 1 then 1 - (1 - p) * (1 - p) when 2 then p * p when 3 then p * p when 4 then 1 - (1 - p) * (1 - p) when 5 then case when p < 0.5 then 2 * p * p else 1 - power(-2 * p + 2, 2) / 2 end
+{_power_sql(6, 3)} {_power_sql(9, 4)} {_power_sql(12, 5)} when 15 then 1 - cos(p * pi() / 2) when 16 then sin(p * pi() / 2) when 17 then -(cos(p * pi()) - 1) / 2
+when 18 then case when abs(p) <= 1e-9 then 0.0 else power(2.0, 10 * p - 10) end when 19 then case when abs(p - 1) <= 1e-9 then 1.0 else 1 - power(2.0, -10 * p) end
+when 20 then {ENDS_SQL.format("case when p < 0.5 then power(2.0, 20 * p - 10) / 2 else (2 - power(2.0, -20 * p + 10)) / 2 end")}
+when 21 then 1 - sqrt(greatest(1 - p * p, 0)) when 22 then sqrt(greatest(1 - (p - 1) * (p - 1), 0)) when 23 then case when p < 0.5 then (1 - sqrt(greatest(1 - 4 * p * p, 0))) / 2 else (sqrt(greatest(1 - (-2 * p + 2) * (-2 * p + 2), 0)) + 1) / 2 end
+when 24 then {ENDS_SQL.format("-power(2.0, 10 * p - 10) * sin((10 * p - 10.75) * 2 * pi() / 3)")} when 25 then {ENDS_SQL.format(SWING_SQL.format(1.0))} when 26 then {ENDS_SQL.format(SWING_SQL.format(0.5))} when 27 then {ENDS_SQL.format(SWING_SQL.format(0.25))}
+when 28 then {ENDS_SQL.format(f"case when p < 0.5 then -(power(2.0, 20 * p - 10) * {WAVE_SQL}) / 2 else power(2.0, -20 * p + 10) * {WAVE_SQL} / 2 + 1 end")}
+when 29 then 2.70158 * p * p * p - 1.70158 * p * p when 30 then 1 + 2.70158 * (p - 1) * (p - 1) * (p - 1) + 1.70158 * (p - 1) * (p - 1)
+when 31 then case when p < 0.5 then 4 * p * p * (3.5949095 * 2 * p - 2.5949095) / 2 else ((2 * p - 2) * (2 * p - 2) * (3.5949095 * (2 * p - 2) + 2.5949095) + 2) / 2 end
+when 32 then 1 - ({_bounce_sql("(1 - p)")}) when 33 then {_bounce_sql("p")} when 34 then case when p < 0.5 then (1 - ({_bounce_sql("(1 - 2 * p)")})) / 2 else (1 + ({_bounce_sql("(2 * p - 1)")})) / 2 end else p end"""
+
+
+@query(f"""with x as (select l_partkey % 36 as easing, round(l_quantity / 50, 2) as p from lineitem), y as (select distinct easing, p from x) select easing, p, round({ALL_CURVES}, 7) + 0.0::double as eased from y""")
+def all_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every easing curve, and one more number, which is linear"""
+    l = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 36).alias("easing"), F.round(F.col("l_quantity") / 50, 2).alias("p")).distinct()
+    return l.select("easing", "p", (F.round(ease(F.col("easing"), F.col("p")), 7) + 0.0).alias("eased"))
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, abs(l_discount - l_tax) <= 0.01 + 1e-12 as near from lineitem""")
+def near_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8"""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", X.near(F.col("l_discount"), F.col("l_tax"), 0.01 + 1e-12).alias("near"))
+
+
 FLAT = f"""{COMMANDS}, fl as (select object, kind, seq, start, "end", easing, round(v_start, 1) as v_start, round(v_start, 1) as v_end from cm)"""
 
 
@@ -647,6 +683,20 @@ def storyboard_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storyboards(spark, sf_dir)
 
 
+@query("select o_orderkey::varchar as doc, 1::bigint as objects, 1::bigint as read_back, true as valid from orders")
+def validated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: orders written as storyboards, and as many objects read back"""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc"))
+    return storyboard.validate(storyboards(spark, sf_dir), o).select("doc", "objects", "read_back", "valid")
+
+
+@query("""select o_custkey::varchar as doc, o_orderkey as z, case when o_orderkey % 4 = 0 then 'Animation' else 'Sprite' end as type, lower(o_orderpriority) || '.png' as path, 320.0::float as x, 240.0::float as y,
+ case when o_orderkey % 4 = 0 then 4 end::int as frame_count, case when o_orderkey % 4 = 0 then 50.0::double end as frame_delay from orders""")
+def passed_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sprites and animations copied to the output as they are, places in single precision"""
+    return document.pass_through(osb_parts(spark, sf_dir)[0]).select("doc", "z", "type", "path", "x", "y", "frame_count", "frame_delay")
+
+
 @query("""select l_orderkey::varchar as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) + 1.0::double as seq, 'Fade' as kind, l_linenumber % 35 as easing, round(l_discount, 4) as v_start, round(l_tax, 4) as v_end from lineitem""")
 def storyboard_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written storyboards parsed again"""
