@@ -93,14 +93,14 @@ def spaced_starts(starts: DataFrame, keys: list[str], time: str, least: float) -
     points = cut(at.where("t is not null").distinct())
     links = cut(next_starts(points, keys, least).where("next is not null"))
     firsts = at.groupBy(*keys).agg(F.min("t").alias("t"))
-    led = cut(firsts)
-    while True:
-        new = cut(led.join(links, [*keys, "t"]).select(*keys, F.col("next").alias("t")))
-        if not new.take(1):
-            return led.withColumnRenamed("t", "cut")
+    led, n = cut(firsts), -1
+    while (met := led.count()) != n:
+        n = met
+        new = led.join(links, [*keys, "t"]).select(*keys, F.col("next").alias("t"))
         led = cut(led.unionByName(new))
         second = links.select(*keys, F.col("t").alias("next"), F.col("next").alias("second"))
         links = cut(links.join(second, [*keys, "next"]).select(*keys, "t", F.col("second").alias("next")))
+    return led.withColumnRenamed("t", "cut")
 
 
 def spaced(starts: DataFrame, keys: list[str], time: str, least: float) -> DataFrame:
