@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.easing import ease
 from ..functions.scalar import EPSILON_DOUBLE, flicker, transform_point
-from .intervals import cell, covering, indexed, listed, used_levels
+from .intervals import by_crowd, cell, covering, crowded, indexed, listed, used_levels
 
 
 def progress(t: Column, start: Column, end: Column) -> Column:
@@ -23,25 +23,62 @@ def evaluate(commands: DataFrame, moments: DataFrame, gap: str = "reference", ke
     The last declared command with start <= t <= end is active; at its start and end it holds, one of no length gives its
     end value.  Where none is active: before the first declared command its start value, else the end value of the command
     that ends last (``gap="reference"``), or of the one that ended last before t (``gap="preceding"``).
-    First and last commands come from one aggregate over the commands, active ones from the index of intervals.
+    Moments meet the commands of their keys in one join by key, those of crowded keys through the index of intervals.
     """
     double = {"start": F.col("start").cast("double"), "end": F.col("end").cast("double"), "a": F.col("v_start").cast("double"), "b": F.col("v_end").cast("double")}
-    c = commands.select(*keys, "seq", "easing", *[v.alias(k) for k, v in double.items()])
-    row = F.struct("start", "end", "easing", "a", "b")
-    points = moments.select(*keys, F.col("t").cast("double").alias("t")).distinct()
-    ends = c.groupBy(*keys).agg(F.min_by(row, "seq").alias("first"), F.max_by(row, F.struct("end", "seq")).alias("last"), used_levels().alias("bits"))
-    looked = points.join(ends, list(keys)).withColumn("level", F.explode_outer(listed(F.col("bits")))).withColumn("cell", cell(F.col("t"), F.col("level"))).drop("bits")
-    holding = indexed(c).select(*keys, "level", "cell", "seq", row.alias("row"))
-    met = looked.join(holding, [*keys, "level", "cell"], "left")
-    holds = F.when(F.col("t").between(F.col("row.start"), F.col("row.end")), F.col("seq"))
-    found = met.groupBy(*keys, "t").agg(F.first("first").alias("first"), F.first("last").alias("last"), F.max_by("row", holds).alias("active"))
+    c = commands.select(*keys, "seq", F.struct(double["start"].alias("start"), double["end"].alias("end"), "easing", double["a"].alias("a"), double["b"].alias("b")).alias("row"))
+    points = moments.select(*keys, F.col("t").cast("double").alias("t"))
+    found = holding(c, points, keys)
     if gap == "preceding":
-        found = found.drop("last").join(_ended_before(points, c.select(*keys, "seq", "end", row.alias("row")), keys), [*keys, "t"])
+        found = found.drop("last").join(_ended_before(points.distinct(), c.select(*keys, "seq", F.col("row.end").alias("end"), "row"), keys), [*keys, "t"])
+    return found.select(*keys, "t", _value("a", "b").alias("value"))
+
+
+def _value(a: str, b: str) -> Column:
+    """The value at t of what holding() gives, from fields of its rows."""
     at = F.col("t")
     p = progress(at, F.col("active.start"), F.col("active.end"))
-    inside = F.col("active.a") + (F.col("active.b") - F.col("active.a")) * ease(F.col("active.easing"), p)
-    idle = F.when((at < F.col("first.start")) | F.col("last").isNull(), F.col("first.a")).otherwise(F.col("last.b"))
-    return found.select(*keys, "t", F.when(F.col("active").isNotNull(), inside).otherwise(idle).alias("value"))
+    inside = F.col(f"active.{a}") + (F.col(f"active.{b}") - F.col(f"active.{a}")) * ease(F.col("active.easing"), p)
+    idle = F.when((at < F.col("first.start")) | F.col("last").isNull(), F.col(f"first.{a}")).otherwise(F.col(f"last.{b}"))
+    return F.when(F.col("active").isNotNull(), inside).otherwise(idle)
+
+
+def _ends() -> list[Column]:
+    return [F.min_by("row", "seq").alias("first"), F.max_by("row", F.struct("row.end", "seq")).alias("last")]
+
+
+def _active() -> Column:
+    return F.max_by("row", F.when(F.col("t").between(F.col("row.start"), F.col("row.end")), F.col("seq"))).alias("active")
+
+
+def holding(commands: DataFrame, points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, t, and the first, the last and the active one of the commands (keys, seq, row with start and end) of each point (keys, t)."""
+
+    def few(c: DataFrame, p: DataFrame) -> DataFrame:
+        return p.distinct().join(listed_commands(c, keys), list(keys)).select(*keys, "t", "first", "last", _listed_active())
+
+    return by_crowd(crowded(commands, keys), keys, few, lambda c, p: _holding_many(c, p, keys), commands, points)
+
+
+def listed_commands(c: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, the commands as an array from the last declared one back, and the first and the last to end; for keys of few commands."""
+    rows = c.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(F.struct("seq", "row")))).alias("listed"))
+    last = F.array_max(F.transform("listed", lambda x: F.struct(x["row"]["end"].alias("end"), x["seq"].alias("seq"), x["row"].alias("row"))))
+    return rows.select(*keys, "listed", F.element_at("listed", -1)["row"].alias("first"), last["row"].alias("last"))
+
+
+def _listed_active() -> Column:
+    t = F.col("t")
+    return F.get(F.filter("listed", lambda x: (x["row"]["start"] <= t) & (t <= x["row"]["end"])), F.lit(0))["row"].alias("active")
+
+
+def _holding_many(commands: DataFrame, points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """First and last commands come from one aggregate over the commands, active ones from the index of intervals."""
+    c = commands.withColumns({"start": F.col("row.start"), "end": F.col("row.end")})
+    ends = c.groupBy(*keys).agg(*_ends(), used_levels().alias("bits"))
+    looked = points.distinct().join(ends, list(keys)).withColumn("level", F.explode_outer(listed(F.col("bits")))).withColumn("cell", cell(F.col("t"), F.col("level"))).drop("bits")
+    met = looked.join(indexed(c).select(*keys, "level", "cell", "seq", "row"), [*keys, "level", "cell"], "left")
+    return met.groupBy(*keys, "t").agg(F.first("first").alias("first"), F.first("last").alias("last"), _active())
 
 
 def _ended_before(points: DataFrame, commands: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -54,9 +91,23 @@ def _ended_before(points: DataFrame, commands: DataFrame, keys: tuple[str, ...])
 
 def flag_at(commands: DataFrame, moments: DataFrame, keys: tuple[str, ...] = ("object", "kind")) -> DataFrame:
     """Whether a flag holds at t: in [start, end), or from start on if the command has no length."""
-    short = F.col("end") - F.col("start") <= EPSILON_DOUBLE
     c = commands.select(*keys, "start", "end")
-    points = moments.select(*keys, "t").distinct()
+
+    def few(c: DataFrame, p: DataFrame) -> DataFrame:
+        own = c.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        return p.distinct().join(own, list(keys)).select(*keys, "t", F.exists("spans", lambda x: holds(x["start"], x["end"], F.col("t"))).alias("flag"))
+
+    return by_crowd(crowded(c, keys), keys, few, lambda c, p: _flags_many(c, p, keys), c, moments.select(*keys, "t"))
+
+
+def holds(start: Column, end: Column, t: Column) -> Column:
+    """Whether a command's flag holds at t."""
+    return F.coalesce(F.when(end - start <= EPSILON_DOUBLE, start <= t).otherwise((start <= t) & (t < end)), F.lit(False))
+
+
+def _flags_many(c: DataFrame, moments: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    short = F.col("end") - F.col("start") <= EPSILON_DOUBLE
+    points = moments.distinct()
     always = c.groupBy(*keys).agg(F.min(F.when(short, F.col("start"))).alias("from"))
     on = covering(points, c.where(~short), keys).where("t < end").select(*keys, "t").distinct().withColumn("on", F.lit(True))
     found = points.join(always, list(keys)).join(on, [*keys, "t"], "left")
@@ -73,27 +124,54 @@ DEFAULTS = {"MoveX": 0.0, "MoveY": 0.0, "Scale": 1.0, "VectorScaleX": 1.0, "Vect
 FLAG_KINDS = ("FlipH", "FlipV", "Additive")
 
 
-def evaluate_colour(commands: DataFrame, moments: DataFrame) -> DataFrame:
-    """Object, t, r, g and b of each moment (object, t) of an object with colour commands (c_start, c_end), as evaluate()."""
-    parts = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(f"c_start.{c}").alias("v_start"), F.col(f"c_end.{c}").alias("v_end")) for c in "rgb"])
-    channels = commands.where("kind = 'Colour'").select("object", "seq", "start", "end", "easing", F.inline(parts))
-    points = moments.select("object", "t", F.explode(F.array(*map(F.lit, "rgb"))).alias("kind"))
-    values = evaluate(channels, points)
-    return values.groupBy("object", "t").agg(*[colour(F.max(F.when(F.col("kind") == c, F.col("value")))).alias(c) for c in "rgb"])
+def _colour_rows(commands: DataFrame) -> DataFrame:
+    fields = [F.col(f"{side}.{c}").cast("double").alias(f"{c}_{side}") for side in ("c_start", "c_end") for c in "rgb"]
+    return commands.where("kind = 'Colour'").select("object", "seq", F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "easing", *fields).alias("row"))
+
+
+def evaluate_colour(commands: DataFrame, moments: DataFrame, digits: int | None = None) -> DataFrame:
+    """Object, t, r, g and b of each moment (object, t) of an object with colour commands (c_start, c_end), as evaluate().
+
+    With ``digits`` values are rounded to these before they are cut to whole numbers, so that 41 stays 41 where it is a sum of fractions.
+    """
+    found = holding(_colour_rows(commands), moments.select("object", F.col("t").cast("double").alias("t")), ("object",))
+    kept = (lambda v: v) if digits is None else (lambda v: F.round(v, digits))
+    return found.select("object", "t", *[colour(kept(_value(f"{c}_c_start", f"{c}_c_end"))).alias(c) for c in "rgb"])
 
 
 def states(commands: DataFrame, moments: DataFrame) -> DataFrame:
     """Every scalar, flag and colour of each moment (object, t), with defaults for what an object has no commands of."""
+    at = moments.select("object", F.col("t").cast("double").alias("t"))
+    out = by_crowd(crowded(commands, ("object",)), ("object",), _states_few, _states_many, commands, at)
+    filled = {k: F.coalesce(k, F.lit(v)) for k, v in DEFAULTS.items() if not k.startswith("Move")} | {k: F.coalesce(k, F.lit(False)) for k in FLAG_KINDS} | {c: F.coalesce(c, F.lit(255)) for c in "rgb"}
+    return out.withColumns(filled)
+
+
+def _states_few(commands: DataFrame, at: DataFrame) -> DataFrame:
+    """Moments and commands meet once, by object; the rest is grouped where they met."""
+    double = lambda c, name: F.col(c).cast("double").alias(name)
+    fields = [double(f"{side}.{c}", f"{c}_{side}") for side in ("c_start", "c_end") for c in "rgb"]
+    row = F.struct(double("start", "start"), double("end", "end"), "easing", double("v_start", "a"), double("v_end", "b"), *fields).alias("row")
+    c = commands.where(F.col("kind").isin(*DEFAULTS, *FLAG_KINDS, "Colour")).select("object", "kind", "seq", row).repartition("object")
+    found = at.repartition("object").distinct().join(listed_commands(c, ("object", "kind")), ["object"], "left")
+    on = F.exists("listed", lambda x: holds(x["row"]["start"], x["row"]["end"], F.col("t")))
+    found = found.select("object", "t", "kind", "first", "last", _listed_active(), F.when(F.col("kind").isin(*FLAG_KINDS), on).alias("flag"))
+    value, own = _value("a", "b"), F.col("kind")
+    return found.groupBy("object", "t").agg(
+        *[F.max(F.when(own == k, value)).alias(k) for k in DEFAULTS], *[F.max(F.when(own == k, F.col("flag"))).alias(k) for k in FLAG_KINDS],
+        *[F.max(F.when(own == "Colour", colour(_value(f"{x}_c_start", f"{x}_c_end")))).alias(x) for x in "rgb"],
+    )
+
+
+def _states_many(commands: DataFrame, moments: DataFrame) -> DataFrame:
+    at = moments.distinct()
     kinds = commands.select("object", "kind").distinct()
-    at = moments.select("object", F.col("t").cast("double").alias("t")).distinct()
     scalars = commands.where(F.col("kind").isin(*DEFAULTS))
     flags = commands.where(F.col("kind").isin(*FLAG_KINDS))
     points = at.join(kinds, "object")
     values = evaluate(scalars, points.where(F.col("kind").isin(*DEFAULTS))).groupBy("object", "t").agg(*[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in DEFAULTS])
     on = flag_at(flags, points.where(F.col("kind").isin(*FLAG_KINDS))).groupBy("object", "t").agg(*[F.max(F.when(F.col("kind") == k, F.col("flag"))).alias(k) for k in FLAG_KINDS])
-    out = at.join(values, ["object", "t"], "left").join(on, ["object", "t"], "left").join(evaluate_colour(commands, at), ["object", "t"], "left")
-    filled = {k: F.coalesce(k, F.lit(v)) for k, v in DEFAULTS.items() if not k.startswith("Move")} | {k: F.coalesce(k, F.lit(False)) for k in FLAG_KINDS} | {c: F.coalesce(c, F.lit(255)) for c in "rgb"}
-    return out.withColumns(filled)
+    return at.join(values, ["object", "t"], "left").join(on, ["object", "t"], "left").join(evaluate_colour(commands, at), ["object", "t"], "left")
 
 
 def placed(states: DataFrame, base_x: Column, base_y: Column, pivot_x: Column, pivot_y: Column, base_scale: Column) -> DataFrame:
