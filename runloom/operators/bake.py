@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import timeline
-from .intervals import covering
+from .intervals import FEW, by_crowd, covering, crowded
 from .runs import change_runs
 
 #: Values within this are one value; a fade within FADED of 1 isn't written
@@ -25,9 +25,13 @@ SAMPLES = 4096
 
 def sample_times(spans: DataFrame, keys: list[str], frame: float) -> DataFrame:
     """keys and t of every frame from start on and of the end itself."""
+    return spans.select(*keys, F.explode(_times(frame)).alias("t"))
+
+
+def _times(frame: float) -> Column:
     steps = F.greatest(F.ceil((F.col("end") - F.col("start")) / frame).cast("int") - 1, F.lit(0))
     inner = F.transform(F.sequence(F.lit(0), steps), lambda k: F.col("start") + k * frame)
-    return spans.select(*keys, F.explode(F.array_distinct(F.concat(inner, F.array(F.col("end").cast("double"))))).alias("t"))
+    return F.array_distinct(F.concat(inner, F.array(F.col("end").cast("double"))))
 
 
 def segments(samples: DataFrame, keys: list[str], width: float) -> DataFrame:
@@ -56,6 +60,62 @@ def flag_windows(samples: DataFrame, keys: list[str], width: float) -> DataFrame
     return change_runs(samples, keys, ["t"], "t", "flag", F.floor(F.col("t") / width)).where("content").select(*keys, "start", "end")
 
 
+def _crowded_series(commands: DataFrame, keys: list[str], frame: float) -> DataFrame:
+    """Keys of over FEW commands, or over SAMPLES samples."""
+    sizes = commands.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("end") - F.min("start")).alias("length"))
+    return sizes.where((F.col("n") > FEW) | (F.col("length") > SAMPLES * frame))
+
+
+def _sampled_spans(c: DataFrame, keys: list[str], frame: float) -> DataFrame:
+    """keys, the commands' spans and the times of sample_times() as arrays, for keys of few of both."""
+    rows = c.groupBy(*keys).agg(F.collect_list(F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))).alias("spans"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return rows.where("start is not null and end is not null").select(*keys, "spans", F.array_sort(_times(frame)).alias("ts"))
+
+
+def under_way(commands: DataFrame, keys: list[str], frame: float, width: float) -> DataFrame:
+    """The number of commands under way (start <= t < end), sampled every ``frame``, as segments().
+
+    A key's samples meet its commands in one row; crowded keys go by the index of intervals and by blocks of time, ``width`` long.
+    """
+    c = commands.select(*keys, "start", "end")
+
+    def few(c: DataFrame) -> DataFrame:
+        under = lambda t: F.size(F.filter("spans", lambda x: (x["start"] <= t) & (t < x["end"]))).cast("double")
+        rows = _sampled_spans(c, keys, frame).select(*keys, F.transform("ts", lambda t: F.struct(t.alias("t"), under(t).alias("v"))).alias("values"))
+        at = lambda k: F.get("values", k)
+        piece = lambda a, b: F.struct(a["t"].alias("start"), b["t"].alias("end"), a["v"].alias("v_start"), b["v"].alias("v_end"))
+        n, numbers = F.size("values"), F.transform("values", lambda x: x["v"])
+        whole = F.struct(at(F.lit(0))["t"].alias("start"), at(n - 1)["t"].alias("end"), at(F.lit(0))["v"].alias("v_start"), at(F.lit(0))["v"].alias("v_end"))
+        still = F.array_max(numbers) - F.array_min(numbers) <= EQUAL
+        return rows.select(*keys, F.inline(F.when(still, F.array(whole)).otherwise(F.transform(F.sequence(F.lit(1), n - 1), lambda k: piece(at(k - 1), at(k))))))
+
+    def many(c: DataFrame) -> DataFrame:
+        samples = sample_times(timeline.lifetimes(c, tuple(keys)), keys, frame)
+        n = covering(samples, c, tuple(keys)).where("t < end").groupBy(*keys, "t").agg(F.count("*").alias("n"))
+        return segments(samples.join(n, [*keys, "t"], "left").select(*keys, "t", F.coalesce("n", F.lit(0)).cast("double").alias("value")), keys, width)
+
+    return by_crowd(_crowded_series(c, keys, frame), tuple(keys), few, many, c)
+
+
+def flags_under_way(commands: DataFrame, keys: list[str], frame: float, width: float) -> DataFrame:
+    """The windows in which a flag holds, sampled every ``frame``, as flag_windows() of timeline.flag_at()."""
+    c = commands.select(*keys, "start", "end")
+
+    def few(c: DataFrame) -> DataFrame:
+        on = lambda t: F.exists("spans", lambda x: timeline.holds(x["start"], x["end"], t))
+        rows = _sampled_spans(c, keys, frame).select(*keys, F.transform("ts", lambda t: F.struct(t.alias("t"), on(t).alias("on"))).alias("values"))
+        turns = F.filter("values", lambda x, k: (k == 0) | (x["on"] != F.get("values", k - 1)["on"]))
+        rows = rows.select(*keys, turns.alias("turns"), F.element_at("values", -1)["t"].alias("last"))
+        spans = F.transform("turns", lambda x, k: F.struct(x["t"].alias("start"), F.coalesce(F.get("turns", k + 1)["t"], "last").alias("end"), x["on"].alias("on")))
+        return rows.select(*keys, F.inline(spans)).where("on").drop("on")
+
+    def many(c: DataFrame) -> DataFrame:
+        samples = sample_times(timeline.lifetimes(c, tuple(keys)), keys, frame)
+        return flag_windows(timeline.flag_at(c, samples, tuple(keys)), keys, width)
+
+    return by_crowd(_crowded_series(c, keys, frame), tuple(keys), few, many, c)
+
+
 def check_triggers(commands: DataFrame) -> DataFrame:
     """The triggers of groups and what is in them; anything but fades, colours and additive flags in one raises."""
     triggers = commands.where("kind = 'Trigger'")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as X
 from .functions.easing import ease
-from .operators import bake, blocks, bursts, dedupe, document, fidelity, intervals, loops, render, rewrite, runs, timeline
+from .operators import bake, blocks, bursts, dedupe, document, fidelity, loops, render, rewrite, runs, timeline
 from .plans import probes, sources, tuning
 from .session import ready, shared, stash
 from .sources import frames as frames_
@@ -512,10 +512,7 @@ w as (select object, t, flag, lead(t) over (partition by object order by t) as e
 select w.object, t as start, coalesce(e, (select max(t) from f where f.object = w.object)) as "end" from w where flag""")
 def flag_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When an order has an item under way, sampled every 30 days"""
-    c = commands(spark, sf_dir)
-    samples = bake.sample_times(timeline.lifetimes(c), ["object"], 30.0)
-    flags = timeline.flag_at(c, samples, keys=("object",))
-    return bake.flag_windows(flags, ["object"], 64 * 30.0)
+    return bake.flags_under_way(commands(spark, sf_dir), ["object"], 30.0, 64 * 30.0)
 
 
 @query(f"""with {BAKED}, f as (select sm.object, t, count(*) filter (start <= t and t < "end")::double as value from sm join cm on sm.object = cm.object group by 1, 2),
@@ -523,11 +520,7 @@ c as (select *, lead(t) over w as t1, lead(value) over w as v1, max(value) over
 select object, t as start, t1 as "end", value as v_start, v1 as v_end from c where not constant and t1 is not null union all select object, t, tz, value, value from c where constant and k = 1""")
 def baked_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of items under way as linear segments"""
-    c = commands(spark, sf_dir)
-    samples = bake.sample_times(timeline.lifetimes(c), ["object"], 30.0)
-    under_way = intervals.covering(samples, c.select("object", "start", "end"), ("object",)).where("t < end").groupBy("object", "t").agg(F.count("*").alias("n"))
-    values = samples.join(under_way, ["object", "t"], "left").select("object", "t", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
-    return bake.segments(values, ["object"], 64 * 30.0)
+    return bake.under_way(commands(spark, sf_dir), ["object"], 30.0, 64 * 30.0)
 
 
 SCRIPTS = f"""cm as (select l_orderkey as object, case l_linenumber when 1 then 'MoveX' when 2 then 'MoveY' when 3 then 'VectorScaleX' when 4 then 'Rotate' when 5 then 'Fade' when 6 then 'Colour' else case when l_returnflag = 'A' then 'Additive' else 'FlipH' end end as kind,
