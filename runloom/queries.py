@@ -818,7 +818,7 @@ col as (select object, t, case when a is not null then a.r when t < f.s then f.r
 @query(f"""with {COLOURS} select object, t::double as t, r::int as r, g::int as g, b::int as b from col""")
 def colour_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X2"""
-    return timeline.evaluate_colour(*colour_parts(spark, sf_dir))
+    return timeline.evaluate_colour(*colour_parts(spark, sf_dir), digits=9)
 
 
 @query(f"""with {PIXELS} select vec_id, (i // 8 // 4)::int as "row", (i % 8 // 4)::int as col, min(4) as w, sum(b)::bigint as total from pq group by 1, 2, 3""")
