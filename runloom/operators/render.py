@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import animation_frame, canvas_mapping, flicker, frame_path, origin_fraction, to_pixel
 from . import timeline
+from .folds import fold_sorted
 from .intervals import covering
 
-FRAME = "frame long, width int, height int, rgb binary"
 TILE = "frame long, col int, row int, x int, y int, w int, h int, rgb binary"
 
 
@@ -37,19 +37,22 @@ def render_frames(placed: DataFrame, width: int, height: int) -> DataFrame:
     """G1: one frame of each group of rows (frame, z, w, h, rgb, x, y, sx, sy, angle, alpha, additive, r, g, b), drawn by z on black.
 
     Rows may have ox and oy, the fractions of the image that lie at x and y; else these are its top left corner.
-    A frame's live objects meet in one group; their number is bounded by what is on screen at once.
+    A task draws one frame after another, from rows sorted by frame and z, and holds one canvas and one batch.
     """
 
     turned = {"ox", "oy"} <= set(placed.columns)
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        canvas = np.zeros((height, width, 3), np.uint8)
-        for o in pdf.sort_values("z", kind="stable").itertuples():
-            image = np.frombuffer(o.rgb, np.uint8).reshape(o.h, o.w, 3)
-            blit(canvas, image, o.x, o.y, o.sx, o.sy, o.angle, o.alpha, o.additive, (o.r, o.g, o.b), (o.ox, o.oy) if turned else (0.0, 0.0))
-        return pd.DataFrame({"frame": [pdf["frame"].iloc[0]], "width": [width], "height": [height], "rgb": [canvas.tobytes()]})
-
-    return placed.groupBy("frame").applyInPandas(draw, FRAME)
+    def draw(canvas: np.ndarray | None, piece: dict[str, list]) -> tuple[list[tuple], np.ndarray]:
+        canvas = np.zeros((height, width, 3), np.uint8) if canvas is None else canvas
+        for k, rgb in enumerate(piece["rgb"]):
+            o = {c: v[k] for c, v in piece.items()}
+            image = np.frombuffer(rgb, np.uint8).reshape(o["h"], o["w"], 3)
+            blit(canvas, image, o["x"], o["y"], o["sx"], o["sy"], o["angle"], o["alpha"], o["additive"], (o["r"], o["g"], o["b"]), (o["ox"], o["oy"]) if turned else (0.0, 0.0))
+        return [], canvas
+
+    columns = ["frame", "z", "w", "h", "rgb", "x", "y", "sx", "sy", "angle", "alpha", "additive", "r", "g", "b", *(("ox", "oy") if turned else ())]
+    rows = placed.select(F.col("frame").cast("long").alias("frame"), *[F.col(c).cast("int").alias(c) if c in ("w", "h") else F.col(c) for c in columns[1:]])
+    return fold_sorted(rows, ["frame"], ["z"], draw, lambda canvas: [(width, height, canvas.tobytes())], {"width": "w", "height": "h", "rgb": "rgb"})
 
 
 def _cells(placed: DataFrame, width: int, height: int, tile: int) -> DataFrame:

@@ -46,3 +46,8 @@ def test_colours_are_rounded_before_they_are_cut(spark):
     c = spark.sql("select 1 as object, 'Colour' as kind, 1 as seq, 0.0D as start, 10.0D as end, 0 as easing, named_struct('r', 0, 'g', 0, 'b', 0) as c_start, named_struct('r', 100, 'g', 100, 'b', 100) as c_end")
     at = spark.createDataFrame([(1, 2.9)], "object int, t double")
     assert 100 * (2.9 / 10) < 29 and timeline.evaluate_colour(c, at, digits=9).first().g == 29
+
+
+def test_frames_are_drawn_without_a_call_for_each(spark):
+    plan = queries.QUERIES["rendered_frames"](spark, DIR)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
