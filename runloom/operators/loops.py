@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stash
 from .rewrite import TIME_EPSILON, VALUE_EPSILON, drop_covered, merge_adjacent
 from .timeline import DEFAULTS
 
@@ -42,12 +42,12 @@ def command_periods(blocks: DataFrame, keys: tuple[str, ...], least: int = 3) ->
     """
     of = [*keys, "block"]
     value = F.struct(*VALUES)
-    rows = cut(blocks.where(F.col("kind").isin(*DEFAULTS)).select(*of, "i", value.alias("x")))
+    rows = stash(blocks.where(F.col("kind").isin(*DEFAULTS)).select(*of, "i", value.alias("x")))
     sizes = rows.groupBy(*of).agg(F.count("*").alias("n"), F.min_by("x", "i").alias("first")).where(F.col("n") >= least)
     upto = F.max("x.end").over(Window.partitionBy(*of).orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
     after = rows.withColumn("cycle", upto).join(sizes, of).withColumn("cycle", F.col("cycle") - F.col("first.start"))
     fits = (F.col("i") > 0) & (F.col("n") % F.col("i") == 0) & (F.col("n") >= least * F.col("i")) & (F.col("cycle") > 0)
-    tried = cut(after.where(fits & _alike("x", "first", F.col("cycle"))).select(*of, F.col("i").alias("period"), "cycle", "n"))
+    tried = stash(after.where(fits & _alike("x", "first", F.col("cycle"))).select(*of, F.col("i").alias("period"), "cycle", "n"))
     later = rows.join(tried, of).where("i >= period").withColumn("turn", F.floor(F.col("i") / F.col("period"))).withColumn("j", F.col("i") % F.col("period"))
     body = rows.select(*of, F.col("i").alias("j"), F.col("x").alias("own"))
     broken = later.join(body, [*of, "j"]).where(~_alike("x", "own", F.col("turn") * F.col("cycle"))).select(*of, "period").distinct()
@@ -64,7 +64,7 @@ def extract_command_loops(commands: DataFrame, keys: tuple[str, ...] = ("object"
     given = {"parent": F.lit(None).cast("double"), "depth": F.lit(1), "count": F.lit(None).cast("int")}
     rows = commands.withColumns({c: v for c, v in given.items() if c not in commands.columns} | {"seq": F.col("seq").cast("double")})
     top = rows.where("depth = 1")
-    blocks = cut(command_blocks(top, keys, order))
+    blocks = stash(command_blocks(top, keys, order))
     found = blocks.join(command_periods(blocks, keys, least).withColumnRenamed("count", "times"), [*keys, "block"], "left")
     heads = found.where("period is not null and i = 0").select(*keys, "block", F.col("start").alias("at"), (F.col("seq") - BEFORE).alias("loop"))
     body = found.where("period is null or i < period").join(heads, [*keys, "block"], "left")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runloom import queries
-from runloom.operators import bake, timeline
+from runloom.operators import bake, loops, timeline
 
 DIR = "/root/testdata/sf0.001"
 
@@ -51,3 +51,11 @@ def test_colours_are_rounded_before_they_are_cut(spark):
 def test_frames_are_drawn_without_a_call_for_each(spark):
     plan = queries.QUERIES["rendered_frames"](spark, DIR)._jdf.queryExecution().toString()
     assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
+def test_loops_write_compressed_tables(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "checkpoint", None)  # raw rows, four times the size
+    c = spark.createDataFrame([(1, i, "Fade", i * 2.0, i * 2.0 + 2, 0, 0.0, 1.0) for i in range(4)], "object int, seq int, kind string, start double, end double, easing int, v_start double, v_end double")
+    assert [r["count"] for r in loops.extract_command_loops(c).where("kind = 'Loop'").collect()] == [4]
