@@ -51,7 +51,9 @@ class Written(WriterCommitMessage):
     frames: int
 
 
-class FrameReader(DataSourceReader):
+class FrameRanges(DataSourceReader):
+    """Ranges of bytes of all frames."""
+
     def __init__(self, options: dict[str, str]) -> None:
         self.width, self.height, self.fps = int(options["width"]), int(options["height"]), float(options["fps"])
         self.size = self.width * self.height * 3
@@ -63,17 +65,6 @@ class FrameReader(DataSourceReader):
         self.per = max(1, int(options.get("partitionBytes", PARTITION_BYTES)) // self.size)
         self.low, self.high = 0, math.inf
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds of ts and frame narrow the frames that are read; Spark applies all filters again."""
-        for f in filters:
-            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute in (("ts",), ("frame",)):
-                at = float(f.value) * self.fps / 1000 if f.attribute == ("ts",) else float(f.value)
-                if not isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.low = max(self.low, math.floor(at) - 1)
-                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.high = min(self.high, math.ceil(at) + 1)
-            yield f
-
     def partitions(self) -> list[Stretch]:
         top = local(self.path)
         files = sorted(p for p in top.rglob("*") if p.is_file() and not p.name.startswith((".", "_"))) if top.is_dir() else [top]
@@ -99,6 +90,24 @@ class FrameReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(columns, ["source", "frame", "ts", "width", "height", "rgb"])
 
 
+class FrameReader(FrameRanges):
+    """Reads the frames that filters leave.
+
+    Spark keeps what is left with the table, for later queries without filters too, so only tables that one query reads may have it.
+    """
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds of ts and frame narrow the frames that are read; Spark applies all filters again."""
+        for f in filters:
+            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute in (("ts",), ("frame",)):
+                at = float(f.value) * self.fps / 1000 if f.attribute == ("ts",) else float(f.value)
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.low = max(self.low, math.floor(at) - 1)
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.high = min(self.high, math.ceil(at) + 1)
+            yield f
+
+
 class FrameWriter(DataSourceArrowWriter):
     """One file a task; files get their names when all tasks have ended, so a lost task leaves none."""
 
@@ -133,7 +142,7 @@ class FrameWriter(DataSourceArrowWriter):
 
 
 class RawFrames(DataSource):
-    """Options: path, width, height, fps, start and duration (seconds), partitionBytes."""
+    """Options: path, width, height, fps, start and duration (seconds), partitionBytes, pushed (true: see FrameReader)."""
 
     @classmethod
     def name(cls) -> str:
@@ -142,21 +151,22 @@ class RawFrames(DataSource):
     def schema(self) -> str:
         return FRAMES
 
-    def reader(self, schema) -> FrameReader:
-        return FrameReader(self.options)
+    def reader(self, schema) -> FrameRanges:
+        return (FrameReader if self.options.get("pushed") == "true" else FrameRanges)(self.options)
 
     def writer(self, schema, overwrite: bool) -> FrameWriter:
         return FrameWriter(self.options, overwrite)
 
 
-def read_raw(spark: SparkSession, path: str, width: int, height: int, fps: float, start: float = 0.0, duration: float | None = None) -> DataFrame:
-    """Frames of packed RGB files from ``start`` on, for ``duration`` seconds; a partial last frame is left out.
+def read_raw(spark: SparkSession, path: str, width: int, height: int, fps: float, start: float = 0.0, duration: float | None = None, pushed: bool = False) -> DataFrame:
+    """Frames of packed RGB files from ``start`` on, for ``duration`` seconds, whose bytes alone are read; a partial last frame is left out.
 
-    Filters on ts and frame are pushed into the source, which reads only their bytes.
+    With ``pushed`` filters on ts and frame narrow what is read too; such frames are for one query that reads them once.
     """
-    spark.conf.set(PUSHDOWN, "true")
+    if pushed:
+        spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(RawFrames)
-    options = {"width": width, "height": height, "fps": fps, "start": start} | ({} if duration is None else {"duration": duration})
+    options = {"width": width, "height": height, "fps": fps, "start": start, "pushed": str(pushed).lower()} | ({} if duration is None else {"duration": duration})
     return spark.read.format("raw_frames").options(**options).load(path)
 
 

@@ -116,3 +116,14 @@ def test_palette_equals_a_plain_octree(spark, most):
     want = brute_octree([tuple(p) for p in pixels.tolist()], most)
     got = assets.quantise(images(spark, [("k", 20, 20, pixels.tobytes())]), most).first().rgb
     assert [tuple(p) for p in np.frombuffer(got, np.uint8).reshape(-1, 3).tolist()] == [want[tuple(p)] for p in pixels.tolist()] and len(set(want.values())) <= most
+
+
+def test_frames_are_read_whole_after_a_filter(spark, tmp_path):
+    (tmp_path / "v.rgb").write_bytes(bytes(range(12)) * 40)  # 40 frames of 12 bytes
+    all_ = frames.read_raw(spark, str(tmp_path), 2, 2, 4.0)
+    assert all_.where("frame = 30").count() == 1
+    assert all_.count() == 40
+    low, high = all_.where("frame < 3"), all_.where("frame > 35")
+    assert sorted(r.frame for r in low.unionByName(high).collect()) == [0, 1, 2, 36, 37, 38, 39]
+    once = frames.read_raw(spark, str(tmp_path), 2, 2, 4.0, pushed=True).where("ts >= 1000 and ts < 2000")
+    assert sorted(r.frame for r in once.collect()) == [4, 5, 6, 7]
