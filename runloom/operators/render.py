@@ -12,8 +12,6 @@ from . import timeline
 from .folds import fold_sorted
 from .intervals import covering
 
-TILE = "frame long, col int, row int, x int, y int, w int, h int, rgb binary"
-
 
 def blit(canvas: np.ndarray, image: np.ndarray, x: float, y: float, sx: float, sy: float, angle: float, alpha: float, additive: bool, tint: tuple[int, int, int], origin: tuple[float, float] = (0.0, 0.0), corner: tuple[int, int] = (0, 0)) -> None:
     """An image scaled, turned around its origin and mixed in; the nearest pixel at each pixel's centre.
@@ -23,11 +21,13 @@ def blit(canvas: np.ndarray, image: np.ndarray, x: float, y: float, sx: float, s
     if alpha <= 0 or not sx or not sy:
         return
     h, w = image.shape[:2]
-    py, px = np.mgrid[0 : canvas.shape[0], 0 : canvas.shape[1]] + 0.5
-    dx, dy = px + corner[0] - x, py + corner[1] - y
-    u = np.floor((dx * np.cos(angle) + dy * np.sin(angle)) / sx + origin[0] * w).astype(int)
-    v = np.floor((dy * np.cos(angle) - dx * np.sin(angle)) / sy + origin[1] * h).astype(int)
+    dx, dy = np.arange(canvas.shape[1]) + 0.5 + corner[0] - x, (np.arange(canvas.shape[0]) + 0.5 + corner[1] - y)[:, None]
+    cos, sin = np.cos(angle), np.sin(angle)
+    u = np.floor((dx * cos + dy * sin) / sx + origin[0] * w).astype(int)
+    v = np.floor((dy * cos - dx * sin) / sy + origin[1] * h).astype(int)
     at = (u >= 0) & (u < w) & (v >= 0) & (v < h)
+    if not at.any():
+        return
     source = image[v[at], u[at]].astype(float) * (np.array(tint) / 255.0)
     under = canvas[at].astype(float)
     canvas[at] = np.clip(under + source * alpha if additive else under * (1 - alpha) + source * alpha, 0, 255).astype(np.uint8)
@@ -74,23 +74,24 @@ def draw_tiles(placed: DataFrame, assets: DataFrame, key: str, width: int, heigh
     """Frame, col, row, x, y, w, h and rgb of each tile of a frame that something is drawn on, by z on black.
 
     ``placed`` as for render_frames() with ox and oy, without images; ``assets``: key, w, h, rgb.  Each object goes to the tiles that its
-    turned box touches, and a tile's objects meet in one group, so a frame is drawn by many tasks.
+    turned box touches, so a frame is drawn by many tasks; a task draws one tile after another, from rows sorted by tile and z.
     """
     shown = placed.where("alpha > 0 and sx != 0 and sy != 0").join(assets.select(key, "w", "h"), key)
     dealt = _cells(shown, width, height, tile).join(assets.select(key, "rgb"), key)
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        col, row = int(pdf["col"].iloc[0]), int(pdf["row"].iloc[0])
-        x, y = col * tile, row * tile
-        canvas = np.zeros((min(tile, height - y), min(tile, width - x), 3), np.uint8)
-        for o in pdf.sort_values("z", kind="stable").itertuples():
-            image = np.frombuffer(o.rgb, np.uint8).reshape(o.h, o.w, 3)
-            blit(canvas, image, o.x, o.y, o.sx, o.sy, o.angle, o.alpha, o.additive, (o.r, o.g, o.b), (o.ox, o.oy), (x, y))
-        h, w = canvas.shape[:2]
-        return pd.DataFrame({"frame": [pdf["frame"].iloc[0]], "col": [col], "row": [row], "x": [x], "y": [y], "w": [w], "h": [h], "rgb": [canvas.tobytes()]})
-
-    columns = ["frame", "z", "col", "row", "x", "y", "w", "h", "sx", "sy", "angle", "alpha", "additive", "r", "g", "b", "ox", "oy", "rgb"]
-    return dealt.select(columns).groupBy("frame", "col", "row").applyInPandas(draw, TILE)
+    def draw(canvas: np.ndarray | None, piece: dict[str, list]) -> tuple[list[tuple], np.ndarray]:
+        x, y = piece["col"][0] * tile, piece["row"][0] * tile
+        canvas = np.zeros((min(tile, height - y), min(tile, width - x), 3), np.uint8) if canvas is None else canvas
+        of = [piece[c] for c in ("rgb", "w", "h", "x", "y", "sx", "sy", "angle", "alpha", "additive", "r", "g", "b", "ox", "oy")]
+        for rgb, w, h, at_x, at_y, sx, sy, angle, alpha, additive, r, g, b, ox, oy in zip(*of, strict=True):
+            blit(canvas, np.frombuffer(rgb, np.uint8).reshape(h, w, 3), at_x, at_y, sx, sy, angle, alpha, additive, (r, g, b), (ox, oy), (x, y))
+        return [], canvas
+
+    columns = ["frame", "col", "row", "z", "w", "h", "x", "y", "sx", "sy", "angle", "alpha", "additive", "r", "g", "b", "ox", "oy", "rgb"]
+    kinds = {"frame": "long", "w": "int", "h": "int"}
+    rows = dealt.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in columns])
+    drawn = fold_sorted(rows, ["frame", "col", "row"], ["z"], draw, lambda canvas: [(canvas.shape[1], canvas.shape[0], canvas.tobytes())], {"w": "w", "h": "h", "rgb": "rgb"})
+    return drawn.select("frame", "col", "row", (F.col("col") * tile).alias("x"), (F.col("row") * tile).alias("y"), "w", "h", "rgb")
 
 
 def scene(objects: DataFrame, commands: DataFrame, moments: DataFrame, width: int, height: int) -> DataFrame:

@@ -78,3 +78,28 @@ def test_scene_equals_a_pixel_at_a_time(spark):
     assert render.draw_tiles(placed.where("false"), assets, "path", W, H, TILE).count() == 0
     whole = render.render_frames(render.with_assets(placed, assets, "path").where(F.col("frame") == 1), W, H).first()
     assert np.array_equal(np.frombuffer(whole.rgb, np.uint8).reshape(H, W, 3), got[1])
+
+
+def test_tiles_are_drawn_row_by_row_not_by_a_pandas_call_for_each(spark):
+    """A tile's objects come in batches, and one tile after another goes through a task."""
+    columns = "frame long, z long, path string, x double, y double, sx double, sy double, angle double, alpha double, additive boolean, r int, g int, b int, ox double, oy double"
+    rng = random.Random(5)
+    rows = [(k % 3, k, "a", rng.uniform(-5, 40), rng.uniform(-5, 40), rng.uniform(0.5, 3), rng.uniform(0.5, 3), rng.uniform(-3, 3), rng.uniform(0.1, 1), k % 5 == 0, k % 256, 200, 99, 0.5, 0.5) for k in range(600)]
+    placed = spark.createDataFrame(rows, columns)
+    image = np.random.default_rng(5).integers(0, 256, (7, 5, 3), dtype=np.uint8)
+    assets = spark.createDataFrame([("a", 5, 7, bytearray(image.tobytes()))], "path string, w int, h int, rgb binary")
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "11")
+    try:
+        tiles = render.draw_tiles(placed, assets, "path", W, H, TILE)
+        assert "InPandas" not in tiles._jdf.queryExecution().toString() and "MapInArrow" in tiles._jdf.queryExecution().toString()
+        got = {f: np.zeros((H, W, 3), np.uint8) for f in range(3)}
+        for r in tiles.collect():
+            got[r.frame][r.y : r.y + r.h, r.x : r.x + r.w] = np.frombuffer(r.rgb, np.uint8).reshape(r.h, r.w, 3)
+    finally:
+        spark.conf.set(key, before)
+    for f, frame in got.items():
+        want = np.zeros((H, W, 3), np.uint8)
+        for _, _, _, x, y, sx, sy, angle, alpha, additive, r, g, b, ox, oy in (o for o in rows if o[0] == f):
+            render.blit(want, image, x, y, sx, sy, angle, alpha, additive, (r, g, b), (ox, oy))
+        assert np.array_equal(frame, want)
