@@ -62,7 +62,7 @@ def holding(commands: DataFrame, points: DataFrame, keys: tuple[str, ...]) -> Da
 
 def listed_commands(c: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, the commands as an array from the last declared one back, and the first and the last to end; for keys of few commands."""
-    rows = c.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(F.struct("seq", "row")))).alias("listed"))
+    rows = c.groupBy(*keys).agg(F.reverse(F.sort_array(F.collect_list(F.struct("seq", "row")))).alias("listed"))
     last = F.array_max(F.transform("listed", lambda x: F.struct(x["row"]["end"].alias("end"), x["seq"].alias("seq"), x["row"].alias("row"))))
     return rows.select(*keys, "listed", F.element_at("listed", -1)["row"].alias("first"), last["row"].alias("last"))
 

@@ -867,7 +867,7 @@ def drawn_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grey_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id and the 8 by 8 pixels of an embedding, three equal bytes each."""
-    grey = F.array_sort(F.collect_list(F.struct("i", "a")))
+    grey = F.sort_array(F.collect_list(F.struct("i", "a")))
     return pixels(spark, sf_dir).groupBy("vec_id").agg(F.unhex(F.array_join(F.transform(grey, lambda p: F.repeat(F.lpad(F.hex(p["a"]), 2, "0"), F.lit(3))), "")).alias("rgb"))
 
 

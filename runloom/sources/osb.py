@@ -53,16 +53,16 @@ def events(files: DataFrame) -> DataFrame:
     upto = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     header = F.when(F.startswith(F.ltrim("line"), F.lit("[")), F.lower(F.trim("line")))
     lines = lines.withColumn("header", header).withColumn("section", F.last("header", True).over(upto)).where("header is null")
-    own = lines.where("section is null or section = '[events]'").where(~F.startswith(F.ltrim("line"), F.lit("//")))
     pair = F.split(F.ltrim("line"), "=", 2)
-    variables = lines.where("section = '[variables]'").where(F.startswith(F.ltrim("line"), F.lit("$")) & F.contains("line", F.lit("="))).select("doc", pair[0].alias("name"), pair[1].alias("value"))
+    variable = (F.col("section") == "[variables]") & F.startswith(F.ltrim("line"), F.lit("$")) & F.contains("line", F.lit("="))
     # a longer name may begin with a shorter one
-    given = variables.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("order"), "name", "value"))).alias("given"))
-    put = F.aggregate(F.coalesce("given", F.array().cast(given.schema["given"].dataType)), F.col("line"), lambda line, v: F.replace(line, v["name"], v["value"]))
-    own = own.join(given, "doc", "left").withColumn("line", put).drop("given", "header", "section")
+    given = F.collect_list(F.when(variable, F.struct((-F.length(pair[0])).alias("order"), pair[0].alias("name"), pair[1].alias("value")))).over(Window.partitionBy("doc"))
+    own = lines.withColumn("given", given).where("section is null or section = '[events]'").where(~F.startswith(F.ltrim("line"), F.lit("//")))
+    put = F.aggregate(F.sort_array("given"), F.col("line"), lambda line, v: F.replace(line, v["name"], v["value"]))
+    own = own.withColumn("line", F.when(F.size("given") > 0, put).otherwise(F.col("line"))).drop("given", "header", "section")
     top = ~F.col("line").rlike("^[ _]")
-    f = storyboard.split_fields(F.trim("line"))
-    at = lambda i: F.get(f, F.lit(i))
+    own = own.withColumn("f", F.when(top, storyboard.split_fields(F.trim("line"))))
+    at = lambda i: F.get("f", F.lit(i))
     name = _named(at(0), OBJECTS)
     own = own.withColumn("is_object", F.when(top, name.isin(*OBJECTS.values()))).withColumn("kept", F.last("is_object", True).over(upto)).where("coalesce(kept, true)")
     numbers = lambda names: {str(i): n for i, n in enumerate(names)}

@@ -35,7 +35,8 @@ TYPED = {
 
 def split_fields(line: Column) -> Column:
     """Fields between commas outside quotes, quotes stripped; an open quote runs to the end."""
-    return F.transform(F.regexp_extract_all(line, F.lit(r'(?:^|,)((?:"[^"]*(?:"|$)|[^,"])*)'), 1), lambda f: F.replace(f, F.lit('"'), F.lit("")))
+    quoted = F.transform(F.regexp_extract_all(line, F.lit(r'(?:^|,)((?:"[^"]*(?:"|$)|[^,"])*)'), 1), lambda f: F.replace(f, F.lit('"'), F.lit("")))
+    return F.when(F.contains(line, F.lit('"')) | F.startswith(line, F.lit(",")), quoted).otherwise(F.split(line, ","))
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -201,7 +202,7 @@ def object_lines(rows: DataFrame) -> DataFrame:
 
 def documents(lines: DataFrame) -> DataFrame:
     """doc and its text, lines by seq."""
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"])
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"])
     return lines.groupBy("doc").agg(F.concat(F.array_join(whole, "\n"), F.lit("\n")).alias("value"))
 
 

@@ -1,6 +1,7 @@
 """Files as other programs write them, and values that aren't what their place asks for."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from runloom.sources import osb, storyboard
 
@@ -67,3 +68,15 @@ def test_blank_ends_and_tails_are_fine(spark):
     text = 'AnimationVideo,Pass,Centre,"a",0,0,,24\n F,0,0,,1\n T,Hit,0,9\n  F,0,0,1,1\n'
     lines = storyboard.split_lines(spark.createDataFrame([("d", text)], "doc string, value string"))
     assert storyboard.commands(storyboard.checked(storyboard.parse(lines))).count() == 3
+
+
+def test_variables_are_found_without_a_second_pass(spark):
+    text = "[Variables]\n$a=1\n$ab=320\n[Events]\nSprite,Background,Centre,\"p.png\",$ab,$a\n F,0,$a,$ab,0,1\n"
+    files = spark.createDataFrame([("d", text), ("e", text.replace("$ab=320", "$ab=9"))], "doc string, value string")
+    events = osb.events(files)
+    assert "Join" not in events._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.doc, r.line) for r in events.collect()} == {
+        (d, x) for d, v in (("d", 320), ("e", 9)) for x in (f'Sprite,Background,Centre,"p.png",{v},1', f" F,0,1,{v},0,1")
+    }
+    split = lambda s: spark.range(1).select(storyboard.split_fields(F.lit(s))).first()[0]
+    assert split("a,b,,") == ["a", "b", "", ""] and split(" F,0,,1") == [" F", "0", "", "1"] and split('x,"a,b') == ["x", "a,b"]
