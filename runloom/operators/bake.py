@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stash
 from . import timeline
 from .intervals import FEW, by_crowd, covering, crowded
 from .runs import change_runs
@@ -155,10 +156,7 @@ def constancy(commands: DataFrame, pivots: DataFrame, spans: DataFrame) -> DataF
     first = spans.join(state.select("object", F.col("t").alias("start"), F.col("state").alias("a")), ["object", "start"])
     both = seen.join(state.select("object", "t", F.col("state").alias("b")), ["object", "t"]).join(first, RUN)
 
-    def same(k: str) -> Column:
-        exact = k in timeline.FLAG_KINDS or k == "Colour"
-        return F.col(f"a.{k}") == F.col(f"b.{k}") if exact else F.abs(F.col(f"a.{k}") - F.col(f"b.{k}")) <= EQUAL
-
+    same = lambda k: _same(F.col("a"), F.col("b"), k)
     position = reduce(Column.__and__, map(same, POSITION))
     keeps = [F.bool_and(position).alias("position"), *[F.bool_and(same(k)).alias(k) for k in ("Fade", "Colour", *timeline.FLAG_KINDS)]]
     found = both.groupBy(*RUN, "start", "end").agg(*keeps, F.first("a").alias("state"))
@@ -172,15 +170,37 @@ def _posed(rows: DataFrame, pivots: DataFrame, runs: DataFrame) -> DataFrame:
     return cut(timeline.placed(wide, *map(F.col, ("base_x", "base_y", "px", "py", "base_scale"))))
 
 
+def _kept_pieces(of: Callable[[str], Column], keeps: Callable[[str], Column]) -> Column:
+    """A command for each value that a run keeps from start to end, and needs."""
+    position, white = keeps("position"), F.struct(*[F.lit(255).alias(c) for c in "rgb"])
+    move = [_piece(kind, position, of(c), of(c)) for kind, c in (("MoveX", "x"), ("MoveY", "y"), ("VectorScaleX", "sx"), ("VectorScaleY", "sy"))]
+    turn = _piece("Rotate", position & (F.abs(of("angle")) > EQUAL), of("angle"), of("angle"))
+    fade = _piece("Fade", keeps("Fade") & (F.abs(of("alpha") - 1) > FADED), of("alpha"), of("alpha"))
+    colour = _piece("Colour", keeps("Colour") & (of("Colour") != white), c=of("Colour"), d=of("Colour"))
+    flags = [_piece(k, keeps(k) & of(k)) for k in timeline.FLAG_KINDS]
+    return F.array_compact(F.array(*move, turn, fade, colour, *flags))
+
+
+def _changing_pieces(a: Column, b: Column, keeps: Callable[[str], Column]) -> Column:
+    """A command from one sample of a run to the next for each value that changes in it."""
+    moves = (("MoveX", "x", "position"), ("MoveY", "y", "position"), ("VectorScaleX", "sx", "position"), ("VectorScaleY", "sy", "position"), ("Rotate", "angle", "position"), ("Fade", "alpha", "Fade"))
+    made = [_piece(kind, ~keeps(kept), a[c], b[c]) for kind, c, kept in moves]
+    made.append(_piece("Colour", ~keeps("Colour"), c=a["Colour"], d=b["Colour"]))
+    return F.array_compact(F.array(*made))
+
+
+def _same(a: Column, b: Column, k: str) -> Column:
+    exact = k in timeline.FLAG_KINDS or k == "Colour"
+    return a[k] == b[k] if exact else F.abs(a[k] - b[k]) <= EQUAL
+
+
+def _keeps(k: str) -> Column:
+    return F.col(f"keeps.{k}")
+
+
 def _fixed(posed: DataFrame) -> DataFrame:
     """One command for what a run keeps from start to end, and needs."""
-    position, white = F.col("keeps.position"), F.struct(*[F.lit(255).alias(c) for c in "rgb"])
-    move = [_piece(kind, position, F.col(c), F.col(c)) for kind, c in (("MoveX", "x"), ("MoveY", "y"), ("VectorScaleX", "sx"), ("VectorScaleY", "sy"))]
-    turn = _piece("Rotate", position & (F.abs("angle") > EQUAL), F.col("angle"), F.col("angle"))
-    fade = _piece("Fade", F.col("keeps.Fade") & (F.abs(F.col("alpha") - 1) > FADED), F.col("alpha"), F.col("alpha"))
-    colour = _piece("Colour", F.col("keeps.Colour") & (F.col("Colour") != white), c=F.col("Colour"), d=F.col("Colour"))
-    flags = [_piece(k, F.col(f"keeps.{k}") & F.col(k)) for k in timeline.FLAG_KINDS]
-    return posed.select(*RUN, "start", "end", F.inline(F.array_compact(F.array(*move, turn, fade, colour, *flags))))
+    return posed.select(*RUN, "start", "end", F.inline(_kept_pieces(F.col, _keeps)))
 
 
 def _linear(samples: DataFrame) -> DataFrame:
@@ -188,10 +208,7 @@ def _linear(samples: DataFrame) -> DataFrame:
     value = F.struct("x", "y", "sx", "sy", "angle", "alpha", "Colour")
     later = samples.where("k > 0").select(*RUN, (F.col("k") - 1).alias("k"), F.col("t").alias("end"), value.alias("b"))
     pairs = samples.where("k < n").select(*RUN, "k", F.col("t").alias("start"), "keeps", value.alias("a")).join(later, [*RUN, "k"])
-    moves = (("MoveX", "x", "position"), ("MoveY", "y", "position"), ("VectorScaleX", "sx", "position"), ("VectorScaleY", "sy", "position"), ("Rotate", "angle", "position"), ("Fade", "alpha", "Fade"))
-    made = [_piece(kind, ~F.col(f"keeps.{kept}"), F.col(f"a.{c}"), F.col(f"b.{c}")) for kind, c, kept in moves]
-    made.append(_piece("Colour", ~F.col("keeps.Colour"), c=F.col("a.Colour"), d=F.col("b.Colour")))
-    return pairs.select(*RUN, "start", "end", F.inline(F.array_compact(F.array(*made))))
+    return pairs.select(*RUN, "start", "end", F.inline(_changing_pieces(F.col("a"), F.col("b"), _keeps)))
 
 
 def _flag_spans(samples: DataFrame, frame: float) -> DataFrame:
@@ -212,22 +229,90 @@ def bake_runs(commands: DataFrame, pivots: DataFrame, runs: DataFrame, frame: fl
     they hold.  Triggers, with what is in them, are copied to every run.
     Result: object, run, kind, start, end, v_start, v_end, c_start, c_end, and of triggers seq, parent and trigger.
     """
-    triggers = check_triggers(commands)
-    plain = cut(commands.join(triggers.select("object", "seq"), ["object", "seq"], "left_anti"))
+    triggers = stash(commands.where("kind = 'Trigger'").select("object", "seq"))
+    if triggers.isEmpty():  # then nothing is looked for in them
+        return _with_script(_bake_plain(commands, pivots, runs, frame), commands)
+    triggers = stash(check_triggers(commands))
+    plain = stash(commands.join(triggers.select("object", "seq"), ["object", "seq"], "left_anti"))
+    own = _with_script(_bake_plain(plain, pivots, runs, frame), commands)
+    copied = runs.select(*RUN).join(triggers, "object").select(*[F.col(c).cast(own.schema[c].dataType).alias(c) for c in own.columns])
+    return own.unionByName(copied)
+
+
+def _with_script(own: DataFrame, commands: DataFrame) -> DataFrame:
+    """With null seq, parent and trigger, which only triggers have."""
+    return own.select("*", *[F.lit(None).cast(commands.schema[c].dataType).alias(c) for c in ("seq", "parent", "trigger")])
+
+
+def _bake_plain(plain: DataFrame, pivots: DataFrame, runs: DataFrame, frame: float) -> DataFrame:
+    """bake_runs() without triggers.
+
+    The runs of objects with few commands meet these in one row, and leave it as commands; those of crowded objects, or of over
+    SAMPLES samples, go by the index of intervals.
+    """
+    length = F.col("end") - F.col("start")
+    long = runs.where((length > SAMPLES * frame) | (length < 0)).select("object")
+    crowd = crowded(plain, ("object",)).unionByName(long).distinct()
+    return by_crowd(crowd, ("object",), lambda c, p, r: _bake_few(c, p, r, frame), lambda c, p, r: _bake_many(c, p, r, frame), plain, pivots, runs)
+
+
+def _bake_few(plain: DataFrame, pivots: DataFrame, runs: DataFrame, frame: float) -> DataFrame:
+    spans = runs.select(*RUN, F.col("x").alias("base_x"), F.col("y").alias("base_y"), F.col("scale").alias("base_scale"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    rows = spans.where("start is not null and end is not null").join(pivots, "object").join(timeline.by_kind(plain), "object", "left")
+
+    def state(x: Column) -> Column:
+        found = timeline.named_state(x)
+        found |= {"MoveX": F.coalesce(found["MoveX"], F.col("px")), "MoveY": F.coalesce(found["MoveY"], F.col("py")), "Colour": F.struct(*[found[c].alias(c) for c in "rgb"])}
+        return F.struct(x["t"].alias("t"), *[found[k].alias(k) for k in (*POSITION, "Fade", "Colour", "Additive")])
+
+    def pose(x: Column) -> Column:
+        placed = timeline.placing(lambda k: x[k], *map(F.col, ("base_x", "base_y", "px", "py", "base_scale")))
+        return F.struct(x["t"].alias("t"), *[c.alias(k) for k, c in placed.items()], *[x[k].alias(k) for k in ("Colour", *timeline.FLAG_KINDS)])
+
+    states = lambda ts: F.transform(F.transform(ts, timeline.state_of), state)
+    inner = F.filter("bounds", lambda t: (F.col("start") < t) & (t < F.col("end")))
+    rows = rows.withColumn("seen", states(F.concat(F.array("start", "end"), F.coalesce(inner, F.array().cast("array<double>")))))
+    first = F.get("seen", F.lit(0))
+    all_of = lambda same: F.forall("seen", lambda b: same(F.col("first"), b))
+    # what is made once for a run goes through inline(), as Spark would write it out in each of a lambda's turns otherwise
+    rows = rows.select(*RUN, "start", "end", "base_x", "base_y", "base_scale", "px", "py", "values", "flags", "seen", F.inline(F.array(F.struct(first.alias("first")))))
+    kept = [all_of(lambda a, b: reduce(Column.__and__, [_same(a, b, k) for k in POSITION])).alias("position"), *[all_of(partial(_same, k=k)).alias(k) for k in ("Fade", "Colour", *timeline.FLAG_KINDS)]]
+    rows = rows.select(*RUN, "start", "end", "base_x", "base_y", "base_scale", "px", "py", "values", "flags", F.inline(F.array(F.struct(pose(F.col("first")).alias("at"), F.struct(*kept).alias("keeps")))))
+    n = F.greatest(F.ceil((F.col("end") - F.col("start")) / frame).cast("int"), F.lit(1))
+    ts = F.transform(F.sequence(F.lit(0), n), lambda k: F.when(k == n, F.col("end")).otherwise(F.col("start") + k * frame))
+    changing = ~reduce(Column.__and__, map(_keeps, ("position", "Fade", "Colour", "Additive")))
+    rows = rows.withColumn("samples", F.when(changing, F.transform(states(ts), pose)))
+
+    last = F.get("samples", F.size("samples") - 1)
+    spanned = lambda at, p: F.struct(at[0].alias("start"), at[1].alias("end"), p["kind"].alias("kind"), *[p[c].alias(c) for c in ("v_start", "v_end", "c_start", "c_end")])
+    still = F.transform(_kept_pieces(lambda k: F.col(f"at.{k}"), _keeps), lambda p: spanned((F.col("start"), F.col("end")), p))
+    pairs = F.arrays_zip(F.slice("samples", F.lit(1), F.size("samples") - 1).alias("a"), F.slice("samples", F.lit(2), F.size("samples") - 1).alias("b"))
+    moving = F.flatten(F.transform(pairs, lambda x: F.transform(_changing_pieces(x["a"], x["b"], _keeps), lambda p: spanned((x["a"]["t"], x["b"]["t"]), p))))
+
+    def flagged(k: str) -> Column:
+        before = lambda i: F.get("samples", i - 1)[k]
+        times = lambda when: F.transform(F.filter("samples", when), lambda x: x["t"])
+        opens = times(lambda x, i: x[k] & ((i == 0) | ~before(i)))
+        ends = F.concat(times(lambda x, i: ~x[k] & (i > 0) & before(i)), F.when(last[k], F.array(last["t"])).otherwise(F.array().cast("array<double>")))
+        spans = F.filter(F.arrays_zip(opens.alias("start"), ends.alias("end")), lambda x: x["end"] > x["start"])
+        return F.when(~_keeps(k), F.transform(spans, lambda x: spanned((x["start"], x["end"]), _piece(k, F.lit(True)))))
+
+    own = [F.coalesce(x, F.array().cast(f"array<struct<start:double,end:double,kind:string,v_start:double,v_end:double,c_start:{COLOUR},c_end:{COLOUR}>>")) for x in (moving, *map(flagged, timeline.FLAG_KINDS))]
+    return rows.select(*RUN, F.inline(F.concat(still, *own)))
+
+
+def _bake_many(plain: DataFrame, pivots: DataFrame, runs: DataFrame, frame: float) -> DataFrame:
+    plain = cut(plain)
     spans = runs.select(*RUN, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
     kept = constancy(plain, pivots, spans)
     fixed = _fixed(_posed(kept, pivots, runs))
 
-    changing = kept.where(~reduce(Column.__and__, [F.col(f"keeps.{k}") for k in ("position", "Fade", "Colour", "Additive")])).drop("state")
+    changing = kept.where(~reduce(Column.__and__, map(_keeps, ("position", "Fade", "Colour", "Additive")))).drop("state")
     steps = F.greatest(F.ceil((F.col("end") - F.col("start")) / frame).cast("int"), F.lit(1))
     numbered = changing.withColumn("n", steps).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
     at = numbered.withColumn("t", F.when(F.col("k") == F.col("n"), F.col("end")).otherwise(F.col("start") + F.col("k") * frame))
     samples = _posed(at.join(_states(plain, at.select("object", "t"), pivots), ["object", "t"]), pivots, runs)
-    own = fixed.unionByName(_linear(samples)).unionByName(_flag_spans(samples, frame))
-    kinds = commands.schema
-    own = own.select("*", *[F.lit(None).cast(kinds[c].dataType).alias(c) for c in ("seq", "parent", "trigger")])
-    copied = runs.select(*RUN).join(triggers, "object").select(*[F.col(c).cast(own.schema[c].dataType).alias(c) for c in own.columns])
-    return own.unionByName(copied)
+    return fixed.unionByName(_linear(samples)).unionByName(_flag_spans(samples, frame))
 
 
 def place(runs: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ Commands are rows (object, kind, seq, start, end, easing, v_start, v_end); seq i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,6 +165,59 @@ def _states_few(commands: DataFrame, at: DataFrame) -> DataFrame:
     )
 
 
+CHANNELS = tuple("rgb")
+
+
+def by_kind(commands: DataFrame) -> DataFrame:
+    """object, bounds (starts and ends of all its commands), values (an element for each of DEFAULTS and CHANNELS) and flags (for each of FLAG_KINDS).
+
+    One row an object, for objects of few commands; state_of() takes values and flags.
+    """
+    double = lambda c, name: F.col(c).cast("double").alias(name)
+    is_colour = F.col("kind") == "Colour"
+    sides = [F.when(is_colour, F.struct(*[double(f"{side}.{c}", c) for c in CHANNELS])).alias(side) for side in ("c_start", "c_end")]
+    ends = [F.when(~is_colour, F.col(c).cast("double")).alias(c) for c in ("v_start", "v_end")]
+    row = F.struct("seq", "kind", double("start", "start"), double("end", "end"), "easing", *ends, *sides).alias("row")
+    rows = commands.repartition("object").groupBy("object").agg(F.collect_list(row).alias("rows"))
+    rows = rows.select("object", F.reverse(F.sort_array("rows")).alias("rows"))
+
+    def own(kind: str, a: Callable[[Column], Column], b: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter("rows", lambda x: x["kind"] == kind), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["easing"].alias("easing"), a(x).alias("a"), b(x).alias("b")))
+
+    def with_ends(listed: Column) -> Column:
+        last = F.array_max(F.transform(listed, lambda x, i: F.struct(x["end"].alias("end"), (-i).alias("i"), x["b"].alias("b"))))
+        first = F.get(listed, F.size(listed) - 1)
+        return F.when(F.size(listed) > 0, F.struct(listed.alias("listed"), first["start"].alias("from"), first["a"].alias("first"), last["b"].alias("last")))
+
+    scalars = [own(k, lambda x: x["v_start"], lambda x: x["v_end"]) for k in DEFAULTS]
+    channels = [own("Colour", lambda x, c=c: x["c_start"][c], lambda x, c=c: x["c_end"][c]) for c in CHANNELS]
+    none = lambda x: F.lit(None).cast("double")
+    flags = F.array(*[own(k, none, none) for k in FLAG_KINDS])
+    bounds = F.array_distinct(F.flatten(F.transform("rows", lambda x: F.array(x["start"], x["end"]))))
+    return rows.select("object", bounds.alias("bounds"), F.transform(F.array(*scalars, *channels), with_ends).alias("values"), flags.alias("flags"))
+
+
+def state_of(t: Column) -> Column:
+    """t, v and on: the values and the flags of by_kind() at t; null where an object has no command of the kind."""
+
+    def value(k: Column) -> Column:
+        active = F.slice(F.filter(k["listed"], lambda x: (x["start"] <= t) & (t <= x["end"])), 1, 1)
+        inside = F.transform(active, lambda x: F.struct((x["a"] + (x["b"] - x["a"]) * ease(x["easing"], progress(t, x["start"], x["end"]))).alias("v")))
+        idle = F.when(t < k["from"], k["first"]).otherwise(k["last"])
+        return F.coalesce(F.get(inside, F.lit(0)), F.struct(idle.alias("v")))["v"]
+
+    on = F.transform("flags", lambda spans: F.exists(spans, lambda x: holds(x["start"], x["end"], t)))
+    return F.struct(t.alias("t"), F.transform("values", lambda k: F.when(k.isNotNull(), value(k))).alias("v"), on.alias("on"))
+
+
+def named_state(x: Column) -> dict[str, Column]:
+    """The values of states() in what state_of() gives; MoveX and MoveY are null for an object that doesn't move."""
+    found = {k: F.get(x["v"], F.lit(i)) for i, k in enumerate(DEFAULTS)}
+    out = {k: v if k.startswith("Move") else F.coalesce(v, F.lit(DEFAULTS[k])) for k, v in found.items()}
+    out |= {k: F.coalesce(F.get(x["on"], F.lit(i)), F.lit(False)) for i, k in enumerate(FLAG_KINDS)}
+    return out | {c: F.coalesce(colour(F.get(x["v"], F.lit(len(DEFAULTS) + i))), F.lit(255)) for i, c in enumerate(CHANNELS)}
+
+
 def _states_many(commands: DataFrame, moments: DataFrame) -> DataFrame:
     at = moments.distinct()
     kinds = commands.select("object", "kind").distinct()
@@ -179,14 +234,19 @@ def placed(states: DataFrame, base_x: Column, base_y: Column, pivot_x: Column, p
 
     The offset from the pivot is scaled and mirrored, turned, and moved; a group that doesn't move stays at its pivot.
     """
-    sx, sy = (F.col("Scale") * F.col(f"VectorScale{a}") for a in "XY")
-    x = transform_point(base_x, pivot_x, sx, F.col("FlipH"))
-    y = transform_point(base_y, pivot_y, sy, F.col("FlipV"))
-    cos, sin = F.cos("Rotate"), F.sin("Rotate")
-    return states.withColumns({
-        "x": F.coalesce("MoveX", pivot_x) + x * cos - y * sin, "y": F.coalesce("MoveY", pivot_y) + x * sin + y * cos,
-        "sx": base_scale * sx, "sy": base_scale * sy, "angle": F.col("Rotate"), "alpha": flicker(F.col("Fade")),
-    })
+    return states.withColumns(placing(F.col, base_x, base_y, pivot_x, pivot_y, base_scale))
+
+
+def placing(of: Callable[[str], Column], base_x: Column, base_y: Column, pivot_x: Column, pivot_y: Column, base_scale: Column) -> dict[str, Column]:
+    """The columns of placed() from the values that ``of`` names."""
+    sx, sy = (of("Scale") * of(f"VectorScale{a}") for a in "XY")
+    x = transform_point(base_x, pivot_x, sx, of("FlipH"))
+    y = transform_point(base_y, pivot_y, sy, of("FlipV"))
+    cos, sin = F.cos(of("Rotate")), F.sin(of("Rotate"))
+    return {
+        "x": F.coalesce(of("MoveX"), pivot_x) + x * cos - y * sin, "y": F.coalesce(of("MoveY"), pivot_y) + x * sin + y * cos,
+        "sx": base_scale * sx, "sy": base_scale * sy, "angle": of("Rotate"), "alpha": flicker(of("Fade")),
+    }
 
 
 def lifetimes(commands: DataFrame, keys: tuple[str, ...] = ("object",)) -> DataFrame:

@@ -59,3 +59,18 @@ def test_loops_write_compressed_tables(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "checkpoint", None)  # raw rows, four times the size
     c = spark.createDataFrame([(1, i, "Fade", i * 2.0, i * 2.0 + 2, 0, 0.0, 1.0) for i in range(4)], "object int, seq int, kind string, start double, end double, easing int, v_start double, v_end double")
     assert [r["count"] for r in loops.extract_command_loops(c).where("kind = 'Loop'").collect()] == [4]
+
+
+def test_runs_baked_in_one_row_and_by_the_index_agree(spark, monkeypatch):
+    rng = random.Random(3)
+    kinds = ["MoveX", "MoveY", "Scale", "VectorScaleX", "Rotate", "Fade", "Colour", "FlipH", "Additive"]
+    grey = lambda: (rng.randrange(256),) * 3
+    data = [(o, i, None, rng.choice(kinds), float(s := rng.randrange(80)), float(s + rng.choice([0, 5, 40])), rng.randrange(3), rng.random(), rng.random(), grey(), grey(), None) for i, o in enumerate([1] * 12 + [2] * 4 + [3])]
+    colour = "struct<r:int,g:int,b:int>"
+    c = spark.createDataFrame(data, f"object int, seq int, parent int, kind string, start double, end double, easing int, v_start double, v_end double, c_start {colour}, c_end {colour}, trigger string").cache()
+    pivots = spark.createDataFrame([(o, 320.0, 240.0) for o in (1, 2, 3, 4)], "object int, px double, py double")
+    runs = spark.createDataFrame([(o, k, 10.0 * o, 7.0, 0.5, 30.0 * k, 30.0 * k + 25 * (k < 3)) for o in (1, 2, 3, 4) for k in range(4)], "object int, run int, x double, y double, scale double, start double, end double")
+    rounded = lambda df: rows(df.select("object", "run", "kind", F.round("start", 6), F.round("end", 6), F.round("v_start", 6) + 0.0, F.round("v_end", 6) + 0.0, "c_start", "c_end"))
+    want = rounded(bake._bake_many(c, pivots, runs, 7.0))
+    monkeypatch.setattr(type(c), "checkpoint", None)  # few commands leave no raw rows behind
+    assert len(want) > 100 and rounded(bake.bake_runs(c, pivots, runs, 7.0)) == want
