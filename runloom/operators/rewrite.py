@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stash
 from .folds import fold_sorted
 from .intervals import cell, indexed, level, listed, used_levels
 
@@ -154,28 +154,31 @@ def expand_loops(commands: DataFrame, keys: tuple[str, ...] = ("object",)) -> Da
     number of each loop's run as its digits.  A loop runs once at least.  Triggers and what is in them stay as they are; a
     trigger in a loop is an error, as a loop's runs need fixed times.
     """
-    loops = cut(commands.where("kind = 'Loop'").select(*keys, "seq", "parent", "depth", F.col("start").cast("double").alias("start"), F.greatest("count", F.lit(1)).cast("long").alias("runs")))
-    depths = [r.depth for r in loops.select("depth").distinct().orderBy(F.desc("depth")).collect()]
     held = [*keys, "parent"]
-    parents = loops.select(*keys, F.col("seq").alias("parent"))
-    leaves = commands.where("kind != 'Loop'").select(*keys, "parent", "kind", F.col("end").cast("double").alias("end")).join(parents, held, "left_semi")
-    ends = leaves.select(*held, F.when(F.col("kind") == "Trigger", F.raise_error(F.lit("a trigger in a loop has no fixed time"))).otherwise(F.col("end")).alias("end"))
-    cycles = None
+    within = commands.where("kind != 'Loop'").groupBy(*held).agg(F.max(F.col("end").cast("double")).alias("last"), F.bool_or(F.col("kind") == "Trigger").alias("trigger"))
+    last = F.when(F.col("trigger"), F.raise_error(F.lit("a trigger in a loop has no fixed time"))).otherwise(F.col("last")).alias("last")
+    loops = commands.where("kind = 'Loop'").select(*keys, "seq", "parent", "depth", F.col("start").cast("double").alias("start"), F.greatest("count", F.lit(1)).cast("long").alias("runs"))
+    loops = stash(loops.join(within.withColumnRenamed("parent", "seq"), [*keys, "seq"], "left").select(*loops.columns, last))  # one row a loop: its commands don't travel again
+    depths = [r.depth for r in loops.select("depth").distinct().orderBy(F.desc("depth")).collect()]
+    inside = ends = None
     for depth in depths:  # as many as loops are nested
-        last = ends.groupBy(*held).agg(F.max("end").alias("last")).withColumnRenamed("parent", "seq")
-        at = loops.where(F.col("depth") == depth).join(last, [*keys, "seq"], "left").withColumn("cycle", F.greatest(F.coalesce("last", F.lit(0.0)), F.lit(0.0)))
-        at = cut(at)
-        cycles = at.select(*keys, "seq", "cycle") if cycles is None else cycles.unionByName(at.select(*keys, "seq", "cycle"))
-        ends = ends.unionByName(at.where("last is not null").select(*held, (F.col("start") + (F.col("runs") - 1) * F.col("cycle") + F.col("last")).alias("end")))
-    if cycles is None:
+        at = loops.where(F.col("depth") == depth)
+        if ends is not None:
+            inner = ends.groupBy(*held).agg(F.max("end").alias("inner")).withColumnRenamed("parent", "seq")
+            at = at.join(inner, [*keys, "seq"], "left").withColumn("last", F.greatest("last", "inner")).drop("inner")
+        at = stash(at.withColumn("cycle", F.greatest(F.coalesce("last", F.lit(0.0)), F.lit(0.0))))
+        inside = at if inside is None else inside.unionByName(at)
+        upto = at.where("last is not null").select(*held, (F.col("start") + (F.col("runs") - 1) * F.col("cycle") + F.col("last")).alias("end"))
+        ends = upto if ends is None else ends.unionByName(upto)
+    if inside is None:
         return commands.withColumn("iteration", F.lit(0).cast("long"))
-    inside = loops.join(cycles, [*keys, "seq"])
+    parents = loops.select(*keys, F.col("seq").alias("parent"))
     step = F.struct("start", "runs", "cycle")
-    outer = inside.join(parents, held, "left_anti").select(*keys, "seq", F.col("parent").alias("top"), F.array(step).alias("chain"))
+    outer = stash(inside.join(parents, held, "left_anti").select(*keys, "seq", F.col("parent").alias("top"), F.array(step).alias("chain")))
     chains = outer
     for _ in depths[1:]:
         around = outer.select(*keys, F.col("seq").alias("parent"), "top", F.col("chain").alias("outer"))
-        outer = cut(inside.join(around, held).select(*keys, "seq", "top", F.concat("outer", F.array(step)).alias("chain")))
+        outer = stash(inside.join(around, held).select(*keys, "seq", "top", F.concat("outer", F.array(step)).alias("chain")))
         chains = chains.unionByName(outer)
     triggers = commands.where("kind = 'Trigger'").select(*keys, F.col("seq").alias("top"))
     untouched = chains.join(triggers, [*keys, "top"], "left_semi").select(*keys, "seq")

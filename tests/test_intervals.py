@@ -94,3 +94,11 @@ def test_triggers_and_loops(spark):
     wrong = [("o", 1.0, 0.0, 1, "Loop", 0.0, None, 2), ("o", 2.0, 1.0, 2, "Trigger", 0.0, 99.0, None)]
     with pytest.raises(Exception, match="trigger in a loop"):
         rewrite.expand_loops(loops(spark, wrong)).select(F.max("end")).collect()
+
+
+def test_expanded_loops_leave_no_raw_rows(spark, monkeypatch):
+    data = [("o", 1.0, 0.0, 1, "Loop", 50.0, None, 2), ("o", 2.0, 1.0, 2, "Loop", 0.0, None, 2), ("o", 3.0, 2.0, 3, "Fade", 0.0, 2.0, None), ("o", 4.0, 1.0, 2, "Fade", 0.0, 9.0, None)]
+    df = loops(spark, data)
+    monkeypatch.setattr(type(df), "checkpoint", None)
+    got = rewrite.expand_loops(df).orderBy("seq", "iteration").collect()
+    assert [(r.seq, r.start) for r in got] == [(3.0, 50.0), (3.0, 52.0), (3.0, 59.0), (3.0, 61.0), (4.0, 50.0), (4.0, 59.0)]
