@@ -99,3 +99,26 @@ def test_stream_bursts_plan(spark, tmp_path):
     q = stream_bursts(spark.readStream.schema(e.schema).parquet(str(tmp_path / "b")), "k", "ts", "300 milliseconds", "0 seconds").writeStream.format("memory").queryName("bursts_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.n for r in spark.table("bursts_out").collect()) == [3]
+
+
+def test_neighbouring_keys_share_a_call_but_not_a_timer(spark, tmp_path, monkeypatch):
+    import time
+
+    rows = [[(0, 1000, "a"), (1, 1000, "x"), (0, 1010, "b"), (70, 1005, "q")], [(1, 5000, "x")], [(1, 5010, "y"), (None, 5020, "z")], [(1, 9000, "y")]]
+    for part in rows:
+        e = spark.createDataFrame(part, "k long, t long, c string").withColumn("ts", F.timestamp_seconds("t"))
+        e.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken by their time
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        closed = stream_runs(source, "k", "ts", "c")
+        q = closed.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(120)
+        assert q.exception() is None
+        got = spark.read.schema(closed.schema).parquet(str(tmp_path / "out")).select("key", F.unix_seconds("start"), F.unix_seconds("end"), "n", "content").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    # key 0 falls silent while key 1 goes on; key 1's own run of x goes on as nothing had moved the watermark past its timer before
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(0, 1000, 1010, 1, "a"), (0, 1010, 1010, 1, "b"), (70, 1005, 1005, 1, "q"), (1, 1000, 5010, 2, "x"), (None, 5020, 5020, 1, "z")]))
