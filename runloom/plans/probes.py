@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators.fidelity import psnr
 from ..operators.folds import fold_sorted
-from ..sources.assets import encode_png, octree_palette
+from ..session import stash
+from ..sources.assets import distinct_colours, encode_png, octree_palette
 from .tuning import Parameters, Score
 
 KEYS = ["ord", "series", "col", "row"]
@@ -83,7 +84,7 @@ def _stored(tracked: DataFrame, candidates: Sequence[Parameters]) -> DataFrame:
                 if found is None:
                     pixels = np.frombuffer(drawn, np.uint8).reshape(-1, 3)
                     if most > 0:
-                        colours, index, counts = np.unique(pixels, axis=0, return_inverse=True, return_counts=True)
+                        colours, index, counts = distinct_colours(pixels)
                         pixels = octree_palette(colours, counts, most)[index.ravel()]
                     found = pixels.ravel().astype(np.int32), len(encode_png(w, len(pixels) // w, pixels.tobytes()))
                     if len(known) >= REMEMBERED:
@@ -105,7 +106,7 @@ def probe(frames: DataFrame, candidates: Sequence[Parameters]) -> DataFrame:
     the content it opened with; distinct contents are stored by the candidate's palette, a run is a command.  Each frame, drawn from what
     is stored, is compared with the original: quality is the mean of decibels by fold.  Every candidate is a set of rows of one job.
     """
-    rows = _stored(_tracked(_tiles(frames, candidates), candidates), candidates)
+    rows = stash(_stored(_tracked(_tiles(frames, candidates), candidates), candidates))  # read by frame and by content, encoded once
     by_frame = rows.groupBy("ord", "series", "frame", "fold").agg((F.sum("error") / F.first("size")).alias("mse"), F.sum("opens").alias("opens"))
     quality = by_frame.groupBy("ord").agg(*[F.coalesce(F.avg(F.when(F.col("fold") == f, psnr(F.col("mse")))), F.lit(0.0)).alias(f) for f in ("train", "eval")], F.sum("opens").alias("commands"))
     stored = rows.groupBy("ord", "key").agg(F.first("bytes").alias("bytes")).groupBy("ord").agg(F.sum("bytes").alias("bytes"))

@@ -38,7 +38,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 def encode_png(w: int, h: int, rgb: bytes) -> bytes:
     """A PNG of 8-bit colours; by a palette if it has 256 colours at most, which loses nothing."""
     pixels = np.frombuffer(rgb, np.uint8).reshape(h, w, 3)
-    colours, index = np.unique(pixels.reshape(-1, 3), axis=0, return_inverse=True)
+    colours, index, _ = distinct_colours(pixels.reshape(-1, 3))
     few = len(colours) <= 256
     rows = index.astype(np.uint8).reshape(h, w) if few else pixels.reshape(h, w * 3)
     raw = np.concatenate([np.zeros((h, 1), np.uint8), rows], axis=1).tobytes()  # each row unfiltered
@@ -67,6 +67,13 @@ def decode_png(data: bytes) -> tuple[int, int, bytes]:
     return w, h, rows[:, 1:].tobytes()
 
 
+def distinct_colours(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct colours of pixels (n by 3 bytes) in order, and for each pixel its colour's place, and their counts."""
+    r, g, b = pixels.astype(np.int32).T
+    number, index, counts = np.unique(r << 16 | g << 8 | b, return_inverse=True, return_counts=True)
+    return np.stack([number >> 16, number >> 8 & 255, number & 255], axis=1).astype(np.uint8), index, counts
+
+
 def octree_palette(colours: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     """For each of some distinct colours (n by 3) with their counts, the colour that stands for it; ``most`` of them at most.
 
@@ -79,20 +86,20 @@ def octree_palette(colours: np.ndarray, counts: np.ndarray, most: int) -> np.nda
             path = path << 1 | (colours[:, channel].astype(np.int64) >> bit & 1)
     level, leaf = DEPTH, path.copy()
     depth = np.full(len(colours), DEPTH)
-    while len(np.unique(np.stack([depth, leaf]), axis=1).T) > most and level:
+    numbers = lambda: depth << 3 * DEPTH | leaf
+    while (leaves := len(np.unique(numbers()))) > most and level:
         level -= 1
-        deep = depth > level
+        deep = np.flatnonzero(depth > level)
         parents, of = np.unique(leaf[deep] >> 3, return_inverse=True)
         weight = np.bincount(of, counts[deep])
-        leaves = len(np.unique(np.stack([depth, leaf]), axis=1).T)
-        children = np.array([len(np.unique(leaf[deep][of == k])) for k in range(len(parents))])
-        for k in np.lexsort((parents, weight)).tolist():
-            if leaves <= most:
-                break
-            at = np.flatnonzero(deep)[of == k]
-            leaf[at], depth[at] = parents[k], level
-            leaves -= children[k] - 1
-    _, group = np.unique(np.stack([depth, leaf]), axis=1, return_inverse=True)
+        children = np.unique(np.unique(leaf[deep]) >> 3, return_counts=True)[1]
+        order = np.lexsort((parents, weight))
+        left = leaves - np.cumsum(children[order] - 1) + children[order] - 1  # leaves before each is folded
+        folded = np.zeros(len(parents), bool)
+        folded[order[left > most]] = True
+        at = folded[of]
+        leaf[deep[at]], depth[deep[at]] = parents[of[at]], level
+    _, group = np.unique(numbers(), return_inverse=True)
     total = np.bincount(group.ravel(), counts)
     mean = np.stack([np.bincount(group.ravel(), counts * colours[:, c]) / total for c in range(3)], axis=1)
     return np.floor(mean + 0.5).astype(np.uint8)[group.ravel()]
@@ -108,7 +115,7 @@ def quantise(assets: DataFrame, most: int) -> DataFrame:
             out = []
             for rgb in pdf["rgb"]:
                 pixels = np.frombuffer(rgb, np.uint8).reshape(-1, 3)
-                colours, index, counts = np.unique(pixels, axis=0, return_inverse=True, return_counts=True)
+                colours, index, counts = distinct_colours(pixels)
                 out.append(octree_palette(colours, counts, most)[index.ravel()].tobytes())
             yield pdf.assign(rgb=out)
 

@@ -55,3 +55,17 @@ def test_probe_equals_one_after_another(spark):
 
 def test_tolerance_of_arrays():
     assert probes.within(b"\x00\x0a", b"\x04\x0a", 2.0) and not probes.within(b"\x00\x0a", b"\x05\x0a", 2.0) and not probes.within(b"a", b"ab", 9)
+
+
+def test_frames_are_encoded_once(spark):
+    frame = ("a", 1, "train", 2, 2, bytearray(range(12)))
+    df = spark.createDataFrame([frame], "series string, frame long, fold string, width int, height int, rgb binary")
+    assert "MapInArrow" not in probes.probe(df, [Parameters(2)])._jdf.queryExecution().toString()  # it was there for each of two aggregates
+
+
+def test_distinct_colours():
+    from runloom.sources.assets import distinct_colours
+
+    pixels = np.random.default_rng(1).integers(0, 3, (60, 3), dtype=np.uint8) * 127
+    for got, want in zip(distinct_colours(pixels), np.unique(pixels, axis=0, return_inverse=True, return_counts=True), strict=True):
+        assert (got == want.reshape(got.shape)).all()
