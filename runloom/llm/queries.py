@@ -67,8 +67,9 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    """What goes are strings of 400 bytes; n_passages and passage_bytes report passages of over 50 words, which may be shorter."""
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage_words=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), "n_passages", "passage_bytes")
 
 
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

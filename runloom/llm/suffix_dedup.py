@@ -12,7 +12,8 @@
 3. Spans go back to the documents, where the covered bytes are removed.
 
 Passages can be counted in words instead: then each word stands for ``CODE`` bytes, made of its hash, and strings are so many whole
-words, whatever white space is between them; what goes is from the first letter of a run of words to the next word.
+words, whatever white space is between them; what goes is from the first letter of a run of words to the next word.  Grams, anchors
+and starts are then whole words too.  Passages can also be reported beside the bytes that go, by a second search.
 
 Strings are judged on the input and never cross rows.  Null texts are empty.  Rows that repeat each other count as
 separate documents, so their strings of that length are all repeated, and of such rows nothing is left; drop repeated rows before.
@@ -48,13 +49,16 @@ CODE = 8
 BLOCK_BYTES = 1 << 18
 
 
-def pieces(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Row, first start, number of starts, anchor hash and hash of the bytes of every piece of some rows."""
-    width = length * GRAM_PERCENT // 100
+def pieces(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, values: np.ndarray = B.BYTE_VALUES) -> tuple[np.ndarray, ...]:
+    """Row, first start, number of starts, anchor hash and hash of the content of every piece of some rows.
+
+    ``buf`` has bytes, or any items that ``values`` has hashes of.
+    """
+    width = max(1, length * GRAM_PERCENT // 100)
     n, window = len(buf), length - width + 1
     if n < length:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    prefix = B.prefix_hash(buf)
+    prefix = B.prefix_hash(buf, values)
     at = np.arange(n - width + 1)
     gram = B.range_hash(prefix, at, at + width)
     # with the place in the low bits the leftmost of the least is the least, and tells where it is
@@ -206,27 +210,34 @@ def _runs(piece: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return piece[i], start[i], start[np.append(i[1:], len(piece)) - 1] + 1
 
 
-def coded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row boundaries of rows in which each word is ``CODE`` bytes."""
+def hashed(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and per row the number of the first word (n+1 values)."""
     starts, ends, first = B.words(buf, offs)
-    h = B.range_hash(B.prefix_hash(buf), starts, ends)
-    return (h[:, None] >> np.arange(0, 7 * CODE, 7, dtype=np.uint64) & np.uint64(127)).astype(np.uint8).ravel(), first * CODE
+    return B.range_hash(B.prefix_hash(buf), starts, ends), first
+
+
+def coded(words: np.ndarray) -> np.ndarray:
+    """Bytes in which each of some hashed words is ``CODE`` bytes."""
+    return (words[:, None] >> np.arange(0, 7 * CODE, 7, dtype=np.uint64) & np.uint64(127)).astype(np.uint8).ravel()
 
 
 def _anchored(length: int, words: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, _, buf, offs in B.text_chunks(batch.column(2), STRETCH):
+            values, each, unit = B.BYTE_VALUES, length, 1
             if words:
-                buf, offs = coded(buf, offs)
+                values, offs = hashed(buf, offs)
+                buf, each, unit = np.arange(len(values)), length // CODE, CODE
             stretches = [(buf, offs, 0)]
             if len(buf) > 2 * STRETCH and len(offs) == 2:
-                stretches = [(buf[a : a + STRETCH + length - 1], None, a) for a in range(0, len(buf) - length + 1, STRETCH)]
+                stretches = [(buf[a : a + STRETCH + each - 1], None, a) for a in range(0, len(buf) - each + 1, STRETCH)]
             for part, bounds, shift in stretches:
-                row, first, size, anchor, content = pieces(part, bounds if bounds is not None else np.array([0, len(part)]), length)
+                row, first, size, anchor, content = pieces(part, bounds if bounds is not None else np.array([0, len(part)]), each, values)
                 if len(row):
+                    first, size = (first + shift) * unit, (size - 1) * unit + 1
                     rows = pa.array(row + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first + shift), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],
+                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],
                         ["id", "k", "first", "size", "anchor", "content"],
                     )
 
@@ -244,7 +255,7 @@ def _cut_pieces(length: int, words: bool, batches: Iterator[pa.RecordBatch]) ->
             ask = batch.column(3)[i].values
             raw = memoryview(text)
             if words:
-                raw = memoryview(coded(np.frombuffer(text, np.uint8), np.array([0, len(raw)]))[0].tobytes())
+                raw = memoryview(coded(hashed(np.frombuffer(text, np.uint8), np.array([0, len(raw)]))[0]).tobytes())
             first, size = (ask.field(c).to_numpy() for c in ("first", "size"))
             cut = [bytes(raw[a : a + s + length - 1]) for a, s in zip(first.tolist(), size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ask.field("anchor"), ask.field("content"), ask.field("salt"), ask.field("hot"), ask.field("size"), pa.array(cut, pa.binary())], ["anchor", "content", "salt", "hot", "size", "bytes"])
@@ -324,7 +335,8 @@ def _spans_of(keyed: DataFrame, length: int, words: bool) -> DataFrame:
     discard(again)
     distinct = rows.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "k", "first", "size")).alias("at"))
     distinct = stash(distinct.select("anchor", "content", "copies", "at.*"))
-    groups = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # as above
+    groups = stash(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
 
     asked = (
         distinct.join(groups, "anchor")
@@ -339,6 +351,7 @@ def _spans_of(keyed: DataFrame, length: int, words: bool) -> DataFrame:
         .mapInArrow(partial(_blocks, length), "anchor long, content long, from int, to int, x long, y long")
     )
     settled = stash(blocks)
+    discard(groups)
     across = settled.where("x is not null").groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
     part = settled.where("x is null").select("anchor", "content", "from", "to").union(
         settled.where("x is not null").join(across, ["x", "y"]).select("anchor", "content", "from", "to")
@@ -386,36 +399,42 @@ def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a[i], b[np.append(i[1:], len(a)) - 1]], axis=1)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", decode: bool = False, length: int = LENGTH, over_words: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", decode: bool = False, length: int = LENGTH, over_words: int = 0, passage_words: int = 0) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept_bytes (binary, or kept_text if ``decode``) to the rows of ``docs``, all but ``text``.
 
     Removed are the bytes covered by repeated strings of ``length`` bytes, or with ``over_words`` of more words than that.
+    With ``passage_words`` also n_passages and passage_bytes, the number and bytes of repeated passages of more words than that:
+    they are reported and stay, where no removed bytes cover them.
     Columns of ``docs`` with a result's name are replaced.
     """
-    counts = ("n_bytes", "n_removed", "n_spans")
+    counts = ("n_bytes", "n_removed", "n_spans", *(("n_passages", "passage_bytes") if passage_words else ()))
     added = (*counts, "kept_text" if decode else "kept_bytes")
     rest = [c for c in docs.columns if c not in added and c != text]
     spans = repeated_words(docs, text, over_words + 1) if over_words else repeated_spans(docs, text, length)
+    if passage_words:
+        spans = spans.join(repeated_words(docs, text, passage_words + 1).withColumnRenamed("spans", "passages"), ["id", "k"], "full")
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     own = [f"c{i}" for i in range(len(rest))]
-    source = keyed.join(spans, ["id", "k"], "left").select(*own, "text", "spans")
+    source = keyed.join(spans, ["id", "k"], "left").select(*own, "text", *spans.columns[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(len(own)), batch.column(len(own) + 1)
+            texts, spans, *passages = batch.columns[len(own) :]
             size = pc.binary_length(texts).to_numpy().astype(np.int64)
             group = np.cumsum(size) >> 24
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
             for x, y in zip(cuts, cuts[1:], strict=False):
-                kept, removed, n = [], [], []
+                kept, removed, n, seen = [], [], [], []
                 for i in range(x, y):
                     raw = texts[i].as_py()
                     cut = _of_words(spans[i], raw, over_words + 1) if over_words else _joined(spans[i])
+                    seen += [_of_words(p[i], raw, passage_words + 1) for p in passages]
                     removed.append(int((cut[:, 1] - cut[:, 0]).sum()))
                     n.append(len(cut))
                     edges = [0, *cut.ravel().tolist(), len(raw)]
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if n[-1] else raw)
-                yield pa.RecordBatch.from_arrays([*batch.slice(x, y - x).columns[: len(own)], pa.array(size[x:y]), *(pa.array(v, pa.int64()) for v in (removed, n)), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if decode else pa.array(kept, pa.binary())], [*own, *added])
+                found = [[len(p) for p in seen], [int((p[:, 1] - p[:, 0]).sum()) for p in seen]] if passages else []
+                yield pa.RecordBatch.from_arrays([*batch.slice(x, y - x).columns[: len(own)], pa.array(size[x:y]), *(pa.array(v, pa.int64()) for v in (removed, n, *found)), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if decode else pa.array(kept, pa.binary())], [*own, *added])
 
     schema = StructType([*(source.schema[c] for c in own), *(StructField(c, LongType()) for c in counts), StructField(added[-1], StringType() if decode else BinaryType())])
     out = source.mapInArrow(run, schema)
