@@ -71,3 +71,14 @@ def by_crowd(crowded: DataFrame, keys: tuple[str, ...], few: Callable[..., DataF
 def crowded(rows: DataFrame, keys: tuple[str, ...], most: int = FEW) -> DataFrame:
     """The keys of over ``most`` rows."""
     return rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*keys)
+
+
+#: Hashes of keys that crowds() counts first
+BUCKETS = 1 << 16
+
+
+def crowds(rows: DataFrame, keys: tuple[str, ...], most: int) -> DataFrame:
+    """crowded() for a large ``most``: only keys whose hash has over ``most`` rows can be crowded, so the others aren't exchanged."""
+    hashed = rows.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("__h"))
+    full = hashed.groupBy("__h").agg(F.count("*").alias("__n")).where(F.col("__n") > most).select("__h")
+    return crowded(hashed.join(F.broadcast(full), ["__h"], "left_semi"), keys, most)

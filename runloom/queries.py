@@ -581,16 +581,24 @@ union all select object, (s0 + 1 + i)::double, kind, case when p is null then d
  case when i % 2 = 0 then x else y end, case when i % 2 = 0 then y else x end, case when p is not null then s0 + 0.75::double end, null from l, range(0, 10) r(i) where i < 2 * reps and (p is null or i < p)""")
 def command_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's line items as values that go up and down, some of them again and again"""
-    l = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("object"), (line_order() * 32).alias("s0"), F.col("l_linenumber").cast("double").alias("a"), F.col("l_quantity").alias("b"), (F.col("l_suppkey") % 5 + 1).cast("int").alias("reps"),
-        days("l_shipdate").alias("d"), F.col("l_discount").alias("x"), F.col("l_tax").alias("y"), F.when(F.col("l_linenumber") % 2 == 1, "Fade").otherwise("Scale").alias("kind"),
-    )
-    up = F.col("i") % 2 == 0
-    each = l.withColumn("i", F.explode(F.expr("sequence(0, 2 * reps - 1)"))).withColumn("start", F.expr("d + i div 2 * (a + b) + i % 2 * a"))
-    values = each.select("object", (F.col("s0") + 1 + F.col("i")).alias("seq"), "kind", "start", (F.col("start") + F.when(up, F.col("a")).otherwise(F.col("b"))).alias("end"), F.lit(0).alias("easing"), F.when(up, F.col("x")).otherwise(F.col("y")).alias("v_start"), F.when(up, F.col("y")).otherwise(F.col("x")).alias("v_end"))
-    none = F.lit(None).cast("double")
-    flags = l.select("object", F.col("s0").alias("seq"), F.lit("Additive").alias("kind"), F.col("d").alias("start"), F.col("d").alias("end"), F.lit(0).alias("easing"), none.alias("v_start"), none.alias("v_end"))
-    return loops.extract_command_loops(values.unionByName(flags)).select("object", "seq", "kind", "start", "end", "v_start", "v_end", "parent", "count")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("object"), (line_order() * 32).alias("seq"), "l_linenumber", "l_quantity", "l_suppkey", "l_shipdate", "l_discount", "l_tax")
+
+    def unpack(rows: DataFrame) -> DataFrame:
+        """A flag, and up to ten values after it."""
+        named = rows.select(
+            "object", F.col("seq").alias("s0"), F.col("l_linenumber").cast("double").alias("a"), F.col("l_quantity").alias("b"), (F.col("l_suppkey") % 5 + 1).cast("int").alias("reps"),
+            days("l_shipdate").alias("d"), F.col("l_discount").alias("x"), F.col("l_tax").alias("y"), F.when(F.col("l_linenumber") % 2 == 1, "Fade").otherwise("Scale").alias("kind"),
+        )
+        each = named.withColumn("i", F.explode(F.expr("sequence(-1, greatest(2 * reps - 1, -1))")))
+        flag, up = F.col("i") < 0, F.col("i") % 2 == 0
+        each = each.withColumn("start", F.when(flag, F.col("d")).otherwise(F.expr("d + i div 2 * (a + b) + i % 2 * a")))
+        return each.select(
+            "object", (F.col("s0") + 1 + F.col("i")).alias("seq"), F.when(flag, "Additive").otherwise(F.col("kind")).alias("kind"), "start",
+            F.when(flag, F.col("d")).otherwise(F.col("start") + F.when(up, F.col("a")).otherwise(F.col("b"))).alias("end"), F.lit(0).alias("easing"),
+            F.when(~flag, F.when(up, F.col("x")).otherwise(F.col("y"))).alias("v_start"), F.when(~flag, F.when(up, F.col("y")).otherwise(F.col("x"))).alias("v_end"),
+        )
+
+    return loops.extract_command_loops(l, unpack=unpack).select("object", "seq", "kind", "start", "end", "v_start", "v_end", "parent", "count")
 
 
 @query("""with tg as (select n_regionkey, n_nationkey, 1.0 + n_nationkey / 10.0 as scale, n_nationkey * 2.0 as dx, n_nationkey * -1.0 as dy from nation),
