@@ -31,6 +31,14 @@ def _fold(x: np.ndarray) -> np.ndarray:
     return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
 
 
+def _fold_in(x: np.ndarray, spare: np.ndarray, times: int) -> None:
+    """_fold() in place, so many times."""
+    for _ in range(times):
+        np.right_shift(x, np.uint64(31), out=spare)
+        np.bitwise_and(x, np.uint64(PRIME), out=x)
+        np.add(x, spare, out=x)
+
+
 class _Powers:
     """Powers of the bases and of their inverses, modulo PRIME."""
 
@@ -87,20 +95,36 @@ def text_chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, i
 def prefix_hash(buf: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
     """Prefix sums from which range_hash() takes the hash of any byte range; texts of up to 2^31 bytes."""
     powers = _POWERS.upto(len(buf) + 1)
-    out = np.zeros((2, len(buf) + 1), np.uint64)
+    out = np.empty((2, len(buf) + 1), np.uint64)
+    out[:, 0] = 0
+    x, spare = np.empty((2, len(buf)), np.uint64)
     for lane, up in enumerate(powers.up):
-        byte = (values >> np.uint64(31 * lane)) & np.uint64(PRIME)
-        np.cumsum(_fold(byte[buf] * up[: len(buf)].astype(np.uint64)), out=out[lane, 1:])
+        ((values >> np.uint64(31 * lane)) & np.uint64(PRIME)).take(buf, out=x, mode="clip")
+        np.multiply(x, up[: len(buf)], out=x)
+        _fold_in(x, spare, 1)
+        np.cumsum(x, out=out[lane, 1:])
     return out
 
 
+def _hash_of(sums: list[np.ndarray], down: list[np.ndarray]) -> np.ndarray:
+    """The hash of ranges, of each lane's differences of prefix sums (used up) and inverse powers of where they start."""
+    for x, inverse in zip(sums, down, strict=True):
+        spare = np.empty(len(x), np.uint64)
+        _fold_in(x, spare, 2)
+        np.multiply(x, inverse, out=x)
+        _fold_in(x, spare, 3)
+        np.minimum(x, np.subtract(x, np.uint64(PRIME), out=spare), out=x)  # a smaller one's difference is a large number
+    return mix(sums[0] << np.uint64(32) | sums[1])
+
+
 def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    lanes = []
-    for sums, down in zip(prefix, _POWERS.upto(prefix.shape[1]).down, strict=True):
-        x = _fold(_fold(_fold(_fold(sums[end] - sums[start])) * down[start].astype(np.uint64)))
-        x = _fold(x)
-        lanes.append(np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x))
-    return mix(lanes[0] << np.uint64(32) | lanes[1])
+    return _hash_of([sums[end] - sums[start] for sums in prefix], [down[start] for down in _POWERS.upto(prefix.shape[1]).down])
+
+
+def gram_hash(prefix: np.ndarray, width: int) -> np.ndarray:
+    """range_hash() of every range of ``width``, in order."""
+    n = prefix.shape[1] - width
+    return _hash_of([sums[width:] - sums[:n] for sums in prefix], [down[:n] for down in _POWERS.upto(prefix.shape[1]).down])
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

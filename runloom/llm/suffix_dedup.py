@@ -13,7 +13,7 @@
 
 Passages can be counted in words instead: then each word stands for ``CODE`` bytes, made of its hash, and strings are so many whole
 words, whatever white space is between them; what goes is from the first letter of a run of words to the next word.  Grams, anchors
-and starts are then whole words too.  Passages can also be reported beside the bytes that go, by a second search.
+and starts are then whole words too, and a block sorts all of its starts by the words' numbers.  Passages can also be reported beside the bytes that go, by a second search.
 
 Strings are judged on the input and never cross rows.  Null texts are empty.  Rows that repeat each other count as
 separate documents, so their strings of that length are all repeated, and of such rows nothing is left; drop repeated rows before.
@@ -47,6 +47,8 @@ PIECES = 6144
 CODE = 8
 #: Bytes of pieces that a suffix array is built of at once, whole anchors
 BLOCK_BYTES = 1 << 18
+#: Suffixes that are sorted at once, whole buckets
+SORTED = 1 << 14
 
 
 def pieces(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, values: np.ndarray = B.BYTE_VALUES) -> tuple[np.ndarray, ...]:
@@ -60,7 +62,7 @@ def pieces(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, values: np.n
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     prefix = B.prefix_hash(buf, values)
     at = np.arange(n - width + 1)
-    gram = B.range_hash(prefix, at, at + width)
+    gram = B.gram_hash(prefix, width)
     # with the place in the low bits the leftmost of the least is the least, and tells where it is
     bits = np.uint64(int(n).bit_length())
     key = (gram >> bits << bits) | at.astype(np.uint64)
@@ -86,6 +88,11 @@ def pieces(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, values: np.n
     return row, first - offs[row], size, gram[anchor[first]], B.range_hash(prefix, first, first + size + length - 1)
 
 
+def _next(marked: np.ndarray) -> np.ndarray:
+    """The first marked place from each place on; the last one is marked."""
+    return np.minimum.accumulate(np.where(marked, np.arange(len(marked)), len(marked))[::-1])[::-1]
+
+
 def suffix_order(text: np.ndarray, wanted: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """The wanted places of ``text`` in the order of the first ``length`` bytes of their suffixes, by two-stage sorting.
 
@@ -96,13 +103,11 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, length: int = LENGTH) ->
     step = np.zeros(n, np.int8)
     step[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
     step[-1] = 1
-    turns = np.flatnonzero(step)
-    smaller = step[turns[np.searchsorted(turns, np.arange(n))]] > 0  # than the successor; ends of pieces are
+    smaller = step[_next(step != 0)] > 0  # than the successor; ends of pieces are
     places = np.flatnonzero(wanted)
     direct = places[smaller[places]]
     padded = np.concatenate([text, np.zeros(length, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, length)[direct]
-    direct = direct[np.argsort(rows.view(f"S{length}").ravel(), kind="stable")]
+    direct = _sorted(padded, direct, length)
 
     # scan the buckets of first bytes upward; what stands before a suffix and is greater joins its own bucket's front part
     first = text[direct]
@@ -123,6 +128,17 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, length: int = LENGTH) ->
     return np.concatenate(order)
 
 
+def _sorted(padded: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """``places`` in the order of the ``length`` bytes from there on: by the first two, then some buckets of these at a time."""
+    pair = padded[places].astype(np.uint16) << np.uint16(8) | padded[places + 1]
+    by = np.argsort(pair, kind="stable")
+    places = places[by]
+    edges = np.flatnonzero(np.diff(pair[by])) + 1
+    cuts = edges[np.diff(edges // SORTED, prepend=0) > 0]
+    suffixes = np.lib.stride_tricks.sliding_window_view(padded, length)
+    return np.concatenate([part[np.argsort(suffixes[part].view(f"S{length}").ravel(), kind="stable")] for part in np.split(places, cuts)])
+
+
 def _before(scanned: np.ndarray, text: np.ndarray, wanted: np.ndarray, smaller: np.ndarray, waiting: list, c: int) -> np.ndarray:
     """Deals the induced places before the scanned ones to their buckets; returns those of the bucket ``c`` itself."""
     p = scanned[scanned > 0] - 1
@@ -148,9 +164,9 @@ def common_prefix(text: np.ndarray, order: np.ndarray, length: int = LENGTH) ->
     lcp = np.zeros(len(order), np.int64)
     padded = np.concatenate([text, np.zeros(length + 8, np.uint8)])
     open_ = np.arange(1, len(order))
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(np.uint64).ravel()
     for k in range(0, length, 8):
-        a, b = (words[order[open_ - d] + k].view(np.uint64).ravel() for d in (0, 1))
+        a, b = (words[order[open_ - d] + k] for d in (0, 1))
         lcp[open_] += 8
         differs = a != b
         if differs.any():
@@ -178,8 +194,7 @@ def block_repeats(parts: list[bytes], sizes: np.ndarray, length: int = LENGTH) -
     up[:-1] = text[1:] > text[:-1]
     level = np.zeros(len(text), bool)
     level[:-1] = text[1:] == text[:-1]
-    turns = np.flatnonzero(~level)
-    smaller = up[turns[np.searchsorted(turns, np.arange(len(text)))]]
+    smaller = up[_next(~level)]
     smaller[base[1:] - 1] = True
     ends = np.flatnonzero(smaller)
     last = base[:-1] + sizes - 1
@@ -198,6 +213,24 @@ def block_repeats(parts: list[bytes], sizes: np.ndarray, length: int = LENGTH) -
     return piece, order - base[piece], number, many[number]
 
 
+def word_repeats(parts: list[bytes], sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As block_repeats() for pieces of words' codes: only words' starts, whose suffixes are sorted by words' numbers in the block."""
+    base = np.concatenate([[0], np.cumsum([len(p) // CODE for p in parts])])
+    known, word = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_inverse=True)
+    kind = np.dtype(">u2" if len(known) <= 1 << 16 else ">u4")  # bytes sort as the numbers do
+    count = (sizes - 1) // CODE + 1
+    piece = np.repeat(np.arange(len(parts)), count)
+    start = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+    words = length // CODE
+    suffixes = np.lib.stride_tricks.sliding_window_view(word.astype(kind), words)[base[piece] + start].view(f"S{words * kind.itemsize}").ravel()
+    order = np.argsort(suffixes, kind="stable")
+    suffixes = suffixes[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = suffixes[1:] != suffixes[:-1]
+    number = np.cumsum(fresh) - 1
+    return piece[order], start[order], number, np.bincount(number)[number] > 1
+
+
 def _runs(piece: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of successive starts: piece, first, end."""
     o = np.lexsort((start, piece))
@@ -247,26 +280,31 @@ def _cut_pieces(length: int, words: bool, batches: Iterator[pa.RecordBatch]) ->
     seen = set()
     for batch in batches:
         keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        for i, key in enumerate(keys):
-            if key in seen:
-                continue
-            seen.add(key)
-            text = batch.column(2)[i].as_buffer()
-            ask = batch.column(3)[i].values
-            raw = memoryview(text)
+        for lo, hi, buf, offs in B.text_chunks(batch.column(2), STRETCH):
             if words:
-                raw = memoryview(coded(hashed(np.frombuffer(text, np.uint8), np.array([0, len(raw)]))[0]).tobytes())
-            first, size = (ask.field(c).to_numpy() for c in ("first", "size"))
-            cut = [bytes(raw[a : a + s + length - 1]) for a, s in zip(first.tolist(), size.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ask.field("anchor"), ask.field("content"), ask.field("salt"), ask.field("hot"), ask.field("size"), pa.array(cut, pa.binary())], ["anchor", "content", "salt", "hot", "size", "bytes"])
-
-
-def _settle(length: int, rows: list[dict]) -> pa.RecordBatch:
+                values, offs = hashed(buf, offs)
+                buf, offs = coded(values), offs * CODE
+            raw, asks, cut = memoryview(buf), [], []
+            for i, a in zip(range(lo, hi), offs.tolist(), strict=False):
+                if keys[i] in seen:
+                    continue
+                seen.add(keys[i])
+                asks.append(batch.column(3)[i].values)
+                first, size = (asks[-1].field(c).to_numpy().tolist() for c in ("first", "size"))
+                cut += [bytes(raw[a + f : a + f + s + length - 1]) for f, s in zip(first, size, strict=True)]
+            if asks:
+                ask = pa.concat_arrays(asks)
+                yield pa.RecordBatch.from_arrays([*(ask.field(c) for c in ("anchor", "content", "salt", "hot", "size")), pa.array(cut, pa.binary())], ["anchor", "content", "salt", "hot", "size", "bytes"])
+
+
+def _settle(length: int, words: bool, rows: list[dict]) -> pa.RecordBatch:
     """Spans of the starts that repeat in a block, and of hot anchors one string of each class for the other blocks."""
     parts = [r["bytes"] for r in rows]
     sizes = np.array([r["size"] for r in rows])
-    piece, start, number, twice = block_repeats(parts, sizes, length)
+    piece, start, number, twice = (word_repeats if words else block_repeats)(parts, sizes, length)
     p, a, b = _runs(piece[twice], start[twice])
+    if words:
+        start, a, b = start * CODE, a * CODE, (b - 1) * CODE + 1
     hot = np.array([r["hot"] for r in rows])
     # neighbours of a class stand together, so its first is where the number changes
     lead = np.ones(len(number), bool)
@@ -293,7 +331,7 @@ def _settle(length: int, rows: list[dict]) -> pa.RecordBatch:
     )
 
 
-def _blocks(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(length: int, words: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole groups (anchor, salt), which come one after another, up to BLOCK_BYTES at a time."""
     held: list[dict] = []
     size, last = 0, None
@@ -301,13 +339,13 @@ def _blocks(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         for r in batch.to_pylist():
             group = (r["anchor"], r["salt"])
             if group != last and size >= BLOCK_BYTES:
-                yield _settle(length, held)
+                yield _settle(length, words, held)
                 held, size = [], 0
             held.append(r)
             size += len(r["bytes"])
             last = group
     if held:
-        yield _settle(length, held)
+        yield _settle(length, words, held)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -348,7 +386,7 @@ def _spans_of(keyed: DataFrame, length: int, words: bool) -> DataFrame:
         long_rows.join(asked.hint("shuffle_hash"), ["id", "k"]).select("id", "k", F.col("text").cast("binary"), "asked")
         .mapInArrow(partial(_cut_pieces, length, words), "anchor long, content long, salt int, hot boolean, size int, bytes binary")
         .repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-        .mapInArrow(partial(_blocks, length), "anchor long, content long, from int, to int, x long, y long")
+        .mapInArrow(partial(_blocks, length, words), "anchor long, content long, from int, to int, x long, y long")
     )
     settled = stash(blocks)
     discard(groups)

@@ -21,6 +21,8 @@ BATCH, DEFAULT_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: Their bytes, which long texts reach first
 BATCH_BYTES = str(8 << 20)
 BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Python workers reuse freed memory of their arrays up to so many bytes, where each would else come anew from the system
+MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20)}
 
 
 def packed() -> str:
@@ -42,6 +44,8 @@ def ready(spark: SparkSession) -> SparkSession:
         spark.conf.set(BATCH, BATCH_ROWS)
         spark.conf.set(BYTES, BATCH_BYTES)
     environment = spark.sparkContext.environment
+    for name, value in MEMORY.items():
+        environment.setdefault(name, value)
     have = environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (have, ROOT) if x)
